@@ -4,6 +4,7 @@ The corpus tables of a match tool are not part of the test data, so each view ma
 supplied table to the shape an operator expects. ``VIEWS`` holds the same views as SQL.
 
 * ``ev``      events: match = user, entity = event type, t = ms since 2024-01-01
+* ``tgt``/``pair`` oracle positions, and candidate samples with the position interpolated at their time
 * ``dec``/``orc`` decoded stream and an independent, slightly shifted stream
 * ``tx``      item operations: match = supplier, entity = line status, item = line number
 * ``cm``      candidate matches from lineitem
@@ -27,6 +28,15 @@ VIEWS: dict[str, str] = {
     "ev": f"""SELECT event_id, user_id AS match_id, event_type AS entity,
         CAST(epoch_us(ts) // 1000 - {EPOCH_MS} AS BIGINT) AS t, value,
         CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""",
+    "tgt": """SELECT match_id, event_id, t + 1000 AS t, 100 * value + k AS x, CAST(150 * k AS DOUBLE) + value AS y FROM {ev}""",
+    "pair": """SELECT b.event_id, b.match_id, b.entity, b.t, b.rx, b.ry,
+        CASE WHEN b.bx IS NULL THEN f.x WHEN f.x IS NULL THEN b.bx WHEN b.t = b.bt THEN b.bx
+         ELSE b.bx + (f.x - b.bx) * ((b.t - b.bt)::DOUBLE / (f.t - b.bt)) END AS tx,
+        CASE WHEN b.bx IS NULL THEN f.y WHEN f.x IS NULL THEN b.byy WHEN b.t = b.bt THEN b.byy
+         ELSE b.byy + (f.y - b.byy) * ((b.t - b.bt)::DOUBLE / (f.t - b.bt)) END AS ty
+        FROM (SELECT e.event_id, e.match_id, e.entity, e.t, e.value AS rx, CAST(e.k AS DOUBLE) AS ry, p.t AS bt, p.x AS bx, p.y AS byy
+          FROM {ev} e ASOF LEFT JOIN {tgt} p ON e.match_id = p.match_id AND e.t >= p.t) b
+        ASOF LEFT JOIN {tgt} f ON b.match_id = f.match_id AND b.t < f.t""",
     "dec": "SELECT match_id, entity, event_id AS id, t, k FROM {ev}",
     "orc": """SELECT match_id, CASE WHEN value > 200 THEN 'other' ELSE entity END AS entity, event_id AS id,
         t + CASE WHEN k < 60 THEN 0 WHEN k < 80 THEN 1 WHEN k < 95 THEN -1 ELSE 5000 END AS t, k FROM {ev}""",
@@ -86,6 +96,24 @@ class Tables:
             F.get_json_object("props", "$.k").cast("long").alias("k"),
         )
 
+    @cached_property
+    def tgt(self) -> DataFrame:
+        c = F.col
+        return self.ev.select(
+            "match_id", "event_id", (c("t") + 1000).alias("t"),
+            (100 * c("value") + c("k")).alias("x"), (150 * c("k") + c("value")).alias("y"),
+        )
+
+    @cached_property
+    def pair(self) -> DataFrame:
+        from eventloom.operators.timejoin import interpolate
+
+        left = self.ev.select(
+            "event_id", "match_id", "entity", "t", F.col("value").alias("rx"), F.col("k").cast("double").alias("ry")
+        )
+        out = interpolate(left, self.tgt, ["match_id"], "t", "event_id", DAY_MS, ["x", "y"])
+        return out.withColumnsRenamed({"at_x": "tx", "at_y": "ty"})
+
     @cached_property
     def dec(self) -> DataFrame:
         return self.ev.select("match_id", "entity", F.col("event_id").alias("id"), "t", "k")
