@@ -80,3 +80,14 @@ def average_ranks(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     )
     hit = df.withColumn("_v", F.col(value).cast("double"))
     return hit.join(ranks, [*keys, "_v"]).drop("_v")
+
+
+def medians(df: DataFrame, keys, cols: Sequence[str], suffix: str = "_median") -> DataFrame:
+    """Exact medians of several columns in one pass over the unpivoted values."""
+    keys = list(keys)
+    cells = F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in cols])
+    long = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell._name", "_cell._value")
+    med = quantiles(long, [*keys, "_name"], "_value", {"_m": 0.5})
+    return med.groupBy(*keys).agg(
+        *[F.coalesce(F.max(F.when(F.col("_name") == c, F.col("_m"))), F.lit(0.0)).alias(c + suffix) for c in cols]
+    )

@@ -188,7 +188,6 @@ def scalar_match_score(x):
     return sr.score_match(x.pair, ME, ORDER, block(), "rx", "tx", 6, limits)
 
 
-C19_SQL = SCORE_CTE.replace("{pair}", "{metric_pair}")
 
 
 @query("D15_series_compare", f"""SELECT match_id, R6({pz('rx', 'tx')}) AS correlation, R6(sqrt(avg(power(rx - tx, 2)))) AS rmse,
@@ -457,11 +456,11 @@ def duplicate_targets(x):
 
 
 @query("D67_segment_statistics", """SELECT match_id, count(*) AS segments, count(*) FILTER (seg_type = 'chunk') AS chunks, count(*) FILTER (seg_type = 'keyframe') AS keyframes, CAST(sum(len) AS BIGINT) AS bytes,
- R6(avg(len / 600000.0)) AS mean_ratio FROM {seg} GROUP BY 1""")
+ R6(avg(len / 1024.0)) AS mean_ratio FROM {seg} GROUP BY 1""")
 def segment_statistics(x):
     return x.seg.groupBy("match_id").agg(
         F.count("*").alias("segments"), F.count_if(F.col("seg_type") == "chunk").alias("chunks"), F.count_if(F.col("seg_type") == "keyframe").alias("keyframes"),
-        F.sum("len").alias("bytes"), F.avg(F.col("len") / 600000.0).alias("mean_ratio"),
+        F.sum("len").alias("bytes"), F.avg(F.col("len") / 1024.0).alias("mean_ratio"),
     )
 
 

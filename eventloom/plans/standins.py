@@ -8,6 +8,7 @@ supplied table to the shape an operator expects. ``VIEWS`` holds the same views
 * ``dec``/``orc`` decoded stream and an independent, slightly shifted stream
 * ``tx``      item operations: match = supplier, entity = line status, item = line number
 * ``cm``      candidate matches from lineitem
+* ``pe``      pattern entries: ``cm`` per match, version, family and metric
 * ``pk``      packets from conversations: match = conversation, block = turn
 * ``seg``     container segments from orders
 * ``roster``  participants from customer/nation/region
@@ -49,9 +50,16 @@ VIEWS: dict[str, str] = {
     "cm": """SELECT l_suppkey AS match_id, l_linestatus AS version_group, l_returnflag AS family_key,
         CAST(l_linenumber AS BIGINT) AS slot_index, CAST(round(l_discount * 100) AS BIGINT) AS participant_id,
         'm' || CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR) AS metric,
-        l_quantity / 50 AS score, l_extendedprice / 105000 AS correlation, (l_partkey + 1) / 2000.0 AS nrmse,
+        l_quantity / 50 AS score, l_extendedprice / 105000 AS correlation, (l_partkey + 1) / 2048.0 AS nrmse,
         CAST(l_quantity AS BIGINT) AS overlap, l_quantity - 25 AS slope, l_extendedprice / 100 AS intercept,
         l_orderkey AS o1, l_partkey AS o3, l_extendedprice AS o4 FROM lineitem""",
+    "pe": """SELECT match_id, version_group, family_key, metric, family_key || ':' || metric AS pattern_key,
+        count(DISTINCT participant_id) AS participants, avg(correlation) AS correlation, avg(nrmse) AS nrmse,
+        avg(score) + 0.1 AS validator, avg(score * correlation) AS effective, max(score) AS confidence,
+        min(slot_index) AS row_start, max(slot_index) AS row_end, median(slope) AS slope, median(intercept) AS intercept,
+        count(*) AS samples, max(score) > 0.95 AS promoted,
+        CASE WHEN avg(correlation) > 0.5 THEN 'dynamic' ELSE 'static' END AS archetype
+        FROM {cm} GROUP BY 1, 2, 3, 4""",
     "pk": """SELECT conv_id AS match_id, turn AS block_index, role AS packet_type, text,
         hex(encode(text)) AS hx, CAST(octet_length(encode(text)) AS BIGINT) AS len FROM conversations""",
     "by": """SELECT match_id, block_index, packet_type, len, pos - 1 AS pos,
@@ -158,7 +166,7 @@ class Tables:
             F.concat(F.lit("m"), F.round(c("l_tax") * 100).cast("long").cast("string")).alias("metric"),
             (c("l_quantity") / 50).alias("score"),
             (c("l_extendedprice") / 105000).alias("correlation"),
-            ((c("l_partkey") + 1) / 2000.0).alias("nrmse"),
+            ((c("l_partkey") + 1) / 2048.0).alias("nrmse"),
             c("l_quantity").cast("long").alias("overlap"),
             (c("l_quantity") - 25).alias("slope"),
             (c("l_extendedprice") / 100).alias("intercept"),
@@ -167,6 +175,28 @@ class Tables:
             c("l_extendedprice").alias("o4"),
         )
 
+    @cached_property
+    def pe(self) -> DataFrame:
+        from eventloom.operators.quantiles import medians
+
+        keys = ["match_id", "version_group", "family_key", "metric"]
+        c = F.col
+        agg = self.cm.groupBy(*keys).agg(
+            F.count_distinct("participant_id").alias("participants"),
+            F.avg("correlation").alias("correlation"), F.avg("nrmse").alias("nrmse"),
+            (F.avg("score") + 0.1).alias("validator"), F.avg(c("score") * c("correlation")).alias("effective"),
+            F.max("score").alias("confidence"), F.min("slot_index").alias("row_start"),
+            F.max("slot_index").alias("row_end"), F.count("*").alias("samples"),
+        )
+        med = medians(self.cm, keys, ["slope", "intercept"], "")
+        return agg.join(med, keys).withColumns(
+            {
+                "pattern_key": F.concat_ws(":", "family_key", "metric"),
+                "promoted": c("confidence") > 0.95,
+                "archetype": F.when(c("correlation") > 0.5, "dynamic").otherwise("static"),
+            }
+        )
+
     @cached_property
     def pk(self) -> DataFrame:
         payload = F.encode("text", "UTF-8")
