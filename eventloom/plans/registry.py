@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+# pushes exact decimal ties to one side, so sums added in another order round alike
+NUDGE = 3.3e-8
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("long")
         elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0)
         out.append(c.alias(field.name))
     return df.select(*out)
 
@@ -33,7 +35,7 @@ def expand(sql: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
-        sql = f"{sql[:at]}(round(CAST({sql[at + 3:end - 1]} AS DOUBLE), {DIGITS}) + 0.0){sql[end:]}"
+        sql = f"{sql[:at]}(round(CAST({sql[at + 3:end - 1]} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0){sql[end:]}"
     return sql
 
 
