@@ -135,9 +135,9 @@ def changed_bytes(a, b) -> Column:
 def l1_distance(a, b) -> Column:
     return F.aggregate(
         F.zip_with(col(a), col(b), lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))),
-        F.lit(0),
+        F.lit(0).cast("long"),
         lambda acc, v: acc + v,
-    ).cast("long")
+    )
 
 
 def change_mask(a, b, lane: int, width: int = 4) -> Column:

@@ -10,6 +10,7 @@ supplied table to the shape an operator expects. ``VIEWS`` holds the same views
 * ``cm``      candidate matches from lineitem
 * ``pe``      pattern entries: ``cm`` per match, version, family and metric
 * ``pk``      packets from conversations: match = conversation, block = turn
+* ``rec``/``cell`` fixed-size byte records quantised from embeddings, and their bytes in rows
 * ``seg``     container segments from orders
 * ``roster``  participants from customer/nation/region
 """
@@ -62,9 +63,12 @@ VIEWS: dict[str, str] = {
         FROM {cm} GROUP BY 1, 2, 3, 4""",
     "pk": """SELECT conv_id AS match_id, turn AS block_index, role AS packet_type, text,
         hex(encode(text)) AS hx, CAST(octet_length(encode(text)) AS BIGINT) AS len FROM conversations""",
-    "by": """SELECT match_id, block_index, packet_type, len, pos - 1 AS pos,
+    "byt": """SELECT match_id, block_index, packet_type, len, pos - 1 AS pos,
         CAST('0x' || substr(hx, CAST(2 * pos - 1 AS BIGINT), 2) AS BIGINT) AS b
         FROM (SELECT *, unnest(range(1, len + 1)) AS pos FROM {pk})""",
+    "rec": """SELECT CAST(label AS BIGINT) AS family, vec_id AS rec_id,
+        list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS arr FROM embeddings""",
+    "cell": """SELECT family, rec_id, unnest(range(len(arr))) AS pos, unnest(arr) AS b FROM {rec}""",
     "seg": """SELECT o_custkey AS match_id, o_orderkey AS seg_id,
         CASE o_orderstatus WHEN 'P' THEN 'startup' WHEN 'F' THEN 'keyframe' ELSE 'chunk' END AS seg_type,
         o_orderpriority AS codec, CAST(floor(o_totalprice) AS BIGINT) AS len,
@@ -210,11 +214,20 @@ class Tables:
         )
 
     @cached_property
-    def by(self) -> DataFrame:
+    def byt(self) -> DataFrame:
         from eventloom.operators.payload import explode_bytes
 
         return explode_bytes(self.pk.drop("text"), "payload")
 
+    @cached_property
+    def rec(self) -> DataFrame:
+        quantised = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("long"))
+        return self.embeddings.select(F.col("label").cast("long").alias("family"), F.col("vec_id").alias("rec_id"), quantised.alias("arr"))
+
+    @cached_property
+    def cell(self) -> DataFrame:
+        return self.rec.select("family", "rec_id", F.posexplode("arr").alias("pos", "b")).withColumn("pos", F.col("pos").cast("long"))
+
     @cached_property
     def seg(self) -> DataFrame:
         c = F.col
