@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,323 @@ def combat_totals(kills: DataFrame, keys, killer: str, victim: str, assists: str
     return roles(kills, keys, killer, victim, assists).groupBy(*keys, "participant_id").agg(
         *[F.count_if(F.col("role") == r).alias(n) for r, n in (("kill", "kills"), ("death", "deaths"), ("assist", "assists"))]
     )
+
+
+def kill_events(df, keys, order, block, t: str, who: str, is_owner: Column, is_marker: Column, tolerance: int, valid: Column) -> DataFrame:
+    """Owners since the previous marker and within the tolerance, closed by a marker.
+
+    First owner is the victim, last the killer, the middle the assists; a single owner is an
+    execution (killer 0). Each owner finds its next marker by a scan; only owners inside the
+    tolerance are gathered, so a long run without a marker is never collected.
+    """
+    spot = F.struct(*[F.col(c) for c in order])
+    mark = F.struct(spot.alias("at"), F.col(t).alias("t"), F.col(who).alias("who"))
+    df = df.withColumn("_valid", valid)
+    out = o.scan(df, keys, order, block, {"_m": o.next_seen(F.when(is_marker, mark))})
+    owners = out.filter(is_owner & F.col("_m").isNotNull() & (F.abs(F.col("_m.t") - F.col(t)) <= tolerance))
+    seq = F.array_sort(F.collect_list(F.struct(spot.alias("at"), F.col(who).alias("who"))))
+    runs = owners.groupBy(*keys, "_m").agg(seq.alias("_s"), F.bool_and("_valid").alias("_ok"))
+    ids = F.transform("_s", lambda v: v["who"])
+    n = F.size("_s")
+    code = (
+        F.when(~F.col("_ok"), "owner-outside-range")
+        .when(F.element_at(ids, 1) != F.col("_m.who"), "victim-mismatch")
+        .otherwise("ok")
+    )
+    return runs.select(
+        *keys, F.col("_m.t").alias("t"), F.col("_m.at").alias("marker"), code.alias("code"), F.col("_m.who").alias("victim"),
+        F.when(n == 1, F.lit(0)).otherwise(F.element_at(ids, -1)).alias("killer"),
+        F.when(n <= 2, F.array().cast("array<long>")).otherwise(F.slice(ids, 2, F.greatest(n - 2, F.lit(0)))).alias("assists"),
+    )
+
+
+def classify_by_rules(df, rules: DataFrame, kind: str, length: str, payload: str, byte_at) -> DataFrame:
+    """Rule join on type, then length range and a discriminator byte from the start or the end.
+
+    The rule table is a fixed, hand-written dimension, so it is broadcast.
+    """
+    out = df.join(F.broadcast(rules), kind)
+    at = F.when(F.col("anchor") == "start", F.col("offset")).otherwise(F.col(length) - 1 - F.col("offset"))
+    hit = F.col(length).between(F.col("min_length"), F.col("max_length")) & (byte_at(payload, at) == F.col("byte"))
+    return out.filter(hit)
+
+
+def multiset_fold(df, keys, item: str, order, block, delta: Column) -> DataFrame:
+    """Item count after each event, where removing an absent item does nothing.
+
+    With S the running sum of ±1, the floored count is S - min(0, running min of S): no
+    sequential state is needed, so the fold is two scans.
+    """
+    df = df.withColumn("_d", delta)
+    out = o.scan(df, [*keys, item], order, block, {"_s": o.run_sum("_d")})
+    out = o.scan(out, [*keys, item], order, block, {"_m": o.run_min("_s")})
+    count = F.col("_s") - F.least(F.col("_m"), F.lit(0))
+    out = out.withColumn("count", count)
+    out = o.scan(out, [*keys, item], order, block, {"_p": o.prev("count")})
+    out = out.withColumn("_e", F.col("count") - F.coalesce("_p", F.lit(0)))
+    out = o.scan(out, keys, order, block, {"held": o.run_sum("_e")})
+    return out.drop("_d", "_s", "_m", "_p", "_e")
+
+
+SLOTS = 7
+FULL = (1 << SLOTS) - 1
+
+
+def _place(mask: int, removed: list[int], policy: str) -> int:
+    """Slot for the next add, or -1 when every slot is taken."""
+    free = [s_ for s_ in removed if not mask >> s_ & 1]
+    if free and policy == "removed_first":
+        return free[0]
+    if free and policy == "removed_last":
+        return free[-1]
+    if free and policy == "removed_lowest":
+        return min(free)
+    for slot in range(SLOTS):
+        if not mask >> slot & 1:
+            return slot
+    return -1
+
+
+def _apply_group(mask: int, removals: list[int], adds: int, policy: str, trace=None) -> int:
+    """One same-time group: removals empty their slot, then adds take slots by policy."""
+    removed = []
+    for slot in removals:
+        if trace is not None:
+            trace.append(("hit" if mask >> slot & 1 else "empty", slot))
+        mask &= ~(1 << slot)
+        removed.append(slot)
+    for _ in range(adds):
+        slot = _place(mask, removed, policy)
+        if slot >= 0:
+            mask |= 1 << slot
+            if slot in removed:
+                removed.remove(slot)
+        if trace is not None:
+            trace.append(("add", slot))
+    return mask
+
+
+def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str) -> DataFrame:
+    """Slot of every add and removal under a 7-slot placement policy, in parallel.
+
+    Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks.
+    1) every (track, block) tabulates that function, 2) the tables compose along the track
+    (one small row per block) to give each block its start mask, 3) every block replays with
+    that mask. A long track thus spreads over its blocks; blocks never split a time.
+    """
+    keys, order = list(keys), list(order)
+    base = df.withColumns({"_blk": block, "_add": is_add, "_slot": F.col(slot).cast("int")})
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    track, group = [*keys, policy], [*keys, policy, "_blk"]
+    # removals of a time run before its adds
+    sort = [t, "_add", *[c for c in order if c != t]]
+    rows = base.select(*dict.fromkeys([*group, *sort, "_slot"]))
+
+    def placed(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, *sort)
+
+    def tabulate(batches):
+        names = [*group, "table"]
+        head, rule, at, removals, adds, now = None, None, None, [], 0, []
+
+        def settle():
+            if removals or adds:
+                memo = {m: _apply_group(m, removals, adds, rule) for m in set(now)}
+                now[:] = [memo[m] for m in now]
+
+        for pdf in batches:
+            done = []
+            heads = zip(*[pdf[c].tolist() for c in group])
+            for h, when, add, slot_ in zip(heads, pdf[t].tolist(), pdf["_add"].tolist(), pdf["_slot"].tolist()):
+                if h != head:
+                    if head is not None:
+                        settle()
+                        done.append((*head, list(now)))
+                    head, rule, at, removals, adds, now = h, h[-2], when, [], 0, list(range(FULL + 1))
+                elif when != at:
+                    settle()
+                    at, removals, adds = when, [], 0
+                if add:
+                    adds += 1
+                else:
+                    removals.append(slot_)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if head is not None:
+            settle()
+            yield pd.DataFrame([(*head, list(now))], columns=names)
+
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in group)
+    tables = placed(rows).mapInPandas(tabulate, f"{ddl}, table array<int>")
+    # start masks: fold the ordered tables of a track; one 128-entry row per block
+    ordered = tables.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("_blk", "table"))).alias("_t"))
+    starts = F.aggregate(
+        "_t",
+        F.struct(F.lit(0).alias("mask"), F.array().cast("array<struct<blk:bigint,mask:int>>").alias("out")),
+        lambda acc, b: F.struct(
+            F.element_at(b["table"], acc["mask"] + 1).alias("mask"),
+            F.concat(acc["out"], F.array(F.struct(b["_blk"].alias("blk"), acc["mask"].alias("mask")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    starts = ordered.select(*track, F.explode(starts).alias("_o")).select(
+        *track, F.col("_o.blk").alias("_blk"), F.col("_o.mask").alias("_mask")
+    )
+    out_cols = list(dict.fromkeys([*track, *order]))
+    out_ddl = ", ".join(f"`{c}` {kinds[c]}" for c in out_cols) + ", action string, at_slot int"
+
+    def replay(batches):
+        names = [*out_cols, "action", "at_slot"]
+        head, mask, at, pending, removals, adds = None, 0, None, [], [], 0
+
+        def settle():
+            trace = []
+            after = _apply_group(mask, removals, adds, head[-2], trace)
+            return after, [(*p, "overflow" if s_ < 0 else a, s_) for p, (a, s_) in zip(pending, trace)]
+
+        for pdf in batches:
+            done = []
+            heads = zip(*[pdf[c].tolist() for c in group])
+            kept = zip(*[pdf[c].tolist() for c in out_cols])
+            cells = zip(heads, kept, pdf[t].tolist(), pdf["_add"].tolist(), pdf["_slot"].tolist(), pdf["_mask"].tolist())
+            for h, row, when, add, slot_, start in cells:
+                if h != head or when != at:
+                    if head is not None:
+                        mask, got = settle()
+                        done.extend(got)
+                    if h != head:
+                        mask = start
+                    head, at, pending, removals, adds = h, when, [], [], 0
+                pending.append(row)
+                if add:
+                    adds += 1
+                else:
+                    removals.append(slot_)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if head is not None:
+            yield pd.DataFrame(settle()[1], columns=names)
+
+    return placed(rows.join(starts, group)).mapInPandas(replay, out_ddl)
+
+
+def ledger(events: DataFrame, keys, interval: str, t: str, kind: str, cost: str, gain: str) -> DataFrame:
+    """Spend adjustment per interval: same-time purchase cost minus component cost, minus undo gains.
+
+    Incomplete when a purchase group lacks a price or an undo lacks its gain.
+    """
+    k = F.col(kind)
+    at = events.groupBy(*keys, interval, t).agg(
+        F.count_if(k == "purchase").alias("_p"),
+        F.sum(F.when(k == "purchase", F.col(cost)).when(k == "component", -F.col(cost))).alias("_net"),
+        F.count_if(k.isin("purchase", "component") & F.col(cost).isNull()).alias("_gap"),
+        F.coalesce(F.sum(F.when(k == "undo", F.col(gain))), F.lit(0)).alias("_undo"),
+        F.count_if((k == "undo") & F.col(gain).isNull()).alias("_ug"),
+    )
+    bought, whole = F.col("_p") > 0, F.col("_gap") == 0
+    return at.groupBy(*keys, interval).agg(
+        F.sum(F.when(bought & whole, F.col("_net")).otherwise(0) - F.col("_undo")).alias("adjustment"),
+        F.bool_and((~bought | whole) & (F.col("_ug") == 0)).alias("complete"),
+    )
+
+
+def rearrangements(snapshots: DataFrame, keys, order: str, slots: str) -> DataFrame:
+    """Moves between consecutive snapshots: an item left a slot and turned up in exactly one other."""
+    out = o.scan(snapshots, keys, [order], None, {"_b": o.prev(slots)}).filter("_b IS NOT NULL")
+    changed = F.filter(
+        F.transform(F.arrays_zip(F.col("_b").alias("b"), F.col(slots).alias("a")), lambda z, i: F.struct(i.alias("slot"), z["b"].alias("b"), z["a"].alias("a"))),
+        lambda z: z["b"] != z["a"],
+    )
+    out = out.withColumns({"_c": changed, "same_multiset": F.array_sort("_b") == F.array_sort(slots)})
+    moves = F.flatten(
+        F.transform(
+            "_c",
+            lambda c: F.when(
+                (c["b"] != 0) & (F.size(F.filter("_c", lambda d: (d["slot"] != c["slot"]) & (d["a"] == c["b"]))) == 1),
+                F.transform(
+                    F.filter("_c", lambda d: (d["slot"] != c["slot"]) & (d["a"] == c["b"])),
+                    lambda d: F.struct(c["b"].alias("item"), c["slot"].alias("from_slot"), d["slot"].alias("to_slot")),
+                ),
+            ).otherwise(F.array().cast("array<struct<item:bigint,from_slot:int,to_slot:int>>")),
+        )
+    )
+    return out.select(*keys, order, "same_multiset", F.explode(moves).alias("_m")).select(*keys, order, "same_multiset", "_m.*")
+
+
+def ordered_embeddings(df, keys, domains: str, positions: int, cap: int = 2) -> DataFrame:
+    """How many strictly rising picks exist, one position per domain in order, capped; and the earliest."""
+    zero = F.lit(0).cast("long")
+    start = F.array(F.lit(1).cast("long"), *[zero] * positions)
+
+    def step(acc, ps):
+        def reach(p):
+            below = F.aggregate(F.slice(acc, 1, p), zero, lambda a, v: a + v)
+            return F.when((p >= 1) & F.array_contains(ps, p), F.least(F.lit(cap).cast("long"), below)).otherwise(zero)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(positions)), reach)
+
+    total = F.aggregate(F.aggregate(domains, start, step), zero, lambda a, v: a + v)
+
+    def pick(acc, ps):
+        nxt = F.array_min(F.filter(ps, lambda p: p > acc["last"]))
+        return F.struct(
+            F.coalesce(nxt, F.lit(positions + 1)).alias("last"), F.concat(acc["got"], F.array(nxt)).alias("got")
+        )
+
+    greedy = F.aggregate(
+        domains, F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("got")), pick, lambda a: a["got"]
+    )
+    found = F.size(F.filter(greedy, lambda v: v.isNull())) == 0
+    return df.select(*keys, F.least(total, F.lit(cap).cast("long")).alias("embeddings"), F.when(found, F.array_join(F.transform(greedy, lambda v: v.cast("string")), ",")).alias("earliest"))
+
+
+def undo_linkage(sales, undos, keys, t: str, ident: str, item: str, max_age: int, block_ms=None) -> DataFrame:
+    """Undo → the one candidate item among fresh sales that occurs exactly once in the undo's records.
+
+    ``undos`` has one row per (undo, record item) with that item's count ``n`` and the truth.
+    """
+    fresh = tj.within(
+        undos.select(*keys, t, ident, item, "n", "truth"), sales.select(*keys, t, item), keys, t, max_age
+    )
+    ok = (F.col(f"r_{t}") <= F.col(t)) & (F.col(f"r_{item}") == F.col(item)) & (F.col("n") == 1)
+    found = fresh.filter(ok).groupBy(*keys, ident).agg(F.count_distinct(item).alias("_d"), F.max(item).alias("_i"))
+    base = undos.groupBy(*keys, ident).agg(F.max("truth").alias("truth"))
+    out = base.join(found, [*keys, ident], "left")
+    pick = F.when(F.col("_d") == 1, F.col("_i"))
+    return out.select(
+        *keys, ident, pick.alias("candidate"),
+        F.when(pick.isNull(), "unavailable").when(pick == F.col("truth"), "exact").otherwise("wrong").alias("validation"),
+    )
+
+
+def grammar_check(df, keys, order, block, token: str, allowed: Sequence[tuple[str, str]], first: Sequence[str], last: Sequence[str]) -> DataFrame:
+    """Regular grammar by allowed neighbours, first and last tokens; no run is collected."""
+    out = o.scan(df, keys, order, block, {"_p": o.prev(token), "_n": o.following(token)})
+    pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
+    step = F.col("_p").isNull() | F.array_contains(pairs, F.concat_ws(">", "_p", token))
+    head = F.col("_p").isNotNull() | F.col(token).isin(*first)
+    tail = F.col("_n").isNotNull() | F.col(token).isin(*last)
+    return out.groupBy(*keys).agg(
+        F.count("*").alias("tokens"), F.count_if(~step).alias("bad_steps"),
+        F.bool_and(step & head & tail).alias("exact"),
+    )
+
+
+def closure(edges: DataFrame, child: str, parent: str, max_rounds: int = 64) -> DataFrame:
+    """All (node, ancestor) pairs, semi-naively: each round joins only the newest pairs.
+
+    Rounds equal the depth of the hierarchy; lineage is cut by checkpoints so a lost executor
+    replays one round.
+    """
+    from eventloom.session import cut_lineage
+
+    step = edges.select(F.col(child).alias("mid"), F.col(parent).alias("ancestor"))
+    newest = cut_lineage(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
+    known = newest
+    for _ in range(max_rounds):
+        reach = newest.withColumnRenamed("ancestor", "mid").join(step, "mid").select("node", "ancestor").distinct()
+        newest = cut_lineage(reach.join(known, ["node", "ancestor"], "left_anti"))
+        if newest.isEmpty():
+            return known
+        known = cut_lineage(known.unionByName(newest))
+    raise ValueError("hierarchy deeper than max_rounds")

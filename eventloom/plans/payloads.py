@@ -309,8 +309,10 @@ def token_bitfields(x):
     return sl.join(known, "slice", "left_semi").groupBy("packet_type", "start", "bits").agg(F.sum("n").alias("hits"), F.count("*").alias("known_values"))
 
 
-@query("J58_stride_guess", """WITH l AS (SELECT unnest(range(1, 17)) AS lag), a AS (SELECT x.packet_type, lag, avg(CASE WHEN x.b = y.b THEN 1.0 ELSE 0 END) AS ag, count(*) AS n, count(*) FILTER (x.b = y.b) AS hits FROM {byt} x JOIN l ON true JOIN {byt} y ON x.match_id = y.match_id AND x.block_index = y.block_index AND y.pos = x.pos + lag GROUP BY 1, 2)
-SELECT packet_type, lag, hits, n, R6(ag) AS agreement FROM a QUALIFY row_number() OVER (PARTITION BY packet_type ORDER BY ag DESC, lag) = 1""")
+@query("J58_stride_guess", """WITH r AS (SELECT packet_type, list(b ORDER BY pos) AS arr FROM {byt} GROUP BY match_id, block_index, packet_type),
+q AS (SELECT packet_type, lag, list_sum(list_transform(range(1, len(arr) - lag + 1), lambda i: CAST(arr[i] = arr[i + lag] AS INT))) AS h, len(arr) - lag AS m FROM r, (SELECT unnest(range(1, 17)) AS lag) WHERE len(arr) > lag),
+a AS (SELECT packet_type, lag, CAST(sum(h) AS BIGINT) AS hits, CAST(sum(m) AS BIGINT) AS n FROM q GROUP BY 1, 2)
+SELECT packet_type, lag, hits, n, R6(hits / n) AS agreement FROM a QUALIFY row_number() OVER (PARTITION BY packet_type ORDER BY hits / n DESC, lag) = 1""")
 def stride_guess(x):
     rec = x.pk.select("packet_type", bn.bytes_array("payload").alias("arr"))
     return pl.stride_guess(rec, ["packet_type"], "arr", range(1, 17))
