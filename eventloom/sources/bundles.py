@@ -136,10 +136,8 @@ def leaf_paths(df: DataFrame, text: str, depth: int) -> DataFrame:
         out = leaves if out is None else out.unionByName(leaves)
         if i == depth:
             break
-        level.filter(nested).createOrReplaceTempView("_leaf_level")
-        step = df.sparkSession.sql(
-            "SELECT l.path, e.key, e.value AS v FROM _leaf_level l, LATERAL variant_explode(l.v) e"
-        )
+        inner = df.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", F.col("value").alias("child"))
+        step = level.filter(nested).lateralJoin(inner).select("path", "key", F.col("child").alias("v"))
         name = (
             F.when(F.col("key").isNull(), F.concat("path", F.lit("[]")))
             .when(F.col("key").rlike("^[0-9]+$"), F.concat("path", F.lit("{}")))
