@@ -56,26 +56,38 @@ def optimal_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFr
     cols = [*group, slot, entity, "score"]
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in cols)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([slot, "score", entity], ascending=[True, False, True], kind="stable")
-        slots, names = list(dict.fromkeys(pdf[slot])), sorted(set(pdf[entity]))
-        place = {e: i for i, e in enumerate(names)}
-        rows = list(pdf.itertuples(index=False, name=None))
-        by_slot = {v: [] for v in slots}
-        for i, (sl, en, sc) in enumerate(zip(pdf[slot], pdf[entity], pdf["score"])):
-            by_slot[sl].append((sc, place[en], i))
-        if max(len(slots), len(names)) > EXACT_LIMIT:
+    def solve(rows: list[tuple]) -> list[tuple]:
+        by_slot: dict = {}
+        names = {e: i for i, e in enumerate(sorted({r[-2] for r in rows}))}
+        for i, (*_, sl, en, sc) in enumerate(rows):
+            by_slot.setdefault(sl, []).append((sc, names[en], i))
+        if max(len(by_slot), len(names)) > EXACT_LIMIT:
             picked, used = [], (set(), set())
-            for sc, sl, en, i in sorted((-sc, sl, en, i) for sl, es in by_slot.items() for sc, en, i in es):
+            for _, sl, en, i in sorted((-sc, sl, en, i) for sl, es in by_slot.items() for sc, en, i in es):
                 if sl not in used[0] and en not in used[1]:
                     used[0].add(sl)
                     used[1].add(en)
                     picked.append(i)
         else:
-            picked = _bitmask_best([by_slot[sl] for sl in slots], len(names))
-        return pd.DataFrame([rows[i] for i in picked], columns=list(pdf.columns))[cols]
+            picked = _bitmask_best(list(by_slot.values()), len(names))
+        return [rows[i] for i in picked]
 
-    return edge.select(*cols).groupBy(*group).applyInPandas(solve, ddl)
+    def run(batches):
+        head, held = None, []
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c].tolist() for c in cols]):
+                if row[: len(group)] != head:
+                    out.extend(solve(held) if held else [])
+                    head, held = row[: len(group)], []
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+        if held:
+            yield pd.DataFrame(solve(held), columns=cols)
+
+    placed = edge.select(*cols).repartition(*group).sortWithinPartitions(*group, slot, F.desc("score"), entity)
+    return placed.mapInPandas(run, ddl)
 
 
 def _bitmask_best(slots: list[list[tuple[float, int, int]]], entities: int) -> list[int]:
@@ -85,20 +97,20 @@ def _bitmask_best(slots: list[list[tuple[float, int, int]]], entities: int) -> l
     masks at once.
     """
     masks = np.arange(1 << entities)
+    free = [masks[(masks >> bit & 1) == 0] for bit in range(entities)]
     best = np.full(len(masks), -np.inf)
     best[0] = 0.0
     steps = []
     for options in slots:
         grown, took = best.copy(), np.full(len(masks), -1)
         for n, (score, bit, _) in enumerate(options):
-            free = masks[(masks >> bit & 1) == 0]
-            to = free | (1 << bit)
-            value = best[free] + score
+            to = free[bit] | (1 << bit)
+            value = best[free[bit]] + score
             better = value > grown[to]
             grown[to[better]], took[to[better]] = value[better], n
         steps.append(took)
         best = grown
-    mask = max(masks, key=lambda v: (best[v], int(v).bit_count()))
+    mask = max((int(v) for v in masks[best == best.max()]), key=int.bit_count)
     picked = []
     for options, took in zip(reversed(slots), reversed(steps)):
         if took[mask] >= 0:

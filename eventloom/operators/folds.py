@@ -73,18 +73,13 @@ def classify_by_rules(df, rules: DataFrame, kind: str, length: str, payload: str
 def multiset_fold(df, keys, item: str, order, block, delta: Column) -> DataFrame:
     """Item count after each event, where removing an absent item does nothing.
 
-    With S the running sum of ±1, the floored count is S - min(0, running min of S): no
-    sequential state is needed, so the fold is two scans.
+    The floored running sum gives the count before and after each event; ``held`` sums the
+    effective changes over all items of the key. No sequential state is needed.
     """
     df = df.withColumn("_d", delta)
-    out = o.scan(df, [*keys, item], order, block, {"_s": o.run_sum("_d")})
-    out = o.scan(out, [*keys, item], order, block, {"_m": o.run_min("_s")})
-    count = F.col("_s") - F.least(F.col("_m"), F.lit(0))
-    out = out.withColumn("count", count)
-    out = o.scan(out, [*keys, item], order, block, {"_p": o.prev("count")})
-    out = out.withColumn("_e", F.col("count") - F.coalesce("_p", F.lit(0)))
-    out = o.scan(out, keys, order, block, {"held": o.run_sum("_e")})
-    return out.drop("_d", "_s", "_m", "_p", "_e")
+    out = o.floored_sum(df, [*keys, item], order, block, "_d", "count", "_before")
+    out = out.withColumn("_e", F.col("count") - F.col("_before"))
+    return o.scan(out, keys, order, block, {"held": o.run_sum("_e")}).drop("_d", "_before", "_e")
 
 
 SLOTS = 7
@@ -125,7 +120,7 @@ def _apply_group(mask: int, removals: list[int], adds: int, policy: str, trace=N
     return mask
 
 
-def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str) -> DataFrame:
+def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str, short_track: int = 100_000) -> DataFrame:
     """Slot of every add and removal under a 7-slot placement policy, in parallel.
 
     Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks.
@@ -140,8 +135,12 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
     # removals of a time run before its adds
     sort = [t, "_add", *[c for c in order if c != t]]
     rows = base.select(*dict.fromkeys([*group, *sort, "_slot"]))
+    long = base.groupBy(*track).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > short_track)
+    rows = rows.join(long.select(*track, F.lit(True).alias("_long")), track, "left")
+    rows = rows.withColumn("_blk", F.when(F.col("_long"), F.col("_blk")))
 
     def placed(frame: DataFrame) -> DataFrame:
+        frame = frame.withColumn("_blk", F.coalesce("_blk", F.lit(0).cast("long")))
         return frame.repartition(*group).sortWithinPartitions(*group, *sort)
 
     def tabulate(batches):
@@ -176,7 +175,7 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
             yield pd.DataFrame([(*head, list(now))], columns=names)
 
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in group)
-    tables = placed(rows).mapInPandas(tabulate, f"{ddl}, table array<int>")
+    tables = placed(rows.filter("_long").drop("_long")).mapInPandas(tabulate, f"{ddl}, table array<int>")
     # start masks: fold the ordered tables of a track; one 128-entry row per block
     ordered = tables.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("_blk", "table"))).alias("_t"))
     starts = F.aggregate(
@@ -226,7 +225,8 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
         if head is not None:
             yield pd.DataFrame(settle()[1], columns=names)
 
-    return placed(rows.join(starts, group)).mapInPandas(replay, out_ddl)
+    staged = rows.drop("_long").join(starts, group, "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
+    return placed(staged).mapInPandas(replay, out_ddl)
 
 
 def ledger(events: DataFrame, keys, interval: str, t: str, kind: str, cost: str, gain: str) -> DataFrame:
@@ -331,21 +331,21 @@ def grammar_check(df, keys, order, block, token: str, allowed: Sequence[tuple[st
     )
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_rounds: int = 64) -> DataFrame:
-    """All (node, ancestor) pairs, semi-naively: each round joins only the newest pairs.
+def closure(edges: DataFrame, child: str, parent: str, max_rounds: int = 32) -> DataFrame:
+    """All (node, ancestor) pairs, doubling the covered distance every round.
 
-    Rounds equal the depth of the hierarchy; lineage is cut by checkpoints so a lost executor
-    replays one round.
+    Only the newest pairs are extended, by everything known so far, so a hierarchy of depth d
+    needs about log2(d) rounds. Checkpoints cut the lineage: a lost executor replays one round.
     """
     from eventloom.session import cut_lineage
 
-    step = edges.select(F.col(child).alias("mid"), F.col(parent).alias("ancestor"))
     newest = cut_lineage(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
     known = newest
     for _ in range(max_rounds):
+        step = known.select(F.col("node").alias("mid"), "ancestor")
         reach = newest.withColumnRenamed("ancestor", "mid").join(step, "mid").select("node", "ancestor").distinct()
         newest = cut_lineage(reach.join(known, ["node", "ancestor"], "left_anti"))
         if newest.isEmpty():
             return known
-        known = cut_lineage(known.unionByName(newest))
+        known = known.unionByName(newest)
     raise ValueError("hierarchy deeper than max_rounds")

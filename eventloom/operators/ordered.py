@@ -46,6 +46,11 @@ def run_max(expr):
     return Spec("max", expr)
 
 
+def max_before(expr):
+    """Largest value strictly before this row."""
+    return Spec("max_before", expr)
+
+
 def last_seen(expr):
     """Latest non-null value up to and including this row."""
     return Spec("last", expr)
@@ -74,13 +79,15 @@ def following(expr):
     return Spec("following", expr)
 
 
-FORWARD = {"sum", "min", "max", "last", "before", "prev"}
+FORWARD = {"sum", "min", "max", "max_before", "last", "before", "prev"}
 
 
 def _local(spec: Spec, up, down) -> Column:
     whole, strict = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     if spec.kind in ("sum", "min", "max"):
         return getattr(F, spec.kind)(spec.expr).over(up.rowsBetween(*whole))
+    if spec.kind == "max_before":
+        return F.max(spec.expr).over(up.rowsBetween(*strict))
     if spec.kind in ("last", "before"):
         return F.last(spec.expr, ignorenulls=True).over(up.rowsBetween(*(whole if spec.kind == "last" else strict)))
     if spec.kind in ("next", "after"):
@@ -91,6 +98,8 @@ def _local(spec: Spec, up, down) -> Column:
 
 
 def _summary(spec: Spec, order: Column) -> Column:
+    if spec.kind == "max_before":
+        return F.max(spec.expr)
     if spec.kind in ("sum", "min", "max"):
         return getattr(F, spec.kind)(spec.expr)
     seen = F.when(spec.expr.isNotNull(), order)
@@ -104,6 +113,8 @@ def _summary(spec: Spec, order: Column) -> Column:
 
 def _carry(spec: Spec, name: str, up, down) -> Column:
     window = (up if spec.kind in FORWARD else down).rowsBetween(Window.unboundedPreceding, -1)
+    if spec.kind == "max_before":
+        return F.max(name).over(window)
     if spec.kind in ("sum", "min", "max"):
         return getattr(F, spec.kind)(name).over(window)
     return F.last(name, ignorenulls=True).over(window)
@@ -114,7 +125,7 @@ def _combine(spec: Spec, local: Column, carry: Column) -> Column:
         return F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(local + carry)
     if spec.kind == "min":
         return F.least(local, carry)
-    if spec.kind == "max":
+    if spec.kind in ("max", "max_before"):
         return F.greatest(local, carry)
     value = F.coalesce(local, carry)
     return value["v"] if spec.kind in ("prev", "following") else value
@@ -163,22 +174,68 @@ def position(df, keys, order, block, name="rn") -> DataFrame:
     return scan(df, keys, order, block, {name: run_count()})
 
 
-def islands(df, keys, order, block, starts: Column, name="island", needs: Mapping[str, Spec] | None = None) -> DataFrame:
-    """Number runs along the order; ``starts`` marks the first row of a run.
+def islands(df, keys, order, block, starts: Column, name="island", before_row: Mapping[str, Column | str] | None = None) -> DataFrame:
+    """Number runs along the order, 1-based per key; ``starts`` marks the first row of a run.
 
-    ``needs`` are scan outputs (e.g. a previous value) that ``starts`` refers to.
+    ``before_row`` names values of the previous row that ``starts`` refers to (null on the first
+    row of a key). One pass: inside a block only its first row needs the block before, so that
+    row's flag and the counts of earlier blocks are settled on the carry rows.
     """
-    if needs:
-        df = scan(df, keys, order, block, needs)
-    df = df.withColumn("_starts", F.when(starts, 1).otherwise(0).cast("long"))
-    return scan(df, keys, order, block, {name: run_sum("_starts")}).drop("_starts")
+    keys, order, before_row = list(keys), list(order), dict(before_row or {})
+    base = list(df.columns)
+    payload = F.struct(*[col(v).alias(n) for n, v in before_row.items()], F.lit(1).alias("_x"))
+    flag = F.when(starts, 1).otherwise(0).cast("long")
+    df = df.withColumn(BLOCK, block if block is not None else F.lit(0).cast("long"))
+    up = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    local = df.withColumn("_lag", F.lag(payload, 1).over(up))
+    local = local.withColumns({n: F.col(f"_lag.{n}") for n in before_row})
+    head = F.col("_lag").isNull()
+    if block is None:
+        out = local.withColumn("_f", flag).withColumn(name, F.sum("_f").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+        return out.select(*base, name)
+    local = local.withColumn("_f", F.when(head, F.lit(0).cast("long")).otherwise(flag))
+    spot = F.struct(*[F.col(o_) for o_ in order])
+    carry = local.groupBy(*keys, BLOCK).agg(
+        F.min_by(F.struct(*[F.col(c) for c in base if c not in keys]), spot).alias("_head"), F.max_by(payload, spot).alias("_tail"), F.sum("_f").alias("_inner")
+    )
+    cup = Window.partitionBy(*keys).orderBy(BLOCK)
+    carry = carry.withColumn("_lag", F.lag("_tail", 1).over(cup))
+    carry = carry.select(*keys, BLOCK, "_inner", "_head.*", *[F.col(f"_lag.{n}").alias(n) for n in before_row])
+    carry = carry.withColumn("_first", flag)
+    carry = carry.withColumn("_upto", F.sum(F.col("_inner") + F.col("_first")).over(cup.rowsBetween(Window.unboundedPreceding, 0)))
+    carry = carry.select(*keys, BLOCK, (F.col("_upto") - F.col("_inner")).alias("_base"))
+    local = local.withColumn("_run", F.sum("_f").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    out = local.join(carry, [*keys, BLOCK])
+    return out.select(*base, (F.col("_base") + F.col("_run")).alias(name))
 
 
 def gap_islands(df, keys, t: str, order, block, max_gap, name="island") -> DataFrame:
     """Runs whose consecutive ``t`` differ by at most ``max_gap``; 1-based per key."""
     prior = F.col("_prior")
-    starts = prior.isNull() | (F.col(t) - prior > max_gap)
-    return islands(df, keys, order, block, starts, name, {"_prior": prev(t)}).drop("_prior")
+    return islands(df, keys, order, block, prior.isNull() | (F.col(t) - prior > max_gap), name, {"_prior": t})
+
+
+def floored_sum(df, keys, order, block, delta: str, count: str, before: str) -> DataFrame:
+    """Running sum that never falls below zero, after and before each row, in one pass.
+
+    With S the plain running sum the floored one is S - min(0, running min of S); both merge
+    over blocks from a block's total and the lowest prefix inside it.
+    """
+    keys, order, base = list(keys), list(order), list(df.columns)
+    df = df.withColumn(BLOCK, block if block is not None else F.lit(0).cast("long"))
+    up = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    upto, strict = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    local = df.withColumn("_s", F.sum(delta).over(up.rowsBetween(*upto)))
+    carry = local.groupBy(*keys, BLOCK).agg(F.sum(delta).alias("_d"), F.min("_s").alias("_low"))
+    cup = Window.partitionBy(*keys).orderBy(BLOCK)
+    carry = carry.withColumn("_sum", F.coalesce(F.sum("_d").over(cup.rowsBetween(*strict)), F.lit(0)))
+    carry = carry.withColumn("_min", F.coalesce(F.min(F.col("_sum") + F.col("_low")).over(cup.rowsBetween(*strict)), F.lit(0)))
+    local = local.withColumns({"_m": F.min("_s").over(up.rowsBetween(*upto)), "_mb": F.min("_s").over(up.rowsBetween(*strict))})
+    out = local.join(carry.select(*keys, BLOCK, "_sum", "_min"), [*keys, BLOCK])
+    total = F.col("_sum") + F.col("_s")
+    low = F.least(F.lit(0), F.col("_min"), F.col("_sum") + F.col("_m"))
+    low_before = F.least(F.lit(0), F.col("_min"), F.col("_sum") + F.col("_mb"))
+    return out.select(*base, (total - low).alias(count), (total - F.col(delta) - low_before).alias(before))
 
 
 def top_k(df, keys, order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:

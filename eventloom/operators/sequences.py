@@ -105,13 +105,12 @@ def edge_values(df, keys, order, value: str) -> DataFrame:
     )
 
 
-def byte_layout(df, keys, start: str, end: str, ident: str) -> DataFrame:
+def byte_layout(df, keys, start: str, end: str, ident: str, block=None) -> DataFrame:
     """Regions of a container: each segment's header and payload, and the gaps between segments.
 
     A gap is the space between a segment and the furthest end before it.
     """
-    out = o.scan(df, keys, [start, ident], None, {"_far": o.run_max(end), "_prev": o.prev(end)})
-    out = o.scan(out, keys, [start, ident], None, {"_before": o.prev("_far")})
+    out = o.scan(df, keys, [start, ident], block, {"_before": o.max_before(end)})
     gap = F.when(F.col(start) > F.coalesce("_before", F.lit(0)), F.coalesce("_before", F.lit(0)))
     parts = F.array(
         F.struct(F.lit("gap").alias("kind"), gap.alias("from"), F.col(start).alias("to")),
@@ -123,9 +122,8 @@ def byte_layout(df, keys, start: str, end: str, ident: str) -> DataFrame:
 
 def same_time_groups(df, keys, order, block, t: str, name: str = "group_no") -> DataFrame:
     """Number runs of equal consecutive times."""
-    return o.islands(
-        df, keys, order, block, F.col("_pt").isNull() | (F.col("_pt") != F.col(t)), name, {"_pt": o.prev(t)}
-    ).drop("_pt")
+    starts = F.col("_pt").isNull() | (F.col("_pt") != F.col(t))
+    return o.islands(df, keys, order, block, starts, name, {"_pt": t})
 
 
 def monotone_check(df, keys, order, block, cols: Sequence[str]) -> DataFrame:

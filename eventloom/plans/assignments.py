@@ -171,7 +171,7 @@ def best_transform(x):
     """Learned median slope or identity, by .7 final-value fit + .3 plausibility."""
     p = x.pair.withColumn("ratio", F.col("tx") / F.greatest("rx", F.lit(1.0)))
     learned = q.quantiles(p, ["entity"], "ratio", {"sl": 0.5})
-    v = p.join(F.broadcast(learned), "entity").withColumn("transform", F.explode(F.array(F.lit("learned"), F.lit("identity"))))
+    v = p.join(learned, "entity").withColumn("transform", F.explode(F.array(F.lit("learned"), F.lit("identity"))))
     v = v.withColumn("v", F.when(F.col("transform") == "learned", F.col("sl")).otherwise(1.0) * F.col("rx"))
     keys, order = ["match_id", "entity", "transform"], ["t", "event_id"]
     pl = sq.plausible_series(v, keys, order, o.time_block("t", DAY_MS), "v", 0, 15000, 6500)
@@ -190,7 +190,7 @@ def candidate_rows(x):
     band = b.select(*keys, F.explode(F.sequence("s0", F.least(F.col("s0") + 2, F.col("mx")))).alias("slot_index"))
     c = x.cm.groupBy(*keys, "slot_index").agg(F.count("*").alias("n"))
     rec = o.top_k(c, keys, [F.desc("n"), F.asc("slot_index")], 2).select(*keys, "slot_index")
-    rows = x.cm.join(F.broadcast(band.union(rec).distinct()), [*keys, "slot_index"], "left_semi")
+    rows = x.cm.join(band.union(rec).distinct(), [*keys, "slot_index"], "left_semi")
     ok = s.ratio(F.col("overlap").between(5, 45))
     return rows.groupBy(*keys, "slot_index").agg(F.count("*").alias("samples"), ok.alias("in_bounds")).filter("in_bounds >= 0.8")
 
@@ -216,7 +216,7 @@ def anchored_identity(x):
     d = d.groupBy("family_key", "delta").agg(F.count("*").alias("n"))
     d = o.best(d, ["family_key"], [F.desc("n"), F.asc("delta")]).select("family_key", "delta")
     spot = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    reach = m0.join(F.broadcast(d), "family_key").withColumn("off", spot).withColumn("slot_index", F.col("anchor") + F.col("delta") + F.col("off"))
+    reach = m0.join(d, "family_key").withColumn("off", spot).withColumn("slot_index", F.col("anchor") + F.col("delta") + F.col("off"))
     t = x.cm.filter("metric = 'm1'").select(*GROUP, "slot_index").distinct()
     hit = t.join(reach, [*GROUP, "slot_index"]).withColumn("distance", F.abs("off"))
     return o.best(hit, [*GROUP, "slot_index"], [F.asc("distance"), F.asc("participant_id")]).select(*GROUP, "slot_index", "participant_id", "distance")

@@ -186,12 +186,12 @@ def snapshot_frame_validation(x):
     blk = o.time_block("t", DAY_MS)
 
     def ranked(df, ident):
-        return o.islands(df, ["match_id"], ["t", "id"], blk, F.col("_p").isNull() | (F.col("_p") != F.col("t")), "n", {"_p": o.prev("t")}).select("match_id", "n", "t", "k")
+        return o.islands(df, ["match_id"], ["t", "id"], blk, F.col("_p").isNull() | (F.col("_p") != F.col("t")), "n", {"_p": "t"}).select("match_id", "n", "t", "k")
 
     a = ranked(x.dec, "id")
     b = ranked(x.orc, "id").withColumnsRenamed({"t": "bt", "k": "bk"})
     ex = x.ev.filter("value > 300").select("k").distinct().withColumn("approved", F.lit(True))
-    j = a.join(b, ["match_id", "n"]).join(F.broadcast(ex), "k", "left")  # at most one row per k
+    j = a.join(b, ["match_id", "n"]).join(ex, "k", "left")
     same = F.col("k") == F.col("bk")
     return j.groupBy("match_id").agg(
         F.count("*").alias("snapshots"), F.count_if(F.abs(F.col("t") - F.col("bt")) <= 1).alias("time_ok"), F.count_if(same).alias("value_ok"), F.count_if(~same & F.col("approved")).alias("excused")

@@ -359,7 +359,7 @@ def shuffled_control(x):
     docs = x.documents.select("doc_id", "lang", "n_chars")
     placed = o.position(docs, ["lang"], ["doc_id"], o.time_block("doc_id", 1 << 16), "i")
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    placed = placed.withColumn("i", F.col("i") - 1).join(F.broadcast(sizes), "lang")
+    placed = placed.withColumn("i", F.col("i") - 1).join(sizes, "lang")
     right = placed.select("lang", F.col("i").alias("j"), F.col("n_chars").alias("control_n_chars"))
     left = placed.withColumn("j", F.pmod(F.col("i") + 3, F.col("n")))
     return left.join(right, ["lang", "j"]).select("doc_id", "lang", "control_n_chars")

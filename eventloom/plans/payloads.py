@@ -292,7 +292,7 @@ def clean_row_offset_fields(x):
 @query("J56_handle_link_counts", """WITH d AS (SELECT family AS target, count(*) AS row_count FROM {rec} GROUP BY 1) SELECT c.family, pos, target, count(*) AS n FROM {cell} c JOIN d ON c.b = d.row_count + 60 AND c.family <> d.target GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY c.family ORDER BY count(*) DESC, pos, target) <= 10""")
 def handle_link_counts(x):
     dims = x.rec.groupBy(F.col("family").alias("target")).agg((F.count("*") + 60).alias("b"))
-    hit = x.cell.join(F.broadcast(dims), "b").filter("family <> target").groupBy("family", "pos", "target").agg(F.count("*").alias("n"))
+    hit = x.cell.join(dims, "b").filter("family <> target").groupBy("family", "pos", "target").agg(F.count("*").alias("n"))
     return o.top_k(hit, ["family"], [F.desc("n"), F.asc("pos"), F.asc("target")], 10)
 
 

@@ -266,7 +266,7 @@ SELECT c.version_group, c.family_key, any_value(support) AS support, any_value(m
 def coordinate_priors(x):
     keys = ["version_group", "family_key"]
     med = q.medians(x.cm, keys, ["slope", "intercept"])
-    away = x.cm.join(F.broadcast(med), keys).select(
+    away = x.cm.join(med, keys).select(
         *keys, F.abs(F.col("slope") - F.col("slope_median")).alias("slope"), F.abs(F.col("intercept") - F.col("intercept_median")).alias("intercept")
     )
     counts = x.cm.groupBy(*keys).agg(F.count("*").alias("support"), F.count_distinct("match_id").alias("matches"))

@@ -114,7 +114,7 @@ SELECT match_id, seg_id, 'segment' AS kind, s AS "from", e AS "to" FROM g UNION
 @query("E13_byte_layout", LAY)
 def byte_layout(x):
     b = x.seg.select("match_id", "seg_id", F.col("t").alias("s"), (F.col("t") + F.col("len") * 1000).alias("e"))
-    return sq.byte_layout(b, ["match_id"], "s", "e", "seg_id")
+    return sq.byte_layout(b, ["match_id"], "s", "e", "seg_id", o.time_block("s", TX_BLOCK_MS))
 
 
 @query("E14_equal_time_groups", """SELECT match_id, CAST(sum(c) OVER (PARTITION BY match_id ORDER BY t, o1, o2, o3, o4) AS BIGINT) AS group_no, o1, o3 FROM (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY match_id ORDER BY t, o1, o2, o3, o4) = t THEN 0 ELSE 1 END AS c FROM {tx})""")

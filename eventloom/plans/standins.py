@@ -182,6 +182,7 @@ class Tables:
     @cached_property
     def pe(self) -> DataFrame:
         from eventloom.operators.quantiles import medians
+        from eventloom.session import cut_lineage
 
         keys = ["match_id", "version_group", "family_key", "metric"]
         c = F.col
@@ -193,13 +194,14 @@ class Tables:
             F.max("slot_index").alias("row_end"), F.count("*").alias("samples"),
         )
         med = medians(self.cm, keys, ["slope", "intercept"], "")
-        return agg.join(med, keys).withColumns(
+        # a rollup reads the entries several times; a checkpoint computes them once
+        return cut_lineage(agg.join(med, keys).withColumns(
             {
                 "pattern_key": F.concat_ws(":", "family_key", "metric"),
                 "promoted": c("confidence") > 0.95,
                 "archetype": F.when(c("correlation") > 0.5, "dynamic").otherwise("static"),
             }
-        )
+        ))
 
     @cached_property
     def pk(self) -> DataFrame:

@@ -38,7 +38,7 @@ def write_artifact(df: DataFrame, path: str, partitions: Sequence[str], only: Da
     Dynamic partition overwrite replaces exactly the partitions written.
     """
     if only is not None:
-        df = df.join(F.broadcast(only), list(partitions), "left_semi")
+        df = df.join(only, list(partitions), "left_semi")
     manifest = fingerprint(df, partitions)
     (
         df.repartition(*partitions, F.pmod(F.xxhash64(*df.columns), F.lit(16)))

@@ -18,7 +18,7 @@ def rows(spark):
 
 
 OUT = {
-    "s": lambda: o.run_sum("v"), "c": lambda: o.run_count(F.col("v") > 0), "lo": lambda: o.run_min("v"), "hi": lambda: o.run_max("v"),
+    "s": lambda: o.run_sum("v"), "c": lambda: o.run_count(F.col("v") > 0), "lo": lambda: o.run_min("v"), "hi": lambda: o.run_max("v"), "hb": lambda: o.max_before("v"),
     "last": lambda: o.last_seen("v"), "before": lambda: o.before("v"), "next": lambda: o.next_seen("v"), "after": lambda: o.after("v"),
     "prev": lambda: o.prev("v"), "following": lambda: o.following("v"),
 }
