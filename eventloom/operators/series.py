@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import stats as s
 from eventloom.operators import ordered as o
 from eventloom.operators import quantiles as q
+from eventloom.session import cut_lineage
 
 # fixed values: scoring weights, gates and scales
 OVERLAP_FULL, UNIQUE_FULL = 16, 12
@@ -78,20 +79,22 @@ def score_match(pairs: DataFrame, keys, order, block, raw: str, target: str, min
     monotonic, min_correlation, max_nrmse.
     """
     keys = list(keys)
-    fit = pairs.groupBy(*keys).agg(
+    pairs = pairs.select(*dict.fromkeys([*keys, *order, raw, target]))
+    # fit and step statistics both read the aligned pairs: align once, keep them on shared storage
+    steps = cut_lineage(differences(pairs, keys, order, block, [raw, target]))
+    fit = steps.groupBy(*keys).agg(
         s.affine(raw, target).alias("fit"),
         s.pearson_zero(raw, target).alias("_r"),
         (F.var_pop(raw) * F.count(raw)).alias("_sxx"),
         F.count_distinct(raw).alias("unique_values"),
     )
     fit = fit.filter((F.col("fit.n") >= min_overlap) & (F.col("fit.rmse") < float("inf")))
-    rows = pairs.join(fit.select(*keys, F.col("fit.slope").alias("_slope")), keys)
-    rows = rows.withColumn("_p", F.col("_slope") * F.col(raw))
-    steps = differences(rows, keys, order, block, ["_p", target])
+    rows = steps.join(fit.select(*keys, F.col("fit.slope").alias("_slope")), keys)
+    rows = rows.withColumn("d__p", F.col("_slope") * F.col(f"d_{raw}"))
     same = F.when(
         F.col("d__p").isNotNull(), F.when(s.same_direction("d__p", f"d_{target}"), 1.0).otherwise(0.0)
     )
-    moves = steps.groupBy(*keys).agg(
+    moves = rows.groupBy(*keys).agg(
         s.pearson_zero("d__p", f"d_{target}").alias("delta_correlation"),
         F.coalesce(F.avg(same), F.lit(1.0)).alias("agreement"),
     )
@@ -185,19 +188,21 @@ def evaluate_mapping(pairs: DataFrame, keys, order, block, t, raw, target, prior
     """
     keys = list(keys)
     (rx, ry), (tx, ty) = raw, target
-    fits = pairs.groupBy(*keys).agg(
+    pairs = pairs.select(*dict.fromkeys([*keys, *order, t, rx, ry, tx, ty, *([prior] if prior else [])]))
+    steps = cut_lineage(differences(pairs, keys, order, block, [rx, ry, tx, ty], t))
+    fits = steps.groupBy(*keys).agg(
         s.affine(rx, tx).alias("fx"), s.affine(ry, ty).alias("fy"),
         *([F.max(prior).alias("_prior")] if prior else []),
     )
     fits = fits.filter(F.col("fx.n") >= 6)
-    rows = pairs.select(*dict.fromkeys([*keys, *order, t, rx, ry, tx, ty])).join(fits, keys)
-    rows = rows.withColumns(
+    st = steps.join(fits, keys).withColumns(
         {
             "px": F.col("fx.slope") * F.col(rx) + F.col("fx.intercept"),
             "py": F.col("fy.slope") * F.col(ry) + F.col("fy.intercept"),
+            "d_px": F.col("fx.slope") * F.col(f"d_{rx}"),
+            "d_py": F.col("fy.slope") * F.col(f"d_{ry}"),
         }
     )
-    st = differences(rows, keys, order, block, ["px", "py", tx, ty], t)
     st = st.withColumns({"_ps": step_length("px", "py"), "_ts": step_length(tx, ty)})
     gap = F.pow(F.col("px") - F.col(tx), F.lit(2.0)) + F.pow(F.col("py") - F.col(ty), F.lit(2.0))
     inside = F.col("px").between(0, MAP_BOUND) & F.col("py").between(0, MAP_BOUND)
