@@ -323,3 +323,73 @@ def projection_interval(df: DataFrame, keys: Sequence[str], raw: str, label: str
     low = F.max(F.col(label) - F.col(raw))
     high = F.min(F.col(label) + 1 - F.col(raw))
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), low.alias("lower"), high.alias("upper"), (low < high).alias("feasible"))
+
+
+def change_patterns(changes: DataFrame, offsets: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Per-offset coverage, and the labelled change patterns over offsets without a false positive.
+
+    ``changes`` has one row per transition with its changed offsets. Equal patterns collapse to
+    one row with a count, so later steps work on patterns instead of transitions.
+    """
+    cover = changes.select(label, F.explode(offsets).alias("offset")).groupBy("offset").agg(
+        F.count_if(label).alias("covered"), F.count_if(~F.col(label)).alias("false_positives")
+    )
+    clean = cover.filter("false_positives = 0").agg(F.array_sort(F.collect_list("offset")).alias("clean"))  # offsets of one record
+    hits = changes.filter(label).crossJoin(F.broadcast(clean))  # one-row side
+    pattern = F.array_sort(F.array_intersect(offsets, F.coalesce("clean", F.array().cast("array<int>"))))
+    return cover, hits.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def exact_unions(patterns: DataFrame) -> DataFrame:
+    """Unions of one to three clean offsets that cover every labelled change.
+
+    |A ∪ B ∪ C| follows from how often offsets change together, which patterns of a record's
+    few clean offsets emit as weighted subsets; transitions never meet each other.
+    """
+    total = patterns.agg(F.sum("n").alias("total"))
+    one = patterns.select("n", "pattern", F.explode("pattern").alias("a"))
+    two = one.withColumn("b", F.explode(F.filter("pattern", lambda v: v > F.col("a"))))
+    three = two.withColumn("c", F.explode(F.filter("pattern", lambda v: v > F.col("b"))))
+    n1 = one.groupBy("a").agg(F.sum("n").alias("n"))
+    n2 = two.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    n3 = three.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+    def single(name):
+        return n1.select(F.lit(0).alias("g"), F.col("a").alias(name), F.col("n").alias(f"n_{name}"))
+
+    def both(x, y):
+        return n2.select(F.col("a").alias(x), F.col("b").alias(y), F.col("n").alias(f"n_{x}{y}"))
+
+    # the dimension of clean offsets is at most one record wide
+    ab = single("a").join(single("b"), "g").filter("a < b").join(both("a", "b"), ["a", "b"], "left")
+    abc = ab.join(single("c"), "g").filter("b < c").join(both("a", "c"), ["a", "c"], "left").join(both("b", "c"), ["b", "c"], "left")
+    abc = abc.join(n3.withColumnRenamed("n", "n_abc"), ["a", "b", "c"], "left")
+    z = F.lit(0)
+
+    def c(name):
+        return F.coalesce(F.col(name), z)
+
+    out = n1.select(F.col("a").cast("string").alias("union_of"), F.lit(1).alias("size"), F.col("n").alias("covered"))
+    out = out.unionByName(ab.select(F.concat_ws("+", "a", "b").alias("union_of"), F.lit(2).alias("size"), (c("n_a") + c("n_b") - c("n_ab")).alias("covered")))
+    out = out.unionByName(
+        abc.select(
+            F.concat_ws("+", "a", "b", "c").alias("union_of"), F.lit(3).alias("size"),
+            (c("n_a") + c("n_b") + c("n_c") - c("n_ab") - c("n_ac") - c("n_bc") + c("n_abc")).alias("covered"),
+        )
+    )
+    return out.crossJoin(F.broadcast(total)).filter("covered = total").drop("total")  # one-row side
+
+
+def greedy_cover(patterns: DataFrame, rounds: int = 64) -> DataFrame:
+    """Clean offsets in greedy order: each takes the offset covering most of what is left."""
+    from eventloom.session import cut_lineage
+
+    spark, left, steps = patterns.sparkSession, cut_lineage(patterns), []
+    for step in range(1, rounds + 1):
+        gain = left.select("n", F.explode("pattern").alias("offset")).groupBy("offset").agg(F.sum("n").alias("gain"))
+        best = gain.orderBy(F.desc("gain"), "offset").first()  # one row
+        if best is None:
+            break
+        steps.append((step, int(best["offset"]), int(best["gain"])))
+        left = cut_lineage(left.filter(~F.array_contains("pattern", best["offset"])))
+    return spark.createDataFrame(steps, "step int, offset int, gain long")

@@ -260,7 +260,11 @@ def latest_item_action(x):
     return out.select("match_id", "item_id", (F.col("t") - 1).alias("cut"), F.col("b.action").alias("action"), F.col("b.t").alias("t"))
 
 
-@query("I21_snapshot_vs_fold")
+@query("I21_snapshot_vs_fold", f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY match_id, entity, item_id ORDER BY {TXO}) AS n, CASE WHEN op = 'ADD' THEN 1 ELSE -1 END AS d FROM {{tx}}),
+w AS (SELECT match_id, entity, item_id, n, t, greatest(0, d) AS c FROM s WHERE n = 1 UNION ALL SELECT s.match_id, s.entity, s.item_id, s.n, s.t, greatest(0, w.c + s.d) FROM w JOIN s ON s.match_id = w.match_id AND s.entity = w.entity AND s.item_id = w.item_id AND s.n = w.n + 1),
+f AS (SELECT match_id, entity, item_id, t // {YEAR} AS yr, max_by(c, n) AS folded FROM w GROUP BY 1, 2, 3, 4), l AS (SELECT match_id, entity, item_id, t // {YEAR} AS yr, sum(d) AS d FROM s GROUP BY 1, 2, 3, 4), lc AS (SELECT *, sum(d) OVER (PARTITION BY match_id, entity, item_id ORDER BY yr) AS net FROM l),
+p AS (SELECT match_id, entity, yr, bool_and(folded = greatest(net, 0)) AS ex, bool_and(folded <= greatest(net, 0)) AS sb FROM f JOIN lc USING (match_id, entity, item_id, yr) GROUP BY 1, 2, 3)
+SELECT yr, count(*) AS snapshots, count(*) FILTER (ex) AS exact, count(*) FILTER (sb) AS subset, count(*) FILTER (NOT sb) AS false_extra FROM p GROUP BY 1""")
 def snapshot_vs_fold(x):
     """Folded state at each year's end against the net labelled count: exact, subset or false extra."""
     yr = F.floor(F.col("t") / YEAR)

@@ -365,7 +365,9 @@ def shuffled_control(x):
     return left.join(right, ["lang", "j"]).select("doc_id", "lang", "control_n_chars")
 
 
-@query("C39_three_way_outcome")
+@query("C39_three_way_outcome", GREEDY.rstrip() + """, lone AS (SELECT match_id, decoded_id, decoded_t AS t FROM pairs WHERE oracle_id IS NULL), rest AS (SELECT match_id, oracle_t AS t FROM pairs WHERE decoded_id IS NULL),
+wr AS (SELECT DISTINCT decoded_id FROM lone JOIN rest ON lone.match_id = rest.match_id AND abs(lone.t - rest.t) <= 1)
+SELECT match_id, CASE WHEN decoded_id IS NULL THEN 'missing' WHEN oracle_id IS NOT NULL THEN 'matched' WHEN decoded_id IN (SELECT decoded_id FROM wr) THEN 'wrong' ELSE 'extra' END AS outcome, count(*) AS events FROM pairs GROUP BY 1, 2""")
 def three_way_outcome(x):
     out = m.label_outcomes(x.dec, x.orc, ["match_id"], ["entity"], "t", "id", TOL, DAY_MS)
     return out.groupBy("match_id", "outcome").agg(F.count("*").alias("events"))

@@ -38,6 +38,26 @@ def byte_ngrams(x):
     return pl.ngrams(x.pk, ["packet_type"], "payload", 4, 20)
 
 
+def _ngram_sql(size):
+    return f"""WITH g AS (SELECT packet_type, unnest(range(greatest(len - {size - 1}, 0))) AS pos, hx FROM {{pk}}), r AS (SELECT packet_type, pos, substr(hx, CAST(2 * pos + 1 AS BIGINT), {2 * size}) AS gram FROM g)
+SELECT packet_type, gram, count(*) AS n, count(DISTINCT pos) AS offsets FROM r GROUP BY 1, 2 HAVING count(*) >= 8"""
+
+
+@query("D23_byte_ngrams_6", _ngram_sql(6))
+def byte_ngrams_6(x):
+    return pl.ngrams(x.pk, ["packet_type"], "payload", 6, 8)
+
+
+@query("D23_byte_ngrams_8", _ngram_sql(8))
+def byte_ngrams_8(x):
+    return pl.ngrams(x.pk, ["packet_type"], "payload", 8, 8)
+
+
+@query("D23_byte_counts", "SELECT packet_type, b AS word, count(*) AS n FROM {byt} GROUP BY 1, 2")
+def byte_counts(x):
+    return x.byt.groupBy("packet_type", F.col("b").alias("word")).agg(F.count("*").alias("n"))
+
+
 @query("D23_word_counts", """WITH g AS (SELECT packet_type, unnest(range(0, len - 1, 2)) AS pos, hx FROM {pk} WHERE len >= 2), r AS (SELECT packet_type, CAST('0x' || substr(hx, CAST(2 * pos + 3 AS BIGINT), 2) || substr(hx, CAST(2 * pos + 1 AS BIGINT), 2) AS BIGINT) AS word FROM g)
 SELECT packet_type, word, count(*) AS n FROM r GROUP BY 1, 2""")
 def word_counts(x):

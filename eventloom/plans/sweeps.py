@@ -314,30 +314,35 @@ def subset_mask_classifier(x):
     return sw.subset_masks(h, "mask", "label", 5)
 
 
-@query("J21_change_marker_union")
-def change_marker_union(x):
-    """Smallest unions of change offsets that cover every labelled change without a false one.
+UNION_CTE = """WITH r AS (SELECT family, rec_id, arr, lag(arr) OVER (PARTITION BY family ORDER BY rec_id) AS p FROM {rec}), e AS (SELECT family, rec_id, unnest(range(1, 65)) AS off, unnest(arr) // 128 AS a, unnest(p) // 128 AS b FROM r WHERE p IS NOT NULL),
+t AS (SELECT family, rec_id, bool_or(off IN (3, 6) AND a <> b) AS hit FROM e GROUP BY 1, 2), ch AS (SELECT e.family, e.rec_id, off, hit FROM e JOIN t USING (family, rec_id) WHERE a <> b), cl AS (SELECT off FROM ch GROUP BY 1 HAVING count(*) FILTER (NOT hit) = 0),
+h AS (SELECT family, rec_id, off FROM ch SEMI JOIN cl USING (off) WHERE hit), tot AS (SELECT count(*) AS n FROM t WHERE hit)"""
+
 
-    Offsets that ever change without the label drop out first; unions of one to three of the
-    rest are counted by inclusion-exclusion over co-occurrence counts, never over row pairs.
-    """
-    coarse = F.transform("arr", lambda v: F.floor(v / 128))
-    r = x.rec.select("family", "rec_id", F.slice(coarse, 1, 64).alias("a"))
+def _changes(x):
+    """Transitions of coarse records with their changed offsets; the label is a change at offset 3 or 6."""
+    r = x.rec.select("family", "rec_id", F.transform("arr", lambda v: F.floor(v / 128)).alias("a"))
     r = o.scan(r, ["family"], ["rec_id"], o.time_block("rec_id", 1 << 14), {"p": o.prev("a")}).filter("p IS NOT NULL")
     changed = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: F.element_at("a", i) != F.element_at("p", i))
-    r = r.select("family", "rec_id", changed.alias("ch")).withColumn("hit", F.array_contains("ch", 3) | F.array_contains("ch", 6))
-    stats = r.select("hit", F.explode("ch").alias("off")).groupBy("off").agg(F.count_if("hit").alias("cover"), F.count_if(~F.col("hit")).alias("fp"))
-    clean = stats.filter("fp = 0").select("off", "cover")
-    total = r.agg(F.count_if("hit").alias("total"))
-    rows = r.filter("hit").select("family", "rec_id", F.explode("ch").alias("off")).join(F.broadcast(clean.select("off")), "off")
-    two = rows.join(rows.select("family", "rec_id", F.col("off").alias("b")), ["family", "rec_id"]).filter("off < b").groupBy(F.col("off").alias("a"), "b").agg(F.count("*").alias("both"))
-    c1 = clean.select(F.col("off").alias("a"), F.col("cover").alias("ca"))
-    c2 = clean.select(F.col("off").alias("b"), F.col("cover").alias("cb"))
-    pair = c1.withColumn("g", F.lit(0)).join(c2.withColumn("g", F.lit(0)), "g").filter("a < b").join(two, ["a", "b"], "left").fillna({"both": 0})
-    pair = pair.select(F.concat_ws("+", "a", "b").alias("union_of"), (F.col("ca") + F.col("cb") - F.col("both")).alias("cover"))
-    one = c1.select(F.col("a").cast("string").alias("union_of"), F.col("ca").alias("cover"))
-    out = one.unionByName(pair).crossJoin(F.broadcast(total))  # one-row side
-    return out.filter("cover = total").select("union_of", "cover")
+    r = r.select("family", "rec_id", changed.alias("ch"))
+    return r.withColumn("hit", F.array_contains("ch", 3) | F.array_contains("ch", 6))
+
+
+@query("J21_change_marker_union", UNION_CTE + """, s AS (SELECT CAST(off AS VARCHAR) AS union_of, 1 AS size, count(*) AS covered FROM h GROUP BY off), d AS (SELECT CAST(x.off AS VARCHAR) || '+' || CAST(y.off AS VARCHAR) AS union_of, 2 AS size, (SELECT count(DISTINCT (family, rec_id)) FROM h WHERE h.off = x.off OR h.off = y.off) AS covered FROM cl x JOIN cl y ON x.off < y.off)
+SELECT u.* FROM (SELECT * FROM s UNION ALL SELECT * FROM d) u, tot WHERE covered = n""")
+def change_marker_union(x):
+    _, patterns = sw.change_patterns(_changes(x), "ch", "hit")
+    return sw.exact_unions(patterns)
+
+
+@query("J21_offset_coverage", UNION_CTE + ' SELECT off AS "offset", count(*) FILTER (hit) AS covered, count(*) FILTER (NOT hit) AS false_positives FROM ch GROUP BY 1')
+def offset_coverage(x):
+    return sw.change_patterns(_changes(x), "ch", "hit")[0]
+
+
+@query("J21_greedy_cover")
+def greedy_cover(x):
+    return sw.greedy_cover(sw.change_patterns(_changes(x), "ch", "hit")[1])
 
 
 @query("J25_threshold_sweep", """WITH th AS (SELECT unnest([0.3, 0.5, 0.7, 0.9]) AS threshold) SELECT R6(threshold) AS threshold, count(*) FILTER (score >= threshold AND correlation >= 0.5) AS passes, count(*) FILTER (score >= threshold AND nrmse >= 0.5) AS control_passes, count(*) AS rows FROM {cm}, th GROUP BY threshold""")

@@ -171,3 +171,26 @@ def test_leave_one_out_lookup(spark):
                     w += 1
         want[m_] = (e, w, u)
     assert got == want
+
+
+def test_unions_and_greedy_cover_exhaustively(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        ch = sorted(v for v in range(1, 9) if rng.random() < 0.25)
+        rows.append((i, ch, bool(set(ch) & {2, 5, 7})))
+    df = spark.createDataFrame(rows, "i int, ch array<int>, hit boolean")
+    cover, patterns = sw.change_patterns(df, "ch", "hit")
+    clean = [v for v in range(1, 9) if not any(v in ch and not hit for _, ch, hit in rows) and any(v in ch for _, ch, _ in rows)]
+    hits = [set(ch) & set(clean) for _, ch, hit in rows if hit]
+    want = {
+        "+".join(map(str, u)) for n in (1, 2, 3) for u in itertools.combinations(clean, n) if all(h & set(u) for h in hits)
+    }
+    assert {r.union_of for r in sw.exact_unions(patterns).collect()} == want and "2+5+7" in want
+    got = [(r.offset, r.gain) for r in sw.greedy_cover(patterns).orderBy("step").collect()]
+    left, expect = list(hits), []
+    while any(left):
+        best = min(clean, key=lambda v: (-sum(v in h for h in left), v))
+        expect.append((best, sum(best in h for h in left)))
+        left = [h for h in left if best not in h]
+    assert got == expect
