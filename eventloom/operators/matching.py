@@ -325,9 +325,9 @@ def neighbourhood(df, keys, order, block, offsets: Sequence[int], cols: Sequence
     return left.join(right, [*keys, "_at"]).drop("_at")
 
 
-def shuffled_control(df, keys, order, shift: int, cols: Sequence[str]) -> DataFrame:
+def shuffled_control(df, keys, order, shift: int, cols: Sequence[str], block: Column | None = None) -> DataFrame:
     """Pair row i with row (i+shift) mod n of its group: a negative control."""
-    placed = o.position(df, keys, order, None, "_i").withColumn("_i", F.col("_i") - 1)
+    placed = o.position(df, keys, order, block, "_i").withColumn("_i", F.col("_i") - 1)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     placed = placed.join(sizes, list(keys))
     right = placed.select(*keys, F.col("_i").alias("_j"), *[F.col(c).alias(f"control_{c}") for c in cols])

@@ -257,7 +257,7 @@ def multiview_agreement(x):
     """Primary positions against companions, with a shuffled control."""
     e = x.ev.select("match_id", "event_id", "entity", "t", (100 * F.col("value")).alias("x"), (150.0 * F.col("k")).alias("y"))
     c = e.filter("entity = 'click'").groupBy("match_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    r = m.shuffled_control(e.filter("entity = 'view'"), ["match_id"], ["t", "event_id"], 1, ["x"]).join(c, "match_id")
+    r = m.shuffled_control(e.filter("entity = 'view'"), ["match_id"], ["t", "event_id"], 1, ["x"], o.time_block("t", DAY_MS)).join(c, "match_id")
 
     def far(px):
         return F.sqrt(F.pow(F.col(px) - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))

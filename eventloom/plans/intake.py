@@ -58,7 +58,10 @@ def framing_report(x):
 
 
 def _timeline_text(x):
-    """A timeline document per match built by Spark from its events, and its parsed form."""
+    """A timeline document per match built by Spark from its events.
+
+    One document per match is the grain of the source format; real documents arrive as files.
+    """
     day = F.floor(F.col("t") / 86_400_000)
     ev = x.ev.withColumn("frame", day)
     e = F.array_sort(F.collect_list(F.struct(F.col("t").alias("timestamp"), F.col("event_id").alias("itemId"), F.col("entity").alias("type"), F.col("k").alias("participantId"))))

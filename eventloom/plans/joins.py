@@ -357,12 +357,8 @@ SELECT a.doc_id, a.lang, b.n_chars AS control_n_chars FROM p a JOIN p b ON a.lan
 def shuffled_control(x):
     # a language may hold a third of the documents, so positions come from blocks of ids
     docs = x.documents.select("doc_id", "lang", "n_chars")
-    placed = o.position(docs, ["lang"], ["doc_id"], o.time_block("doc_id", 1 << 16), "i")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    placed = placed.withColumn("i", F.col("i") - 1).join(sizes, "lang")
-    right = placed.select("lang", F.col("i").alias("j"), F.col("n_chars").alias("control_n_chars"))
-    left = placed.withColumn("j", F.pmod(F.col("i") + 3, F.col("n")))
-    return left.join(right, ["lang", "j"]).select("doc_id", "lang", "control_n_chars")
+    out = m.shuffled_control(docs, ["lang"], ["doc_id"], 3, ["n_chars"], o.time_block("doc_id", 1 << 16))
+    return out.select("doc_id", "lang", "control_n_chars")
 
 
 @query("C39_three_way_outcome", GREEDY.rstrip() + """, lone AS (SELECT match_id, decoded_id, decoded_t AS t FROM pairs WHERE oracle_id IS NULL), rest AS (SELECT match_id, oracle_t AS t FROM pairs WHERE decoded_id IS NULL),

@@ -41,7 +41,10 @@ def running_totals(x):
     return latest.select("user_id", "event_type", "r.events", (F.unix_millis("r.last_t") - EPOCH_MS).alias("last_ms"), "r.last_value")
 
 
-@query("S4_lifecycle_stream")
+@query("S4_lifecycle_stream", """WITH p AS (SELECT user_id, event_id AS placed_id, ts FROM events WHERE event_type = 'signup'), r AS (SELECT user_id, ts AS rts FROM events WHERE event_type = 'error'),
+wm AS (SELECT least(max(ts) FILTER (event_type = 'signup'), max(ts) FILTER (event_type = 'error')) - INTERVAL 10 MINUTE AS w FROM events), m AS (SELECT p.*, rts FROM p JOIN r ON p.user_id = r.user_id AND rts BETWEEN p.ts AND p.ts + INTERVAL 2 HOUR),
+u AS (SELECT * FROM m UNION ALL SELECT p.*, NULL FROM p, wm WHERE placed_id NOT IN (SELECT placed_id FROM m) AND ts <= w - INTERVAL 2 HOUR)
+SELECT user_id, placed_id, CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) AS placed_ms, CAST(epoch_us(rts) // 1000 - 1704067200000 AS BIGINT) AS removed_ms FROM u""")
 def lifecycle_stream(x):
     """Placements with removals within two hours; unmatched ones appear once the watermark passes."""
     e = _events(x)

@@ -452,6 +452,28 @@ def proved_templates(x):
     return tp.filter("support >= 2 AND label = other AND proof").select("sig", "label", "support")
 
 
+@query("J47_template_scores", """WITH g AS (SELECT match_id, t, string_agg(flag || CAST(item_id AS VARCHAR), '>' ORDER BY o1, o2, o3, o4) AS sig, CASE WHEN min(entity) = max(entity) THEN min(entity) ELSE 'FO' END AS label, max(tax) <= 7 AS proof, count(*) AS n FROM {tx} GROUP BY 1, 2),
+tp AS (SELECT sig, min(label) AS pl FROM g WHERE match_id < 70 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT label) = 1 AND bool_and(proof)), seen AS (SELECT DISTINCT sig, true AS known FROM g WHERE match_id < 70)
+SELECT CASE WHEN match_id < 70 THEN 'discovery' ELSE 'holdout' END AS part, label, count(*) FILTER (pl = label) AS group_tp, count(*) FILTER (pl <> label) AS group_fp, count(*) FILTER (pl IS NULL) AS group_fn, CAST(coalesce(sum(n) FILTER (pl = label), 0) AS BIGINT) AS row_tp, CAST(coalesce(sum(n) FILTER (pl <> label), 0) AS BIGINT) AS row_fp, CAST(coalesce(sum(n) FILTER (pl IS NULL), 0) AS BIGINT) AS row_fn, count(*) FILTER (known IS NULL) AS unseen FROM g LEFT JOIN tp USING (sig) LEFT JOIN seen USING (sig) GROUP BY 1, 2""")
+def template_scores(x):
+    """Proved discovery templates on both partitions: group and row outcomes, unseen signatures."""
+    seq = F.array_sort(F.collect_list(F.struct("o1", "o2", "o3", "o4", "flag", "item_id")))  # one same-time transaction
+    sig = F.array_join(F.transform(seq, lambda v: F.concat(v["flag"], v["item_id"].cast("string"))), ">")
+    g = x.tx.groupBy("match_id", "t").agg(sig.alias("sig"), F.min("entity").alias("lo"), F.max("entity").alias("hi"), (F.max("tax") <= 7).alias("proof"), F.count("*").alias("n"))
+    g = g.withColumn("label", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("FO"))
+    tp = g.filter("match_id < 70").groupBy("sig").agg(F.min("label").alias("pl"), F.max("label").alias("other"), F.count("*").alias("support"), F.bool_and("proof").alias("ok"))
+    fit = tp.withColumn("pl", F.when((F.col("support") >= 2) & (F.col("pl") == F.col("other")) & F.col("ok"), F.col("pl"))).select("sig", "pl", F.lit(True).alias("known"))
+    out = g.join(fit, "sig", "left")
+    hit, miss, none = F.col("pl") == F.col("label"), F.col("pl") != F.col("label"), F.col("pl").isNull()
+    part = F.when(F.col("match_id") < 70, "discovery").otherwise("holdout")
+    zero = F.lit(0)
+    return out.groupBy(part.alias("part"), "label").agg(
+        *[F.count_if(c).alias(f"group_{k}") for k, c in (("tp", hit), ("fp", miss), ("fn", none))],
+        *[F.coalesce(F.sum(F.when(c, F.col("n"))), zero).alias(f"row_{k}") for k, c in (("tp", hit), ("fp", miss), ("fn", none))],
+        F.count_if(F.col("known").isNull()).alias("unseen"),
+    )
+
+
 @query("J48_payload_linkage", """WITH r AS (SELECT family, rec_id, arr, lead(arr) OVER (PARTITION BY family ORDER BY rec_id) AS nx FROM {rec}), v AS (SELECT i, j, arr[i + 1] // 64 AS a, nx[j + 1] // 64 AS b FROM r, (SELECT unnest([0, 16, 32, 48]) AS i), (SELECT unnest(range(64)) AS j) WHERE nx IS NOT NULL),
 n AS (SELECT i, j, a, b, count(*) AS n FROM v GROUP BY 1, 2, 3, 4), f AS (SELECT i, j, sum(m) AS f, sum(s) AS rows FROM (SELECT i, j, a, max(n) AS m, sum(n) AS s FROM n GROUP BY 1, 2, 3) GROUP BY 1, 2), b AS (SELECT i, j, sum(m) AS r FROM (SELECT i, j, b, max(n) AS m FROM n GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT i, j, CAST(rows AS BIGINT) AS rows, CAST(least(f, r) AS BIGINT) AS support, R6(least(f, r) / rows) AS rate FROM f JOIN b USING (i, j)""")
