@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.session import ship_library
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
@@ -47,6 +49,7 @@ def query(name: str, sql: str | None = None):
             from eventloom.plans.standins import Tables
 
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_library(spark)
             return tidy(fn(Tables(spark, sf_dir)))
 
         if name in QUERIES:

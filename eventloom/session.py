@@ -1,9 +1,12 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, lineage cutting and shipping of the library to the workers."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,19 +29,44 @@ def build_session(app: str = "eventloom", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the cluster names; survives executor loss.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, made the context's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without
-    that setting (tests) falls back to a temporary folder.
+    A cluster must name it. Only a local session without the setting gets a
+    folder of its own, which is removed when Python ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+            folder = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder; survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_eventloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="eventloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "eventloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.join("eventloom", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._eventloom_shipped = True
