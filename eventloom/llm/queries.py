@@ -62,3 +62,31 @@ def op10(spark, sf_dir):
     from eventloom.llm.bpe import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    from eventloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Domains of the labels (toxic; poor; sound) and the share of the tokens that each shall have.
+DOMAINS = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
+TARGETS = [0.02, 0.02, 0.96]
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(DOMAINS).alias("cls")).dropna()
+
+
+@query("op9_mixing")
+def op9(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from eventloom.llm.mixing import mixing_rates
+
+    rated = mixing_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGETS)
+    return rated.select("doc_id", "tokens", F.col("p")[0].alias("p_toxic"), F.col("p")[1].alias("p_poor"), F.col("p")[2].alias("p_sound"), "rate", "copies")
