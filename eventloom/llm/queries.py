@@ -90,3 +90,10 @@ def op9(spark, sf_dir):
 
     rated = mixing_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGETS)
     return rated.select("doc_id", "tokens", F.col("p")[0].alias("p_toxic"), F.col("p")[1].alias("p_poor"), F.col("p")[2].alias("p_sound"), "rate", "copies")
+
+
+@query("op2_pii")
+def op2(spark, sf_dir):
+    from eventloom.llm.pii import find_pii, span_digests
+
+    return span_digests(find_pii(table(spark, sf_dir, "documents")))
