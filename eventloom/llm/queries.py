@@ -97,3 +97,22 @@ def op2(spark, sf_dir):
     from eventloom.llm.pii import find_pii, span_digests
 
     return span_digests(find_pii(table(spark, sf_dir, "documents")))
+
+
+OP8_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM e UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+c AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u),
+d AS (SELECT u AS vec_id, count(*) AS n_links FROM link GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
+"""
+
+
+@query("op8_embedding_near_dedup", OP8_SQL)
+def op8(spark, sf_dir):
+    from eventloom.llm.vectors import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
