@@ -116,3 +116,26 @@ def op8(spark, sf_dir):
     from eventloom.llm.vectors import embedding_links
 
     return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[ \t-\r]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+e AS (SELECT doc_id, md5_number_lower(unnest(s)) AS h FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n_shingles + b.n_shingles - c)),
+sym AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, b.v FROM reach r JOIN sym b ON r.v = b.u),
+m AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""
+
+
+@query("op4_minhash_near_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    from eventloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
