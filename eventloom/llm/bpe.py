@@ -162,7 +162,7 @@ def codec_of(broadcast, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _mapped(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row):
+def _mapped(docs: DataFrame, ranks_path: str, pattern: str, columns: dict[str, tuple[str, pa.DataType]], found) -> DataFrame:
     ranks = read_ranks(ranks_path)
     name = sha(b"".join(b"%s %d\n" % x for x in ranks.items()))
     shared = docs.sparkSession.sparkContext.broadcast((name, ranks))  # one fixed vocabulary file
@@ -170,29 +170,25 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row):
     def run(batches):
         codec = codec_of(shared, pattern)
         for batch in batches:
-            rows = [row(codec, i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+            rows = [found(codec, codec.encode(t.as_py())) for t in batch.column(1)]
+            made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *columns])
 
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
-    out_schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in schema.split(", ")])
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, ", ".join(["doc_id bigint", *[f"{c} {t}" for c, (t, _) in columns.items()]]))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the token ids of every whole text, as one array.
+    """doc_id, n_tokens, ids: the token ids of every whole text, as one array.
 
     A null text counts as empty and gives no ids. Every match of ``pattern`` is merged by itself, the
     lowest rank first and the leftmost of equal ranks; special tokens have no meaning. Rows are
-    independent, so repeated rows give repeated results.
+    independent, so repeated rows give repeated results. An empty table gives no rows.
     """
-    return _mapped(docs, ranks_path, pattern, "doc_id bigint, ids array<int>", lambda codec, i, t: {"doc_id": i, "ids": codec.encode(t.as_py())})
+    columns = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32()))}
+    return _mapped(docs, ranks_path, pattern, columns, lambda codec, ids: (len(ids), ids))
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded again."""
-
-    def row(codec: Codec, i, t) -> dict:
-        ids = codec.encode(t.as_py())
-        return {"doc_id": i, "n_tokens": len(ids), "ids_sha256": sha(codec.digits(ids).encode()), "decoded_sha256": sha(codec.decode(ids))}
-
-    return _mapped(docs, ranks_path, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
+    columns = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _mapped(docs, ranks_path, pattern, columns, lambda codec, ids: (len(ids), sha(codec.digits(ids).encode()), sha(codec.decode(ids))))

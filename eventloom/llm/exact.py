@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.llm.common import ROW
 from eventloom.session import cut_lineage
@@ -58,3 +59,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("own.doc_id").alias("doc_id"), F.col("who.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col(f"own.{ROW}") == F.col(f"who.{ROW}")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col(f"own.{ROW}").alias(ROW),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that stay, columns unchanged; one of rows alike in both."""
+    safe = [f"c{i}__" for i in range(len(docs.columns))]
+    id_col, text_col = (F.col(safe[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    stay = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id__"), F.unhex("text_sha256").alias("sha__"))
+    rows = docs.toDF(*safe).withColumns({"id__": id_col, "sha__": F.unhex(F.sha2(ascii_lower(F.coalesce(text_col, F.lit(""))), 256))})
+    found = rows.alias("a").join(stay.alias("b"), F.col("a.id__").eqNullSafe(F.col("b.id__")) & (F.col("a.sha__") == F.col("b.sha__")), "left_semi")
+    once = Window.partitionBy("id__", "sha__").orderBy("id__")
+    return found.withColumn("copy__", F.row_number().over(once)).filter("copy__ = 1").select(*[F.col(s).alias(c) for s, c in zip(safe, docs.columns)])

@@ -199,3 +199,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     whole = connected_components(first.union(second))
     found = members.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) whose identifier is the smallest of its component, columns unchanged."""
+    safe = [f"c{i}__" for i in range(len(docs.columns))]
+    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("id__")).distinct()
+    rows = docs.toDF(*safe).withColumn("id__", F.col(safe[docs.columns.index("doc_id")]).cast("long"))
+    return rows.join(gone, "id__", "left_anti").select(*[F.col(s).alias(c) for s, c in zip(safe, docs.columns)])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import texts
-from eventloom.llm.quality import SubwordModel, labelled_sample, posteriors
+from eventloom.llm.quality import SubwordModel, labelled_sample, posteriors, scored_rows
 from eventloom.session import cut_lineage
 
 
@@ -95,7 +95,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], pull: float
     own = texts(docs)
     model = domain_model(own, labels, len(targets))
     history = fit_rates(cut_lineage(posteriors(own, model).select("n_words", "p")).withColumnRenamed("n_words", "tokens"), [t / sum(targets) for t in targets], pull)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    rated = posteriors(named, model, ["row"]).withColumn("rate", rate_after(history, 1 / (1 + pull), pull))
-    copies = copies_of(F.col("row.doc_id"), F.col("rate"))
-    return rated.filter(copies >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("row.*")
+    scored, back = scored_rows(docs, model)
+    identifier = F.col(f"c{docs.columns.index('doc_id')}__")
+    copies = copies_of(identifier, rate_after(history, 1 / (1 + pull), pull)).cast("int")
+    times = scored.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return times.select(*back)

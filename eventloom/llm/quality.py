@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import sha, texts
+from eventloom.llm.common import fold, sha, texts
 
 END = "</s>"
 #: Stands beside every word that equals the word before it: the word bigrams of equal words share it.
@@ -165,16 +165,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
 _SCORERS: dict[str, Scorer] = {}
 
 
-def posteriors(docs: DataFrame, model: SubwordModel, keep: list[str] | None = None) -> DataFrame:
-    """Every row of (text, ...) with p, the class probabilities of its whole text, and n_words.
+def posteriors(docs: DataFrame, model: SubwordModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all but the text) of every row, with n_words and p.
 
-    ``keep`` names the columns to carry along, by default all but the text.
+    p holds the class probabilities of the whole text, null counting as empty. The columns of ``docs``
+    must not be called n_words or p.
     """
     folded = model.folded()
     name, sizes = sha(folded.tobytes()), model.sizes
     shared = docs.sparkSession.sparkContext.broadcast(folded)  # buckets x classes, whatever the corpus
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if (f.name in keep if keep is not None else f.name != text_col)]
 
     def run(batches):
         if name not in _SCORERS:
@@ -182,13 +182,20 @@ def posteriors(docs: DataFrame, model: SubwordModel, keep: list[str] | None = No
             _SCORERS[name] = Scorer(shared.value, sizes)
         scorer = _SCORERS[name]
         for batch in batches:
-            found = [scorer.score(t.as_py() or "") for t in batch.column("text")]
+            found = [scorer.score(t.as_py() or "") for t in batch.column(text_col)]
             columns = [batch.column(f.name) for f in fields]
             columns += [pa.array([n for n, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "n_words", "p"])
 
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[f.name for f in fields], *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*[f.name for f in fields], text_col])).mapInArrow(run, schema)
+
+
+def scored_rows(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> tuple[DataFrame, list]:
+    """``docs`` under safe names with n_words and p, and the expressions that give its columns back."""
+    safe = [f"c{i}__" for i in range(len(docs.columns))]
+    scored = posteriors(docs.toDF(*safe), model, safe[docs.columns.index(text_col)], safe)
+    return scored, [F.col(s).alias(c) for s, c in zip(safe, docs.columns)]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 1 << 16) -> SubwordModel:
@@ -204,8 +211,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
     label 1; also for empty and null texts) and predicted (1 from ``threshold`` on). Only the text
     enters a score. Null labels or identifiers teach nothing; repeated documents score alike.
     """
-    from eventloom.llm.common import fold
-
     own = texts(docs, id_col, text_col)
     known = (
         labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("cls"))
@@ -216,3 +221,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
         "doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("p")[1].alias("score"),
         (F.col("p")[1] >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_sound(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that ``score_quality`` predicts to be good, columns unchanged."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("cls")).filter(
+        F.col("doc_id").isNotNull() & F.col("cls").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)
+    )
+    scored, back = scored_rows(docs, fit_quality(texts(docs), known, per_class))
+    return scored.filter(F.col("p")[1] >= threshold).select(*back)
