@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,9 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of an Arrow batch with at most ``limit`` characters in ``column`` (one row at least)."""
+    """Slices of an Arrow batch with at most ``limit`` bytes in ``column`` (one row at least)."""
     start, held = 0, 0
-    lengths = [len(v.as_py() or "") for v in batch.column(column)] if batch.num_rows else []
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for at, n in enumerate(lengths):
         if held and held + n > limit:
             yield batch.slice(start, at - start)

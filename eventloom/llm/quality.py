@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import fold, sha, texts
+from eventloom.llm.common import fold, pieces, sha, texts
 
+#: Bytes of text scored at once, and the multiplier of the subword hashes.
+CHUNK, BASE = 1 << 20, np.uint64(0x9E3779B97F4A7C15)
 END = "</s>"
 #: Stands beside every word that equals the word before it: the word bigrams of equal words share it.
 AGAIN = "\x00again"
@@ -30,18 +32,32 @@ def words_of(text: str) -> list[str]:
     return words + marks(words)
 
 
-def subwords(word: str, buckets: int, sizes: tuple[int, ...]) -> list[int]:
-    """Buckets of the word and of its character n-grams between word marks."""
-    marked = f"<{word}>"
-    raw = marked.encode()
-    out = [crc32(raw) % buckets]
-    if len(raw) == len(marked):
-        for n in sizes:
-            out += [crc32(raw[i:i + n], n) % buckets for i in range(len(raw) - n + 1)]
-    else:
-        for n in sizes:
-            out += [crc32(marked[i:i + n].encode(), n) % buckets for i in range(len(marked) - n + 1)]
-    return out
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def subwords(words: list[str], buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words and of their character n-grams between word marks, and the word that each belongs to."""
+    marked = [f"<{w}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    starts = np.cumsum(lengths) - lengths
+    word, at = np.repeat(np.arange(len(marked)), lengths), np.arange(len(codes))
+    powers = np.cumprod(np.full(lengths.max(initial=1), BASE, np.uint64))
+    hashes, owners = [np.add.reduceat(codes * powers[at - starts[word]], starts)], [np.arange(len(marked))]
+    ends = (starts + lengths)[word]
+    for n in sizes:
+        m = max(0, len(codes) - n + 1)
+        gram = np.full(m, n, np.uint64)
+        for k in range(n):
+            gram = gram * BASE + codes[k:k + m]
+        inside = at[:m] + n <= ends[:m]
+        hashes.append(gram[inside])
+        owners.append(word[:m][inside])
+    return (mix(np.concatenate(hashes)) % np.uint64(buckets)).astype(np.int64), np.concatenate(owners)
 
 
 class SubwordModel:
@@ -58,25 +74,17 @@ class SubwordModel:
         self.vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
         self.out = np.zeros((n_classes, dim), np.float32)
 
-    def features(self, text: str, known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets of a text and their shares."""
-        total: Counter[int] = Counter()
-        for word, n in Counter(words_of(text)).items():
-            ids = None if known is None else known.get(word)
-            if ids is None:
-                ids = subwords(word, self.buckets, self.sizes)
-                if known is not None:
-                    known[word] = ids
-            for i in ids:
-                total[i] += n
-        ids = np.fromiter(total.keys(), np.int64, len(total))
-        share = np.fromiter(total.values(), np.float32, len(total))
-        return ids, share / share.sum()
+        counted = Counter(words_of(text))
+        ids, owner = subwords(list(counted), self.buckets, self.sizes)
+        weights = np.fromiter(counted.values(), np.float64, len(counted))[owner]
+        ids, place = np.unique(ids, return_inverse=True)
+        share = np.bincount(place, weights=weights)
+        return ids, (share / share.sum()).astype(np.float32)
 
     def fit(self, rows: list[tuple[str, int]], epochs: int = 5, rate: float = 3.0, seed: int = 11) -> SubwordModel:
-        known: dict[str, list[int]] = {}
-        docs = [(*self.features(text, known), label) for text, label in rows]
-        known.clear()
+        docs = [(*self.features(text), label) for text, label in rows]
         rng, steps, step = np.random.default_rng(seed), max(1, epochs * len(docs)), 0
         for _ in range(epochs):
             for k in rng.permutation(len(docs)):
@@ -102,36 +110,38 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-class Scorer(dict):
+class Scorer:
     """Class probabilities of whole texts; remembers the logit sums of up to ``keep`` words."""
 
-    def __init__(self, folded: np.ndarray, sizes: tuple[int, ...], keep: int = 300_000):
+    def __init__(self, folded: np.ndarray, sizes: tuple[int, ...], keep: int = 400_000):
         self.logits, self.sizes, self.keep = folded, sizes, keep
-        self.sums = np.zeros((keep, folded.shape[1] + 1))
-
-    def of_word(self, word: str) -> np.ndarray:
-        ids = subwords(word, len(self.logits), self.sizes)
-        return np.append(self.logits[ids].sum(axis=0), len(ids))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.sums[at] = self.of_word(word)
-        self[word] = at
-        return at
-
-    def score(self, text: str) -> tuple[int, np.ndarray]:
-        """Number of words, and class probabilities."""
-        words = text.split()
-        n_words = len(words)
-        words += marks(words)
-        total = np.zeros(self.sums.shape[1])
-        for start in range(0, len(words), 20_000):
-            part = words[start:start + 20_000]
-            if len(self) + len(part) > self.keep:
-                self.clear()
-            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            total += self.sums[at].sum(axis=0)
-        return n_words, softmax(total[:-1] / total[-1])
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((0, folded.shape[1] + 1))
+
+    def learn(self, words: list[str]) -> None:
+        """Add up the logits of the subwords of words not met before."""
+        if len(self.known) + len(words) > self.keep:
+            self.known, self.sums = {}, self.sums[:0]
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        ids, owner = subwords(new, len(self.logits), self.sizes)
+        sums = [np.bincount(owner, weights=column[ids], minlength=len(new)) for column in self.logits.T]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.sums = np.concatenate([self.sums, np.stack([*sums, np.bincount(owner, minlength=len(new))], axis=1)])
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of words, and class probabilities, of every text."""
+        docs = [text.split() for text in texts]
+        n_words = np.fromiter(map(len, docs), np.int64, len(docs))
+        for doc in docs:
+            doc += marks(doc)
+        words = list(chain.from_iterable(docs))
+        self.learn(list(set(words)))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        total = np.add.reduceat(self.sums[at], np.cumsum(lengths) - lengths, axis=0)
+        return n_words, softmax(total[:, :-1] / total[:, -1:])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> list[tuple[str, int]]:
@@ -182,10 +192,10 @@ def posteriors(docs: DataFrame, model: SubwordModel, text_col: str = "text", kee
             _SCORERS[name] = Scorer(shared.value, sizes)
         scorer = _SCORERS[name]
         for batch in batches:
-            found = [scorer.score(t.as_py() or "") for t in batch.column(text_col)]
-            columns = [batch.column(f.name) for f in fields]
-            columns += [pa.array([n for n, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "n_words", "p"])
+            for piece in pieces(batch, text_col, CHUNK):
+                n_words, p = scorer.score([t.as_py() or "" for t in piece.column(text_col)])
+                columns = [*[piece.column(f.name) for f in fields], pa.array(n_words), pa.array(list(p), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "n_words", "p"])
 
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     return docs.select(*dict.fromkeys([*[f.name for f in fields], text_col])).mapInArrow(run, schema)

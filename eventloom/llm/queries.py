@@ -139,3 +139,10 @@ def op4(spark, sf_dir):
     from eventloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ppm")
+def op5(spark, sf_dir):
+    from eventloom.llm.ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
