@@ -17,7 +17,7 @@ from eventloom.session import cut_lineage
 
 #: Symbols: bytes, the end of a text, and the mark that fills contexts before its start.
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
-ORDER = 4
+ORDER = 5
 #: A context or symbol is a node of the trie when at least one of so many training symbols is its own,
 #: so an order has at most so many nodes however large the corpus is.
 SHARE = 1 << 22

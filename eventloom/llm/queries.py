@@ -146,3 +146,10 @@ def op5(spark, sf_dir):
     from eventloom.llm.ppm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    from eventloom.llm.suffix import remove_repeats, removal_digests
+
+    return removal_digests(remove_repeats(table(spark, sf_dir, "documents")))
