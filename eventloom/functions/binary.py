@@ -72,6 +72,16 @@ def lane_decodes(raw) -> Column:
     )
 
 
+def lane_decodes_sql(raw: str) -> str:
+    """SQL lists of the names and values of ``lane_decodes``."""
+    low, high, part, power = f"({raw} & 65535)", f"({raw} >> 16)", f"({raw} & 8388607)", f"(({raw} >> 23) & 255)"
+    signed = [f"CASE WHEN {x} >= {1 << n - 1} THEN {x} - {1 << n} ELSE {x} END" for x, n in ((raw, 32), (low, 16), (high, 16))]
+    size = f"CASE WHEN {power} = 255 THEN 'NaN'::DOUBLE WHEN {power} = 0 THEN {part} * pow(2.0, -149) ELSE (1 + {part} / 8388608.0) * pow(2.0, {power} - 127) END"
+    real = f"(CASE WHEN {raw} >= 2147483648 THEN -1 ELSE 1 END) * ({size})"
+    values = [raw, signed[0], real, low, high, signed[1], signed[2], *[f"({raw} >> {8 * i}) & 255" for i in range(4)]]
+    return ", ".join(["unnest([" + ", ".join(f"'{d}'" for d in DECODES) + "]) AS decode", "unnest([" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "]) AS decoded"])
+
+
 def bit_slice(value, start: int, width: int) -> Column:
     return F.shiftright(col(value).cast("long"), start).bitwiseAND(F.lit((1 << width) - 1))
 

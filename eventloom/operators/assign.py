@@ -12,15 +12,9 @@ from pyspark.sql import functions as F
 from eventloom.functions import stats as s
 from eventloom.operators import ordered as o
 
-EXACT_LIMIT = 12  # slots and entities solved exactly; above it the greedy rule applies
-
-
-def edges(matches: DataFrame, group, slot: str, entity: str, score: Column, per_slot: int | None = None) -> DataFrame:
-    """Best score per (group, slot, entity), optionally the best ``per_slot`` entities of a slot."""
-    e = matches.groupBy(*group, slot, entity).agg(F.max(score).alias("score"))
-    if per_slot:
-        e = o.top_k(e, [*group, slot], [F.desc("score"), F.asc(entity)], per_slot)
-    return e
+def edges(matches: DataFrame, group, slot: str, entity: str, score: Column) -> DataFrame:
+    """Best score per (group, slot, entity)."""
+    return matches.groupBy(*group, slot, entity).agg(F.max(score).alias("score"))
 
 
 def greedy_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFrame:
@@ -47,7 +41,7 @@ def greedy_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFra
 
 
 def optimal_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFrame:
-    """Best total score one-to-one, by a bitmask over entities; greedy above 12 slots.
+    """Best total score one-to-one, by the Hungarian method at every size; slots may stay empty.
 
     A group holds at most slots × entities edges because ``edges`` reduced it beforehand.
     """
@@ -57,20 +51,14 @@ def optimal_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFr
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in cols)
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        by_slot: dict = {}
-        names = {e: i for i, e in enumerate(sorted({r[-2] for r in rows}))}
+        slots = {v: i for i, v in enumerate(dict.fromkeys(r[-3] for r in rows))}
+        names = {v: i for i, v in enumerate(sorted({r[-2] for r in rows}))}
+        score = np.full((len(slots), len(names)), -np.inf)
+        row_of = {}
         for i, (*_, sl, en, sc) in enumerate(rows):
-            by_slot.setdefault(sl, []).append((sc, names[en], i))
-        if max(len(by_slot), len(names)) > EXACT_LIMIT:
-            picked, used = [], (set(), set())
-            for _, sl, en, i in sorted((-sc, sl, en, i) for sl, es in by_slot.items() for sc, en, i in es):
-                if sl not in used[0] and en not in used[1]:
-                    used[0].add(sl)
-                    used[1].add(en)
-                    picked.append(i)
-        else:
-            picked = _bitmask_best(list(by_slot.values()), len(names))
-        return [rows[i] for i in picked]
+            score[slots[sl], names[en]] = sc
+            row_of[slots[sl], names[en]] = i
+        return [rows[row_of[pair]] for pair in best_pairs(score)]
 
     def run(batches):
         head, held = None, []
@@ -90,34 +78,43 @@ def optimal_assignment(edge: DataFrame, group, slot: str, entity: str) -> DataFr
     return placed.mapInPandas(run, ddl)
 
 
-def _bitmask_best(slots: list[list[tuple[float, int, int]]], entities: int) -> list[int]:
-    """Row numbers of the best one-to-one choice; every slot may stay empty.
+def best_pairs(score: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one choice of cells with the largest total; -inf marks a missing cell, rows may stay empty.
 
-    ``best[mask]`` is the best total with exactly those entities used; each slot extends all
-    masks at once.
+    Shortest augmenting paths with potentials, O(rows^2 (rows + columns)). Every row has an empty
+    column of its own at (almost) zero, so a cell of score zero is preferred to none.
     """
-    masks = np.arange(1 << entities)
-    free = [masks[(masks >> bit & 1) == 0] for bit in range(entities)]
-    best = np.full(len(masks), -np.inf)
-    best[0] = 0.0
-    steps = []
-    for options in slots:
-        grown, took = best.copy(), np.full(len(masks), -1)
-        for n, (score, bit, _) in enumerate(options):
-            to = free[bit] | (1 << bit)
-            value = best[free[bit]] + score
-            better = value > grown[to]
-            grown[to[better]], took[to[better]] = value[better], n
-        steps.append(took)
-        best = grown
-    mask = max((int(v) for v in masks[best == best.max()]), key=int.bit_count)
-    picked = []
-    for options, took in zip(reversed(slots), reversed(steps)):
-        if took[mask] >= 0:
-            score, bit, row = options[took[mask]]
-            picked.append(row)
-            mask ^= 1 << bit
-    return picked
+    n, m = score.shape
+    edge = np.isfinite(score)
+    high = float(np.abs(score[edge]).max(initial=0.0)) + 1.0
+    cost = np.full((n, m + n), np.inf)
+    cost[:, :m][edge] = -score[edge]
+    cost[np.arange(n), m + np.arange(n)] = 1e-12 * high
+    row_at = np.full(m + n + 1, -1)  # the last column is the start of every path
+    u, v = np.zeros(n), np.zeros(m + n + 1)
+    for i in range(n):
+        row_at[-1] = i
+        col, least, back, done = m + n, np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n + 1, bool)
+        while True:
+            done[col] = True
+            r = row_at[col]
+            open_ = ~done[:-1]
+            reach = cost[r] - u[r] - v[:-1]
+            better = open_ & (reach < least)
+            least[better], back[better] = reach[better], col
+            nxt = int(np.where(open_, least, np.inf).argmin())
+            step = least[nxt]
+            held = np.flatnonzero(done)
+            u[row_at[held]] += step
+            v[held] -= step
+            least[open_] -= step
+            col = nxt
+            if row_at[col] < 0:
+                break
+        while col != m + n:
+            row_at[col] = row_at[back[col]]
+            col = back[col]
+    return [(int(row_at[c]), c) for c in range(m) if row_at[c] >= 0]
 
 
 def independent_best(edge: DataFrame, group, slot: str, entity: str) -> DataFrame:

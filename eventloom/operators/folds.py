@@ -120,7 +120,7 @@ def _apply_group(mask: int, removals: list[int], adds: int, policy: str, trace=N
     return mask
 
 
-def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str, short_track: int = 100_000) -> DataFrame:
+def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str) -> DataFrame:
     """Slot of every add and removal under a 7-slot placement policy, in parallel.
 
     Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks.
@@ -135,12 +135,8 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
     # removals of a time run before its adds
     sort = [t, "_add", *[c for c in order if c != t]]
     rows = base.select(*dict.fromkeys([*group, *sort, "_slot"]))
-    long = base.groupBy(*track).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > short_track)
-    rows = rows.join(long.select(*track, F.lit(True).alias("_long")), track, "left")
-    rows = rows.withColumn("_blk", F.when(F.col("_long"), F.col("_blk")))
 
     def placed(frame: DataFrame) -> DataFrame:
-        frame = frame.withColumn("_blk", F.coalesce("_blk", F.lit(0).cast("long")))
         return frame.repartition(*group).sortWithinPartitions(*group, *sort)
 
     def tabulate(batches):
@@ -175,7 +171,7 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
             yield pd.DataFrame([(*head, list(now))], columns=names)
 
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in group)
-    tables = placed(rows.filter("_long").drop("_long")).mapInPandas(tabulate, f"{ddl}, table array<int>")
+    tables = placed(rows).mapInPandas(tabulate, f"{ddl}, table array<int>")
     # start masks: fold the ordered tables of a track; one 128-entry row per block
     ordered = tables.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("_blk", "table"))).alias("_t"))
     starts = F.aggregate(
@@ -225,7 +221,7 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
         if head is not None:
             yield pd.DataFrame(settle()[1], columns=names)
 
-    staged = rows.drop("_long").join(starts, group, "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
+    staged = rows.join(starts, group)
     return placed(staged).mapInPandas(replay, out_ddl)
 
 

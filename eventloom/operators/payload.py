@@ -56,7 +56,7 @@ def differential(pairs: DataFrame, left: str, right: str, top: int) -> DataFrame
     return out.orderBy(F.desc("equal_rate"), F.desc("pairs"), "pos").limit(top)
 
 
-def ngrams(df: DataFrame, keys, payload: str, size: int, min_count: int) -> DataFrame:
+def ngrams(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
     """Byte n-grams of whole payloads with counts and distinct offsets."""
     p = F.col(payload)
     last = F.octet_length(p) - size
@@ -65,7 +65,7 @@ def ngrams(df: DataFrame, keys, payload: str, size: int, min_count: int) -> Data
     rows = df.select(*keys, F.explode(grams).alias("_g")).select(*keys, "_g.*")
     # collapse to (gram, offset) first: a hot gram then merges from few rows
     spots = rows.groupBy(*keys, "gram", "pos").agg(F.count("*").alias("n"))
-    return spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets")).filter(F.col("n") >= min_count)
+    return spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets"))
 
 
 def common_prefix(cells: DataFrame, keys) -> DataFrame:

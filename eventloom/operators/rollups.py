@@ -37,7 +37,8 @@ def window_aggregate(matches: DataFrame, window, metric, participant: str, order
         F.avg(score).alias("average_score"),
         (F.avg(score) * (0.5 + support) * (0.5 + F.count_if(F.col(passes)) / n)).alias("aggregate"),
     )
-    return o.best(agg, window, [F.desc("aggregate"), *[F.asc(c) for c in metric]])
+    # rounded, so that sums in another order rank alike
+    return o.best(agg, window, [F.desc(F.round("aggregate", 9)), *[F.asc(c) for c in metric]])
 
 
 def pattern_confidence(effective: Column, rows: Column, participants: Column, validator: Column) -> Column:
@@ -46,10 +47,12 @@ def pattern_confidence(effective: Column, rows: Column, participants: Column, va
 
 
 def qualifies(participants, correlation, nrmse, validator) -> Column:
-    """At least 6 participants, correlation .5, nRMSE at most 1 and validator .6 (fixed values)."""
-    return (
-        (F.col(participants) >= 6) & (F.col(correlation) >= 0.5) & (F.col(nrmse) <= 1.0) & (F.col(validator) >= 0.6)
-    )
+    """At least 6 participants, correlation .5, nRMSE at most 1 and validator .6 (fixed values).
+
+    Means are rounded to nine digits first, so that sums in another order compare alike.
+    """
+    c, n, v = (F.round(x, 9) for x in (correlation, nrmse, validator))
+    return (F.col(participants) >= 6) & (c >= 0.5) & (n <= 1.0) & (v >= 0.6)
 
 
 def leave_one_out(entries: DataFrame, group: Sequence[str], match: str, qualified: str, match_counts: DataFrame, version: str):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -37,27 +38,23 @@ class Field:
         """Values as float64; NaN where the record is too short."""
         if self.kind == "bits":
             byte, inner = divmod(self.offset, 8)
-            raw = self._word(data, size, byte, -(-(inner + self.width) // 8), 1)
-            if raw is None:
-                return np.full(len(data), np.nan)
+            raw, ok = self._word(data, size, byte, -(-(inner + self.width) // 8), 1)
             total = 8 * -(-(inner + self.width) // 8)
             shift = inner if self.little else total - inner - self.width
-            return ((raw >> shift) & ((1 << self.width) - 1)).astype(np.float64)
-        raw = self._word(data, size, self.offset, self.width, self.stride)
-        if raw is None:
-            return np.full(len(data), np.nan)
-        if self.kind == "f":
-            return raw.astype(np.uint32).view(np.float32).astype(np.float64)
-        return raw.astype(np.float64)
+            return np.where(ok, ((raw >> shift) & ((1 << self.width) - 1)).astype(np.float64), np.nan)
+        raw, ok = self._word(data, size, self.offset, self.width, self.stride)
+        value = raw.astype(np.uint32).view(np.float32) if self.kind == "f" else raw
+        return np.where(ok, value.astype(np.float64), np.nan)
 
     def _word(self, data, size, first, width, stride):
         base = size - first - ((width - 1) * stride + 1) if self.from_end else np.full(len(data), first)
         at = base[:, None] + stride * np.arange(width)[None, :]
-        if (at < 0).any() or (at >= size[:, None]).any():
-            return None
-        cells = np.take_along_axis(data, at, axis=1).astype(np.int64)
+        ok = ((at >= 0) & (at < size[:, None])).all(axis=1)
+        if not ok.any():
+            return np.zeros(len(data), np.int64), ok
+        cells = np.take_along_axis(data, np.where(ok[:, None], at, 0), axis=1).astype(np.int64)
         places = np.arange(width) if self.little else np.arange(width)[::-1]
-        return (cells << (8 * places)[None, :]).sum(axis=1)
+        return (cells << (8 * places)[None, :]).sum(axis=1), ok
 
 
 def moments(df: DataFrame, entity: Sequence[str], arr: str, targets: Sequence[str], fields: Sequence[Field], center: Mapping[str, float] | None = None) -> DataFrame:
@@ -74,7 +71,7 @@ def moments(df: DataFrame, entity: Sequence[str], arr: str, targets: Sequence[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            groups = pdf.groupby(entity, sort=False) if entity else [((), pdf)]
+            groups = pdf.groupby(entity, sort=False, dropna=False) if entity else [((), pdf)]
             for key, part in groups:
                 size = part[arr].map(len).to_numpy()
                 data = np.zeros((len(part), int(size.max()) if len(part) else 0), dtype=np.uint8)
@@ -194,7 +191,7 @@ def pair_moments(df: DataFrame, keys: Sequence[str], arr: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in part[arr]]) - 128.0
                 gram, tot = x.T @ x, x.sum(axis=0)
                 a, b = np.triu_indices(x.shape[1], k=1)
@@ -380,12 +377,15 @@ def exact_unions(patterns: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).filter("covered = total").drop("total")  # one-row side
 
 
-def greedy_cover(patterns: DataFrame, rounds: int = 64) -> DataFrame:
-    """Clean offsets in greedy order: each takes the offset covering most of what is left."""
+def greedy_cover(patterns: DataFrame) -> DataFrame:
+    """Clean offsets in greedy order: each takes the offset covering most of what is left.
+
+    Every round settles one offset, so there are at most as many rounds (and result rows) as offsets.
+    """
     from eventloom.session import cut_lineage
 
     spark, left, steps = patterns.sparkSession, cut_lineage(patterns), []
-    for step in range(1, rounds + 1):
+    for step in count(1):
         gain = left.select("n", F.explode("pattern").alias("offset")).groupBy("offset").agg(F.sum("n").alias("gain"))
         best = gain.orderBy(F.desc("gain"), "offset").first()  # one row
         if best is None:

@@ -17,8 +17,8 @@ GROUP = ["match_id", "family_key"]
 EDGE = """WITH e AS (SELECT match_id, family_key, slot_index, participant_id, max(score + correlation / 10) AS score FROM {cm} GROUP BY 1, 2, 3, 4)"""
 
 
-def _edges(x, per_slot=None):
-    return a.edges(x.cm, GROUP, "slot_index", "participant_id", F.col("score") + F.col("correlation") / 10, per_slot)
+def _edges(x):
+    return a.edges(x.cm, GROUP, "slot_index", "participant_id", F.col("score") + F.col("correlation") / 10)
 
 
 @query("J28_greedy_assignment", EDGE.replace("WITH e", "WITH RECURSIVE e") + """, r AS (SELECT *, row_number() OVER (PARTITION BY match_id, family_key ORDER BY score DESC, slot_index, participant_id) AS n FROM e), z AS (SELECT match_id, family_key, max(n) AS mx FROM r GROUP BY 1, 2),
@@ -30,9 +30,15 @@ def greedy_assignment(x):
     return a.greedy_assignment(_edges(x), GROUP, "slot_index", "participant_id")
 
 
-@query("J29_optimal_assignment")
+@query("J29_optimal_assignment", EDGE.replace("WITH e", "WITH RECURSIVE e") + """, g AS (SELECT DISTINCT match_id, family_key FROM e), lim AS (SELECT max(participant_id) AS hi FROM e),
+d AS (SELECT match_id, family_key, CAST(-1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n FROM g UNION ALL
+ SELECT match_id, family_key, p, used, max(total), max(n) FROM (
+  SELECT d.match_id, d.family_key, d.p + 1 AS p, d.used, d.total, d.n FROM d WHERE d.p < (SELECT hi FROM lim) UNION ALL
+  SELECT d.match_id, d.family_key, d.p + 1, d.used | (1 << e.slot_index), d.total + e.score, d.n + 1 FROM d JOIN e ON e.match_id = d.match_id AND e.family_key = d.family_key AND e.participant_id = d.p + 1
+  WHERE (d.used >> e.slot_index) & 1 = 0) GROUP BY 1, 2, 3, 4)
+SELECT match_id, family_key, max(n) AS assigned, R6(max(total)) AS total FROM (SELECT *, max(total) OVER (PARTITION BY match_id, family_key) AS best FROM d WHERE p = (SELECT hi FROM lim)) WHERE total > best - 1e-9 GROUP BY 1, 2""")
 def optimal_assignment(x):
-    out = a.optimal_assignment(_edges(x, 8), GROUP, "slot_index", "participant_id")
+    out = a.optimal_assignment(_edges(x), GROUP, "slot_index", "participant_id")
     return out.groupBy(*GROUP).agg(F.count("*").alias("assigned"), F.sum("score").alias("total"))
 
 

@@ -9,7 +9,7 @@ from eventloom.operators import ordered as o
 from eventloom.operators import sequences as sq
 from eventloom.operators import timejoin as tj
 from eventloom.plans.registry import query
-from eventloom.plans.standins import DAY_MS, TX_BLOCK_MS, TX_ORDER
+from eventloom.plans.standins import DAY_MS, MATCH_CUT, TX_BLOCK_MS, TX_ORDER, with_part
 
 YEAR = TX_BLOCK_MS
 TXO = "t, o1, o2, o3, o4"
@@ -58,7 +58,7 @@ def lifecycle_summary(x):
 
 
 SIG = f"""WITH g AS (SELECT match_id, t, string_agg(flag || ':' || CAST(item_id AS VARCHAR), '>' ORDER BY o1, o2, o3, o4) AS signature, CASE WHEN min(entity) = max(entity) THEN min(entity) ELSE 'FO' END AS label FROM {{tx}} GROUP BY 1, 2),
-tp AS (SELECT signature, min(label) AS label, count(*) AS support FROM g WHERE match_id < 70 GROUP BY 1 HAVING count(*) >= 2 AND min(label) = max(label))"""
+tp AS (SELECT signature, min(label) AS label, count(*) AS support FROM g WHERE match_id < {MATCH_CUT} GROUP BY 1 HAVING count(*) >= 2 AND min(label) = max(label))"""
 
 
 def _groups(x):
@@ -68,13 +68,13 @@ def _groups(x):
     return g.select("match_id", "t", sig.alias("signature"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("FO").alias("label"))
 
 
-@query("I4_bundle_templates", SIG + """ SELECT CASE WHEN g.match_id < 70 THEN 'discovery' ELSE 'holdout' END AS part, count(*) AS groups, count(tp.label) AS candidates, count(*) FILTER (tp.label = g.label) AS exact, count(*) FILTER (tp.label <> g.label) AS wrong FROM g LEFT JOIN tp USING (signature) GROUP BY 1""")
+@query("I4_bundle_templates", SIG + f""" SELECT CASE WHEN g.match_id < {MATCH_CUT} THEN 'discovery' ELSE 'holdout' END AS part, count(*) AS groups, count(tp.label) AS candidates, count(*) FILTER (tp.label = g.label) AS exact, count(*) FILTER (tp.label <> g.label) AS wrong FROM g LEFT JOIN tp USING (signature) GROUP BY 1""")
 def bundle_templates(x):
     """Signatures with one label in discovery become templates; scored on both partitions."""
-    g = _groups(x)
-    tp = g.filter("match_id < 70").groupBy("signature").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("n >= 2 AND a = b")
+    g = with_part(_groups(x), x.tx, "match_id")
+    tp = g.filter("early").groupBy("signature").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("n >= 2 AND a = b")
     out = g.join(tp.select("signature", F.col("a").alias("tl")), "signature", "left")
-    return out.groupBy(F.when(F.col("match_id") < 70, "discovery").otherwise("holdout").alias("part")).agg(
+    return out.groupBy(F.when(F.col("early"), "discovery").otherwise("holdout").alias("part")).agg(
         F.count("*").alias("groups"), F.count("tl").alias("candidates"), F.count_if(F.col("tl") == F.col("label")).alias("exact"), F.count_if(F.col("tl") != F.col("label")).alias("wrong")
     )
 

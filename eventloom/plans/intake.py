@@ -144,10 +144,10 @@ def profile_lookup(x):
 
 
 @query("A7_timeline_metrics", """WITH f AS (SELECT match_id, t // 86400000 AS day, max(t) AS t, count(*) AS level, max(k) AS xp FROM {ev} GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY day) - 1 AS frame FROM f)
-SELECT CAST(match_id AS VARCHAR) AS match, frame, t, unnest(['level', 'xp']) AS metric, R6(unnest([level, xp])) AS value FROM n""")
+SELECT CAST(match_id AS VARCHAR) AS match, frame, t, unnest(['1', '1', '2', '2']) AS participant_id, unnest(['level', 'xp', 'level', 'xp']) AS metric, R6(unnest([level, xp, 1, 2])) AS value FROM n""")
 def timeline_metrics(x):
     m = bd.timeline_metrics(_timeline(x), ["match"], "frames", ["level", "xp"])
-    return m.filter("participant_id = '1'").drop("participant_id")
+    return m
 
 
 @query("A7_timeline_events", """WITH f AS (SELECT *, dense_rank() OVER (PARTITION BY match_id ORDER BY t // 86400000) - 1 AS frame FROM {ev}) SELECT CAST(match_id AS VARCHAR) AS match, frame, row_number() OVER (PARTITION BY match_id, frame ORDER BY t, event_id) - 1 AS event_index, entity AS type, t AS timestamp, k AS participantid, event_id AS itemid FROM f""")

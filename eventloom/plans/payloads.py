@@ -33,24 +33,24 @@ def payload_differential(x):
 
 
 @query("D23_byte_ngrams", """WITH g AS (SELECT packet_type, unnest(range(greatest(len - 3, 0))) AS pos, hx FROM {pk}), r AS (SELECT packet_type, pos, substr(hx, CAST(2 * pos + 1 AS BIGINT), 8) AS gram FROM g)
-SELECT packet_type, gram, count(*) AS n, count(DISTINCT pos) AS offsets FROM r GROUP BY 1, 2 HAVING count(*) >= 20""")
+SELECT packet_type, gram, count(*) AS n, count(DISTINCT pos) AS offsets FROM r GROUP BY 1, 2""")
 def byte_ngrams(x):
-    return pl.ngrams(x.pk, ["packet_type"], "payload", 4, 20)
+    return pl.ngrams(x.pk, ["packet_type"], "payload", 4)
 
 
 def _ngram_sql(size):
     return f"""WITH g AS (SELECT packet_type, unnest(range(greatest(len - {size - 1}, 0))) AS pos, hx FROM {{pk}}), r AS (SELECT packet_type, pos, substr(hx, CAST(2 * pos + 1 AS BIGINT), {2 * size}) AS gram FROM g)
-SELECT packet_type, gram, count(*) AS n, count(DISTINCT pos) AS offsets FROM r GROUP BY 1, 2 HAVING count(*) >= 8"""
+SELECT packet_type, gram, count(*) AS n, count(DISTINCT pos) AS offsets FROM r GROUP BY 1, 2"""
 
 
 @query("D23_byte_ngrams_6", _ngram_sql(6))
 def byte_ngrams_6(x):
-    return pl.ngrams(x.pk, ["packet_type"], "payload", 6, 8)
+    return pl.ngrams(x.pk, ["packet_type"], "payload", 6)
 
 
 @query("D23_byte_ngrams_8", _ngram_sql(8))
 def byte_ngrams_8(x):
-    return pl.ngrams(x.pk, ["packet_type"], "payload", 8, 8)
+    return pl.ngrams(x.pk, ["packet_type"], "payload", 8)
 
 
 @query("D23_byte_counts", "SELECT packet_type, b AS word, count(*) AS n FROM {byt} GROUP BY 1, 2")
@@ -277,12 +277,16 @@ def cleaned_rows(x):
     return o.top_k(d.union(m).distinct(), ["family"], [F.asc("slot")], 10)
 
 
-LANES = """WITH l AS (SELECT family, rec_id, pos // 4 AS lane, sum(b << (8 * (pos % 4))) AS raw FROM {cell} GROUP BY 1, 2, 3),
-dec1 AS (SELECT family, rec_id, lane, unnest(['u32', 'u16lo', 'i16hi', 'u8_2']) AS decode, unnest([CAST(raw AS BIGINT), CAST(raw AS BIGINT) & 65535, CASE WHEN (CAST(raw AS BIGINT) >> 16) >= 32768 THEN (CAST(raw AS BIGINT) >> 16) - 65536 ELSE CAST(raw AS BIGINT) >> 16 END, (CAST(raw AS BIGINT) >> 16) & 255]) AS decoded FROM l)"""
+LANES = f"""WITH l AS (SELECT family, rec_id, pos // 4 AS lane, sum(b << (8 * (pos % 4))) AS raw FROM {{cell}} GROUP BY 1, 2, 3),
+dec1 AS (SELECT * FROM (SELECT family, rec_id, lane, {bn.lane_decodes_sql("raw")} FROM (SELECT * REPLACE (CAST(raw AS BIGINT) AS raw) FROM l)) WHERE abs(decoded) < 1e9 OR decode <> 'f32')"""
 FIELDS = """, q AS (SELECT *, lag(decoded) OVER (PARTITION BY family, lane, decode ORDER BY rec_id) AS p FROM {src})
 SELECT family, lane, decode, count(*) AS samples, count(*) FILTER (decoded <> 0) AS active, count(DISTINCT decoded) AS unique_values, count(*) FILTER (p IS NOT NULL AND decoded <> p) AS changed, R6(min(decoded)) AS low, R6(max(decoded)) AS high FROM q GROUP BY 1, 2, 3 HAVING count(*) FILTER (decoded <> 0) >= 4"""
 
 
+#: Float readings that are not numbers of a usual size mean nothing.
+PLAIN = "abs(decoded) < 1e9 OR decode <> 'f32'"
+
+
 def _lanes(x):
     """32-bit little-endian lanes of each record with all decodes."""
     word = [F.element_at("arr", (F.col("lane") * 4 + i + 1).cast("int")) for i in range(4)]
@@ -294,7 +298,7 @@ def _lanes(x):
 
 @query("J43_row_offset_fields", LANES + FIELDS.format(src="dec1"))
 def row_offset_fields(x):
-    lanes = _lanes(x).filter(F.col("decode").isin("u32", "u16lo", "i16hi", "u8_2"))
+    lanes = _lanes(x).filter(PLAIN)
     return pl.row_offset_fields(lanes, ["family", "lane", "decode"], ["rec_id"], recblk(), 4)
 
 
@@ -302,7 +306,7 @@ def row_offset_fields(x):
 keep AS (SELECT dec1.* FROM dec1 ANTI JOIN sig ON dec1.family = sig.family AND dec1.lane = sig.lane)""" + FIELDS.format(src="keep"))
 def clean_row_offset_fields(x):
     """As the row-offset scan, after dropping marker lanes: first byte within a span of 50 (our rule)."""
-    lanes = _lanes(x).filter(F.col("decode").isin("u32", "u16lo", "i16hi", "u8_2"))
+    lanes = _lanes(x).filter(PLAIN)
     first = F.col("raw").bitwiseAND(F.lit(255))
     sig = lanes.filter("decode = 'u32'").groupBy("family", "lane").agg((F.max(first) - F.min(first)).alias("sp")).filter("sp <= 50")
     keep = lanes.join(sig, ["family", "lane"], "left_anti")

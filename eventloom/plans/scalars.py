@@ -38,11 +38,10 @@ def float32_reinterpret(x):
     return out.filter(F.shiftright("raw", 23).bitwiseAND(F.lit(255)) < 255).select(*P, (F.col("f") / 2.0**100).alias("scaled"))
 
 
-@query("H3_lane_decodes", f"""WITH r AS (SELECT match_id, block_index, {hx(4, 4)} AS raw FROM {{pk}}) SELECT match_id, block_index, unnest(['u32', 'i32', 'u16lo', 'u16hi', 'i16lo', 'u8_0', 'u8_3']) AS decode,
- R6(unnest([raw, CASE WHEN raw >= 2147483648 THEN raw - 4294967296 ELSE raw END, raw & 65535, raw >> 16, CASE WHEN (raw & 65535) >= 32768 THEN (raw & 65535) - 65536 ELSE raw & 65535 END, raw & 255, raw >> 24])) AS decoded FROM r""")
+@query("H3_lane_decodes", f"""WITH r AS (SELECT match_id, block_index, {hx(4, 4)} AS raw FROM {{pk}}) SELECT match_id, block_index, decode, R6(decoded) AS decoded FROM (SELECT match_id, block_index, {bn.lane_decodes_sql("raw")} FROM r) WHERE abs(decoded) < 1e9 OR decode <> 'f32'""")
 def lane_decodes(x):
     d = x.pk.select(*P, F.explode(bn.lane_decodes(bn.read_uint("payload", 4, 4))).alias("d")).select(*P, "d.*")
-    return d.filter(F.col("decode").isin("u32", "i32", "u16lo", "u16hi", "i16lo", "u8_0", "u8_3"))
+    return d.filter((F.abs("decoded") < 1e9) | (F.col("decode") != "f32"))
 
 
 @query("H4_bit_slices", f"""SELECT match_id, block_index, ({hx(0, 2)} >> 3) & 1023 AS little10, ({hx(0, 2, False)} >> 3) & 1023 AS big10, xor({hx(0, 1)}, 90) AS xored, bit_count({hx(0, 1)} & 27) % 2 AS parity,
@@ -222,7 +221,7 @@ def quality_gate(x):
     return d.groupBy("reasons", "ok").agg(F.count("*").alias("n"))
 
 
-@query("B6_pattern_qualification", "SELECT version_group, count(*) FILTER (participants >= 6 AND correlation >= 0.5 AND nrmse <= 1.0 AND validator >= 0.6) AS qualified, count(*) AS entries FROM {pe} GROUP BY 1")
+@query("B6_pattern_qualification", "SELECT version_group, count(*) FILTER (participants >= 6 AND round(correlation, 9) >= 0.5 AND round(nrmse, 9) <= 1.0 AND round(validator, 9) >= 0.6) AS qualified, count(*) AS entries FROM {pe} GROUP BY 1")
 def pattern_qualification(x):
     e = x.cm.groupBy("match_id", "version_group", "family_key", "metric").agg(
         F.count_distinct("participant_id").alias("p"), F.avg("correlation").alias("c"), F.avg("nrmse").alias("n"), (F.avg("score") + 0.1).alias("v")

@@ -25,6 +25,17 @@ from pyspark.sql import functions as F
 EPOCH_MS = 1704067200000  # 2024-01-01T00:00:00Z
 DAY_MS = 86_400_000
 TX_BLOCK_MS = 365 * DAY_MS
+#: Discovery takes the records below this share of the identifiers; the rest is held out.
+DISCOVERY = 0.7
+REC_CUT = f"(SELECT {DISCOVERY} * (max(rec_id) + 1) FROM {{rec}})"
+MATCH_CUT = f"(SELECT {DISCOVERY} * (max(match_id) + 1) FROM {{tx}})"
+
+
+def with_part(df, source, id_col: str):
+    """``df`` with ``early``: whether a row's identifier lies in the discovery share of ``source``."""
+    cut = source.agg((F.lit(DISCOVERY) * (F.max(id_col) + 1)).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("early", F.col(id_col) < F.col("_cut")).drop("_cut")  # one-row side
+
 
 VIEWS: dict[str, str] = {
     "ev": f"""SELECT event_id, user_id AS match_id, event_type AS entity,

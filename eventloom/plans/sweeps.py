@@ -11,7 +11,7 @@ from eventloom.operators import series as sr
 from eventloom.operators import sweeps as sw
 from eventloom.operators import timejoin as tj
 from eventloom.plans.registry import query
-from eventloom.plans.standins import DAY_MS
+from eventloom.plans.standins import DAY_MS, MATCH_CUT, REC_CUT, with_part
 
 # fixed values: rough centres of the two targets, only there for numeric accuracy
 CENTER = {"y1": 2500.0, "y2": 127.0}
@@ -177,12 +177,13 @@ def shift_axis_alignment(x):
     return o.best(g, ["match_id", "entity"], [F.desc(F.round("alignment", 9)), F.asc("axis")]).drop("n")
 
 
-TRAIN = """WITH c AS (SELECT pos, b // 8 AS key, family % 3 AS label, rec_id FROM {cell}), tr AS (SELECT * FROM c WHERE rec_id < 350), te AS (SELECT * FROM c WHERE rec_id >= 350)"""
+TRAIN = """WITH c AS (SELECT pos, b // 8 AS key, family % 3 AS label, rec_id FROM {cell}), tr AS (SELECT * FROM c WHERE rec_id < REC_CUT), te AS (SELECT * FROM c WHERE rec_id >= REC_CUT)""".replace("REC_CUT", REC_CUT)
 
 
 def _cells(x):
     c = x.cell.select("pos", F.floor(F.col("b") / 8).alias("key"), F.pmod("family", F.lit(3)).alias("label"), "rec_id", "family")
-    return c, c.filter("rec_id < 350"), c.filter("rec_id >= 350")
+    parted = with_part(c, x.rec, "rec_id")
+    return c, parted.filter("early").drop("early"), parted.filter("NOT early").drop("early")
 
 
 @query("J9_conflict_free_lookup", TRAIN + """, lk AS (SELECT pos, key, min(label) AS p FROM tr GROUP BY 1, 2 HAVING min(label) = max(label))
@@ -234,14 +235,15 @@ def truth_table_coverage(x):
     return codes.join(seen, "b", "left").groupBy(status.alias("status")).agg(F.count("*").alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-SUB = """WITH c AS (SELECT pos, b AS raw, rec_id, CASE WHEN pos = 7 AND rec_id > 300 THEN b // 2 ELSE xor(b, 90) END AS plain FROM {cell}), tr AS (SELECT * FROM c WHERE rec_id < 350), te AS (SELECT * FROM c WHERE rec_id >= 350)"""
+SUB = """WITH c AS (SELECT pos, b AS raw, rec_id, CASE WHEN pos = 7 AND rec_id > 300 THEN b // 2 ELSE xor(b, 90) END AS plain FROM {cell}), tr AS (SELECT * FROM c WHERE rec_id < REC_CUT), te AS (SELECT * FROM c WHERE rec_id >= REC_CUT)""".replace("REC_CUT", REC_CUT)
 
 
 def _sub(x):
     b = F.col("b")
     plain = F.when((F.col("pos") == 7) & (F.col("rec_id") > 300), F.floor(b / 2)).otherwise(b.bitwiseXOR(F.lit(90)))
     c = x.cell.select("pos", b.alias("raw"), "rec_id", plain.alias("plain"), F.lit(0).alias("g"))
-    return c.filter("rec_id < 350"), c.filter("rec_id >= 350")
+    parted = with_part(c, x.rec, "rec_id")
+    return parted.filter("early").drop("early"), parted.filter("NOT early").drop("early")
 
 
 @query("J15_substitution_learning", SUB + """, n AS (SELECT raw, plain, count(*) AS n FROM tr GROUP BY 1, 2), st AS (SELECT raw, min(plain) AS p FROM n GROUP BY 1 HAVING count(*) = 1), nz AS (SELECT raw, plain AS p FROM n QUALIFY row_number() OVER (PARTITION BY raw ORDER BY n DESC, CAST(plain AS VARCHAR)) = 1)
@@ -402,11 +404,11 @@ def companion_search(x):
     return out.select("fam", "covered", (F.col("covered") >= 0.5 * F.col("n")).alias("qualifies"), "clean_keys")
 
 
-@query("J44_float_sweep", LABS + """, sp AS (SELECT spec, CASE WHEN rec_id < 350 THEN 'discovery' ELSE 'holdout' END AS part, v * 1.0 AS v, y2 FROM (SELECT rec_id, y2, unnest(range(64)) AS spec, unnest(arr) AS v FROM lb)),
+@query("J44_float_sweep", LABS + """, sp AS (SELECT spec, CASE WHEN rec_id < """ + REC_CUT + """ THEN 'discovery' ELSE 'holdout' END AS part, v * 1.0 AS v, y2 FROM (SELECT rec_id, y2, unnest(range(64)) AS spec, unnest(arr) AS v FROM lb)),
 g AS (SELECT spec, part, count(*) AS n, sqrt(greatest(0, var_pop(y2) - power(covar_pop(y2, v), 2) / var_pop(v))) / greatest(stddev_pop(y2), 1) AS e FROM sp GROUP BY 1, 2) SELECT spec, R6(max(e) FILTER (part = 'discovery')) AS discovery_nrmse, R6(max(e) FILTER (part = 'holdout')) AS holdout_nrmse, bool_and(e <= 0.9) AS passes FROM g GROUP BY 1""")
 def float_sweep(x):
     """Normalised error per field in discovery and hold-out; promoted only when both pass."""
-    lab = _lab(x).withColumn("part", F.when(F.col("rec_id") < 350, "discovery").otherwise("holdout"))
+    lab = with_part(_lab(x), x.rec, "rec_id").withColumn("part", F.when(F.col("early"), "discovery").otherwise("holdout"))
     sums = sw.moments(lab, ["part"], "arr", ["y2"], _fields()[:64], CENTER)
     c = F.col
     xx, yy, xy = c("sxx") - c("sx") * c("sx") / c("n"), c("syy") - c("sy") * c("sy") / c("n"), c("sxy") - c("sx") * c("sy") / c("n")
@@ -453,19 +455,20 @@ def proved_templates(x):
 
 
 @query("J47_template_scores", """WITH g AS (SELECT match_id, t, string_agg(flag || CAST(item_id AS VARCHAR), '>' ORDER BY o1, o2, o3, o4) AS sig, CASE WHEN min(entity) = max(entity) THEN min(entity) ELSE 'FO' END AS label, max(tax) <= 7 AS proof, count(*) AS n FROM {tx} GROUP BY 1, 2),
-tp AS (SELECT sig, min(label) AS pl FROM g WHERE match_id < 70 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT label) = 1 AND bool_and(proof)), seen AS (SELECT DISTINCT sig, true AS known FROM g WHERE match_id < 70)
-SELECT CASE WHEN match_id < 70 THEN 'discovery' ELSE 'holdout' END AS part, label, count(*) FILTER (pl = label) AS group_tp, count(*) FILTER (pl <> label) AS group_fp, count(*) FILTER (pl IS NULL) AS group_fn, CAST(coalesce(sum(n) FILTER (pl = label), 0) AS BIGINT) AS row_tp, CAST(coalesce(sum(n) FILTER (pl <> label), 0) AS BIGINT) AS row_fp, CAST(coalesce(sum(n) FILTER (pl IS NULL), 0) AS BIGINT) AS row_fn, count(*) FILTER (known IS NULL) AS unseen FROM g LEFT JOIN tp USING (sig) LEFT JOIN seen USING (sig) GROUP BY 1, 2""")
+tp AS (SELECT sig, min(label) AS pl FROM g WHERE match_id < MATCH_CUT GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT label) = 1 AND bool_and(proof)), seen AS (SELECT DISTINCT sig, true AS known FROM g WHERE match_id < MATCH_CUT)
+SELECT CASE WHEN match_id < MATCH_CUT THEN 'discovery' ELSE 'holdout' END AS part, label, count(*) FILTER (pl = label) AS group_tp, count(*) FILTER (pl <> label) AS group_fp, count(*) FILTER (pl IS NULL) AS group_fn, CAST(coalesce(sum(n) FILTER (pl = label), 0) AS BIGINT) AS row_tp, CAST(coalesce(sum(n) FILTER (pl <> label), 0) AS BIGINT) AS row_fp, CAST(coalesce(sum(n) FILTER (pl IS NULL), 0) AS BIGINT) AS row_fn, count(*) FILTER (known IS NULL) AS unseen FROM g LEFT JOIN tp USING (sig) LEFT JOIN seen USING (sig) GROUP BY 1, 2""".replace("MATCH_CUT", MATCH_CUT))
 def template_scores(x):
     """Proved discovery templates on both partitions: group and row outcomes, unseen signatures."""
     seq = F.array_sort(F.collect_list(F.struct("o1", "o2", "o3", "o4", "flag", "item_id")))  # one same-time transaction
     sig = F.array_join(F.transform(seq, lambda v: F.concat(v["flag"], v["item_id"].cast("string"))), ">")
     g = x.tx.groupBy("match_id", "t").agg(sig.alias("sig"), F.min("entity").alias("lo"), F.max("entity").alias("hi"), (F.max("tax") <= 7).alias("proof"), F.count("*").alias("n"))
     g = g.withColumn("label", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("FO"))
-    tp = g.filter("match_id < 70").groupBy("sig").agg(F.min("label").alias("pl"), F.max("label").alias("other"), F.count("*").alias("support"), F.bool_and("proof").alias("ok"))
+    g = with_part(g, x.tx, "match_id")
+    tp = g.filter("early").groupBy("sig").agg(F.min("label").alias("pl"), F.max("label").alias("other"), F.count("*").alias("support"), F.bool_and("proof").alias("ok"))
     fit = tp.withColumn("pl", F.when((F.col("support") >= 2) & (F.col("pl") == F.col("other")) & F.col("ok"), F.col("pl"))).select("sig", "pl", F.lit(True).alias("known"))
     out = g.join(fit, "sig", "left")
     hit, miss, none = F.col("pl") == F.col("label"), F.col("pl") != F.col("label"), F.col("pl").isNull()
-    part = F.when(F.col("match_id") < 70, "discovery").otherwise("holdout")
+    part = F.when(F.col("early"), "discovery").otherwise("holdout")
     zero = F.lit(0)
     return out.groupBy(part.alias("part"), "label").agg(
         *[F.count_if(c).alias(f"group_{k}") for k, c in (("tp", hit), ("fp", miss), ("fn", none))],
