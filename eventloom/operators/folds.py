@@ -73,13 +73,14 @@ def classify_by_rules(df, rules: DataFrame, kind: str, length: str, payload: str
 def multiset_fold(df, keys, item: str, order, block, delta: Column) -> DataFrame:
     """Item count after each event, where removing an absent item does nothing.
 
-    The floored running sum gives the count before and after each event; ``held`` sums the
-    effective changes over all items of the key. No sequential state is needed.
+    The floored running sum gives the count before and after each event, and ``change``, the
+    effective change between them; ``held`` sums those over all items of the key. No sequential
+    state is needed.
     """
     df = df.withColumn("_d", delta)
     out = o.floored_sum(df, [*keys, item], order, block, "_d", "count", "_before")
-    out = out.withColumn("_e", F.col("count") - F.col("_before"))
-    return o.scan(out, keys, order, block, {"held": o.run_sum("_e")}).drop("_d", "_before", "_e")
+    out = out.withColumn("change", F.col("count") - F.col("_before"))
+    return o.scan(out, keys, order, block, {"held": o.run_sum("change")}).drop("_d", "_before")
 
 
 SLOTS = 7

@@ -207,28 +207,28 @@ def entity_flags(left: DataFrame, right: DataFrame, on: Sequence[str], fields: S
     )
 
 
-def best_scored(left: DataFrame, right: DataFrame, weights: dict[str, int], left_id: str, right_order: str) -> DataFrame:
-    """Best roster row per left row by summed weights of equal fields; the first maximum wins.
+def best_scored(left: DataFrame, right: DataFrame, keys: Sequence[str], weights: dict[str, int], left_id: str, right_order: str) -> DataFrame:
+    """Best row of the roster of the same ``keys`` (the match) per left row, by summed weights of equal fields; the first maximum wins.
 
     The score is a sum of weights over which fields agree, so it is enough to look up, per
     subset of agreeing fields, the first roster row. Each subset is one equi-join against a
     roster reduced to one row per field combination; no cross join arises.
     """
-    fields = list(weights)
+    keys, fields = list(keys), list(weights)
     found = None
     for mask in range(1, 1 << len(fields)):
         chosen = [f for i, f in enumerate(fields) if mask >> i & 1]
         first = (
-            right.dropna(subset=chosen).groupBy(*chosen).agg(F.min(right_order).alias("candidate"))
+            right.dropna(subset=chosen).groupBy(*keys, *chosen).agg(F.min(right_order).alias("candidate"))
         )
-        part = left.join(first, chosen).select(
+        part = left.join(first, [*keys, *chosen]).select(
             left_id, "candidate", F.lit(sum(weights[f] for f in chosen)).cast("long").alias("score")
         )
         found = part if found is None else found.unionByName(part)
-    # with no agreeing field at all the very first roster row stands, at score 0
-    first_row = right.agg(F.min(right_order).alias("candidate"))
-    none = left.join(found.select(left_id).distinct(), left_id, "left_anti").select(left_id)
-    none = none.join(F.broadcast(first_row)).select(left_id, "candidate", F.lit(0).cast("long").alias("score"))
+    # with no agreeing field at all the first roster row of the match stands, at score 0
+    first_row = right.groupBy(*keys).agg(F.min(right_order).alias("candidate"))
+    none = left.join(found.select(left_id).distinct(), left_id, "left_anti").select(left_id, *keys)
+    none = none.join(first_row, keys).select(left_id, "candidate", F.lit(0).cast("long").alias("score"))
     return o.best(found.unionByName(none), [left_id], [F.desc("score"), F.asc("candidate")])
 
 

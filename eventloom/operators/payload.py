@@ -56,13 +56,18 @@ def differential(pairs: DataFrame, left: str, right: str, top: int) -> DataFrame
     return out.orderBy(F.desc("equal_rate"), F.desc("pairs"), "pos").limit(top)
 
 
-def ngrams(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
-    """Byte n-grams of whole payloads with counts and distinct offsets."""
+def gram_rows(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
+    """Every byte n-gram of every payload with its offset."""
     p = F.col(payload)
     last = F.octet_length(p) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     grams = F.transform(starts, lambda i: F.struct(i.cast("long").alias("pos"), F.hex(F.substring(p, i + 1, F.lit(size))).alias("gram")))
-    rows = df.select(*keys, F.explode(grams).alias("_g")).select(*keys, "_g.*")
+    return df.select(*keys, F.explode(grams).alias("_g")).select(*keys, "_g.*")
+
+
+def ngrams(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
+    """Byte n-grams of whole payloads with counts and distinct offsets."""
+    rows = gram_rows(df, keys, payload, size)
     # collapse to (gram, offset) first: a hot gram then merges from few rows
     spots = rows.groupBy(*keys, "gram", "pos").agg(F.count("*").alias("n"))
     return spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets"))

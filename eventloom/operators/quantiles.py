@@ -1,8 +1,9 @@
 """Exact order statistics that never hold a group in one task.
 
-Rows first collapse to (key, value, count). Values fall into equal-width buckets of the
-key's range, a blocked running count gives each value its position, and the quantile is
-the smallest value whose running count passes the wanted index.
+Rows first collapse to (key, value, count). The distinct values of a key are cut at boundaries
+taken from their counts, so a heavy tail fills no block more than another; a blocked running
+count gives each value its position, and the quantile is the smallest value whose running
+count passes the wanted index.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import ordered as o
 
-BUCKETS = 512
+BUCKETS = 128
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -25,13 +26,11 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
         .groupBy(*keys, F.col(value).cast("double").alias(value))
         .agg(F.count("*").alias("n"))
     )
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total")
-    )
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    spans = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 4 * BUCKETS).alias("_cuts"), F.sum("n").alias("total"))
     counts = counts.join(spans, keys) if keys else counts.crossJoin(F.broadcast(spans))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    block = F.coalesce(F.floor(share * BUCKETS), F.lit(0)).cast("long")
-    return o.scan(counts, keys, [value], block, {"cum": o.run_sum("n")}).drop("_lo", "_hi")
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))).cast("long")).drop("_cuts")
+    return o.scan(counts, keys, [value], F.col("_part"), {"cum": o.run_sum("n")}).drop("_part")
 
 
 def quantiles(df: DataFrame, keys, value: str, probs: Mapping[str, float], floor_index: bool = False) -> DataFrame:

@@ -116,13 +116,14 @@ def substitution_decode(x):
 
 
 @query("I8_multiset_fold", f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY match_id, entity, item_id ORDER BY {TXO}) AS n, CASE WHEN op = 'ADD' THEN 1 ELSE -1 END AS d FROM {{tx}}),
-w AS (SELECT match_id, entity, item_id, n, o1, o3, t, greatest(0, d) AS c, greatest(0, d) AS eff FROM s WHERE n = 1 UNION ALL SELECT s.match_id, s.entity, s.item_id, s.n, s.o1, s.o3, s.t, greatest(0, w.c + s.d), greatest(0, w.c + s.d) - w.c FROM w JOIN s ON s.match_id = w.match_id AND s.entity = w.entity AND s.item_id = w.item_id AND s.n = w.n + 1)
-SELECT match_id, entity, item_id, count(*) AS events, CAST(max(c) AS BIGINT) AS peak, CAST(max_by(c, n) AS BIGINT) AS final_count, CAST(sum(eff) AS BIGINT) AS net FROM w GROUP BY 1, 2, 3""")
+w AS (SELECT match_id, entity, item_id, n, o1, o2, o3, o4, t, greatest(0, d) AS c, greatest(0, d) AS eff FROM s WHERE n = 1 UNION ALL SELECT s.match_id, s.entity, s.item_id, s.n, s.o1, s.o2, s.o3, s.o4, s.t, greatest(0, w.c + s.d), greatest(0, w.c + s.d) - w.c FROM w JOIN s ON s.match_id = w.match_id AND s.entity = w.entity AND s.item_id = w.item_id AND s.n = w.n + 1)
+SELECT match_id, entity, item_id, count(*) AS events, CAST(max(c) AS BIGINT) AS peak, CAST(max_by(c, n) AS BIGINT) AS final_count, CAST(sum(eff) AS BIGINT) AS net, CAST(max(held) AS BIGINT) AS held_peak
+FROM (SELECT *, sum(eff) OVER (PARTITION BY match_id, entity ORDER BY {TXO} ROWS UNBOUNDED PRECEDING) AS held FROM w) GROUP BY 1, 2, 3""")
 def multiset_fold(x):
     f = _fold(x)
     spot = F.struct(*TX_ORDER)
     return f.groupBy("match_id", "entity", "item_id").agg(
-        F.count("*").alias("events"), F.max("count").alias("peak"), F.max_by("count", spot).alias("final_count"), F.max_by("count", spot).alias("net")
+        F.count("*").alias("events"), F.max("count").alias("peak"), F.max_by("count", spot).alias("final_count"), F.sum("change").alias("net"), F.max("held").alias("held_peak")
     )
 
 
@@ -148,14 +149,24 @@ def slot_reducer(x):
 
 @query("I10_policy_sweep")
 def policy_sweep(x):
-    """Every placement policy against the first one: share of adds that land in the same slot."""
+    """Final slots of every track under each placement policy against the track's own final state.
+
+    The final state comes from the multiset fold, which knows no slots: an item that is still held
+    takes the slot of its number. A track is exact when all seven slots agree, and agrees as a
+    multiset when as many are taken; cells count the slots that agree.
+    """
     r = _reduced(x, POLICIES)
-    spot = ["match_id", "entity", *TX_ORDER]
-    truth = r.filter(F.col("policy") == POLICIES[0]).select(*spot, F.col("at_slot").alias("truth"))
-    hit = r.join(truth, spot)
-    same = F.col("at_slot") == F.col("truth")
-    return hit.groupBy("policy").agg(
-        F.count("*").alias("operations"), F.count_if(same).alias("same_slot"), F.count_if(F.col("action") == "overflow").alias("overflow"), F.count_if(F.col("action") == "empty").alias("empty_removals")
+    track, spot = ["policy", "match_id", "entity"], F.struct(*TX_ORDER)
+    last = r.filter("action IN ('add', 'hit')").groupBy(*track, F.col("at_slot").cast("long").alias("slot")).agg((F.max_by("action", spot) == "add").alias("taken"))
+    held = _fold(x).groupBy("match_id", "entity", (F.col("item_id") - 1).alias("slot")).agg((F.max_by("count", spot) > 0).alias("held"))
+    held = held.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in POLICIES])))
+    cells = last.join(held, [*track, "slot"], "full").fillna(False, ["taken", "held"])
+    tracks = cells.groupBy(*track).agg(
+        F.count_if(F.col("taken") != F.col("held")).alias("wrong"), F.count_if("taken").alias("taken"), F.count_if("held").alias("held")
+    )
+    return tracks.groupBy("policy").agg(
+        F.count("*").alias("tracks"), F.count_if(F.col("wrong") == 0).alias("exact_slots"), F.count_if(F.col("taken") == F.col("held")).alias("multiset"),
+        F.sum(F.lit(7) - F.col("wrong")).alias("cells"),
     )
 
 

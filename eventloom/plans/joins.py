@@ -42,23 +42,24 @@ def exact_entity_join(x):
     return out.select("roster_index", "team", "team_position", "roster_index_equal", "gold_equal")
 
 
-@query("C2_best_scored_roster_match", """WITH l AS (SELECT s_suppkey AS id, CAST(n_regionkey AS BIGINT) AS team,
+@query("C2_best_scored_roster_match", """WITH l AS (SELECT s_suppkey AS id, s_suppkey % 10 AS match_id, CAST(n_regionkey AS BIGINT) AS team,
   CASE WHEN s_acctbal < 3000 THEN 'BUILDING' WHEN s_acctbal < 6000 THEN 'MACHINERY' ELSE 'NONE' END AS team_position,
   'Customer#' || right(s_name, 9) AS champion FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 s AS (SELECT l.id, r.roster_index AS candidate, CAST(CASE WHEN l.champion = r.champion THEN 4 ELSE 0 END
   + CASE WHEN l.team = r.team THEN 2 ELSE 0 END
-  + CASE WHEN l.team_position = r.team_position THEN 2 ELSE 0 END AS BIGINT) AS score FROM l, {roster} r)
+  + CASE WHEN l.team_position = r.team_position THEN 2 ELSE 0 END AS BIGINT) AS score FROM l JOIN {roster} r ON l.match_id = r.roster_index % 10)
 SELECT id, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS n FROM s)
 WHERE n = 1""")
 def best_scored_roster_match(x):
     bal = F.col("s_acctbal")
     left = x.supplier.join(x.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("id"),
+        F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("match_id"),
         F.col("n_regionkey").cast("long").alias("team"),
         F.when(bal < 3000, "BUILDING").when(bal < 6000, "MACHINERY").otherwise("NONE").alias("team_position"),
         F.concat(F.lit("Customer#"), F.substring("s_name", -9, 9)).alias("champion"),
     )
-    return m.best_scored(left, x.roster, {"champion": 4, "team": 2, "team_position": 2}, "id", "roster_index")
+    roster = x.roster.withColumn("match_id", F.col("roster_index") % 10)
+    return m.best_scored(left, roster, ["match_id"], {"champion": 4, "team": 2, "team_position": 2}, "id", "roster_index")
 
 
 @query("C3_greedy_one_to_one", GREEDY + f"SELECT match_id, entity, {SUMMARY} FROM pairs GROUP BY 1, 2")

@@ -65,6 +65,21 @@ def word_counts(x):
     return w.groupBy("packet_type", "word").agg(F.count("*").alias("n"))
 
 
+@query("D23_u32_counts", """WITH g AS (SELECT packet_type, unnest(range(0, len - 3, 4)) AS pos, hx FROM {pk} WHERE len >= 4), r AS (SELECT packet_type, CAST('0x' || substr(hx, CAST(2 * pos + 7 AS BIGINT), 2) || substr(hx, CAST(2 * pos + 5 AS BIGINT), 2) || substr(hx, CAST(2 * pos + 3 AS BIGINT), 2) || substr(hx, CAST(2 * pos + 1 AS BIGINT), 2) AS BIGINT) AS word FROM g)
+SELECT packet_type, word, count(*) AS n FROM r GROUP BY 1, 2""")
+def u32_counts(x):
+    w = pl.explode_words(x.pk.select("packet_type", "payload"), "payload", 4, 4)
+    return w.groupBy("packet_type", "word").agg(F.count("*").alias("n"))
+
+
+@query("D23_ngram_examples", """WITH g AS (SELECT packet_type, match_id, block_index, unnest(range(greatest(len - 3, 0))) AS pos, hx FROM {pk}), r AS (SELECT packet_type, match_id, block_index, pos, substr(hx, CAST(2 * pos + 1 AS BIGINT), 8) AS gram FROM g)
+SELECT packet_type, gram, match_id, block_index, pos FROM r QUALIFY row_number() OVER (PARTITION BY packet_type, gram ORDER BY match_id, block_index, pos) <= 6""")
+def ngram_examples(x):
+    """The first six places of every 4-byte gram."""
+    rows = pl.gram_rows(x.pk, ["packet_type", "match_id", "block_index"], "payload", 4)
+    return o.top_k(rows, ["packet_type", "gram"], [F.asc("match_id"), F.asc("block_index"), F.asc("pos")], 6)
+
+
 @query("D24_common_prefix", """WITH p AS (SELECT packet_type, pos, min(b) AS lo, max(b) AS hi, count(*) AS n FROM {byt} GROUP BY 1, 2), r AS (SELECT packet_type, max(n) AS rn, max(pos) AS last FROM p GROUP BY 1)
 SELECT r.packet_type, coalesce(min(p.pos) FILTER (lo <> hi OR n < rn), any_value(last) + 1) AS prefix FROM r JOIN p USING (packet_type) GROUP BY 1""")
 def common_prefix(x):
@@ -124,11 +139,24 @@ def _words(x, width, stride):
 
 
 @query("C26_token_containment", WORDS4.format(stride=1) + """, ids AS (SELECT DISTINCT CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS word FROM (SELECT hex(encode(text)) AS h FROM {pk}))
-SELECT match_id, block_index, count(*) AS tokens FROM w SEMI JOIN ids USING (word) GROUP BY 1, 2""")
+, r AS (SELECT match_id, block_index, word AS lit, ((word & 255) << 24) | ((word & 65280) << 8) | ((word >> 8) & 65280) | (word >> 24) AS big FROM w JOIN (SELECT match_id, block_index, len FROM {pk}) USING (match_id, block_index) WHERE len <= 256 OR pos % 4 = 0)
+SELECT match_id, block_index, count(*) FILTER (lit IN (SELECT word FROM ids)) AS little, count(*) FILTER (big IN (SELECT word FROM ids)) AS big FROM r WHERE lit IN (SELECT word FROM ids) OR big IN (SELECT word FROM ids) GROUP BY 1, 2""")
 def token_containment(x):
-    """Payloads holding one of the known 32-bit ids (the leading word of every payload)."""
+    """Payloads holding one of the known 32-bit ids (the leading word of every payload), read in both byte orders.
+
+    Payloads above 256 bytes are read at every fourth byte only (a fixed rule of the search).
+    """
     ids = x.pk.select(bn.read_uint("payload", 0, 4).alias("word")).distinct()
-    return _words(x, 4, 1).join(ids, "word", "left_semi").groupBy("match_id", "block_index").agg(F.count("*").alias("tokens"))
+    near = x.pk.select("match_id", "block_index", "payload", F.octet_length("payload").alias("len"))
+    w = pl.explode_words(near, "payload", 4, 1).filter((F.col("len") <= 256) | (F.col("pos") % 4 == 0))
+    word = F.col("word")
+    swapped = (
+        F.shiftleft(word.bitwiseAND(F.lit(255)), 24).bitwiseOR(F.shiftleft(word.bitwiseAND(F.lit(65280)), 8))
+        .bitwiseOR(F.shiftright(word, 8).bitwiseAND(F.lit(65280))).bitwiseOR(F.shiftright(word, 24))
+    )
+    reads = w.select("match_id", "block_index", F.explode(F.array(*[F.struct(F.lit(o_).alias("endian"), v.alias("word")) for o_, v in (("little", word), ("big", swapped))])).alias("r"))
+    hit = reads.select("match_id", "block_index", "r.*").join(ids, "word", "left_semi")
+    return hit.groupBy("match_id", "block_index").agg(F.count_if(F.col("endian") == "little").alias("little"), F.count_if(F.col("endian") == "big").alias("big"))
 
 
 @query("C27_needle_search", """WITH n AS (SELECT DISTINCT lower(w) AS needle FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) = 4 UNION SELECT unnest(['tion', 'ment', 'they', 'that', 'with'])),

@@ -194,3 +194,50 @@ def test_unions_and_greedy_cover_exhaustively(spark):
         expect.append((best, sum(best in h for h in left)))
         left = [h for h in left if best not in h]
     assert got == expect
+
+
+def test_sweep_reads_mixed_lengths_and_null_entities(spark):
+    from eventloom.operators import sweeps as sw
+
+    rows = [(None if i % 3 == 0 else i % 2, [i % 256, i * 7 % 256] if i == 5 else [i % 256, i * 7 % 256, i * 13 % 256, 9], float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "e int, arr array<int>, y double").coalesce(1)
+    fields = [sw.Field(spec=0, kind="u", offset=0, width=4), sw.Field(spec=1, kind="u", offset=1, width=1)]
+    seen = []
+    for size in ("10000", "10"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sw.moments(df, ["e"], "arr", ["y"], fields).groupBy("e", "spec").agg(F.sum("n").alias("n")).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        seen.append(sorted((str(r.e), r.spec, r.n) for r in got))
+    assert seen[0] == seen[1]
+    assert sum(n for _, spec, n in seen[0] if spec == 0) == 99 and sum(n for _, spec, n in seen[0] if spec == 1) == 100
+
+
+def test_assignment_is_optimal_above_twelve(spark):
+    rng = random.Random(9)
+    rows = [(1, s_, e, rng.random()) for s_ in range(15) for e in range(14) if rng.random() < 0.7]
+    out = a.optimal_assignment(spark.createDataFrame(rows, "g int, s int, e int, score double"), ["g"], "s", "e").collect()
+    assert len({r.s for r in out}) == len({r.e for r in out}) == len(out)
+    best = {0: 0.0}
+    by_slot = {}
+    for _, s_, e, score in rows:
+        by_slot.setdefault(s_, []).append((e, score))
+    for options in by_slot.values():
+        grown = dict(best)
+        for mask, total in best.items():
+            for e, score in options:
+                if not mask >> e & 1 and total + score > grown.get(mask | 1 << e, -1):
+                    grown[mask | 1 << e] = total + score
+        best = grown
+    assert abs(sum(r.score for r in out) - max(best.values())) < 1e-9
+
+
+def test_quantile_blocks_survive_an_outlier(spark):
+    from eventloom.operators import quantiles as q
+
+    df = spark.range(10_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id").cast("double")).alias("v"))
+    got = q.quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}).first()
+    values = sorted([1e12, *map(float, range(1, 10_000))])
+    assert got.p50 == (values[4999] + values[5000]) / 2
+    assert abs(got.p99 - (values[9899] + (values[9900] - values[9899]) * 0.01)) < 1e-6
