@@ -22,16 +22,18 @@ def interval_counts(x):
     return out.select((F.unix_millis("start") - EPOCH_MS).alias("start_ms"), "event_type", "events")
 
 
-@query("S2_kill_groups", """WITH e AS (SELECT event_id, CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) AS t, CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) // 86400000 AS day, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) // 34 AS who, event_type AS et FROM events WHERE event_type IN ('click', 'view', 'purchase')),
-p AS (SELECT *, min(CASE WHEN et = 'purchase' THEN event_id END) OVER (PARTITION BY day ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mk FROM e),
-r AS (SELECT p.day, mm.event_id AS marker, mm.t, mm.who AS victim, list(p.who ORDER BY p.event_id) AS ids FROM p JOIN e mm ON mm.event_id = p.mk WHERE p.et <> 'purchase' AND mm.t - p.t <= 1800000 GROUP BY 1, 2, 3, 4)
-SELECT day, marker, t, victim, CASE WHEN len(ids) = 1 THEN 0 ELSE ids[-1] END AS killer, len(ids) AS owners, CASE WHEN ids[1] = victim THEN 'ok' ELSE 'victim-mismatch' END AS code FROM r""")
+@query("S2_kill_groups", """WITH e AS (SELECT event_id, user_id AS match, CAST(epoch_us(ts) // 1000 - 1704067200000 AS BIGINT) AS t, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) // 34 AS who, event_type AS et FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+q AS (SELECT *, row_number() OVER (PARTITION BY match ORDER BY t, event_id) AS n FROM e WHERE t <= (SELECT max(t) FROM e) - 600000),
+p AS (SELECT *, min(CASE WHEN et = 'purchase' THEN n END) OVER (PARTITION BY match ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mk FROM q),
+r AS (SELECT p.match, mm.event_id AS marker, mm.t, mm.who AS victim, list(p.who ORDER BY p.n) AS ids FROM p JOIN q mm ON mm.match = p.match AND mm.n = p.mk WHERE p.et <> 'purchase' AND mm.t - p.t <= 86400000 GROUP BY 1, 2, 3, 4)
+SELECT match, marker, t, victim, CASE WHEN len(ids) = 1 THEN 0 ELSE ids[-1] END AS killer, len(ids) AS owners, CASE WHEN ids[1] = victim THEN 'ok' ELSE 'victim-mismatch' END AS code FROM r""")
 def kill_groups(x):
+    """Groups per match, in order of time, of rows that the watermark (ten minutes behind) has passed."""
     t = F.unix_millis("ts") - EPOCH_MS
     e = _events(x).filter(F.col("event_type").isin("click", "view", "purchase")).select(
-        F.floor(t / DAY_MS).alias("day"), "event_id", t.alias("t"), F.floor(F.get_json_object("props", "$.k").cast("long") / 34).alias("who"), (F.col("event_type") == "purchase").alias("is_marker")
+        F.col("user_id").alias("match"), "ts", "event_id", t.alias("t"), F.floor(F.get_json_object("props", "$.k").cast("long") / 34).alias("who"), (F.col("event_type") == "purchase").alias("is_marker")
     )
-    return jobs.drain(jobs.kill_groups(e, "day", 1_800_000))
+    return jobs.drain(jobs.kill_groups(e, "match", "ts", "10 minutes", DAY_MS))
 
 
 @query("S3_running_totals", """SELECT user_id, event_type, count(*) AS events, CAST(epoch_us(max(ts)) // 1000 - 1704067200000 AS BIGINT) AS last_ms, R6(max_by(value, (ts, value))) AS last_value FROM events GROUP BY 1, 2""")

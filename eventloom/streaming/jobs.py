@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,17 @@ def work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the start of one query, which keeps a copy of it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
@@ -33,13 +45,12 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = work_folder(spark)
     out = f"{folder}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").start(out)
-    else:
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
-        query = writer.foreachBatch(keep).start()
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
+
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        query = writer.format("parquet").start(out) if mode == "append" else writer.foreachBatch(keep).start()
     query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("_batch", "long")
     reader = spark.read.schema(schema)
@@ -76,46 +87,64 @@ def lifecycle_join(placed: DataFrame, removed: DataFrame, keys, delay: str, hori
 class KillGroups(StatefulProcessor):
     """Pending owners per match, closed by a marker; owners older than the tolerance are let go.
 
-    Rows arrive in event order within a batch; state holds only owners still inside the
-    tolerance of the newest row, so it stays small without a timer.
+    Rows wait in state until the watermark has passed them, so they are folded in order of time
+    however batches and Arrow chunks cut them. A timer settles what has become final and, when
+    nothing is left within the tolerance, leaves no state behind.
     """
 
     def __init__(self, tolerance: int):
         self.tolerance = tolerance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "event_id long, t long, who long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, event_id long, who long, is_marker boolean, at long")
+        self.pending = handle.getListState("pending", "t long, event_id long, who long, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.pending.get()) if self.pending.exists() else []
-        out = []
+        first = None
         for pdf in rows:
-            pdf = pdf.sort_values("event_id")
-            cells = zip(pdf["event_id"].tolist(), pdf["t"].tolist(), pdf["who"].tolist(), pdf["is_marker"].tolist())
-            for ident, t, who, marker in cells:
-                held = [h for h in held if t - h[1] <= self.tolerance]
-                if not marker:
-                    held.append((ident, t, who))
-                    continue
-                if held:
-                    ids = [h[2] for h in held]
-                    out.append((key[0], ident, t, who, 0 if len(ids) == 1 else ids[-1], len(ids), "ok" if ids[0] == who else "victim-mismatch"))
-                held = []
-        if held:
-            self.pending.put(held)
-        else:
-            self.pending.clear()
-        yield pd.DataFrame(out, columns=["day", "marker", "t", "victim", "killer", "owners", "code"])
+            new = [tuple(r) for r in zip(*[pdf[c].tolist() for c in ("t", "event_id", "who", "is_marker", "at")])]
+            self.waiting.appendList(new)
+            first = min([r[4] for r in new] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        yield pd.DataFrame([], columns=OUT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        out = []
+        for t, ident, who, marker, at in sorted(r for r in waiting if r[4] <= final):
+            held = [h for h in held if t - h[0] <= self.tolerance]
+            if not marker:
+                held.append((t, ident, who, at))
+                continue
+            if held:
+                ids = [h[2] for h in held]
+                out.append((key[0], ident, t, who, 0 if len(ids) == 1 else ids[-1], len(ids), "ok" if ids[0] == who else "victim-mismatch"))
+            held = []
+        waiting = [r for r in waiting if r[4] > final]
+        held = [h for h in held if final - h[3] <= self.tolerance]
+        for state, rows in ((self.waiting, waiting), (self.pending, held)):
+            state.put(rows) if rows else state.clear()
+        due = [r[4] for r in waiting] + [h[3] + self.tolerance for h in held[-1:]]
+        if due:
+            self.handle.registerTimer(min(due) + 1)
+        yield pd.DataFrame(out, columns=OUT)
 
     def close(self) -> None:
         pass
 
 
-def kill_groups(events: DataFrame, key: str, tolerance: int) -> DataFrame:
-    """Marker-terminated groups; ``events`` has key, event_id, t, who, is_marker."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy(key).transformWithStateInPandas(
+OUT = ["match", "marker", "t", "victim", "killer", "owners", "code"]
+
+
+def kill_groups(events: DataFrame, match: str, ts: str, delay: str, tolerance: int) -> DataFrame:
+    """Marker-terminated groups of a match; ``events`` has match, event time, event_id, t, who, is_marker."""
+    rows = events.withWatermark(ts, delay).withColumn("at", F.unix_millis(ts))
+    return rows.groupBy(match).transformWithStateInPandas(
         statefulProcessor=KillGroups(tolerance),
-        outputStructType="day long, marker long, t long, victim long, killer long, owners long, code string",
-        outputMode="append", timeMode="none",
+        outputStructType="match long, marker long, t long, victim long, killer long, owners long, code string",
+        outputMode="append", timeMode="eventTime",
     )
