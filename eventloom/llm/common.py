@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROW = "row__"
 
@@ -44,5 +46,18 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """The other columns of ``docs`` with packed, the text compressed by zstandard, to be shuffled."""
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches):
+        for batch in batches:
+            squeeze = zstandard.ZstdCompressor(level=1)
+            packed = [squeeze.compress(t.as_py().encode()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(packed, pa.binary())], names=[*[f.name for f in fields], "packed"])
+
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, texts
+from eventloom.llm.common import ROW, squeezed, texts
 from eventloom.llm.components import connected_components
 from eventloom.llm.exact import merge_runs
 from eventloom.session import cut_lineage
@@ -20,6 +22,8 @@ from eventloom.session import cut_lineage
 WORDS, ROWS, BANDS = 5, 5, 36
 #: A signature estimate this far below the threshold rules a pair out: over four standard deviations.
 MARGIN = 0.15
+#: Members drawn for a bucket before all pairs are compared, and members in a block of a bucket.
+DRAWS, BLOCK = 2, 1024
 WIDTH = 6  # bytes of a shingle hash that the full check compares
 
 
@@ -76,50 +80,43 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands_of(low: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in low.reshape(BANDS, ROWS).T:
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part)
-    return keys.view(np.int64)
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, row__, run, n_shingles, digest, sig, bands) of every whole text."""
-    fields = [("doc_id", pa.int64()), (ROW, pa.int64()), ("run", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    """(doc_id, row__, run, n_shingles, digest, sig) of every whole text; sig has 16 bits of every minimum."""
+    names = ["doc_id", ROW, "run", "n_shingles", "digest", "sig"]
 
     def run(batches):
         for batch in batches:
-            n, digest, sig, bands = [], [], [], []
+            n, digest, sig = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 digest.append(hashlib.sha256(s.tobytes()).digest()[:16])
-                if len(s):
-                    low = minima(s)
-                    sig.append(((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                    bands.append(bands_of(low))
-                else:
-                    sig.append(None)
-                    bands.append(None)
-            columns = [batch.column("doc_id"), batch.column(ROW), batch.column("run"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[f for f, _ in fields])
+                sig.append(((minima(s) >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else None)
+            columns = [batch.column("doc_id"), batch.column(ROW), batch.column("run"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn("run", F.spark_partition_id().cast("long"))
-    return numbered.mapInArrow(run, f"doc_id bigint, {ROW} bigint, run bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
+    return numbered.mapInArrow(run, f"doc_id bigint, {ROW} bigint, run bigint, n_shingles bigint, digest binary, sig binary")
+
+
+def band_keys(sig: str) -> Column:
+    """One key for every band of a signature."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col(sig), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes): the shingle sets of some documents, ``WIDTH`` bytes a shingle."""
     def run(batches):
+        grow = zstandard.ZstdDecompressor()
         for batch in batches:
             packed = []
-            for text in batch.column("text"):
-                s = shingles(text.as_py()).view(np.uint8).reshape(-1, 8)
+            for text in batch.column("packed"):
+                s = shingles(grow.decompress(text.as_py()).decode()).view(np.uint8).reshape(-1, 8)
                 packed.append(s[:, :WIDTH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "hashes"])
 
-    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return wanted.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
+    wanted = squeezed(docs.select(F.col("doc_id").alias("node"), "text")).join(nodes, "node", "left_semi")
+    return wanted.select("node", "packed").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
 def both_sides(pairs: DataFrame, by_node: DataFrame, column: str) -> DataFrame:
@@ -157,6 +154,35 @@ def linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     return both_sides(maybe, sets, "hashes").mapInArrow(sure, "u bigint, v bigint")
 
 
+def across(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a bucket, of different components, whose signatures do not rule them out.
+
+    Buckets are cut into blocks of about ``BLOCK`` members, and two blocks meet in one task. The pairs
+    are compared there as arrays; only those that may link become rows.
+    """
+    least = percent / 100 - MARGIN
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    own = open_.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    tiles = own.join(sigs, "node").select("key", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "node", "part", "sig")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        node, part, block = (rows[c].to_numpy() for c in ("node", "part", "b"))
+        split = rows["i"].iloc[0] != rows["j"].iloc[0]
+        u, v = [], []
+        for k in range(len(rows)):
+            other = (node > node[k]) & (part != part[k])
+            if split:
+                other &= block != block[k]
+            near = np.flatnonzero(other)
+            near = near[(sig[near] == sig[k]).mean(axis=1) >= least]
+            u += [node[k]] * len(near)
+            v += node[near].tolist()
+        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "u bigint, v bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -165,10 +191,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     without identifier, link with nothing. Two documents link at 100 * intersection >= percent * union.
 
     Equal sets are compared once, by their smallest identifier. The others meet in bands of their
-    minima: first each member of a bucket with the smallest and the largest one; once the components of
-    those links are known, the remaining pairs of a bucket are tried only between different components.
-    So a bucket of thousands of near copies costs a few pairs for each member, and no link between
-    components is lost. Rows that share an identifier are one node. An empty table gives no rows.
+    minima. Each member of a bucket is tried with the smallest and the largest one; then, in buckets
+    that hold several components, with a member drawn for the bucket, ``DRAWS`` times. Last, all
+    remaining pairs between components of a bucket are compared by signature, in blocks. So a bucket of
+    thousands of near copies costs a few full checks for each member, and no link between components is
+    lost. Rows that share an identifier are one node. An empty table gives no rows.
     """
     own = texts(docs, id_col, text_col)
     rows = cut_lineage(features(own))
@@ -178,25 +205,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     )
     members = cut_lineage(merge_runs(keyed).select(F.col("own.doc_id").alias("doc_id"), F.col("n_bytes").alias("n_shingles"), F.col("who.doc_id").alias("node"), F.col(f"who.{ROW}").alias(ROW)))
     firsts = members.select(ROW, "node").distinct()
-    reps = cut_lineage(rows.join(firsts, ROW).select("node", "sig", "bands"))
-    keys = reps.select("node", F.explode("bands").alias("key"))
+    sigs = cut_lineage(rows.select(ROW, "sig").join(firsts, ROW).select("node", "sig"))
+    keys = sigs.select("node", F.explode(band_keys("sig")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     buckets = cut_lineage(keys.join(shared, "key"))
-    nodes = buckets.select("node").distinct()
-    sigs = reps.select("node", "sig")
-    sets = cut_lineage(sets_of(own, nodes))
-    star = cut_lineage(
+    sets = cut_lineage(sets_of(own, buckets.select("node").distinct()))
+    tried = cut_lineage(
         buckets.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(buckets.select(F.col("node").alias("u"), F.col("hi").alias("v"))).filter("u < v").distinct()
     )
-    first = cut_lineage(linked(star, sigs, sets, percent))
-    parts = connected_components(first)
-    placed = cut_lineage(buckets.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).filter("p < q AND n > 2").select("key")
-    open_ = cut_lineage(placed.join(mixed, "key", "left_semi"))
-    left, right = (open_.select("key", F.col("node").alias(n), F.col("part").alias(p)) for n, p in (("u", "pu"), ("v", "pv")))
-    more = left.join(right, "key").filter("u < v AND pu <> pv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    second = cut_lineage(linked(cut_lineage(more), sigs, sets, percent))
-    whole = connected_components(first.union(second))
+    whole = connected_components(cut_lineage(linked(tried, sigs, sets, percent)))
+    for draw in range(DRAWS + 1):
+        placed = buckets.select("key", "node").join(whole, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        # two members of a bucket of two have been tried
+        several = placed.groupBy("key").agg(
+            F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "part"), F.xxhash64("key", "node", F.lit(draw))).alias("drawn")
+        ).filter("p < q AND n > 2")
+        open_ = cut_lineage(placed.join(several.select("key", "drawn"), "key"))
+        if open_.isEmpty():
+            break
+        if draw < DRAWS:
+            x, y = F.col("node"), F.col("drawn.node")
+            more = open_.filter("part <> drawn.part").select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
+        else:
+            more = across(open_.select("key", "node", "part"), sigs, percent)
+        more = cut_lineage(more.join(tried, ["u", "v"], "left_anti"))
+        tried = tried.union(more)
+        found = linked(more, sigs, sets, percent)
+        whole = connected_components(found.union(whole.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     found = members.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

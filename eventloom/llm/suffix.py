@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, parallelism, pieces, texts
+from eventloom.llm.common import ROW, parallelism, pieces, squeezed, texts
 from eventloom.llm.minhash import mix
 from eventloom.session import cut_lineage
 
@@ -325,12 +325,6 @@ def runs_of(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """
     parts, half = parallelism(docs.sparkSession), length // 2
 
-    def shrink(batches):
-        for batch in batches:
-            squeeze = zstandard.ZstdCompressor(level=1)
-            packed = [squeeze.compress(t.as_py().encode()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(packed, pa.binary())], names=["row", "doc_id", "packed"])
-
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()),
              ("row", pa.int64()), ("packed", pa.binary()), ("full", pa.binary()), ("part", pa.int32())]
 
@@ -381,7 +375,7 @@ def runs_of(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
             out.append(record(part=part, packed=squeeze.compress(head + b"".join(fields))))
         return out
 
-    joined = docs.select(ROW, "doc_id", "text").mapInArrow(shrink, "row bigint, doc_id bigint, packed binary").join(found.withColumnRenamed("n_bytes", "size"), "row", "left")
+    joined = squeezed(docs.select(F.col(ROW).alias("row"), "doc_id", "text")).join(found.withColumnRenamed("n_bytes", "size"), "row", "left")
     return joined.select("row", "doc_id", "packed", "size", "full", "need").mapInArrow(split, f"{RESULT}, row bigint, packed binary, full binary, part int")
 
 

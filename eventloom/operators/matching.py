@@ -300,9 +300,8 @@ def add_before_removal(df, keys, order, block, is_add: Column, is_removal: Colum
 
 def association(labels, groups, keys, t, ident, tolerance: int) -> DataFrame:
     """Labels classed one / none / ambiguous by how many groups lie within the tolerance."""
-    pairs = tj.within(labels.select(*keys, t, ident), groups.select(*keys, t, ident), keys, t, tolerance)
-    counts = pairs.groupBy(*keys, ident).agg(F.count("*").alias("groups"))
-    out = labels.join(counts, [*keys, ident], "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
+    counts = tj.window_counts(labels, groups, keys, t, ident, tolerance, "groups")
+    out = labels.join(counts, [*keys, ident])
     return out.withColumn(
         "association", F.when(F.col("groups") == 0, "none").when(F.col("groups") == 1, "one").otherwise("ambiguous")
     )

@@ -127,6 +127,21 @@ def within(left, right, keys, t, tolerance: int, right_prefix: str = "r_") -> Da
     return lhs.join(rhs, [*keys, "_b"]).filter(near).drop("_b")
 
 
+def window_counts(left, right, keys, t, ident: str, tolerance: int, name: str) -> DataFrame:
+    """(keys, ident, name): how many right rows lie within the tolerance of each left row, without pairs.
+
+    The count is a difference of two readings of one running count, taken just before and just
+    after the window; every left row adds two marks, however dense the right side is.
+    """
+    keys = list(keys)
+    marks = right.select(*keys, F.col(t).alias("_at"), F.lit(1).alias("_rank"), F.col(ident).alias("_id"), F.lit(1).cast("long").alias("_one"))
+    for shift, rank in ((-tolerance, 0), (tolerance, 2)):
+        marks = marks.unionByName(left.select(*keys, (F.col(t) + shift).alias("_at"), F.lit(rank).alias("_rank"), F.col(ident).alias("_id"), F.lit(0).cast("long").alias("_one")))
+    run = o.scan(marks, keys, ["_at", "_rank", "_id"], o.time_block("_at", 8 * (tolerance + 1)), {"_n": o.run_sum("_one")})
+    ends = [F.max(F.when(F.col("_rank") == rank, F.col("_n"))) for rank in (2, 0)]
+    return run.filter("_rank <> 1").groupBy(*keys, F.col("_id").alias(ident)).agg((ends[0] - ends[1]).alias(name))
+
+
 def within_left(left, right, keys, t, tolerance: int, tie: str, right_prefix: str = "r_") -> DataFrame:
     """As ``within`` but keeps left rows without a partner (right columns null)."""
     pairs = within(left, right, keys, t, tolerance, right_prefix)
