@@ -250,12 +250,27 @@ def exclusive_owner(df, keys, order, block, is_owner: Column, is_marker: Column,
 
 
 def preceding_candidates(markers, owners, keys, t, index, owner, tolerance: int) -> DataFrame:
-    """Latest owner before each marker inside the tolerance, and how many there are."""
-    pairs = tj.within(markers.select(*keys, t, index), owners.select(*keys, t, index, owner), keys, t, tolerance)
-    pairs = pairs.filter(F.col(f"r_{index}") < F.col(index))
-    return pairs.groupBy(*keys, index).agg(
-        F.max_by(f"r_{owner}", f"r_{index}").alias("latest_owner"), F.count("*").alias("candidates")
+    """Latest owner before each marker inside the tolerance, and how many there are.
+
+    Needs time to be non-decreasing along ``index``. Counts are differences of one running count,
+    read at the marker and at the start of its window; no pairs are made.
+    """
+    keys = list(keys)
+
+    def marks(df, at: Column, rank: int, kind: str, who: Column) -> DataFrame:
+        one = F.lit(int(kind == "owner")).cast("long")
+        return df.select(*keys, at.alias("_at"), F.lit(rank).alias("_rank"), F.col(index).alias("_id"), F.lit(kind).alias("_kind"), who.alias("_who"), one.alias("_one"))
+
+    nobody = F.lit(None).cast(owners.schema[owner].dataType)
+    rows = marks(owners, F.col(t), 1, "owner", F.col(owner)).unionByName(marks(markers, F.col(t), 1, "end", nobody))
+    rows = rows.unionByName(marks(markers, F.col(t) - tolerance, 0, "start", nobody))
+    seen = F.when(F.col("_kind") == "owner", F.struct("_who"))
+    run = o.scan(rows, keys, ["_at", "_rank", "_id"], o.time_block("_at", 8 * (tolerance + 1)), {"_n": o.run_sum("_one"), "_last": o.before(seen)})
+    end = F.col("_kind") == "end"
+    out = run.filter("_kind <> 'owner'").groupBy(*keys, F.col("_id").alias(index)).agg(
+        F.max(F.when(end, F.col("_last._who"))).alias("latest_owner"), (F.max(F.when(end, F.col("_n"))) - F.max(F.when(~end, F.col("_n")))).alias("candidates")
     )
+    return out.filter("candidates > 0")
 
 
 def lifecycle(placements, removals, keys, t) -> DataFrame:
