@@ -207,11 +207,17 @@ def evidence_gate(quality: Column, min_axis: Column, range_score: Column, path:
 
 
 def weighted_score(df: DataFrame, components: Mapping[str, Column], quality: Column, gate: Column) -> DataFrame:
-    """One row per score profile: weighted components, scaled by quality and gates."""
+    """One row per score profile: weighted components, scaled by quality and gates.
+
+    All components of a profile must be given; a missing one is an error, not a zero.
+    """
+    missing = {part for weights in PROFILES.values() for part in weights} - set(components)
+    if missing:
+        raise ValueError(f"no components {sorted(missing)}")
     def total(name: str) -> Column:
         out = F.lit(0.0)
         for part, weight in PROFILES[name].items():
-            out = out + weight * components.get(part, F.lit(0.0))
+            out = out + weight * components[part]
         return out * (0.45 + 0.55 * quality) * gate
 
     dim = F.array(*[F.struct(F.lit(p).alias("profile"), total(p).alias("score")) for p in PROFILES])

@@ -53,9 +53,9 @@ g AS (SELECT match_id, entity, max(x) FILTER (i = 1) AS sx, max(y) FILTER (i = 1
 f AS (SELECT g.*, far, CASE WHEN far THEN 14500 ELSE 500 END AS hx, CASE WHEN far THEN 500 ELSE 14500 END AS qx, CASE WHEN far THEN 12500 ELSE 2500 END AS rx, CASE WHEN far THEN 2500 ELSE 12500 END AS ry, least(1, n / 20) AS ax, least(1, n / 25) AS mn, least(1, n / 30) AS rg FROM g, (SELECT unnest([true, false]) AS far)),
 c AS (SELECT *, least(1, greatest(0, 1 / (1 + sqrt(power(sx - hx, 2) + power(sy - hx, 2)) / 4000) - 0.8 / (1 + sqrt(power(sx - qx, 2) + power(sy - qx, 2)) / 4000))) AS team, 1 / (1 + sqrt(power(ex - rx, 2) + power(ey - ry, 2)) / 3500) AS role, 1 / (1 + sqrt(power(ex - 7500, 2) + power(ey - 7500, 2)) / 8000) AS center,
  least(1, greatest(0, mq * 0.75 + least(1, ur) * 0.25)) AS traj, least(1, greatest(0, 0.26 * ax + 0.15 * ax + 0.16 * mn + 0.12 * ax + 0.15 * (1 - 0.2) + 0.11 * rg + 0.1 * 1 + 0.1 * mq)) AS ql FROM f),
-z AS (SELECT *, CASE WHEN ql < 0.55 THEN ql / 0.55 ELSE 1 END * CASE WHEN mn < 0.25 THEN mn / 0.25 ELSE 1 END * CASE WHEN rg < 0.4 THEN rg / 0.4 ELSE 1 END * CASE WHEN ax < 0.1 THEN greatest(0.35, ax / 0.1) ELSE 1 END * CASE WHEN mq < 0.2 THEN mq / 0.2 ELSE 1 END AS gate FROM c)
-SELECT match_id, entity, far AS far_team, 'default' AS profile, R6((0.14 * team + 0.18 * role + 0.08 * center + 0.12 * traj + 0.12 * mn + 0.11 * rg) * (0.45 + 0.55 * ql) * gate) AS score FROM z UNION ALL
-SELECT match_id, entity, far, 'reduced-role-anchor', R6((0.18 * team + 0.08 * role + 0.08 * center + 0.16 * traj + 0.14 * mn + 0.12 * rg) * (0.45 + 0.55 * ql) * gate) FROM z"""
+z AS (SELECT *, CASE n % 6 WHEN 0 THEN 1 WHEN 1 THEN 0.65 WHEN 2 THEN 0.4 WHEN 5 THEN 0 ELSE 0.15 END * 0.1 + least(1, n / 40) * 0.1 + least(1, greatest(0, mq)) * 0.05 + CASE WHEN n >= 30 THEN 0.1 ELSE 0 END + least(1, ur) * 0.05 AS known, CASE WHEN ql < 0.55 THEN ql / 0.55 ELSE 1 END * CASE WHEN mn < 0.25 THEN mn / 0.25 ELSE 1 END * CASE WHEN rg < 0.4 THEN rg / 0.4 ELSE 1 END * CASE WHEN ax < 0.1 THEN greatest(0.35, ax / 0.1) ELSE 1 END * CASE WHEN mq < 0.2 THEN mq / 0.2 ELSE 1 END AS gate FROM c)
+SELECT match_id, entity, far AS far_team, 'default' AS profile, R6((0.14 * team + 0.18 * role + 0.08 * center + 0.12 * traj + 0.12 * mn + 0.11 * rg + known) * (0.45 + 0.55 * ql) * gate) AS score FROM z UNION ALL
+SELECT match_id, entity, far, 'reduced-role-anchor', R6((0.18 * team + 0.08 * role + 0.08 * center + 0.16 * traj + 0.14 * mn + 0.12 * rg + known) * (0.45 + 0.55 * ql) * gate) FROM z"""
 
 
 @query("J31_entity_participant_score", TRAJ)
@@ -76,6 +76,9 @@ def entity_participant_score(x):
     parts = a.position_components((c("sx"), c("sy")), (c("ex"), c("ey")), (500.0, 500.0), (F.lit(2500.0), F.lit(12500.0)), c("far_team"))
     parts["trajectory"] = s.clamp(c("quality") * 0.75 + F.least(F.lit(1.0), c("unique_ratio")) * 0.25)
     parts["min_axis"], parts["range"] = low, rng
+    # stand-ins for what other tables say of an entity: slot gap, support, validator and priors
+    parts["scalar"], parts["support"], parts["validator"] = a.slot_nearness(n % 6), F.least(F.lit(1.0), n / 40), s.clamp(c("quality"))
+    parts["exact_prior"], parts["family_prior"] = F.when(n >= 30, 1.0).otherwise(0.0), F.least(F.lit(1.0), c("unique_ratio"))
     ql = a.entity_quality(axis, low, axis, axis, F.lit(0.2), rng, F.lit(1.0), c("quality"))
     gate = a.evidence_gate(ql, low, rng, axis, c("quality"))
     return a.weighted_score(d, parts, ql, gate).select("match_id", "entity", "far_team", "profile", "score")
