@@ -20,6 +20,8 @@ from eventloom.functions import stats as s
 from eventloom.operators import ordered as o
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "exact", "floor_hits", "round_hits", "abs_err", "valid")
+#: Sums that a task holds before it emits them.
+HELD = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,8 @@ def moments(df: DataFrame, entity: Sequence[str], arr: str, targets: Sequence[st
     """Mergeable sums per (spec, target, entity).
 
     Raw values are centred on the middle of their range and targets on ``center`` before
-    squaring, which keeps the sums accurate for large means; hits compare uncentred values.
+    squaring, which keeps the sums accurate for large means; hits compare uncentred values. A task
+    adds up its batches and emits one row per (entity, spec, target), or earlier at ``HELD`` sums.
     """
     entity, targets, fields = list(entity), list(targets), list(fields)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -69,7 +72,20 @@ def moments(df: DataFrame, entity: Sequence[str], arr: str, targets: Sequence[st
     ddl += (", " if ddl else "") + "spec int, target string, cx double, " + ", ".join(f"{c} double" for c in SUMS)
     mids = {t: float((center or {}).get(t, 0.0)) for t in targets}
 
+    middle = {"u": lambda f: 2.0 ** (8 * f.width - 1), "bits": lambda f: 2.0 ** (f.width - 1), "f": lambda f: 0.0}
+    index = [(f.spec, t, middle[f.kind](f)) for f in fields for t in targets]
+
+    def emit(held: dict) -> Iterator[pd.DataFrame]:
+        for key, total in held.items():
+            frame = pd.DataFrame(index, columns=["spec", "target", "cx"])
+            for name, column in zip(SUMS, total.T):
+                frame[name] = column
+            for name, value in zip(entity, key):
+                frame.insert(0, name, value)
+            yield frame[[*entity, "spec", "target", "cx", *SUMS]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for pdf in batches:
             groups = pdf.groupby(entity, sort=False, dropna=False) if entity else [((), pdf)]
             for key, part in groups:
@@ -80,22 +96,23 @@ def moments(df: DataFrame, entity: Sequence[str], arr: str, targets: Sequence[st
                 ys = {t: part[t].to_numpy(dtype=np.float64, na_value=np.nan) for t in targets}
                 out = []
                 for f in fields:
-                    x = f.read(data, size)
-                    cx = {"u": 2.0 ** (8 * f.width - 1), "bits": 2.0 ** (f.width - 1)}.get(f.kind, 0.0)
+                    x, cx = f.read(data, size), middle[f.kind](f)
                     for t in targets:
                         y = ys[t]
                         ok = np.isfinite(x) & np.isfinite(y)
                         a, b = x[ok], y[ok]
                         u, v = a - cx, b - mids[t]
                         out.append(
-                            (f.spec, t, cx, len(a), u.sum(), v.sum(), (u * u).sum(), (v * v).sum(), (u * v).sum(),
+                            (len(a), u.sum(), v.sum(), (u * u).sum(), (v * v).sum(), (u * v).sum(),
                              (a == b).sum(), (np.floor(a) == np.floor(b)).sum(), (np.floor(a + 0.5) == np.floor(b + 0.5)).sum(),
                              np.abs(a - b).sum(), ok.sum() / max(len(ok), 1) * len(ok))
                         )
-                frame = pd.DataFrame(out, columns=["spec", "target", "cx", *SUMS])
-                for name, value in zip(entity, key if isinstance(key, tuple) else (key,)):
-                    frame.insert(0, name, value)
-                yield frame[[*entity, "spec", "target", "cx", *SUMS]]
+                key = tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,)))
+                held[key] = held.get(key, 0.0) + np.array(out, dtype=np.float64).reshape(len(index), len(SUMS))
+            if len(held) * len(index) * len(SUMS) > HELD:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
 
     partial = df.select(*dict.fromkeys([*entity, arr, *targets])).mapInPandas(run, ddl)
     return partial.groupBy(*entity, "spec", "target", "cx").agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -160,21 +177,21 @@ def transform_errors(sums: DataFrame, transforms: Sequence[tuple[str, float, flo
 def smallest_values(df: DataFrame, arr: str, fields: Sequence[Field], keep: int) -> DataFrame:
     """Number of distinct values per spec, counted up to ``keep``.
 
-    The ``keep`` smallest values of all records are among the ``keep`` smallest of each batch.
+    The ``keep`` smallest values of all records are among the ``keep`` smallest of each task.
     """
     fields = list(fields)
 
     def run(batches):
+        least = {f.spec: np.zeros(0) for f in fields}
         for pdf in batches:
             size = pdf[arr].map(len).to_numpy()
             data = np.zeros((len(pdf), int(size.max()) if len(pdf) else 0), dtype=np.uint8)
             for i, row in enumerate(pdf[arr]):
                 data[i, : size[i]] = np.asarray(row, dtype=np.int64)
-            out = []
             for f in fields:
                 x = f.read(data, size)
-                out.extend((f.spec, v) for v in np.unique(x[np.isfinite(x)])[:keep])
-            yield pd.DataFrame(out, columns=["spec", "v"])
+                least[f.spec] = np.unique(np.concatenate([least[f.spec], x[np.isfinite(x)]]))[:keep]
+        yield pd.DataFrame([(spec, v) for spec, values in least.items() for v in values], columns=["spec", "v"])
 
     vals = df.select(arr).mapInPandas(run, "spec int, v double").distinct()
     return o.top_k(vals, ["spec"], [F.asc("v")], keep).groupBy("spec").agg(F.count("*").alias("distinct_values"))
