@@ -22,8 +22,8 @@ from eventloom.session import cut_lineage
 WORDS, ROWS, BANDS = 5, 5, 36
 #: A signature estimate this far below the threshold rules a pair out: over four standard deviations.
 MARGIN = 0.15
-#: Members drawn for a bucket before all pairs are compared, and members in a block of a bucket.
-DRAWS, BLOCK = 2, 1024
+#: Rounds with a drawn member before all pairs are compared, and members in a block of a bucket.
+DRAWS, BLOCK = 1, 1024
 WIDTH = 6  # bytes of a shingle hash that the full check compares
 
 
@@ -154,6 +154,17 @@ def linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     return both_sides(maybe, sets, "hashes").mapInArrow(sure, "u bigint, v bigint")
 
 
+def nearby(links: DataFrame) -> DataFrame:
+    """(node, part): a cheap label; nodes of one part are connected, but a component may have several.
+
+    Every node takes its smallest neighbour, and then what that one took. This is enough to pass over
+    most pairs that need no check; the full components come once, at the end.
+    """
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    took = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    return took.join(took.select(F.col("node").alias("label"), F.col("label").alias("part")), "label").select("node", "part")
+
+
 def across(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of a bucket, of different components, whose signatures do not rule them out.
 
@@ -203,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     keyed = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").select(
         F.struct((-F.col("doc_id")).alias("least"), F.col(ROW), F.col("doc_id")).alias("who"), "digest", F.col("n_shingles").alias("n_bytes"), F.xxhash64("sig").alias("check"), "run",
     )
-    members = cut_lineage(merge_runs(keyed).select(F.col("own.doc_id").alias("doc_id"), F.col("n_bytes").alias("n_shingles"), F.col("who.doc_id").alias("node"), F.col(f"who.{ROW}").alias(ROW)))
+    members = cut_lineage(merge_runs(keyed, 64).select(F.col("own.doc_id").alias("doc_id"), F.col("n_bytes").alias("n_shingles"), F.col("who.doc_id").alias("node"), F.col(f"who.{ROW}").alias(ROW)))
     firsts = members.select(ROW, "node").distinct()
     sigs = cut_lineage(rows.select(ROW, "sig").join(firsts, ROW).select("node", "sig"))
     keys = sigs.select("node", F.explode(band_keys("sig")).alias("key"))
@@ -213,9 +224,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     tried = cut_lineage(
         buckets.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(buckets.select(F.col("node").alias("u"), F.col("hi").alias("v"))).filter("u < v").distinct()
     )
-    whole = connected_components(cut_lineage(linked(tried, sigs, sets, percent)))
+    links = cut_lineage(linked(tried, sigs, sets, percent))
     for draw in range(DRAWS + 1):
-        placed = buckets.select("key", "node").join(whole, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        # before all pairs are compared the components must be whole
+        parts = nearby(links) if draw < DRAWS else connected_components(links).withColumnRenamed("component", "part")
+        placed = buckets.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
         # two members of a bucket of two have been tried
         several = placed.groupBy("key").agg(
             F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("node", "part"), F.xxhash64("key", "node", F.lit(draw))).alias("drawn")
@@ -229,9 +242,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         else:
             more = across(open_.select("key", "node", "part"), sigs, percent)
         more = cut_lineage(more.join(tried, ["u", "v"], "left_anti"))
+        if more.isEmpty():
+            continue
         tried = tried.union(more)
-        found = linked(more, sigs, sets, percent)
-        whole = connected_components(found.union(whole.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        links = links.union(cut_lineage(linked(more, sigs, sets, percent)))
+    whole = connected_components(links)
     found = members.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -203,7 +203,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         F.struct((-F.col("vec_id")).alias("least"), ROW, F.col("vec_id")).alias("who"), F.unhex(F.sha2(F.concat_ws(":", "label", shape), 256)).alias("digest"),
         F.size("vector").alias("n_bytes"), F.xxhash64("label", "vector").alias("check"), "run",
     )
-    members = cut_lineage(merge_runs(cut_lineage(keyed)).select(F.col("own.vec_id").alias("vec_id"), F.col(f"own.{ROW}").alias(ROW), F.col("who.vec_id").alias("node"), F.col(f"who.{ROW}").alias("first"), "n"))
+    members = cut_lineage(merge_runs(cut_lineage(keyed), 64).select(F.col("own.vec_id").alias("vec_id"), F.col(f"own.{ROW}").alias(ROW), F.col("who.vec_id").alias("node"), F.col(f"who.{ROW}").alias("first"), "n"))
     reps = own.filter("good").join(members.filter(F.col(ROW) == F.col("first")).select(ROW, "node", "n"), ROW).select("node", "label", "n", "vector", "dim")
     reps = cut_lineage(reps)
     links = None
