@@ -165,31 +165,43 @@ def nearby(links: DataFrame) -> DataFrame:
     return took.join(took.select(F.col("node").alias("label"), F.col("label").alias("part")), "label").select("node", "part")
 
 
-def across(open_: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of a bucket, of different components, whose signatures do not rule them out.
+def across(open_: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of a bucket, enough of them to join these components.
 
-    Buckets are cut into blocks of about ``BLOCK`` members, and two blocks meet in one task. The pairs
-    are compared there as arrays; only those that may link become rows.
+    Buckets are cut into blocks of about ``BLOCK`` members, and two blocks meet in one task, where pairs
+    are compared by signature and then on full sets, as arrays. Components that a found link has joined
+    are not compared again, so a task emits fewer links than it has members.
     """
     least = percent / 100 - MARGIN
     sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     own = open_.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    tiles = own.join(sigs, "node").select("key", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "node", "part", "sig")
+    tiles = own.join(sigs, "node").join(sets, "node").select("key", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "node", "part", "sig", "hashes")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
-        node, part, block = (rows[c].to_numpy() for c in ("node", "part", "b"))
+        node, block = rows["node"].to_numpy(), rows["b"].to_numpy()
+        part = np.unique(rows["part"].to_numpy(), return_inverse=True)[1]
         split = rows["i"].iloc[0] != rows["j"].iloc[0]
-        u, v = [], []
+        held = [unpack(h) for h in rows["hashes"]]
+        size = np.array([len(h) for h in held])
+        start = np.cumsum(size) - size
+        ids = np.unique(np.concatenate(held), return_inverse=True)[1]
+        here = np.zeros(len(ids) + 1, bool)
+        found = []
         for k in range(len(rows)):
-            other = (node > node[k]) & (part != part[k])
-            if split:
-                other &= block != block[k]
-            near = np.flatnonzero(other)
+            near = np.flatnonzero((part != part[k]) & ((block != block[k]) if split else (np.arange(len(rows)) > k)))
             near = near[(sig[near] == sig[k]).mean(axis=1) >= least]
-            u += [node[k]] * len(near)
-            v += node[near].tolist()
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+            if not len(near):
+                continue
+            own_ids = ids[start[k]:start[k] + size[k]]
+            here[own_ids] = True
+            both = np.add.reduceat(here[ids], start, dtype=np.int64)[near]
+            here[own_ids] = False
+            for j in near[100 * both >= percent * (size[k] + size[near] - both)]:
+                if part[j] != part[k]:
+                    found.append((min(node[k], node[j]), max(node[k], node[j])))
+                    part[part == part[j]] = part[k]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return tiles.groupBy("key", "i", "j").applyInPandas(compare, "u bigint, v bigint").distinct()
 
@@ -203,8 +215,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Equal sets are compared once, by their smallest identifier. The others meet in bands of their
     minima. Each member of a bucket is tried with the smallest and the largest one; then, in buckets
-    that hold several components, with a member drawn for the bucket, ``DRAWS`` times. Last, all
-    remaining pairs between components of a bucket are compared by signature, in blocks. So a bucket of
+    that hold several components, with a member drawn for the bucket, ``DRAWS`` times. Last, all pairs
+    between the components of a bucket are compared in blocks. So a bucket of
     thousands of near copies costs a few full checks for each member, and no link between components is
     lost. Rows that share an identifier are one node. An empty table gives no rows.
     """
@@ -239,13 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if draw < DRAWS:
             x, y = F.col("node"), F.col("drawn.node")
             more = open_.filter("part <> drawn.part").select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
+            links = links.union(cut_lineage(linked(more.join(tried, ["u", "v"], "left_anti"), sigs, sets, percent)))
         else:
-            more = across(open_.select("key", "node", "part"), sigs, percent)
-        more = cut_lineage(more.join(tried, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        links = links.union(cut_lineage(linked(more, sigs, sets, percent)))
+            links = links.union(cut_lineage(across(open_.select("key", "node", "part"), sigs, sets, percent)))
     whole = connected_components(links)
     found = members.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -104,6 +104,22 @@ def test_near_duplicates(docs, none, spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_block_comparison_finds_every_component(spark, docs, block, monkeypatch):
+    from eventloom.llm import minhash
+    from eventloom.llm.common import texts
+    from eventloom.llm.components import connected_components
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    some = texts(docs.filter(F.length("text").between(1, 3000)))
+    sigs = minhash.features(some).filter("sig IS NOT NULL").select(F.col("doc_id").alias("node"), "sig")
+    nodes = sigs.select("node")
+    one = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("part"))
+    got = {r.node: r.component for r in connected_components(minhash.across(one, sigs, minhash.sets_of(some, nodes), 75)).collect()}
+    want = {i: c for i, (_, c) in brute.near([(i, t) for i, t in DOCS if t and len(t) <= 3000]).items()}
+    assert all(got.get(i, i) == c for i, c in want.items())
+
+
 def test_components_of_paths_and_stars(spark):
     from eventloom.llm.components import connected_components
 
