@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,11 @@ from eventloom.session import cut_lineage
 #: Symbols: bytes, the end of a text, and the mark that fills contexts before its start.
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
 ORDER = 5
-#: A context or symbol is a node of the trie when at least one of so many training symbols is its own,
-#: so an order has at most so many nodes however large the corpus is.
-SHARE = 1 << 22
 CHUNK = 1 << 22
+#: Text for each part of the trie, text that the bounds of the parts are drawn from, and one gram in so many of it.
+PART, DRAWN, THIN = 1 << 23, 1 << 25, 64
+#: Texts of so many bytes, or with so many distinct grams, send their grams together.
+GATHER, MOST = 1 << 24, 3 << 20
 END_TOKEN = b" end"  # no word holds a space
 
 
@@ -77,8 +79,12 @@ class Trie:
         return out
 
 
-def grams(rows: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, symbol) of every position of every text, and the text that each belongs to."""
+def grams(rows: list[bytes], order: int = ORDER, nearest_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Packed (context, symbol) of every position of every text, and the text that each belongs to.
+
+    The symbol is in the lowest bits; above it is the nearest symbol of the context, or with ``nearest_first``
+    the farthest, so that the grams of a context of any order follow each other.
+    """
     lengths = np.fromiter(map(len, rows), np.int64, len(rows)) + order + 1
     ends = np.cumsum(lengths)
     flat = np.frombuffer(b"".join(b"\0" * order + r + b"\0" for r in rows), np.uint8).astype(np.uint64)
@@ -89,7 +95,7 @@ def grams(rows: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     flat[ends - 1] = END
     key = flat.copy()
     for k in range(1, order + 1):
-        key[k:] |= flat[:-k] << np.uint64(BITS * k)
+        key[k:] |= flat[:-k] << np.uint64(BITS * (order + 1 - k if nearest_first else k))
     return key[real], np.repeat(np.arange(len(rows)), lengths - order)
 
 
@@ -106,58 +112,65 @@ def low_bits(keys: np.ndarray, symbols: int) -> np.ndarray:
     return keys & np.uint64((1 << BITS * symbols) - 1)
 
 
-def count_grams(docs: DataFrame, total: int, order: int = ORDER, share: int = SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of every order from 0, over all rows of ``docs`` (text), without what is rarer than 1 in ``share``.
+def turned(keys: np.ndarray, order: int) -> np.ndarray:
+    """Grams of ``order`` context symbols with these in the other order; see ``grams``."""
+    out = low_bits(keys, 1)
+    for k in range(1, order + 1):
+        out |= low_bits(keys >> np.uint64(BITS * (order + 1 - k)), 1) << np.uint64(BITS * k)
+    return out
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Values of eight bytes, compressed by byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def expand(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, np.uint64), dtype=np.uint64)
+
+
+def cut_contexts(bounds: np.ndarray, order: int, o: int) -> np.ndarray:
+    """The contexts of order ``o``, nearest symbol first, that lie on the way to one of the bounds."""
+    return np.unique(bounds >> np.uint64(BITS * (order + 1 - o))) if o else np.zeros(min(1, len(bounds)), np.uint64)
+
 
-    A task merges the grams of its texts and sends each part of the key space as one packed row. Parts
-    are cut by the last three symbols, so all counts of orders 2 and up are whole in one part; the few
-    counts of the orders below are added up at the end. At most ``share`` nodes of an order come back.
+def cut_grams(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order and gram, count) of the contexts that have grams on both sides of a bound, from learned grams."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for o in range(order if len(bounds) else 0):
+        context = keys >> np.uint64(BITS * (order + 1 - o))
+        own = np.isin(context, cut_contexts(bounds, order, o))
+        out.append(merged([context[own] << np.uint64(BITS) | low_bits(keys[own], 1) | np.uint64(o << 60)], [counts[own]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def part_bounds(docs: DataFrame, order: int) -> np.ndarray:
+    """Bounds that deal the grams of ``docs`` (text) evenly, each before all grams of a context of full order.
+
+    They are quantiles of distinct grams from a drawn part of the texts; results do not depend on them.
     """
-    parts = parallelism(docs.sparkSession)
-    low = min(order, 2)
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(parallelism(docs.sparkSession), -(-total // PART))
 
-    def count(batches):
-        keys, counts, held = [], [], 0
+    def draw(batches):
         for batch in batches:
             for piece in pieces(batch, "text", CHUNK):
-                k, n = np.unique(grams([t.as_py().encode() for t in piece.column("text")], order)[0], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > 1 << 22:
-                    keys, counts = ([x] for x in merged(keys, counts))
-                    held = len(keys[0])
-                    if held > 3 << 20:
-                        yield packed(keys[0], counts[0])
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield packed(*merged(keys, counts))
-
-    def packed(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        part = (mix(low_bits(k, low + 1)) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(parts + 1))
-        rows = [(p, k[by[a:b]], n[by[a:b]]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.astype(np.uint32).tobytes() for _, _, x in rows], pa.binary())],
-            names=["part", "keys", "counts"],
-        )
-
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        k, n = merged([np.frombuffer(x, np.uint64) for x in rows["keys"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]])
-        out = []
-        for o in range(order + 1):
-            own, sums = merged([low_bits(k, o + 1)], [n])
-            if o >= low:
-                often = sums * share >= total
-                own, sums = own[often], sums[often]
-            out.append((o, own.tobytes(), sums.tobytes()))
-        return pd.DataFrame(out, columns=["o", "keys", "counts"])
+                k = np.unique(grams([t.as_py().encode() for t in piece.column("text")], order, True)[0])
+                yield pa.RecordBatch.from_arrays([pa.array([k[mix(k) % np.uint64(THIN) == 0].tobytes()], pa.binary())], names=["keys"])
 
-    found = docs.select("text").mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInPandas(reduce, "o int, keys binary, counts binary")
-    got = [(r["o"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in found.collect()]
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return [merged(*map(list, zip(*own))) if (own := [(k, n) for x, k, n in got if x == o]) else none for o in range(order + 1)]
+    some = docs.select("text").sample(min(1.0, DRAWN / total), 5) if total > DRAWN else docs.select("text")
+    drawn = [np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(draw, "keys binary").collect()]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *drawn]))
+    return np.unique(keys[np.arange(1, parts) * len(keys) // parts] >> np.uint64(BITS) << np.uint64(BITS)) if len(keys) else keys
 
 
 class Table:
@@ -259,24 +272,120 @@ class Tables:
         return np.bincount(owner, weights=self.log10(keys), minlength=len(rows))
 
 
-def ppm_scores(docs: DataFrame, train: DataFrame, order: int = ORDER, share: int = SHARE) -> DataFrame:
-    """The other columns of ``docs`` (text, ...) with score, the log10 probability of every whole text and its end.
+def part_levels(keys: np.ndarray, counts: np.ndarray, part: int, bounds: np.ndarray, cut: tuple[np.ndarray, np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of every order from 0 as ``Tables`` takes them, for the contexts of one part.
 
-    The trie is learned from all texts of ``train``; see ``count_grams`` for what it holds.
+    ``keys`` are its learned grams. Contexts that one of its two bounds cuts have their counts from ``cut``,
+    where the whole corpus is summed; all others are whole in the part.
     """
-    total = train.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shared = docs.sparkSession.sparkContext.broadcast(count_grams(train, total, order, share))  # at most ``share`` nodes for each order
-    fields = [f for f in docs.schema.fields if f.name != "text"]
+    own = [merged([turned(keys, order)], [counts])]
+    for o in range(order - 1, -1, -1):
+        own.insert(0, merged([low_bits(own[0][0], o + 1)], [own[0][1]]))
+    edges = bounds[max(0, part - 1):part + 1]
+    for o in range(order if len(edges) else 0):
+        contexts = cut_contexts(edges, order, o)
+        a, b = np.searchsorted(cut[0], [np.uint64(o << 60), np.uint64(o + 1 << 60)])
+        gram, count = low_bits(cut[0][a:b], o + 1), cut[1][a:b]
+        held = np.isin(gram >> np.uint64(BITS), contexts)
+        rest = ~np.isin(own[o][0] >> np.uint64(BITS), turned(contexts << np.uint64(BITS), o) >> np.uint64(BITS))
+        own[o] = merged([own[o][0][rest], turned(gram[held], o)], [own[o][1][rest], count[held]])
+    return own
+
+
+def ppm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """The other columns of ``docs`` (text, train, ...) with score, the log10 probability of every whole text and its end.
+
+    The trie is learned from all texts marked ``train`` and is never in one place. Chunks of texts send
+    their distinct grams, with training counts, to the parts of the gram space: ranges by the context,
+    nearest symbol first. So a context is whole in one part, but for the few on the way to a bound,
+    whose counts are summed over the corpus and go to all parts. A part sends the log10 probability of
+    every gram back to the chunk, in the order of its grams.
+    """
+    bounds = part_bounds(docs, order)
+    groups = len(bounds) // 8 + 1
+    fields = [f for f in docs.schema.fields if f.name not in ("text", "train")]
+    blobs = pa.schema([("name", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
-    def run(batches):
-        tables = Tables(shared.value)
+    def count(batches):
+        name, size, keys, counts = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
             for piece in pieces(batch, "text", CHUNK):
-                score = tables.score([t.as_py().encode() for t in piece.column("text")])
-                yield pa.RecordBatch.from_arrays([*[piece.column(f.name) for f in fields], pa.array(score)], names=[*[f.name for f in fields], "score"])
+                if not piece.num_rows:
+                    continue
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(piece)
+                yield pa.RecordBatch.from_pylist([{"name": name, "part": -1, "a": sink.getvalue().to_pybytes(), "b": None}], schema=blobs)
+                key, owner = grams([t.as_py().encode() for t in piece.column("text")], order, True)
+                train = np.asarray(piece.column("train").to_pylist(), bool)[owner]
+                for own, learned in ((key[train], 1), (key[~train], 0)):
+                    k, n = np.unique(own, return_counts=True)
+                    keys.append(k)
+                    counts.append(n * learned)
+                keys, counts = ([x] for x in merged(keys, counts))
+                size += len(key)
+                if size > GATHER or len(keys[0]) > MOST:
+                    yield sent(name, keys[0], counts[0])
+                    name, size, keys, counts = name + 1, 0, [], []
+        if keys:
+            yield sent(name, keys[0], counts[0])
+
+    def sent(name: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *np.searchsorted(keys, bounds), len(keys)]
+        rows = [{"name": name, "part": p, "a": packed_keys(keys[a:b]), "b": squeeze(counts[a:b])} for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        keys, counts = cut_grams(keys[counts > 0], counts[counts > 0], bounds, order)
+        group = mix(keys) % np.uint64(groups)
+        for g in np.unique(group):
+            own = group == g
+            rows.append({"name": name, "part": -2 - int(g), "a": packed_keys(keys[own]), "b": squeeze(counts[own])})
+        return pa.RecordBatch.from_pylist(rows, schema=blobs)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        k, n = merged([unpacked_keys(x) for x in rows["a"].to_pylist()], [expand(x, np.int64) for x in rows["b"].to_pylist()])
+        return pa.table({"a": pa.array([k.tobytes()], pa.binary()), "b": pa.array([n.tobytes()], pa.binary())})
+
+    chunks = cut_lineage(docs.select(*[f.name for f in fields], "text", "train").mapInArrow(count, "name bigint, part int, a binary, b binary"))
+    got = chunks.filter("part < -1").groupBy("part").applyInArrow(add_up, "a binary, b binary").collect()
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    cut = merged(none[0] + [np.frombuffer(r["a"], np.uint64) for r in got], none[1] + [np.frombuffer(r["b"], np.int64) for r in got])
+    shared = docs.sparkSession.sparkContext.broadcast(cut)  # at most 257 symbols of ``order`` contexts for each bound
+
+    def answer(rows: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x) for x in rows["a"].to_pylist()]
+        ends = np.cumsum([0, *map(len, keys)])
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([expand(x, np.int64) for x in rows["b"].to_pylist()])).astype(np.int64)
+        del keys
+        seen = counts > 0
+        levels = part_levels(every[seen], counts[seen], rows["part"][0].as_py(), bounds, shared.value, order)
+        score = Tables(levels).log10(turned(every, order))
+        values, kind = np.unique(score, return_inverse=True)
+        sent_back = [np.unique(kind[at[a:b]], return_inverse=True) for a, b in zip(ends, ends[1:])]
+        return pa.table({
+            "name": rows["name"], "part": rows["part"], "c": pa.array([squeeze(values[own]) for own, _ in sent_back], pa.binary()),
+            "d": pa.array([squeeze(place.astype(np.int64)) for _, place in sent_back], pa.binary()),
+        })
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("part")
+        each = np.concatenate([expand(c, np.float64)[expand(d, np.int64)] for c, d in zip(right["c"].to_pylist(), right["d"].to_pylist())])
+        held = []
+        for blob in left["a"].to_pylist():
+            piece = pa.ipc.open_stream(blob).read_all()
+            key, owner = grams([t.as_py().encode() for t in piece["text"]], order, True)
+            own, at = np.unique(key, return_inverse=True)
+            held.append((piece.select([f.name for f in fields]), own, at.astype(np.int32), np.bincount(owner, minlength=piece.num_rows)))
+        every = np.unique(np.concatenate([own for _, own, _, _ in held]))
+        out = []
+        for piece, own, at, lengths in held:
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            score = np.bincount(owner, weights=each[np.searchsorted(every, own)][at], minlength=len(lengths))
+            out.append(piece.append_column("score", pa.array(score)))
+        return pa.concat_tables(out)
 
+    answers = chunks.filter("part >= 0").groupBy("part").applyInArrow(answer, "name bigint, part int, c binary, d binary")
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "score double"])
-    return docs.select(*[f.name for f in fields], "text").mapInArrow(run, schema)
+    return chunks.filter("part = -1").select("name", "a").groupBy("name").cogroup(answers.groupBy("name")).applyInArrow(finish, schema)
 
 
 def adaptive_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,7 +474,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
     """
     own = texts(docs, id_col, text_col).withColumns({"mark": F.xxhash64("text"), "held_out": fold(F.col("doc_id"), folds) == held})
     own = own.withColumn("train", ~F.col("held_out"))
-    scored = ppm_scores(own.select("doc_id", "mark", "held_out", "text"), own.filter("train").select("text"))
+    scored = ppm_scores(own.select("doc_id", "mark", "held_out", "text", "train"))
     base = unigram_scores(own).dropDuplicates(["doc_id", "mark"])
     return (
         scored.alias("s").join(base.alias("b"), F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.mark") == F.col("b.mark")))

@@ -196,6 +196,37 @@ def test_ppm_and_unigrams(docs, none):
         assert r.score == pytest.approx(Trie(2).score(dict(DOCS)[i], adaptive=True))
 
 
+def test_ppm_keeps_rare_grams_of_a_large_corpus(spark):
+    from eventloom.llm.ppm import ORDER, Trie, score_documents
+
+    n, rare = 9_000_000, ["a word met once", "é another", ""]
+    ids = [i for i in range(50) if brute.fold(i, 7) != 2]
+    rows = [*zip(ids, ["a" * n, *rare]), (next(i for i in range(50) if brute.fold(i, 7) == 2), "a word met twice")]
+    trie = Trie(ORDER)
+    for t in ["a" * 20, *rare]:
+        trie.learn(t)
+    for k in range(ORDER + 1):
+        trie.counts[(97,) * k][97] += n - 20
+    got = by_id(score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2, "doc_id")))
+    for i, t in rows[1:]:
+        assert got[i].score == pytest.approx(trie.score(t), rel=1e-9)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 60])
+def test_ppm_does_not_depend_on_parts(spark, docs, parts, monkeypatch):
+    from eventloom.llm import ppm
+
+    some = docs.filter(F.length("text") < 3000).select("doc_id", "text", (F.col("doc_id") % 3 > 0).alias("train"))
+    trie = ppm.Trie()
+    for r in some.filter("train").collect():
+        trie.learn(r.text)
+    monkeypatch.setattr(ppm, "THIN", 1)
+    monkeypatch.setattr(ppm, "parallelism", lambda _: parts)
+    got = by_id(ppm.ppm_scores(some))
+    for r in some.collect():
+        assert got[r.doc_id].score == pytest.approx(trie.score(r.text), rel=1e-9)
+
+
 def test_ppm_chances_sum_to_one():
     from eventloom.llm.ppm import END, Tables, Trie, grams, low_bits, merged
 
