@@ -33,8 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents enter as often as their rate says, so that expected tokens per domain match the targets."""
-    return mixed(docs, llm.domain_labels(spark, sf_dir), llm.TARGETS)
+    """Documents enter as often as their rate says, so that expected tokens per domain match the targets.
+
+    The domains are learned from all documents, as the stages before take most of the poor ones away.
+    """
+    return mixed(docs, llm.domain_labels(spark, sf_dir), llm.TARGETS, learn_from=table(spark, sf_dir, "documents"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,14 +55,18 @@ def fit_rates(members: DataFrame, targets: list[float], pull: float = 0.01, tole
     return history
 
 
-def domain_model(docs: DataFrame, labels: DataFrame, n_domains: int, per_class: int = 2000) -> SubwordModel:
-    """A subword classifier of the domains 0 .. ``n_domains`` - 1 from (doc_id, cls) labels.
+def domain_model(docs: DataFrame, labels: DataFrame, n_domains: int, per_class: int = 2000) -> tuple[SubwordModel, Column]:
+    """A subword classifier of the domains 0 .. ``n_domains`` - 1 from (doc_id, cls) labels, and its p over all domains.
 
-    Learned from a bounded sample; without labels in some domain its posteriors are even.
+    Learned from a bounded sample. A domain without labelled texts has posterior 0; without any the
+    posteriors are even.
     """
-    rows = labelled_sample(docs, labels, per_class, 1 << 16)
-    model = SubwordModel(n_domains)
-    return model.fit(rows, epochs=8) if len({c for _, c in rows}) == n_domains else model
+    rows = labelled_sample(docs, labels.filter(F.col("cls").between(0, n_domains - 1)), per_class, 1 << 16)
+    present = sorted({c for _, c in rows})
+    if not present:
+        return SubwordModel(n_domains), F.col("p")
+    model = SubwordModel(len(present)).fit([(text, present.index(c)) for text, c in rows], epochs=8)
+    return model, F.array(*[F.col("p")[present.index(d)] if d in present else F.lit(0.0) for d in range(n_domains)])
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: list[float], id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000,
@@ -77,8 +81,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: list[float], id_co
     their posterior. Repeated rows get the same rate. An empty table gives no rows.
     """
     own = texts(docs, id_col, text_col)
-    model = domain_model(own, labels, len(targets), per_class)
-    members = cut_lineage(posteriors(own, model).withColumnRenamed("n_words", "tokens"))
+    model, p = domain_model(own, labels, len(targets), per_class)
+    members = cut_lineage(posteriors(own, model).withColumn("p", p).withColumnRenamed("n_words", "tokens"))
     history = fit_rates(members, [t / sum(targets) for t in targets], pull)
     return members.withColumn("rate", rate_after(history, 1 / (1 + pull), pull)).withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"))).select(
         "doc_id", "tokens", "p", "rate", "copies"
@@ -90,13 +94,18 @@ def copies_of(id_col: Column, rate: Column) -> Column:
     return F.floor(rate + (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) + 0.5) / (1 << 20))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], pull: float = 0.01) -> DataFrame:
-    """The rows of ``docs`` (with doc_id and text) as often as their rate says, with the same columns."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], pull: float = 0.01, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) as often as their rate says, with the same columns.
+
+    The domains are learned from the labelled rows of ``learn_from`` (by default ``docs``): where stages
+    before have removed most of a domain, the whole table still shows what it looks like.
+    """
     own = texts(docs)
-    model = domain_model(own, labels, len(targets))
-    history = fit_rates(cut_lineage(posteriors(own, model).select("n_words", "p")).withColumnRenamed("n_words", "tokens"), [t / sum(targets) for t in targets], pull)
+    model, p = domain_model(own if learn_from is None else texts(learn_from), labels, len(targets))
+    members = posteriors(own, model).select(F.col("n_words").alias("tokens"), p.alias("p"))
+    history = fit_rates(cut_lineage(members), [t / sum(targets) for t in targets], pull)
     scored, back = scored_rows(docs, model)
     identifier = F.col(f"c{docs.columns.index('doc_id')}__")
     copies = copies_of(identifier, rate_after(history, 1 / (1 + pull), pull)).cast("int")
-    times = scored.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    times = scored.withColumn("p", p).withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return times.select(*back)

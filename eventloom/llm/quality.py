@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.common import fold, pieces, sha, texts
+from eventloom.session import cut_lineage
 
 #: Bytes of text scored at once, and the multiplier of the subword hashes.
 CHUNK, BASE = 1 << 20, np.uint64(0x9E3779B97F4A7C15)
@@ -149,12 +150,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
 
     ``labels`` has (doc_id, cls) with a bounded number of classes; repeated identifiers with the same
     class count once. Rows are taken by a hash of the identifier, so the sample does not depend on
-    partitions. The result is bounded by classes x per_class x most_bytes, here a few MB in practice.
+    partitions. Labels without such a text do not count. The result is bounded by classes x per_class x
+    most_bytes, here a few MB in practice.
     """
-    classes = sorted(r[0] for r in labels.select("cls").distinct().collect())
+    usable = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id")
+    known = cut_lineage(labels.select("doc_id", "cls").distinct().join(usable, "doc_id", "left_semi"))
+    classes = sorted(r[0] for r in known.select("cls").distinct().collect())
     chosen = None
     for c in classes:
-        some = labels.filter(F.col("cls") == c).select("doc_id", "cls").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = known.filter(F.col("cls") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
         return []

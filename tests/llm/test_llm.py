@@ -309,6 +309,53 @@ def test_mixing_meets_targets(spark, none):
     assert mixed(odd, marks.limit(0), TARGETS).columns == odd.columns
 
 
+@pytest.mark.parametrize("poor_left", [True, False])
+def test_mixing_stage_learns_from_all_documents(spark, poor_left):
+    import corpus_pipeline
+    from eventloom.llm.common import table
+    from eventloom.llm.quality import SubwordModel, softmax
+    from eventloom.llm.queries import TARGETS, domain_labels
+
+    folder = "/root/testdata/sf0.01"
+    docs = table(spark, folder, "documents")
+    cls = {r.doc_id: r.cls for r in domain_labels(spark, folder).collect()}
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    known = [(t, cls[i]) for i, t in rows if i in cls and len(t.encode()) <= 1 << 16]
+    assert max(np.bincount([c for _, c in known])) <= 2000
+    model = SubwordModel(3).fit(known, epochs=8)
+    left = [(i, t) for i, t in rows if poor_left or cls.get(i) != 1]
+    p = []
+    for _, t in left:
+        ids, share = model.features(t)
+        p.append(softmax(model.out.astype(float) @ (share.astype(float) @ model.vectors[ids].astype(float))))
+    p, tokens = np.array(p), np.array([len(t.split()) for _, t in left])
+    share, rate = tokens @ p / tokens.sum(), np.ones(len(left))
+    last = np.full(3, np.inf)
+    for _ in range(60):
+        error = ((rate * tokens) @ p / tokens.sum() - TARGETS) / share
+        rate = np.maximum(0, rate - (p @ error + 0.01 * (rate - 1)) / 1.01)
+        if np.abs(error - last).max() < 1e-4:
+            break
+        last = error
+    some = spark.createDataFrame([(i,) for i, _ in left], "doc_id bigint")
+    drawn = {r[0]: r[1] for r in some.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + 0.5) / (1 << 20)).collect()}
+    got = {r.doc_id: r["count"] for r in corpus_pipeline.mixing(spark, docs.join(some, "doc_id", "left_semi"), folder).groupBy("doc_id").count().collect()}
+    want = [(got.get(i, 0), x + drawn[i]) for (i, _), x in zip(left, rate)]
+    sure = [(n, x) for n, x in want if abs(x - round(x)) > 0.03]
+    assert len(sure) > 0.9 * len(want) and all(n == int(x) for n, x in sure)
+    toxic = np.array([cls.get(i) == 0 for i, _ in left])
+    assert (rate[toxic] < 0.8).mean() > 0.5
+
+
+def test_mixing_with_missing_domains(spark):
+    from eventloom.llm.mixing import mixing_rates
+
+    docs = spark.createDataFrame([(i, "bad awful words" if i % 4 == 0 else "fine sound text") for i in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 2) for i in range(40)] + [(1000 + i, 1) for i in range(5)], "doc_id bigint, cls int")
+    for r in mixing_rates(docs, labels, [0.02, 0.02, 0.96], per_class=100).collect():
+        assert r.p[1] == 0 and (r.rate < 0.5 if r.doc_id % 4 == 0 else r.rate > 1)
+
+
 def test_embedding_links(spark):
     from eventloom.llm.vectors import embedding_links
 
