@@ -153,3 +153,11 @@ def op3(spark, sf_dir):
     from eventloom.llm.suffix import remove_repeats, removal_digests
 
     return removal_digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op13_quality_rules")
+def op13(spark, sf_dir):
+    from eventloom.llm.rules import COUNTS, judge
+
+    judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "rule")
