@@ -185,3 +185,13 @@ def op11(spark, sf_dir):
     from eventloom.llm.search import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    from eventloom.llm.align import align_tokenizers
+
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align_tokenizers(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
