@@ -64,7 +64,10 @@ def repeated_words(words: Column) -> Column:
         start = F.struct(F.lit(-WINDOW).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(at, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(x - a["last"], F.lit(WINDOW).cast("long"))).alias("n")), lambda a: a["n"])
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(window(i)))
+    def of_windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+
+    hashes = bound(F.transform(words, lambda w: F.xxhash64(w)), of_windows)
     found = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(F.size(words) >= WINDOW, found).otherwise(F.lit(0).cast("long"))
 
