@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import binary as bn
 from eventloom.functions import stats as s
+from eventloom.operators import needles as nd
 from eventloom.operators import ordered as o
 from eventloom.operators import payload as pl
 from eventloom.operators import timejoin as tj
@@ -139,16 +140,12 @@ def _words(x, width, stride):
 
 
 @query("C26_token_containment", WORDS4.format(stride=1) + """, ids AS (SELECT DISTINCT CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS word FROM (SELECT hex(encode(text)) AS h FROM {pk}))
-, r AS (SELECT match_id, block_index, word AS lit, ((word & 255) << 24) | ((word & 65280) << 8) | ((word >> 8) & 65280) | (word >> 24) AS big FROM w JOIN (SELECT match_id, block_index, len FROM {pk}) USING (match_id, block_index) WHERE len <= 256 OR pos % 4 = 0)
+, r AS (SELECT match_id, block_index, word AS lit, ((word & 255) << 24) | ((word & 65280) << 8) | ((word >> 8) & 65280) | (word >> 24) AS big FROM w)
 SELECT match_id, block_index, count(*) FILTER (lit IN (SELECT word FROM ids)) AS little, count(*) FILTER (big IN (SELECT word FROM ids)) AS big FROM r WHERE lit IN (SELECT word FROM ids) OR big IN (SELECT word FROM ids) GROUP BY 1, 2""")
 def token_containment(x):
-    """Payloads holding one of the known 32-bit ids (the leading word of every payload), read in both byte orders.
-
-    Payloads above 256 bytes are read at every fourth byte only (a fixed rule of the search).
-    """
+    """Payloads holding one of the known 32-bit ids (the leading word of every payload), read at every byte in both byte orders."""
     ids = x.pk.select(bn.read_uint("payload", 0, 4).alias("word")).distinct()
-    near = x.pk.select("match_id", "block_index", "payload", F.octet_length("payload").alias("len"))
-    w = pl.explode_words(near, "payload", 4, 1).filter((F.col("len") <= 256) | (F.col("pos") % 4 == 0))
+    w = pl.explode_words(x.pk.select("match_id", "block_index", "payload"), "payload", 4, 1)
     word = F.col("word")
     swapped = (
         F.shiftleft(word.bitwiseAND(F.lit(255)), 24).bitwiseOR(F.shiftleft(word.bitwiseAND(F.lit(65280)), 8))
@@ -159,21 +156,44 @@ def token_containment(x):
     return hit.groupBy("match_id", "block_index").agg(F.count_if(F.col("endian") == "little").alias("little"), F.count_if(F.col("endian") == "big").alias("big"))
 
 
-@query("C27_needle_search", """WITH n AS (SELECT DISTINCT lower(w) AS needle FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) = 4 UNION SELECT unnest(['tion', 'ment', 'they', 'that', 'with'])),
-g AS (SELECT packet_type, match_id, unnest(range(len - 3)) AS pos, hx FROM {pk} WHERE len >= 4), r AS (SELECT packet_type, match_id, pos, substr(hx, CAST(2 * pos + 1 AS BIGINT), 8) AS h FROM g)
-SELECT needle, packet_type, pos // 64 AS bucket, count(*) AS hits, count(DISTINCT match_id) AS matches FROM r JOIN n ON r.h = hex(encode(needle)) GROUP BY 1, 2, 3""")
+NEEDLES = """WITH p AS (SELECT match_id, block_index, packet_type, text, hx, len FROM {pk}),
+v AS (SELECT match_id, block_index + 1 AS participant, unnest(['participant', 'ordinal', 'team', 'champion']) AS kind, unnest([block_index + 1, block_index, 100 + 100 * (block_index % 2), 97 + match_id % 26]) AS v FROM p),
+le AS (SELECT match_id, participant, kind, lpad(hex(v & 255), 2, '0') || lpad(hex(v >> 8), 2, '0') || repeat('0', 12) AS le FROM v
+ UNION ALL SELECT match_id, block_index + 1, kind, rpad(substr(hx, 1, 2 * w), 16, '0') FROM p, (SELECT unnest(['spell', 'summoner', 'account']) AS kind, unnest([2, 4, 8]) AS w) WHERE len >= w),
+n AS (SELECT match_id, participant, kind, 'u' || CAST(8 * w AS VARCHAR) AS width, substr(le, 1, 2 * w) AS needle FROM le, (SELECT unnest([1, 2, 4, 8]) AS w) WHERE substr(le, 2 * w + 1) = repeat('0', 16 - 2 * w)
+ UNION ALL SELECT match_id, block_index + 1, unnest(['role', 'name', 'passage']), 'ascii', hex(encode(unnest([packet_type, CASE WHEN length(split_part(text, ' ', 1)) >= 3 THEN split_part(text, ' ', 1) ELSE '' END, CASE WHEN length(text) >= 13 THEN substr(text, 11, 12) ELSE '' END]))) FROM p),
+m AS (SELECT *, CAST(length(needle) // 2 AS BIGINT) AS w FROM n WHERE needle <> ''),
+g AS (SELECT match_id, pos, w, substr(hx, CAST(2 * pos + 1 AS BIGINT), 2 * w) AS needle FROM (SELECT match_id, hx, w, unnest(range(len - w + 1)) AS pos FROM p, (SELECT DISTINCT w FROM m) WHERE len >= w))
+SELECT kind, width, pos AS "offset", count(*) AS hits, count(DISTINCT match_id) AS matches, min(pos - participant) AS least_delta, max(pos - participant) AS most_delta
+FROM g JOIN m USING (match_id, w, needle) GROUP BY 1, 2, 3 HAVING count(DISTINCT match_id) >= 2"""
+
+
+def match_needles(x):
+    """Stand-in roster of a match: one participant a turn, with number tokens and texts to look for."""
+    turn, p = F.col("block_index"), F.col("payload")
+    numbers = {
+        "participant": turn + 1, "ordinal": turn, "team": 100 + 100 * (turn % 2), "champion": 97 + F.col("match_id") % 26,
+        **{kind: F.when(F.octet_length(p) >= w, F.conv(nd.swapped(F.hex(F.substring(p, 1, w))), 16, 10)) for kind, w in (("spell", 2), ("summoner", 4), ("account", 8))},
+    }
+    texts = {"role": F.col("packet_type"), "name": F.split_part("text", F.lit(" "), F.lit(1)), "passage": F.when(F.char_length("text") >= 13, F.substring("text", 11, 12))}
+    tokens = F.array(
+        *[F.struct(F.lit(k).alias("kind"), nd.number_needles(v).alias("n")) for k, v in numbers.items()], *[F.struct(F.lit(k).alias("kind"), nd.text_needles(v).alias("n")) for k, v in texts.items()]
+    )
+    rows = x.pk.select("match_id", (turn + 1).alias("participant"), F.explode(tokens).alias("k"))
+    return rows.select("match_id", "participant", "k.kind", F.explode("k.n").alias("n")).select("match_id", "participant", "kind", "n.width", "n.needle")
+
+
+@query("C27_needle_search", NEEDLES)
 def needle_search(x):
-    """ASCII needles in whole payloads: byte windows of the needle width meet the needle table."""
-    words = x.part.select(F.explode(F.split("p_name", " ")).alias("w")).filter("length(w) = 4").select(F.lower("w").alias("needle"))
-    fixed = x.spark.createDataFrame([(w,) for w in ("tion", "ment", "they", "that", "with")], "needle string")
-    needles = words.unionByName(fixed).distinct().withColumn("gram", F.hex(F.encode("needle", "UTF-8")))
-    p = F.col("payload")
-    last = F.octet_length(p) - 4
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.struct(i.cast("long").alias("pos"), F.hex(F.substring(p, i + 1, F.lit(4))).alias("gram")))
-    rows = x.pk.select("packet_type", "match_id", F.explode(grams).alias("g")).select("packet_type", "match_id", "g.*")
-    hit = rows.join(needles, "gram")
-    return hit.groupBy("needle", "packet_type", F.floor(F.col("pos") / 64).alias("bucket")).agg(F.count("*").alias("hits"), F.count_distinct("match_id").alias("matches"))
+    """Number tokens in 8 to 64 bits and texts from three characters on, at every offset of the payloads of their match.
+
+    Hits are bucketed by kind, width and offset; a bucket needs two matches.
+    """
+    hits = nd.find_needles(x.pk.select("match_id", "payload"), match_needles(x), ["match_id"])
+    delta = F.col("offset") - F.col("participant")
+    return hits.groupBy("kind", "width", "offset").agg(
+        F.count("*").alias("hits"), F.count_distinct("match_id").alias("matches"), F.min(delta).alias("least_delta"), F.max(delta).alias("most_delta")
+    ).filter("matches >= 2")
 
 
 @query("C28_identifier_hit_rate", """SELECT pos, kind, count(*) AS comparable, count(*) FILTER (b = tok) AS hits, R6(count(*) FILTER (b = tok) / count(*)) AS hit_rate FROM (SELECT pos, b, unnest(['family', 'mean', 'ordinal']) AS kind, unnest([family + 120, 127, rec_id // 4]) AS tok FROM {cell}) GROUP BY 1, 2 HAVING count(*) FILTER (b = tok) >= 5""")
