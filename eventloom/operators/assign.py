@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import stats as s
 from eventloom.operators import ordered as o
+from eventloom.session import cut_lineage
+
 
 def edges(matches: DataFrame, group, slot: str, entity: str, score: Column) -> DataFrame:
     """Best score per (group, slot, entity)."""
@@ -224,43 +226,72 @@ def weighted_score(df: DataFrame, components: Mapping[str, Column], quality: Col
     return df.withColumn("_p", F.explode(dim)).select(*df.columns, "_p.*")
 
 
-def transform_similarity(a_slope, a_icpt, b_slope, b_icpt) -> float:
-    """0..1 likeness of two affine transforms, relative to the second."""
-    ss, si = max(abs(b_slope) * 0.5, 1e-9), max(abs(b_icpt) * 0.1, 400.0)
-    return ((1 / (1 + abs(a_slope - b_slope) / ss)) * (1 / (1 + abs(a_icpt - b_icpt) / si))) ** 0.5
+def transform_similarity(slope: Column, icpt: Column, of_slope: Column, of_icpt: Column) -> Column:
+    """0..1 likeness of an affine transform to another, relative to the other; -1 if a number is missing."""
+    ss, si = F.greatest(F.abs(of_slope) * 0.5, F.lit(1e-9)), F.greatest(F.abs(of_icpt) * 0.1, F.lit(400.0))
+    like = F.sqrt((1 / (1 + F.abs(slope - of_slope) / ss)) * (1 / (1 + F.abs(icpt - of_icpt) / si)))
+    return F.when(like.isNull() | F.isnan(like), F.lit(-1.0)).otherwise(like)
+
+
+def _likeness(x: Column, leader: Column) -> Column:
+    """Similarity of two structs (at, a, b); a row is always alike to itself."""
+    return F.when(x["at"] == leader["at"], F.lit(1.0)).otherwise(transform_similarity(x["a"], x["b"], leader["a"], leader["b"]))
+
+
+def _meet(rows: DataFrame, lists: DataFrame, band: Sequence[str], n_leaders: int, most: int = 200_000, salts: int = 32) -> DataFrame:
+    """Rows with the lists of their band: broadcast up to ``most`` leaders in all, beyond that over salted parts of the band."""
+    if n_leaders <= most:
+        return rows.join(F.broadcast(lists), band)
+    salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(salts)).cast("int")).join(salted, [*band, "_salt"]).drop("_salt")
+
 
+def leader_clusters(entries: DataFrame, band, order: Sequence[str], slope: str, icpt: str, minimum: float, first: int = 2048, block: int = 1024) -> DataFrame:
+    """Leader clustering: an entry joins the most similar earlier leader, or founds a cluster if none reaches ``minimum``.
 
-def leader_clusters(entries: DataFrame, band, order: Sequence[str], slope: str, icpt: str, minimum: float) -> DataFrame:
-    """Leader clustering: an entry joins the most similar earlier leader or founds a cluster.
+    An entry leads if and only if no earlier leader is similar enough to it, so leaders are found in rounds: the
+    ``first`` entries left of every band settle among themselves, in order, and all other entries that one of the
+    new leaders covers drop out, wherever they lie. A round ends at least ``first`` entries of a band, and
+    usually most of it, as a leader covers a whole range of transforms. At the end every entry meets the
+    leaders before it in blocks of ``block``. No band is ever gathered; a task holds ``first`` entries of it.
 
-    The rule depends on the order of entries, so a band streams through one task, sorted, and
-    only its leaders stay in memory. Identical transforms are collapsed first.
+    Entries are ordered by ``order``, then slope and intercept; entries alike in all of these share a cluster.
+    A missing or NaN number is similar to nothing. Ties between leaders go to the earlier one. Clusters count
+    from 0 in the order of their leaders. Bands with null keys are left out.
     """
     band = list(band)
-    kinds = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
-    cols = [*band, *order, slope, icpt]
-    cols = list(dict.fromkeys(cols))
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", cluster int"
-
-    def run(batches):
-        head, leaders = None, []
-        for pdf in batches:
-            ids = []
-            for key, a, b in zip(zip(*[pdf[c].tolist() for c in band]), pdf[slope].tolist(), pdf[icpt].tolist()):
-                if key != head:
-                    head, leaders = key, []
-                likeness = [transform_similarity(a, b, *lead) for lead in leaders]
-                top = max(range(len(likeness)), key=likeness.__getitem__, default=None)
-                if top is None or likeness[top] < minimum:
-                    leaders.append((a, b))
-                    top = len(leaders) - 1
-                ids.append(top)
-            out = pdf[cols].copy()
-            out["cluster"] = ids
-            yield out
-
-    placed = entries.select(*cols).repartition(*band).sortWithinPartitions(*band, *order)
-    return placed.mapInPandas(run, ddl)
+    cols = list(dict.fromkeys([*band, *order, slope, icpt]))
+    at = F.struct(*[F.col(c) for c in dict.fromkeys([*order, slope, icpt])])
+    x = F.struct(at.alias("at"), F.col(slope).cast("double").alias("a"), F.col(icpt).cast("double").alias("b"))
+    now = cut_lineage(entries.select(*cols).dropna(subset=band).withColumns({"_x": x, "_row": F.monotonically_increasing_id()}))
+    left, rounds = now.select(*band, "_x").distinct(), []
+    while True:
+        heads = o.top_k(left, band, [F.asc("_x.at")], first).groupBy(*band).agg(F.array_sort(F.collect_list("_x")).alias("_h"))
+        settled = F.aggregate(
+            "_h", F.slice("_h", 1, 0), lambda kept, e: F.when(F.exists(kept, lambda l: _likeness(e, l) >= minimum), kept).otherwise(F.concat(kept, F.array(e)))
+        )
+        lists = cut_lineage(heads.select(*band, settled.alias("_l")))
+        found = lists.agg(F.sum(F.size("_l"))).first()[0]
+        if not found:
+            break
+        rounds.append(lists)
+        left = cut_lineage(_meet(left, lists, band, found).filter(~F.exists("_l", lambda l: _likeness(F.col("_x"), l) >= minimum)).drop("_l"))
+    if not rounds:
+        return now.select(*cols).withColumn("cluster", F.lit(0))
+    leaders = rounds[0]
+    for lists in rounds[1:]:
+        leaders = leaders.unionByName(lists)
+    leaders = leaders.select(*band, F.explode("_l").alias("l"))
+    leaders = cut_lineage(o.position(leaders.withColumn("_at", F.col("l.at")), band, ["_at"], None, "n").select(*band, "l", (F.col("n") - 1).cast("int").alias("cluster")))
+    part = F.floor(F.col("cluster") / block)
+    blocks = leaders.groupBy(*band, part.alias("_part")).agg(F.array_sort(F.collect_list(F.struct("cluster", "l"))).alias("_l"))
+    n_leaders, last = leaders.agg(F.count("*"), F.max("cluster")).first()
+    own = F.col("_x")
+    best = F.array_max(F.transform(F.filter("_l", lambda c: c["l"]["at"] <= own["at"]), lambda c: F.struct(_likeness(own, c["l"]).alias("like"), (-c["cluster"]).alias("c"))))
+    placed = _meet(now, blocks, band, n_leaders).withColumn("_best", best)
+    if last >= block:
+        placed = placed.groupBy(*cols, "_row").agg(F.max("_best").alias("_best"))
+    return placed.select(*cols, (-F.col("_best.c")).alias("cluster"))
 
 
 def sibling_bundles(candidates: DataFrame, group, metric: str, slot: str, score: str, radius: int, per_metric: int) -> DataFrame:

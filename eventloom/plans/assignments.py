@@ -112,7 +112,13 @@ def final_stat_edges(x):
     return out.withColumn("class", F.when((F.col("metrics") >= 4) & (F.col("total") >= 3.5), "canonical").otherwise("diagnostic"))
 
 
-@query("J34_leader_clusters")
+@query("J34_leader_clusters", """WITH RECURSIVE e AS (SELECT version_group, family_key, slope, max(score) AS sc, avg(intercept) AS icpt FROM {cm} GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY version_group, family_key ORDER BY -sc, slope) AS n FROM e),
+w AS (SELECT DISTINCT version_group, family_key, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s DOUBLE, i DOUBLE)[]) AS ls, CAST(0 AS BIGINT) AS cluster, CAST(0 AS DOUBLE) AS slope FROM e
+ UNION ALL SELECT version_group, family_key, n, CASE WHEN top >= 0.58 THEN ls ELSE list_append(ls, {{'s': CAST(slope AS DOUBLE), 'i': CAST(icpt AS DOUBLE)}}) END, CASE WHEN top >= 0.58 THEN list_position(likes, top) - 1 ELSE len(ls) END, slope
+ FROM (SELECT *, coalesce(list_max(likes), -1) AS top FROM (SELECT r.*, w.ls, [sqrt((1 / (1 + abs(r.slope - l.s) / greatest(abs(l.s) * 0.5, 1e-9))) * (1 / (1 + abs(r.icpt - l.i) / greatest(abs(l.i) * 0.1, 400.0)))) FOR l IN w.ls] AS likes
+  FROM w JOIN r ON r.version_group = w.version_group AND r.family_key = w.family_key AND r.n = w.n + 1)))
+SELECT version_group, family_key, cluster, count(*) AS members, min(slope) AS low, max(slope) AS high FROM w WHERE n > 0 GROUP BY 1, 2, 3""".replace("{{", "{").replace("}}", "}"))
 def leader_clusters(x):
     """Clusters of similar transforms per band, in falling score order."""
     e = x.cm.groupBy("version_group", "family_key", "slope").agg(F.max("score").alias("sc"), F.avg("intercept").alias("icpt"), F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """One-to-one matching, assignment and folds against sequential or exhaustive versions."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -94,19 +95,39 @@ def test_greedy_assignment_is_sequential_greedy(edge):
     assert {(r.g, r.slot, r.entity) for r in a.greedy_assignment(df, ["g"], "slot", "entity").collect()} == want
 
 
-def test_leader_clusters_sequential(spark):
-    rng = random.Random(2)
-    rows = [(1, i, rng.choice([1.0, 1.05, -3.0, 8.0]), rng.choice([0.0, 100.0, 9000.0])) for i in range(30)]
-    df = spark.createDataFrame(rows, "band int, i int, slope double, icpt double")
-    got = {r.i: r.cluster for r in a.leader_clusters(df, ["band"], ["i"], "slope", "icpt", 0.58).collect()}
-    leaders = []
-    for _, i, s_, c in rows:
-        like = [a.transform_similarity(s_, c, *x) for x in leaders]
+def likeness(a_, b_, of_a, of_b) -> float:
+    return math.sqrt((1 / (1 + abs(a_ - of_a) / max(abs(of_a) * 0.5, 1e-9))) * (1 / (1 + abs(b_ - of_b) / max(abs(of_b) * 0.1, 400.0))))
+
+
+def sequential_clusters(rows, minimum: float) -> dict:
+    """(band, i) to the number of its cluster, entry by entry."""
+    leaders, out = {}, {}
+    for band, i, s_, c in sorted(rows, key=lambda r: (r[0], r[1])):
+        own = leaders.setdefault(band, [])
+        like = [likeness(s_, c, *x) for x in own]
         best = like.index(max(like)) if like else None
-        if best is None or like[best] < 0.58:
-            leaders.append((s_, c))
-            best = len(leaders) - 1
-        assert got[i] == best
+        if best is None or like[best] < minimum:
+            own.append((s_, c))
+            best = len(own) - 1
+        out[band, i] = best
+    return out
+
+
+@pytest.mark.parametrize("n,minimum,first,block", [(30, 0.58, 2048, 1024), (600, 0.58, 16, 4), (30_000, 0.72, 2048, 64)])
+def test_leader_clusters_sequential(spark, n, minimum, first, block):
+    rng = random.Random(n)
+    rows = [(rng.choice([1, 1, 1, 2]), i, rng.choice([1.0, 1.05, -3.0, 8.0]) * rng.uniform(0.2, 5), rng.choice([0.0, 100.0, 9000.0]) * rng.uniform(0.5, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "band int, i int, slope double, icpt double")
+    got = {(r.band, r.i): r.cluster for r in a.leader_clusters(df, ["band"], ["i"], "slope", "icpt", minimum, first, block).collect()}
+    assert got == sequential_clusters(rows, minimum)
+
+
+def test_leader_clusters_missing_numbers_and_ties(spark):
+    rows = [(1, 0, None, 1.0), (1, 1, 2.0, 5.0), (1, 1, 2.0, 5.0), (1, 2, float("nan"), 5.0), (1, 3, 2.1, 5.0), (None, 4, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "band int, i int, slope double, icpt double")
+    got = sorted((r.i, r.cluster) for r in a.leader_clusters(df, ["band"], ["i"], "slope", "icpt", 0.58).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 2), (3, 1)]
+    assert a.leader_clusters(df.filter("i > 9"), ["band"], ["i"], "slope", "icpt", 0.58).count() == 0
 
 
 @pytest.mark.parametrize("width", [7, 1000])
