@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import ordered as o
 from eventloom.operators import timejoin as tj
+from eventloom.operators.monotone import optimal_pairs
 
 
 def _tolerance_components(decoded, oracle, keys, t, ident, tolerance, block_ms) -> DataFrame:
@@ -18,13 +19,15 @@ def _tolerance_components(decoded, oracle, keys, t, ident, tolerance, block_ms)
 
     Two rows further apart than the tolerance never match, so a gap wider than it splits a
     key into independent components. That spreads a hot key over many tasks and is exact.
+    Null keys count as equal: the scan runs on one struct of the keys.
     """
     keys = list(keys)
     stack = decoded.select(*keys, F.lit(0).alias("side"), F.col(ident).alias("id"), F.col(t).alias("t")).unionByName(
         oracle.select(*keys, F.lit(1).alias("side"), F.col(ident).alias("id"), F.col(t).alias("t"))
     )
     block = o.time_block("t", block_ms) if block_ms else None
-    return o.gap_islands(stack, keys, "t", ["t", "side", "id"], block, tolerance, "component")
+    whole = stack.select(F.struct(*keys).alias("_key"), "side", "id", "t")
+    return o.gap_islands(whole, ["_key"], "t", ["t", "side", "id"], block, tolerance, "component").select("_key.*", "side", "id", "t", "component")
 
 
 def _match_schema(df: DataFrame, keys) -> str:
@@ -44,7 +47,8 @@ def _run_components(df: DataFrame, keys, matcher) -> DataFrame:
         state = matcher()
         for pdf in batches:
             out = []
-            heads = zip(*[pdf[c].tolist() for c in group])
+            # a null key comes as NaN, which equals nothing
+            heads = zip(*[[None if v != v else v for v in pdf[c].tolist()] for c in group])
             for head, side, ident, t in zip(heads, pdf["side"].tolist(), pdf["id"].tolist(), pdf["t"].tolist()):
                 out.extend(state.push(head, side, ident, t))
             if out:
@@ -99,66 +103,19 @@ def greedy_match(decoded, oracle, keys, t, ident, tolerance: int, block_ms: int
     )
 
 
-def optimal_match(decoded, oracle, keys, t, ident, tolerance: int, block_ms: int | None = None) -> DataFrame:
-    """Order-keeping matching with the most pairs and then the least total |Δt|.
+def optimal_match(decoded, oracle, keys, t, ident, tolerance: int, block_ms: int | None = None, slices: int = 64) -> DataFrame:
+    """Order-keeping matching with the most pairs, then the least total |Δt|, then the smallest largest |Δt|.
 
-    Solved per tolerance component; a component is the unit that must be in one task.
+    Components that no match can cross are solved apart; one that is longer than ``slices`` tolerances is
+    solved in time slices whose programs are composed (see ``monotone``).
     """
-
-    class Component:
-        def __init__(self):
-            self.head, self.rows = None, ([], [])
-
-        def push(self, head, side, ident, t):
-            if head != self.head:
-                yield from self.flush()
-                self.head = head
-            self.rows[side].append((ident, t))
-
-        def flush(self):
-            (left, right), self.rows = self.rows, ([], [])
-            for d, r in _best_monotone_pairs(left, right, tolerance):
-                a, b = d or (None, None), r or (None, None)
-                yield (*self.head[:-1], a[0], b[0], a[1], b[1])
-
-    return _run_components(
-        _tolerance_components(decoded, oracle, keys, t, ident, tolerance, block_ms), keys, Component
-    )
-
-
-def _best_monotone_pairs(left, right, tolerance):
-    """Pairs of one component; None marks the unmatched side."""
-    if not left or not right:
-        yield from ((ev, None) for ev in left)
-        yield from ((None, ev) for ev in right)
-        return
-    # best[j] = (-matches, total delta) of a prefix; smaller is better
-    width = len(right) + 1
-    best, moves = [(0, 0)] * width, []
-    for d in left:
-        fresh, choice = [best[0]], ["d"] + [""] * len(right)
-        for j, r in enumerate(right, start=1):
-            options = [(best[j], "d"), (fresh[j - 1], "r")]
-            delta = abs(d[1] - r[1])
-            if delta <= tolerance:
-                options.append(((best[j - 1][0] - 1, best[j - 1][1] + delta), "m"))
-            value, choice[j] = min(options, key=lambda opt: opt[0])
-            fresh.append(value)
-        best = fresh
-        moves.append(choice)
-    i, j, out = len(left), len(right), []
-    while i or j:
-        step = moves[i - 1][j] if i else "r"
-        if step == "m":
-            out.append((left[i - 1], right[j - 1]))
-            i, j = i - 1, j - 1
-        elif step == "d" or not j:
-            out.append((left[i - 1], None))
-            i -= 1
-        else:
-            out.append((None, right[j - 1]))
-            j -= 1
-    yield from reversed(out)
+    timed = _tolerance_components(*[side.filter(F.col(t).isNotNull()) for side in (decoded, oracle)], keys, t, ident, tolerance, block_ms)
+    found = optimal_pairs(timed, keys, tolerance, slices)
+    none = [F.lit(None).cast(f.dataType) for f in found.schema.fields[-4:]]
+    for k, side in enumerate((decoded, oracle)):
+        cells = [F.col(ident) if at == k else c for at, c in enumerate(none)]
+        found = found.unionByName(side.filter(F.col(t).isNull()).select(*keys, *[c.alias(n) for c, n in zip(cells, found.columns[-4:])]))
+    return found
 
 
 def exact_match(decoded, oracle, keys, t, ident) -> DataFrame:

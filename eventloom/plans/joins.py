@@ -105,7 +105,24 @@ def exact_time_match(x):
     )
 
 
-@query("C4_optimal_one_to_one")
+OPTIMAL = """WITH RECURSIVE u AS (SELECT match_id, 0 AS side, id, t FROM {dec} UNION ALL SELECT match_id, 1, id, t FROM {orc}),
+b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY match_id ORDER BY t, side, id) <= 5000 THEN 0 ELSE 1 END AS s FROM u),
+p AS (SELECT *, sum(s) OVER (PARTITION BY match_id ORDER BY t, side, id) AS part FROM b),
+r AS (SELECT match_id, part, side, t, row_number() OVER (PARTITION BY match_id, part, side ORDER BY t, id) AS n FROM p),
+c AS (SELECT match_id, part, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM r GROUP BY 1, 2),
+w AS (SELECT match_id, part, n, m, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, 0 AS half, {'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'c': CAST(0 AS BIGINT)} AS v FROM c
+ UNION ALL SELECT match_id, part, n, m, i, j, half, min(v) FROM (
+  SELECT match_id, part, n, m, i + 1 AS i, j, 0 AS half, v FROM w WHERE half = 0 AND i < n
+  UNION ALL SELECT match_id, part, n, m, i, j + 1, 0, v FROM w WHERE half = 0 AND j < m
+  UNION ALL SELECT match_id, part, n, m, i, j, 0, v FROM w WHERE half = 1
+  UNION ALL SELECT w.match_id, w.part, w.n, w.m, w.i + 1, w.j + 1, 1, {'a': v.a - 1, 'b': v.b + abs(d.t - o.t), 'c': greatest(v.c, abs(d.t - o.t))}
+   FROM w JOIN r d ON d.match_id = w.match_id AND d.part = w.part AND d.side = 0 AND d.n = w.i + 1 JOIN r o ON o.match_id = w.match_id AND o.part = w.part AND o.side = 1 AND o.n = w.j + 1
+   WHERE half = 0 AND abs(d.t - o.t) <= 5000) GROUP BY 1, 2, 3, 4, 5, 6, 7),
+f AS (SELECT match_id, part, n, m, min(v) AS v FROM w WHERE i = n AND j = m AND half = 0 GROUP BY 1, 2, 3, 4)
+SELECT match_id, CAST(sum(-v.a) AS BIGINT) AS matched, CAST(sum(n + v.a) AS BIGINT) AS extra, CAST(sum(m + v.a) AS BIGINT) AS missing, max(v.c) AS max_delta FROM f GROUP BY 1"""
+
+
+@query("C4_optimal_one_to_one", OPTIMAL)
 def optimal_one_to_one(x):
     pairs = m.optimal_match(x.dec, x.orc, ["match_id"], "t", "id", 5000, DAY_MS)
     return m.match_summary(pairs, ["match_id"])

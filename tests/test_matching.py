@@ -57,6 +57,37 @@ def test_optimal_beats_every_alternative(spark, seed, tol):
     assert (len(hits), -sum(hits)) == best
 
 
+def best_value(left, right, tol):
+    """(-matches, total, largest) of the best order-keeping matching, by the full grid."""
+    v = {(0, 0): (0, 0, 0)}
+    for i, j in itertools.product(range(len(left) + 1), range(len(right) + 1)):
+        if i or j:
+            options = [v[c] for c in ((i - 1, j), (i, j - 1)) if c in v]
+            if i and j and abs(left[i - 1] - right[j - 1]) <= tol:
+                a_, b_, c = v[i - 1, j - 1]
+                delta = abs(left[i - 1] - right[j - 1])
+                options.append((a_ - 1, b_ + delta, max(c, delta)))
+            v[i, j] = min(options)
+    return v[len(left), len(right)]
+
+
+@pytest.mark.parametrize("seed,n,span,tol,slices", [(1, 60, 400, 9, 1), (2, 60, 400, 9, 3), (3, 150, 2500, 20, 2), (4, 40, 60, 5, 64), (5, 25, 10, 0, 1)])
+def test_optimal_match_over_slices(spark, seed, n, span, tol, slices):
+    rng = random.Random(seed)
+    d = [(rng.choice([1, 1, None]), rng.randint(0, span), i) for i in range(n)] + [(2, None, -1)]
+    r = [(rng.choice([1, 1, None]), rng.randint(0, span), 1000 + i) for i in range(n)] + [(1, None, -2)]
+    schema = "k int, t long, id long"
+    got = m.optimal_match(spark.createDataFrame(d, schema), spark.createDataFrame(r, schema), ["k"], "t", "id", tol, 50, slices).collect()
+    assert sorted(g.decoded_id for g in got if g.decoded_id is not None) == sorted(x[2] for x in d)
+    assert sorted(g.oracle_id for g in got if g.oracle_id is not None) == sorted(x[2] for x in r)
+    for key in (1, None):
+        hits = sorted((g.decoded_t, g.oracle_t) for g in got if g.k == key and g.decoded_id is not None and g.oracle_id is not None)
+        assert all(x <= y for (_, x), (_, y) in zip(hits, hits[1:]))
+        gaps = [abs(x - y) for x, y in hits]
+        left, right = (sorted(t for k, t, _ in side if k == key and t is not None) for side in (d, r))
+        assert (-len(gaps), sum(gaps), max(gaps, default=0)) == best_value(left, right, tol)
+
+
 def test_three_way_outcome(spark):
     d = spark.createDataFrame([(1, "a", 10, 1), (1, "b", 20, 2), (1, "c", 99, 3)], "k int, v string, t long, id long")
     r = spark.createDataFrame([(1, "a", 11, 11), (1, "x", 21, 12), (1, "y", 500, 13)], "k int, v string, t long, id long")
