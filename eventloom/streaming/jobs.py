@@ -1,7 +1,7 @@
 """Streaming jobs with explicit watermarks.
 
 Late rows behind the watermark are dropped; that policy is ours, the batch operators have no
-late data. Sinks are files: nothing streams through the driver.
+late data. A stream over a whole table is closed by ``EndOfInput``, so its tail comes out. Sinks are files: nothing streams through the driver.
 """
 
 from __future__ import annotations
@@ -36,9 +36,34 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+class EndOfInput:
+    """Closes a stream that has an end, so that what waits behind the watermark comes out.
+
+    ``after`` adds a second file source to a stream, silent at first. ``close`` writes one row to it, with
+    an event time beyond all others and nulls elsewhere; the watermark then passes every row of the input.
+    The row itself (``is_end``) stays behind the watermark: it is never part of a result.
+    """
+
+    def __init__(self, spark: SparkSession, ts: str, beyond: str = "2262-01-01 00:00:00"):
+        self.spark, self.ts, self.beyond = spark, ts, beyond
+        self.folder = f"{work_folder(spark)}/end"
+        self.schema = None
+
+    def after(self, stream: DataFrame) -> DataFrame:
+        self.schema = stream.schema
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        end = self.spark.readStream.schema(self.schema).parquet(self.folder)
+        return stream.withColumn("is_end", F.lit(False)).unionByName(end.withColumn("is_end", F.lit(True)))
+
+    def close(self) -> None:
+        row = [F.lit(self.beyond if f.name == self.ts else None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
+def drain(stream: DataFrame, mode: str = "append", end: EndOfInput | None = None) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
+    With ``end`` the stream is then closed: the same query goes on from its checkpoint over the closing row.
     ``update`` results carry the batch id in ``_batch`` so the caller can keep the latest.
     """
     spark = stream.sparkSession
@@ -50,8 +75,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
     with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
-        query = writer.format("parquet").start(out) if mode == "append" else writer.foreachBatch(keep).start()
-    query.awaitTermination()
+        run = (lambda: writer.format("parquet").start(out)) if mode == "append" else (lambda: writer.foreachBatch(keep).start())
+        run().awaitTermination()
+        if end is not None:
+            end.close()
+            run().awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("_batch", "long")
     reader = spark.read.schema(schema)
     return reader.parquet(out) if mode == "append" else reader.option("recursiveFileLookup", "true").parquet(out)

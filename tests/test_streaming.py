@@ -47,3 +47,16 @@ def test_interval_counts_close_behind_the_watermark(spark, tmp_path):
     out = jobs.drain(jobs.interval_counts(stream, "ts", "kind", "30 seconds", "60 seconds"))
     closed = START + dt.timedelta(seconds=295 - 60)
     assert out.agg(F.max("end")).first()[0] <= closed and out.agg(F.sum("events")).first()[0] == sum(t < START + dt.timedelta(seconds=210) for t, _ in rows)
+
+
+def test_closing_row_lets_the_tail_out(spark, tmp_path):
+    rows = [(START + dt.timedelta(seconds=s), "a" if s % 2 else "b") for s in range(0, 300, 5)]
+    spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    end = jobs.EndOfInput(spark, "ts")
+    stream = end.after(spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in")))
+    out = jobs.drain(jobs.interval_counts(stream, "ts", "kind", "30 seconds", "60 seconds"), end=end)
+    want = {}
+    for t, kind in rows:
+        key = (START + dt.timedelta(seconds=(t - START).seconds // 30 * 30), kind)
+        want[key] = want.get(key, 0) + 1
+    assert {(r.start, r.kind): r.events for r in out.collect()} == want
