@@ -5,6 +5,10 @@ itself) cover the same bytes. Dictionaries from the byte offset at which a token
 intersected as sets; the sorted common offsets slice both id lists into groups, and every slice is expanded
 into links, the A-B token pairs whose bytes overlap.
 
+Neither tokenizer joins bytes across a single space between two words, so a word and the space before it is
+aligned by itself, and remembered. Texts with other white space before a space, or that a tokenizer does not
+give back, are aligned as a whole.
+
 Corpus-wide counts of id pairs are exchanged by chunk: a chunk is a run of documents of one input partition,
 of at most ``CHUNK`` bytes unless one document is longer. It sends each of its distinct pairs once with the
 number of documents that hold it, and gets the sums back. Documents wait in the checkpoint as packed lists of
@@ -16,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import pieces, texts
 from eventloom.session import cut_lineage
 
-#: Bytes of text tokenized at once, and bytes of text in one chunk.
-PIECE, CHUNK = 1 << 18, 1 << 24
+#: Bytes of text in one step, characters tokenized at once, bytes of text in one chunk, words and links remembered.
+PIECE, BATCH, CHUNK, KEEP = 1 << 20, 1 << 18, 1 << 24, (300_000, 4_000_000)
+#: A space that does not part two words.
+UNEVEN = re.compile(r"\s |^ | $")
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -56,6 +63,26 @@ class Side:
         return [b"".join(map(token, ids)) == text for ids, text in zip(found, whole)]
 
 
+#: The split of a byte-level tokenizer that brings its own (a fixed value).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def merges_by_rank(content: dict, of_a: list[bytes], letters: dict[str, int]) -> dict[bytes, int] | None:
+    """Ranks of the tokens, if the file is plain byte-level BPE whose n-th merge makes the n-th token after the bytes; else None.
+
+    Merging pairs in the order of the list is then the same as merging by the rank of what they make.
+    """
+    model, before = content["model"], content.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and content.get("normalizer") is None
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    for at, merge in enumerate(model["merges"], start=256):
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        if of_a[at] != in_letters(left, letters) + in_letters(right, letters):
+            return None
+    return {of_a[i]: i for i in range(256 + len(model["merges"]))}
+
+
 class Aligner:
     """Both tokenizers, from the contents of their files."""
 
@@ -71,22 +98,49 @@ class Aligner:
         of_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             of_a[i] = in_letters(token, letters)
+        self.by_rank = None
+        ranks = merges_by_rank(json.loads(a_json), of_a, letters)
+        if ranks is not None:
+            import tiktoken
+
+            self.by_rank = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         of_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.side_a, self.side_b = Side(of_a, (",", "|")), Side(of_b, (",", ";"))
         self.width = len(of_b)
 
+    def encode_a(self, batch: list[str]) -> list[list[int]]:
+        """Ids of space + text; plain byte-level BPE by ranks, which is faster, any other by its own library."""
+        if self.by_rank is not None:
+            return [self.by_rank.encode_ordinary(" " + t) for t in batch]
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in batch], add_special_tokens=False)]
+
+    def separable(self) -> bool:
+        """Does a single space between two words always part tokens, on both sides?
+
+        The piece model must leave its input as it is and have no piece with a space after another character;
+        a byte-level vocabulary with its own pattern starts a token at such a space.
+        """
+        pieces = [self.b.id_to_piece(i) for i in range(self.width)]
+        before = self.a.pre_tokenizer
+        sample = [t for t, _ in before.pre_tokenize_str(" one two,\nthree 4's")] if before is not None else []
+        letters = {chr(256 + 32)}
+        a_parts = sample and all(letters.isdisjoint(t[1:]) for t in sample)
+        trial = "\u0041\u030a  \ufb01 \u3000x\t y"
+        plain = self.b.normalize(trial).replace("▁", " ").strip(" ") == trial
+        return bool(a_parts and plain and not any(re.search("[^▁]▁", p) for p in pieces))
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, batch: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none for empty texts and for texts that either side does not give back."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in batch], add_special_tokens=False)]
+    def encode(self, batch: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both sides, and whether both give the text back; no ids otherwise and for empty texts."""
+        ids_a = self.encode_a(batch)
         ids_b = self.b.encode(batch, num_threads=1)
         whole = [b" " + t.encode() for t in batch]
         good = [bool(t) and x and y for t, x, y in zip(batch, self.side_a.checked(ids_a, whole), self.side_b.checked(ids_b, whole))]
-        return [x if g else [] for x, g in zip(ids_a, good)], [x if g else [] for x, g in zip(ids_b, good)]
+        return [x if g else [] for x, g in zip(ids_a, good)], [x if g else [] for x, g in zip(ids_b, good)], good
 
 
 class Alignment:
@@ -96,7 +150,7 @@ class Alignment:
     """
 
     def __init__(self, aligner: Aligner, batch: list[str]):
-        found_a, found_b = aligner.encode(batch)
+        found_a, found_b, self.good = aligner.encode(batch)
         self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(batch)) for x in (found_a, found_b))
         a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((found_a, self.n_a), (found_b, self.n_b)))
         end_a, end_b = (dict(zip(np.cumsum(side.lengths[ids]).tolist(), range(len(ids)))) for side, ids in ((aligner.side_a, a), (aligner.side_b, b)))
@@ -122,10 +176,66 @@ class Alignment:
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         return [b"".join(self.parts[start:end].tolist())[:-1] for start, end in zip([0, *ends], ends)]
 
-    def distinct(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, times) of every distinct pair of every document, in that order."""
-        keys, times = np.unique(self.link_doc * width + self.link_pair, return_counts=True)
-        return keys // width, keys % width, times
+
+class Memory:
+    """Alignments of words, and for the time of one step of whole texts: numbers, written groups and pairs of links."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.separable = aligner.separable()
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.good: list[bool] = []
+        self.groups: list[bytes] = []
+        self.numbers = np.zeros((len(NUMBERS), 0), np.int64)
+        self.starts, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, texts: list[str]) -> int:
+        """Align the texts; the place of the first one."""
+        first, start, size = len(self.good), 0, 0
+        parts = []
+        for at, t in enumerate(texts):
+            size += len(t)
+            if size >= BATCH or at == len(texts) - 1:
+                parts.append(Alignment(self.aligner, texts[start:at + 1]))
+                start, size = at + 1, 0
+        for part in parts:
+            self.good += part.good
+            self.groups += [g + b";" if g else b"" for g in part.written()]
+        if parts:
+            self.numbers = np.concatenate([self.numbers, *[np.stack([getattr(p, n) for n in NUMBERS]) for p in parts]], axis=1)
+            self.starts = np.concatenate([[0], np.cumsum(self.numbers[NUMBERS.index("n_links")])])
+            self.pairs = np.concatenate([self.pairs, *[p.link_pair[np.argsort(p.link_doc, kind="stable")] for p in parts]])
+        return first
+
+    def align(self, batch: list[str], width: int) -> tuple[np.ndarray, list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers and written groups of every text, and (text, pair, times) of its distinct pairs, in that order."""
+        if len(self.good) > KEEP[0] or len(self.pairs) > KEEP[1]:
+            self.clear()
+        words = [t.split(" ") if self.separable and t and not UNEVEN.search(t) else None for t in batch]
+        new = list(set().union(*[ws for ws in words if ws]) - self.known.keys())
+        first = self.learn(new)
+        self.known.update(zip(new, range(first, first + len(new))))
+        places = [list(map(self.known.__getitem__, ws)) if ws else None for ws in words]
+        alone = [k for k, (t, at) in enumerate(zip(batch, places)) if t and (at is None or not all(map(self.good.__getitem__, at)))]
+        first = self.learn([batch[k] for k in alone])
+        for at, k in enumerate(alone):
+            places[k] = [first + at]
+        places = [at or [] for at in places]
+        sizes = np.fromiter(map(len, places), np.int64, len(places))
+        doc = np.repeat(np.arange(len(places)), sizes)
+        flat = np.fromiter(chain.from_iterable(places), np.int64, len(doc))
+        numbers = np.stack([np.bincount(doc, weights=row[flat], minlength=len(batch)).astype(np.int64) for row in self.numbers])
+        groups = [b"".join(map(self.groups.__getitem__, at))[:-1] for at in places]
+        counts = np.diff(self.starts)[flat]
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        pair = self.pairs[np.repeat(self.starts[flat], counts) + inside]
+        keys, times = np.unique(np.repeat(doc, counts) * width + pair, return_counts=True)
+        if alone:
+            self.known = {w: at for w, at in self.known.items() if at < first}
+        return numbers, groups, (keys // width, keys % width, times)
 
 
 def links(last_a, last_b, size_a, size_b, length_a, length_b) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +273,10 @@ class Chunk:
         self.ids, self.numbers, self.groups, self.sizes, self.pairs, self.times = [], [], [], [], [], []
         self.n_bytes = 0
 
-    def add(self, ids: pa.Array, found: Alignment, groups: list[bytes], width: int, n_bytes: int) -> None:
-        doc, pair, times = found.distinct(width)
+    def add(self, ids: pa.Array, numbers: np.ndarray, groups: list[bytes], distinct: tuple[np.ndarray, np.ndarray, np.ndarray], n_bytes: int) -> None:
+        doc, pair, times = distinct
         self.ids.append(ids)
-        self.numbers.append([getattr(found, n) for n in NUMBERS])
+        self.numbers.append(list(numbers))
         self.groups += groups
         self.sizes.append(np.bincount(doc, minlength=len(ids)))
         self.pairs.append(pair)
@@ -203,7 +313,8 @@ def unpacked(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-_ALIGNERS: dict[str, Aligner] = {}
+#: What a Python worker remembers between tasks.
+_MEMORIES: dict[str, Memory] = {}
 
 
 def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFrame:
@@ -214,11 +325,11 @@ def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(files)  # two fixed vocabulary files
 
     def run(batches):
-        if name not in _ALIGNERS:
-            _ALIGNERS.clear()
-            _ALIGNERS[name] = Aligner(*shared.value)
-        aligner = _ALIGNERS[name]
-        width = len(aligner.side_a.bytes) * aligner.width
+        if name not in _MEMORIES:
+            _MEMORIES.clear()
+            _MEMORIES[name] = Memory(Aligner(*shared.value))
+        memory = _MEMORIES[name]
+        width = len(memory.aligner.side_a.bytes) * memory.aligner.width
         number, chunk = TaskContext.get().partitionId() << 32, Chunk()
 
         def sent(number: int, chunk: Chunk) -> pa.RecordBatch:
@@ -234,11 +345,10 @@ def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFr
                 if chunk.ids and chunk.n_bytes + n_bytes > CHUNK:
                     yield sent(number, chunk)
                     number, chunk = number + 1, Chunk()
-                found = Alignment(aligner, part.column(1).to_pylist())
-                groups = found.written()
+                numbers, groups, distinct = memory.align(part.column(1).to_pylist(), width)
                 if digest:
                     groups = [hashlib.sha256(g).hexdigest().encode() if g else b"" for g in groups]
-                chunk.add(part.column(0), found, groups, width, n_bytes)
+                chunk.add(part.column(0), numbers, groups, distinct, n_bytes)
         if chunk.ids:
             yield sent(number, chunk)
 
