@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import stats as s
 from eventloom.operators import ordered as o
 from eventloom.operators import timejoin as tj
+from eventloom.session import cut_lineage
 
 
 def roles(kills: DataFrame, keys, killer: str, victim: str, assists: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -102,128 +106,170 @@ def _place(mask: int, removed: list[int], policy: str) -> int:
     return -1
 
 
-def _apply_group(mask: int, removals: list[int], adds: int, policy: str, trace=None) -> int:
-    """One same-time group: removals empty their slot, then adds take slots by policy."""
-    removed = []
+ACTIONS = ("hit", "empty", "add", "overflow")
+
+
+@lru_cache(maxsize=1 << 16)
+def _outcome(mask: int, removals: tuple[int | None, ...], adds: int, policy: str) -> tuple[int, tuple[int, ...]]:
+    """One same-time group: removals empty their slot, then adds take slots by policy.
+
+    Gives the mask after it and, for every removal and then every add, 4 x (slot + 1) + action. A removal
+    without a slot of the seven finds nothing.
+    """
+    removed, codes = [], []
     for slot in removals:
-        if trace is not None:
-            trace.append(("hit" if mask >> slot & 1 else "empty", slot))
+        if slot is None or not 0 <= slot < SLOTS:
+            codes.append(4 * (-1 if slot is None else slot) + 4 + 1)
+            continue
+        codes.append(4 * slot + 4 + (0 if mask >> slot & 1 else 1))
         mask &= ~(1 << slot)
         removed.append(slot)
     for _ in range(adds):
         slot = _place(mask, removed, policy)
+        codes.append(4 * slot + 4 + (2 if slot >= 0 else 3))
         if slot >= 0:
             mask |= 1 << slot
             if slot in removed:
                 removed.remove(slot)
-        if trace is not None:
-            trace.append(("add", slot))
-    return mask
+    return mask, tuple(codes)
+
+
+@lru_cache(maxsize=4096)
+def _group_table(removals: tuple[int | None, ...], adds: int, policies: tuple[str, ...]) -> np.ndarray:
+    """The group as a function on states; state 128 p + mask is the mask under policy p."""
+    return np.array([(FULL + 1) * k + _outcome(m, removals, adds, p)[0] for k, p in enumerate(policies) for m in range(FULL + 1)], np.int32)
+
+
+def _same_time_groups(batches, spot: Sequence[str], t: str):
+    """Batches of whole same-time groups of (spot, t) with the bounds of the groups; an open group waits for the next batch."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is None:
+            rows, last = held, True
+        else:
+            rows, last = pa.Table.from_batches([batch]), False
+            rows = rows if held is None else pa.concat_tables([held, rows])
+        if rows is None or not rows.num_rows:
+            continue
+        heads = list(zip(*[rows.column(c).to_pylist() for c in (*spot, t)]))
+        cuts = [0, *[k for k in range(1, len(heads)) if heads[k] != heads[k - 1]], len(heads)]
+        if not last:
+            held = rows.slice(cuts[-2])
+            rows, cuts, heads = rows.slice(0, cuts[-2]), cuts[:-1], heads[:cuts[-2]]
+        if len(cuts) > 1:
+            yield rows, cuts, heads
+
+
+def _start_states(tables: DataFrame, n_policies: int, fan_in: int) -> DataFrame:
+    """(_key, _blk, _states): the state of every policy before each block, from the tables of the blocks.
+
+    A tree scan: ``fan_in`` neighbouring tables are composed into one until a track has no more than that
+    many; the states then go down the same tree. No row ever holds more than ``fan_in`` tables.
+    """
+    levels = [cut_lineage(tables)]
+
+    def most(level: DataFrame) -> int:
+        return level.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
+
+    def gathered(level: DataFrame, *keys) -> DataFrame:
+        return level.groupBy("_key", *keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_table"))).alias("_t"))
+
+    while most(levels[-1]) > fan_in:
+        grouped = gathered(levels[-1], F.floor(F.col("_blk") / fan_in).alias("_up"))
+        whole = F.aggregate(
+            F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), F.element_at("_t", 1)["_table"], lambda acc, b: F.transform(acc, lambda m: F.element_at(b["_table"], m + 1))
+        )
+        levels.append(cut_lineage(grouped.select("_key", F.col("_up").alias("_blk"), whole.alias("_table"))))
+
+    def walked(grouped: DataFrame, start) -> DataFrame:
+        none = F.array().cast("array<struct<_blk:bigint,_states:array<int>>>")
+        walk = F.aggregate(
+            "_t", F.struct(start.alias("now"), none.alias("out")),
+            lambda acc, b: F.struct(
+                F.transform(acc["now"], lambda m: F.element_at(b["_table"], m + 1)).alias("now"), F.concat(acc["out"], F.array(F.struct(b["_blk"].alias("_blk"), acc["now"].alias("_states")))).alias("out")
+            ),
+            lambda acc: acc["out"],
+        )
+        return grouped.select("_key", F.explode(walk).alias("_o")).select("_key", "_o._blk", "_o._states")
+
+    states = walked(gathered(levels[-1]), F.array(*[F.lit((FULL + 1) * k) for k in range(n_policies)]))
+    for level in reversed(levels[:-1]):
+        up = states.select("_key", F.col("_blk").alias("_up"), "_states")
+        states = walked(gathered(level, F.floor(F.col("_blk") / fan_in).alias("_up")).join(up, ["_key", "_up"]), F.col("_states"))
+    return states
 
 
-def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policy: str) -> DataFrame:
-    """Slot of every add and removal under a 7-slot placement policy, in parallel.
+def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policies: Sequence[str], fan_in: int = 64) -> DataFrame:
+    """Slot of every add and removal under each 7-slot placement policy, in parallel: keys, order, policy, action, at_slot.
 
-    Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks.
-    1) every (track, block) tabulates that function, 2) the tables compose along the track
-    (one small row per block) to give each block its start mask, 3) every block replays with
-    that mask. A long track thus spreads over its blocks; blocks never split a time.
+    Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks for each policy.
+    1) every (track, block) tabulates that function, 2) a tree scan over the tables of a track gives each
+    block its start masks, 3) every block replays with them, all policies at once. A long track thus spreads
+    over its blocks; blocks never split a time. Null keys count as equal; a removal without a slot finds nothing.
     """
-    keys, order = list(keys), list(order)
-    base = df.withColumns({"_blk": block, "_add": is_add, "_slot": F.col(slot).cast("int")})
+    keys, order, policies = list(keys), list(order), tuple(policies)
+    base = df.withColumns({"_blk": block.cast("long"), "_add": is_add, "_slot": F.col(slot).cast("int")})
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    track, group = [*keys, policy], [*keys, policy, "_blk"]
+    group = [*keys, "_blk"]
     # removals of a time run before its adds
     sort = [t, "_add", *[c for c in order if c != t]]
-    rows = base.select(*dict.fromkeys([*group, *sort, "_slot"]))
+    out_cols = list(dict.fromkeys([*keys, *order]))
+    rows = base.select(*dict.fromkeys([*group, *sort, *out_cols, "_slot"])).withColumn("_key", F.struct(*keys))
 
     def placed(frame: DataFrame) -> DataFrame:
         return frame.repartition(*group).sortWithinPartitions(*group, *sort)
 
+    def parts(rows: pa.Table, cuts: list[int]):
+        adds, slots = rows.column("_add").to_pylist(), rows.column("_slot").to_pylist()
+        for a, b in zip(cuts, cuts[1:]):
+            n = sum(map(bool, adds[a:b]))
+            yield a, b, tuple(slots[a:b - n]), n
+
     def tabulate(batches):
-        names = [*group, "table"]
-        head, rule, at, removals, adds, now = None, None, None, [], 0, []
-
-        def settle():
-            if removals or adds:
-                memo = {m: _apply_group(m, removals, adds, rule) for m in set(now)}
-                now[:] = [memo[m] for m in now]
-
-        for pdf in batches:
-            done = []
-            heads = zip(*[pdf[c].tolist() for c in group])
-            for h, when, add, slot_ in zip(heads, pdf[t].tolist(), pdf["_add"].tolist(), pdf["_slot"].tolist()):
-                if h != head:
+        head, now, identity = None, None, np.arange((FULL + 1) * len(policies), dtype=np.int32)
+
+        def made(done, kinds_):
+            arrays = [pa.array(c, k) for c, k in zip(zip(*[h for h, _ in done]), kinds_)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in done], pa.list_(pa.int32()))], names=[*group, "_table"])
+
+        types = None
+        for rows_, cuts, heads in _same_time_groups(batches, group, t):
+            types, done = [rows_.schema.field(c).type for c in group], []
+            for a, _, removals, adds in parts(rows_, cuts):
+                if heads[a][:-1] != head:
                     if head is not None:
-                        settle()
-                        done.append((*head, list(now)))
-                    head, rule, at, removals, adds, now = h, h[-2], when, [], 0, list(range(FULL + 1))
-                elif when != at:
-                    settle()
-                    at, removals, adds = when, [], 0
-                if add:
-                    adds += 1
-                else:
-                    removals.append(slot_)
+                        done.append((head, now))
+                    head, now = heads[a][:-1], identity
+                now = _group_table(removals, adds, policies)[now]
             if done:
-                yield pd.DataFrame(done, columns=names)
+                yield made(done, types)
         if head is not None:
-            settle()
-            yield pd.DataFrame([(*head, list(now))], columns=names)
+            yield made([(head, now)], types)
 
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in group)
-    tables = placed(rows).mapInPandas(tabulate, f"{ddl}, table array<int>")
-    # start masks: fold the ordered tables of a track; one 128-entry row per block
-    ordered = tables.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("_blk", "table"))).alias("_t"))
-    starts = F.aggregate(
-        "_t",
-        F.struct(F.lit(0).alias("mask"), F.array().cast("array<struct<blk:bigint,mask:int>>").alias("out")),
-        lambda acc, b: F.struct(
-            F.element_at(b["table"], acc["mask"] + 1).alias("mask"),
-            F.concat(acc["out"], F.array(F.struct(b["_blk"].alias("blk"), acc["mask"].alias("mask")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    starts = ordered.select(*track, F.explode(starts).alias("_o")).select(
-        *track, F.col("_o.blk").alias("_blk"), F.col("_o.mask").alias("_mask")
-    )
-    out_cols = list(dict.fromkeys([*track, *order]))
-    out_ddl = ", ".join(f"`{c}` {kinds[c]}" for c in out_cols) + ", action string, at_slot int"
+    tables = placed(rows.drop("_key")).mapInArrow(tabulate, f"{ddl}, _table array<int>")
+    states = _start_states(tables.select(F.struct(*keys).alias("_key"), "_blk", "_table"), len(policies), fan_in)
 
     def replay(batches):
-        names = [*out_cols, "action", "at_slot"]
-        head, mask, at, pending, removals, adds = None, 0, None, [], [], 0
-
-        def settle():
-            trace = []
-            after = _apply_group(mask, removals, adds, head[-2], trace)
-            return after, [(*p, "overflow" if s_ < 0 else a, s_) for p, (a, s_) in zip(pending, trace)]
-
-        for pdf in batches:
-            done = []
-            heads = zip(*[pdf[c].tolist() for c in group])
-            kept = zip(*[pdf[c].tolist() for c in out_cols])
-            cells = zip(heads, kept, pdf[t].tolist(), pdf["_add"].tolist(), pdf["_slot"].tolist(), pdf["_mask"].tolist())
-            for h, row, when, add, slot_, start in cells:
-                if h != head or when != at:
-                    if head is not None:
-                        mask, got = settle()
-                        done.extend(got)
-                    if h != head:
-                        mask = start
-                    head, at, pending, removals, adds = h, when, [], [], 0
-                pending.append(row)
-                if add:
-                    adds += 1
-                else:
-                    removals.append(slot_)
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if head is not None:
-            yield pd.DataFrame(settle()[1], columns=names)
-
-    staged = rows.join(starts, group)
-    return placed(staged).mapInPandas(replay, out_ddl)
+        head, masks = None, []
+        for rows_, cuts, heads in _same_time_groups(batches, group, t):
+            starts, codes = rows_.column("_states"), []
+            for a, _, removals, adds in parts(rows_, cuts):
+                if heads[a][:-1] != head:
+                    head, masks = heads[a][:-1], [m & FULL for m in starts[a].as_py()]
+                seen = [_outcome(m, removals, adds, p) for m, p in zip(masks, policies)]
+                masks = [after for after, _ in seen]
+                codes += zip(*[c for _, c in seen])
+            done = rows_.select(out_cols).append_column("_codes", pa.array(codes, pa.list_(pa.int32())))
+            yield from done.combine_chunks().to_batches()
+
+    staged = placed(rows.join(states, ["_key", "_blk"]).drop("_key"))
+    replayed = staged.mapInArrow(replay, ", ".join([*[f"`{c}` {kinds[c]}" for c in out_cols], "_codes array<int>"]))
+    code = F.col("_c")
+    return replayed.select(*out_cols, F.posexplode("_codes").alias("_p", "_c")).select(
+        *out_cols, F.element_at(F.array(*[F.lit(p) for p in policies]), F.col("_p") + 1).alias("policy"),
+        F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.pmod(code, F.lit(4)) + 1).alias("action"), (F.floor(code / 4) - 1).cast("int").alias("at_slot"),
+    )
 
 
 def ledger(events: DataFrame, keys, interval: str, t: str, kind: str, cost: str, gain: str) -> DataFrame:

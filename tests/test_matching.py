@@ -161,14 +161,22 @@ def test_leader_clusters_missing_numbers_and_ties(spark):
     assert a.leader_clusters(df.filter("i > 9"), ["band"], ["i"], "slope", "icpt", 0.58).count() == 0
 
 
-@pytest.mark.parametrize("width", [7, 1000])
-@pytest.mark.parametrize("policy", ["removed_first", "removed_last", "removed_lowest", "lowest"])
-def test_slot_fold_matches_one_pass(spark, policy, width):
+POLICIES = ["removed_first", "removed_last", "removed_lowest", "lowest"]
+
+
+@pytest.mark.parametrize("width,fan_in", [(7, 64), (1000, 64), (2, 3)])
+@pytest.mark.parametrize("key", [1, None])
+def test_slot_fold_matches_one_pass(spark, width, fan_in, key):
     rng = random.Random(11)
-    rows = [(1, rng.randint(0, 60), i, rng.random() < 0.6, rng.randint(0, 6), policy) for i in range(150)]
-    df = spark.createDataFrame(rows, "k int, t long, i long, add boolean, slot int, policy string")
-    out = fd.slot_fold(df, ["k"], "t", ["t", "i"], o.time_block("t", width), F.col("add"), "slot", "policy")
-    got = {r.i: (r.action, r.at_slot) for r in out.collect()}
+    rows = [(key, rng.randint(0, 60), i, rng.random() < 0.6, rng.randint(0, 6)) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, t long, i long, add boolean, slot int")
+    out = fd.slot_fold(df, ["k"], "t", ["t", "i"], o.time_block("t", width), F.col("add"), "slot", POLICIES, fan_in).collect()
+    assert len(out) == 4 * len(rows) and {r.k for r in out} == {key}
+    for policy in POLICIES:
+        one_pass(rows, policy, {r.i: (r.action, r.at_slot) for r in out if r.policy == policy})
+
+
+def one_pass(rows, policy, got):
     slots = [False] * 7
     for t in sorted({r[1] for r in rows}):
         group = sorted((r for r in rows if r[1] == t), key=lambda r: r[2])
