@@ -280,11 +280,25 @@ def association(labels, groups, keys, t, ident, tolerance: int) -> DataFrame:
 
 
 def companions(labels, blocks, keys, t, ident, family: str, tolerance: int) -> DataFrame:
-    """Per label time and family: how many blocks lie nearby and the closest one's distance."""
-    pairs = tj.within(labels.select(*keys, t, ident), blocks.select(*keys, t, family), keys, t, tolerance)
-    return pairs.groupBy(*keys, ident, F.col(f"r_{family}").alias(family)).agg(
-        F.count("*").alias("blocks"), F.min(F.abs(F.col(t) - F.col(f"r_{t}"))).alias("closest")
+    """Per label time and family: how many blocks lie nearby and the closest one's distance.
+
+    Every label sets three marks for each family of its key, at the ends of its window and at its own time.
+    A scan per family reads a running count and the last and next block there, so no pairs are made.
+    """
+    keys = list(keys)
+    times = blocks.groupBy(*keys, family, t).agg(F.count("*").alias("_one"))
+    rows = times.select(*keys, family, F.col(t).alias("_at"), F.lit(1).alias("_rank"), "_one", F.col(t).alias("_t"), F.lit(None).cast(labels.schema[ident].dataType).alias("_id"))
+    spots = F.explode(F.array(*[F.struct((F.col(t) + shift).alias("_at"), F.lit(rank).alias("_rank")) for shift, rank in ((-tolerance, 0), (0, 2), (tolerance, 3))])).alias("_m")
+    marks = labels.select(*keys, t, ident).join(times.select(*keys, family).distinct(), keys).select(*keys, family, F.col(ident).alias("_id"), spots)
+    marks = marks.select(*keys, family, "_m._at", "_m._rank", F.lit(0).cast("long").alias("_one"), F.lit(None).cast(times.schema[t].dataType).alias("_t"), "_id")
+    run = o.scan(
+        rows.unionByName(marks), [*keys, family], ["_at", "_rank", "_id"], o.time_block("_at", 8 * (tolerance + 1)),
+        {"_n": o.run_sum("_one"), "_last": o.last_seen("_t"), "_next": o.after("_t")},
     )
+    rank, gap = F.col("_rank"), F.least(F.col("_at") - F.col("_last"), F.col("_next") - F.col("_at"))
+    return run.filter("_rank <> 1").groupBy(*keys, F.col("_id").alias(ident), family).agg(
+        (F.max(F.when(rank == 3, F.col("_n"))) - F.max(F.when(rank == 0, F.col("_n")))).alias("blocks"), F.min(F.when(rank == 2, gap)).alias("closest")
+    ).filter("blocks > 0")
 
 
 def neighbourhood(df, keys, order, block, offsets: Sequence[int], cols: Sequence[str]) -> DataFrame:

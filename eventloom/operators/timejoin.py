@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import ordered as o
 
 L, R = "_left", "_right"
+DAY_MS = 86_400_000
 
 
 def _sides(left: DataFrame, right: DataFrame, keys, left_t: str, right_t: str, tie: str) -> DataFrame:
@@ -142,6 +143,47 @@ def window_counts(left, right, keys, t, ident: str, tolerance: int, name: str) -
     return run.filter("_rank <> 1").groupBy(*keys, F.col("_id").alias(ident)).agg((ends[0] - ends[1]).alias(name))
 
 
+def covered(rows, keys, t, tolerance: int) -> DataFrame:
+    """(keys, lo, hi): the disjoint intervals of times within the tolerance of some row of the key."""
+    keys = list(keys)
+    runs = o.gap_islands(rows.select(*keys, t).distinct(), keys, t, [t], o.time_block(t, 8 * (tolerance + 1)), 2 * tolerance, "_run")
+    return runs.groupBy(*keys, "_run").agg((F.min(t) - tolerance).alias("lo"), (F.max(t) + tolerance).alias("hi")).drop("_run")
+
+
+def interval_stats(intervals, points, keys, names: Sequence[str], t, ident: str, value: str | None = None, block_ms: int = DAY_MS) -> DataFrame:
+    """How many points of its key lie in each interval, the value of the first one, and whether all have it.
+
+    ``intervals`` has keys, names, lo and hi (both inclusive), disjoint for the same keys and names; ``points`` has
+    keys, t, ident and the value. All is read off running sums (points, changes of value) at the two ends
+    of an interval, so no pairs are made. Intervals without points stay, with n = 0.
+    """
+    keys, names = list(keys), list(names)
+    own = F.col(value) if value is not None else F.lit(0)
+    spots = points.select(*keys, F.col(t).alias("_at"), F.col(ident).alias("_tie"), own.alias("_value"))
+    spots = o.scan(spots, keys, ["_at", "_tie"], o.time_block("_at", block_ms), {"_prev": o.prev(F.struct("_value"))})
+    turn = F.when(F.col("_prev").isNull() | ~F.col("_prev._value").eqNullSafe(F.col("_value")), 1).otherwise(0).cast("long")
+    who, kinds = F.struct(*names, F.col("lo").alias("_lo")), spots.schema
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(kinds["_tie"].dataType)
+    rows = spots.select(*keys, "_at", F.lit(1).alias("_rank"), "_tie", F.lit(1).cast("long").alias("_one"), turn.alias("_turn"), "_value")
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("_at"), F.lit(0).alias("_rank")), F.struct(F.col("hi").alias("_at"), F.lit(2).alias("_rank")))).alias("_e")
+    marks = intervals.select(*keys, who.alias("_who"), ends).select(
+        *keys, "_e._at", "_e._rank", none.alias("_tie"), zero.alias("_one"), zero.alias("_turn"), F.lit(None).cast(kinds["_value"].dataType).alias("_value"), "_who"
+    )
+    both = rows.withColumn("_who", F.lit(None).cast(marks.schema["_who"].dataType)).unionByName(marks)
+    point = F.when(F.col("_rank") == 1, F.struct("_value", "_turn"))
+    run = o.scan(both, keys, ["_at", "_rank", "_tie", "_who"], o.time_block("_at", block_ms), {"_n": o.run_sum("_one"), "_c": o.run_sum("_turn"), "_first": o.after(point)})
+    start, end = F.col("_rank") == 0, F.col("_rank") == 2
+    out = run.filter("_rank <> 1").groupBy(*keys, "_who").agg(
+        (F.max(F.when(end, F.col("_n"))) - F.max(F.when(start, F.col("_n")))).alias("n"), (F.max(F.when(end, F.col("_c"))) - F.max(F.when(start, F.col("_c")))).alias("_turns"),
+        F.max(F.when(start, F.col("_first"))).alias("_first"),
+    )
+    inside = F.col("n") > 0
+    return out.select(
+        *keys, *[F.col(f"_who.{n}").alias(n) for n in names], F.col("_who._lo").alias("lo"), "n",
+        F.when(inside, F.col("_first._value")).alias("first"), F.when(inside, F.col("_turns") == F.col("_first._turn")).alias("same"),
+    )
+
+
 def within_left(left, right, keys, t, tolerance: int, tie: str, right_prefix: str = "r_") -> DataFrame:
     """As ``within`` but keeps left rows without a partner (right columns null)."""
     pairs = within(left, right, keys, t, tolerance, right_prefix)

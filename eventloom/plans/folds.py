@@ -272,7 +272,8 @@ def strict_labels(x):
     blocks = x.tx.filter("disc >= 8").select("match_id", "t", F.col("o1").alias("b"))
     kind = F.when((F.col("n") == 2) & (F.col("d") == 1) & (F.col("p") == 1), "replacement").when((F.col("n") == 1) & (F.col("s") == 1), "sale")
     g = g.withColumn("label", kind).filter("label IS NOT NULL")
-    near = tj.within(g.select("match_id", "t"), blocks, ["match_id"], "t", DAY_MS).groupBy("match_id", "t").agg(F.count("*").alias("near")).filter("near = 1")
+    spots = g.select("match_id", "t", F.col("t").alias("b"))
+    near = tj.window_counts(spots, blocks, ["match_id"], "t", "b", DAY_MS, "near").filter("near = 1").select("match_id", F.col("b").alias("t"))
     out = g.join(near, ["match_id", "t"]).join(last, "match_id")
     return out.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("t") == F.col("lt")).alias("without_later"))
 

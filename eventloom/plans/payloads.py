@@ -210,13 +210,14 @@ def identifier_hit_rate(x):
 p AS (SELECT b.sig, l.event_id, l.day, l.match_id = b.match_id AS own FROM l JOIN e b ON l.day = b.day AND b.entity <> 'purchase' AND abs(l.t - b.t) <= 600000), n AS (SELECT sig, count(*) AS total FROM e GROUP BY 1)
 SELECT sig, count(DISTINCT event_id) AS matched_events, count(*) FILTER (own) AS owner_hits, count(DISTINCT day) AS matches, any_value(total) AS total FROM p JOIN n USING (sig) GROUP BY 1""")
 def signature_cooccurrence(x):
+    """Labels near some block of a signature by interval unions, owner hits by window counts; no pairs are made."""
     e = x.ev.withColumns({"day": tj.bucket("t", DAY_MS), "sig": F.concat_ws(":", "entity", F.floor(F.col("k") / 20).cast("string"))})
-    pairs = tj.within(
-        e.filter("entity = 'purchase'").select("day", "t", "event_id", "match_id"), e.filter("entity <> 'purchase'").select("day", "t", "sig", "match_id"), ["day"], "t", 600_000
-    )
-    out = pairs.groupBy(F.col("r_sig").alias("sig")).agg(
-        F.count_distinct("event_id").alias("matched_events"), F.count_if(F.col("match_id") == F.col("r_match_id")).alias("owner_hits"), F.count_distinct("day").alias("matches")
-    )
+    labels, blocks = e.filter("entity = 'purchase'"), e.filter("entity <> 'purchase'")
+    near = tj.interval_stats(tj.covered(blocks, ["day", "sig"], "t", 600_000), labels, ["day"], ["sig"], "t", "event_id")
+    out = near.filter("n > 0").groupBy("sig").agg(F.sum("n").alias("matched_events"), F.count_distinct("day").alias("matches"))
+    spot = F.struct("event_id", "sig").alias("spot")
+    own = tj.window_counts(*[side.select("day", "match_id", "t", spot) for side in (blocks, labels)], ["day", "match_id"], "t", "spot", 600_000, "hits")
+    out = out.join(own.groupBy(F.col("spot.sig").alias("sig")).agg(F.sum("hits").alias("owner_hits")), "sig")
     return out.join(e.groupBy("sig").agg(F.count("*").alias("total")), "sig")
 
 

@@ -396,10 +396,15 @@ def companion_search(x):
     e = x.ev.withColumns({"day": tj.bucket("t", DAY_MS), "fam": F.concat_ws(":", "entity", F.floor(F.col("k") / 25).cast("string"))})
     lab = e.filter("entity = 'purchase'").select("day", "t", "event_id", F.floor(F.col("k") / 50).alias("label"))
     other = e.filter("entity <> 'purchase'").select("day", "t", "fam", F.floor(F.col("k") / 10).alias("key"))
-    p = tj.within(lab, other, ["day"], "t", 7_200_000)
     n = lab.agg(F.count("*").alias("n"))
-    f = p.groupBy(F.col("r_fam").alias("fam")).agg(F.count_distinct("event_id").alias("covered"))
-    k = p.groupBy(F.col("r_fam").alias("fam"), "r_key").agg((F.min("label") == F.max("label")).alias("clean")).groupBy("fam").agg(F.count_if("clean").alias("clean_keys"))
+
+    def near(*names: str):
+        """The windows of a family (or family and key) with the labels inside them, without pairs."""
+        return tj.interval_stats(tj.covered(other, ["day", *names], "t", 7_200_000), lab, ["day"], names, "t", "event_id", "label").filter("n > 0")
+
+    f = near("fam").groupBy("fam").agg(F.sum("n").alias("covered"))
+    clean = F.bool_and("same") & (F.min("first") == F.max("first"))
+    k = near("fam", "key").groupBy("fam", "key").agg(clean.alias("clean")).groupBy("fam").agg(F.count_if("clean").alias("clean_keys"))
     out = f.join(k, "fam").crossJoin(F.broadcast(n))  # one-row side
     return out.select("fam", "covered", (F.col("covered") >= 0.5 * F.col("n")).alias("qualifies"), "clean_keys")
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from eventloom.operators import matching as m
 from eventloom.operators import timejoin as tj
 
 
@@ -76,3 +77,42 @@ def test_overlaps(spark):
     right = spark.createDataFrame(b, "k int, b0 long, b1 long, j long")
     got = sorted((r.i, r.j) for r in tj.overlaps(left, right, ["k"], ("a0", "a1"), ("b0", "b1"), 30, ["i", "j"]).collect())
     assert got == sorted((x[3], y[3]) for x in a for y in b if x[2] > y[1] and y[2] > x[1] and x[2] > x[1])
+
+
+def test_interval_stats_and_companions_without_pairs(spark):
+    rng = random.Random(8)
+    points = [(rng.randint(1, 2), rng.randint(0, 90), i, rng.choice("ab")) for i in range(60)]
+    blocks = [(rng.randint(1, 2), rng.randint(0, 90), rng.choice("xyz")) for _ in range(40)]
+    p = spark.createDataFrame(points, "k int, t long, id long, v string")
+    b = spark.createDataFrame(blocks, "k int, t long, fam string")
+    tol = 3
+    got = tj.interval_stats(tj.covered(b, ["k", "fam"], "t", tol), p, ["k"], ["fam"], "t", "id", "v", block_ms=10).collect()
+    for r in got:
+        hi = max(t + tol for k, t, f in blocks if (k, f) == (r.k, r.fam) and any(t - tol <= u + tol for kk, u, ff in blocks if (kk, ff) == (k, f) and u >= r.lo) and _reached(blocks, r, t, tol))
+        inside = sorted((t, i, v) for k, t, i, v in points if k == r.k and r.lo <= t <= hi)
+        assert r.n == len(inside)
+        if inside:
+            assert r["first"] == inside[0][2] and r.same == (len({v for *_, v in inside}) == 1)
+    by_fam = {}
+    for r in got:
+        by_fam[r.k, r.fam] = by_fam.get((r.k, r.fam), 0) + r.n
+    for (k, fam), n in by_fam.items():
+        assert n == sum(any(kk == k and f == fam and abs(t - u) <= tol for kk, u, f in blocks) for kp, t, *_ in points if kp == k)
+    want = {}
+    for k, t, i, _ in points:
+        for kk, u, f in blocks:
+            if k == kk and abs(t - u) <= tol:
+                n, c = want.get((k, i, f), (0, tol))
+                want[k, i, f] = (n + 1, min(c, abs(t - u)))
+    assert {(r.k, r.id, r.fam): (r.blocks, r.closest) for r in m.companions(p, b, ["k"], "t", "id", "fam", tol).collect()} == want
+
+
+def _reached(blocks, r, t, tol) -> bool:
+    """Is t in the run of blocks that starts at the interval's low end?"""
+    own = sorted({u for k, u, f in blocks if (k, f) == (r.k, r.fam) and u - tol >= r.lo})
+    end = own[0]
+    for u in own:
+        if u - end > 2 * tol:
+            break
+        end = u
+    return t <= end and t - tol >= r.lo
