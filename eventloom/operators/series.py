@@ -356,25 +356,36 @@ def bidirectional_support(df: DataFrame, keys, a: str, b: str) -> DataFrame:
     return out.withColumn("rate", F.col("support") / F.col("rows")).drop("_f", "_r")
 
 
-def order_agreement(df: DataFrame, keys, slot: str, expected: str) -> DataFrame:
-    """Share of slot pairs whose expected order rises too (ties in ``expected`` left out).
+def order_agreement(df: DataFrame, keys, slot: str, expected: str, block: int = 4096) -> DataFrame:
+    """Share of slot pairs whose expected order rises too (ties in ``expected`` left out); both are whole numbers.
 
-    Pair counts come from per-(slot, expected) frequencies: a running count of smaller
-    expected values over earlier slots, so no pair of rows is ever built.
+    Rising pairs are counted bit by bit: two expected values part at one bit, where the smaller has 0 and the
+    larger 1 behind the same higher bits. So for every bit, a running sum over the slots of the rows with 0
+    is read at the rows with 1. That makes one row per (slot, value, bit) and no pairs; all comparable pairs
+    follow from sums of squares. Rows with a null slot or value do not count.
     """
     keys = list(keys)
-    cells = df.groupBy(*keys, slot, expected).agg(F.count("*").alias("n"))
-    levels = cells.select(*keys, F.col(expected).alias("_lvl")).distinct()
-    below = F.when(F.col(expected) < F.col("_lvl"), F.col("n")).otherwise(0)
-    same = F.when(F.col(expected) == F.col("_lvl"), F.col("n")).otherwise(0)
-    grid = cells.join(levels, keys) if keys else cells.crossJoin(F.broadcast(levels))
-    grid = grid.groupBy(*keys, slot, "_lvl").agg(
-        F.sum("n").alias("all"), F.sum(below).alias("below"), F.sum(same).alias("here")
+    whole = (F.col("n") * F.col("n")).cast("decimal(38,0)")
+    cells = df.dropna(subset=[slot, expected]).groupBy(*keys, slot, F.col(expected).cast("long").alias("_v")).agg(F.count("*").alias("n"))
+    low, high = cells.agg(F.min("_v"), F.max("_v")).first()
+    bits = max(1, (high - low).bit_length()) if low is not None else 1
+    at = F.explode(F.array(*[F.lit(b) for b in range(bits)])).alias("_bit")
+    above = F.expr("shiftright(_d, _bit + 1)")
+    digits = cells.select(*keys, slot, (F.col("_v") - F.lit(low or 0)).alias("_d"), "n", at).withColumns({"_up": above, "_one": F.expr("shiftright(_d, _bit) & 1") == 1})
+    sides = digits.groupBy(*keys, "_bit", "_up", slot).agg(
+        F.coalesce(F.sum(F.when(~F.col("_one"), F.col("n"))), F.lit(0).cast("long")).alias("zeros"), F.coalesce(F.sum(F.when(F.col("_one"), F.col("n"))), F.lit(0).cast("long")).alias("ones")
     )
-    run = o.scan(grid, [*keys, "_lvl"], [slot], None, {"_b": o.run_sum("below"), "_a": o.run_sum("all"), "_h": o.run_sum("here")})
-    earlier_below, earlier_all, earlier_same = F.col("_b") - F.col("below"), F.col("_a") - F.col("all"), F.col("_h") - F.col("here")
-    out = run.groupBy(*keys).agg(
-        F.sum(F.col("here") * (earlier_all - earlier_same)).alias("comparable"),
-        F.sum(F.col("here") * earlier_below).alias("ordered"),
-    )
-    return out.withColumn("rate", F.coalesce(F.try_divide("ordered", "comparable"), F.lit(0.0)))
+    run = o.scan(sides, [*keys, "_bit", "_up"], [slot], o.time_block(slot, block), {"_z": o.run_sum("zeros")})
+    ordered = run.groupBy(*keys).agg(F.sum(F.col("ones") * (F.col("_z") - F.col("zeros"))).alias("ordered"))
+
+    def squares(*more: str) -> DataFrame:
+        return cells.groupBy(*keys, *more).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(whole).alias("s"))
+
+    # pairs of different slots and values: all, less same slot, less same value, plus both the same
+    parts = [(squares(), 1), (squares(slot), -1), (squares("_v"), -1), (cells.groupBy(*keys).agg(F.sum(whole).alias("s")), 1)]
+    signed = parts[0][0]
+    for part, sign in parts[1:]:
+        signed = signed.unionByName(part.withColumn("s", F.col("s") * sign))
+    comparable = signed.groupBy(*keys).agg((F.sum("s") / 2).cast("long").alias("comparable"))
+    out = comparable.join(ordered, keys) if keys else comparable.crossJoin(F.broadcast(ordered))  # one-row sides
+    return out.withColumn("rate", F.coalesce(F.try_divide("ordered", "comparable"), F.lit(0.0))).select(*keys, "comparable", "ordered", "rate")

@@ -64,3 +64,20 @@ def test_quantiles_match_numpy(rows):
 def test_mode_breaks_ties_by_text(spark):
     df = spark.createDataFrame([(1, 9), (1, 10), (2, 3), (2, 3), (2, 1)], "k int, v int")
     assert {r.k: r.mode for r in q.mode(df, ["k"], "v").collect()} == {1: 10, 2: 3}
+
+
+def test_order_agreement_counts_every_pair(spark):
+    from eventloom.operators import series as sr
+
+    rng = np.random.default_rng(4)
+    data = [(int(k), int(s), int(v)) for k, s, v in zip(rng.integers(1, 3, 150), rng.integers(0, 30, 150), rng.integers(-9, 40, 150))]
+    df = spark.createDataFrame([*data, (1, None, 3), (1, 3, None)], "k int, slot long, v long")
+    for keys in (["k"], []):
+        got = {tuple(r[c] for c in keys): (r.comparable, r.ordered) for r in sr.order_agreement(df, keys, "slot", "v", block=7).collect()}
+        want: dict = {}
+        for a in data:
+            for b in data:
+                if a[1] < b[1] and a[2] != b[2] and (not keys or a[0] == b[0]):
+                    c, o_ = want.get((a[0],) if keys else (), (0, 0))
+                    want[(a[0],) if keys else ()] = (c + 1, o_ + (a[2] < b[2]))
+        assert got == want
