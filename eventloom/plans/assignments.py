@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from eventloom.functions import stats as s
 from eventloom.operators import assign as a
 from eventloom.operators import matching as m
+from eventloom.operators import multiview as mv
 from eventloom.operators import ordered as o
 from eventloom.operators import quantiles as q
 from eventloom.operators import sequences as sq
 from eventloom.operators import series as sr
+from eventloom.operators import timejoin as tj
 from eventloom.plans.registry import query
 from eventloom.plans.scorecards import WIN, win
 from eventloom.plans.standins import DAY_MS
@@ -267,14 +269,67 @@ def family_layout(x):
 
 @query("J42_multiview_agreement", """WITH a AS (SELECT match_id, event_id, entity, 100 * value AS x, 150.0 * k AS y, t FROM {ev}), p AS (SELECT match_id, event_id, x, y, row_number() OVER (PARTITION BY match_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS n FROM a WHERE entity = 'view'),
 c AS (SELECT match_id, avg(x) AS cx, avg(y) AS cy FROM a WHERE entity = 'click' GROUP BY 1), r AS (SELECT p.*, q.x AS sx, q.y AS sy FROM p JOIN p q ON p.match_id = q.match_id AND q.i = (p.i + 1) % p.n)
-SELECT match_id, count(*) AS rows, R6(avg(sqrt(power(x - cx, 2) + power(y - cy, 2)))) AS companion_distance, R6(avg(sqrt(power(sx - cx, 2) + power(y - cy, 2)))) AS control_distance FROM r JOIN c USING (match_id) GROUP BY 1""")
+SELECT match_id, count(*) AS rows, R6(avg(sqrt(power(x - cx, 2) + power(y - cy, 2)))) AS companion_distance, R6(avg(sqrt(power(sx - cx, 2) + power(sy - cy, 2)))) AS control_distance FROM r JOIN c USING (match_id) GROUP BY 1""")
 def multiview_agreement(x):
-    """Primary positions against companions, with a shuffled control."""
+    """Primary positions against the mean companion of the match, with a shuffled control on both axes."""
     e = x.ev.select("match_id", "event_id", "entity", "t", (100 * F.col("value")).alias("x"), (150.0 * F.col("k")).alias("y"))
     c = e.filter("entity = 'click'").groupBy("match_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    r = m.shuffled_control(e.filter("entity = 'view'"), ["match_id"], ["t", "event_id"], 1, ["x"], o.time_block("t", DAY_MS)).join(c, "match_id")
+    r = m.shuffled_control(e.filter("entity = 'view'"), ["match_id"], ["t", "event_id"], 1, ["x", "y"], o.time_block("t", DAY_MS)).join(c, "match_id")
 
-    def far(px):
-        return F.sqrt(F.pow(F.col(px) - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))
+    def far(px, py):
+        return F.sqrt(F.pow(F.col(px) - F.col("cx"), F.lit(2.0)) + F.pow(F.col(py) - F.col("cy"), F.lit(2.0)))
 
-    return r.groupBy("match_id").agg(F.count("*").alias("rows"), F.avg(far("x")).alias("companion_distance"), F.avg(far("control_x")).alias("control_distance"))
+    return r.groupBy("match_id").agg(F.count("*").alias("rows"), F.avg(far("x", "y")).alias("companion_distance"), F.avg(far("control_x", "control_y")).alias("control_distance"))
+
+
+VIEWED = """WITH a AS (SELECT match_id, event_id, entity, t, 160000 * CAST(floor(value / 25) AS BIGINT) AS xr, 192000 * (k // 20) AS yr, CASE WHEN event_id % 7 <> 0 THEN 100 * value END AS ox, CASE WHEN event_id % 7 <> 0 THEN 150.0 * k END AS oy FROM {ev}),
+cl AS (SELECT match_id, t, xr AS cx, yr AS cy FROM a WHERE entity = 'click'), pl AS (SELECT * FROM a WHERE entity IN ('view', 'error')),
+b AS (SELECT pl.*, cl.t AS bt, cl.cx AS bx, cl.cy AS b_y FROM pl ASOF LEFT JOIN cl ON pl.match_id = cl.match_id AND pl.t >= cl.t), n AS (SELECT b.*, cl.t AS ft, cl.cx AS fx, cl.cy AS fy FROM b ASOF LEFT JOIN cl ON b.match_id = cl.match_id AND b.t < cl.t),
+v AS (SELECT match_id, event_id, entity, t, xr, yr, ox, oy, CASE WHEN bt IS NULL OR ft - t < t - bt THEN fx ELSE bx END AS cx, CASE WHEN bt IS NULL OR ft - t < t - bt THEN fy ELSE b_y END AS cy FROM n)"""
+DIVISORS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+
+
+def _viewed(x):
+    """Stand-in views: an event's own raw pair is its primary, that of the nearest click of the match its companion."""
+    oracle = F.col("event_id") % 7 != 0
+    a_ = x.ev.select(
+        "match_id", "event_id", "entity", "t", (160000 * F.floor(F.col("value") / 25)).alias("xr"), (192000 * F.floor(F.col("k") / 20)).alias("yr"),
+        F.when(oracle, 100 * F.col("value")).alias("ox"), F.when(oracle, 150.0 * F.col("k")).alias("oy"),
+    )
+    clicks = a_.filter("entity = 'click'").select("match_id", "event_id", "t", "xr", "yr")
+    near = tj.nearest(a_.filter("entity IN ('view', 'error')"), clicks, ["match_id"], "t", "event_id", DAY_MS)
+    return near.withColumns({"cx": F.col("near.xr"), "cy": F.col("near.yr")}).drop("near", "delta")
+
+
+@query("J42_coordinate_divisors", VIEWED + f""", p AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS n FROM v WHERE entity = 'view' AND cx IS NOT NULL),
+r AS (SELECT p.*, q.cx AS sx, q.cy AS sy, unnest({list(DIVISORS)}) AS divisor FROM p JOIN p q ON q.match_id = p.match_id AND q.i = (p.i + 97) % p.n),
+g AS (SELECT divisor, count(*) AS rows, count(*) FILTER (cx / divisor BETWEEN 0 AND 15000 AND cy / divisor BETWEEN 0 AND 15000) AS in_bounds, count(*) FILTER (cx < 65536 AND cy < 65536) AS zero_high,
+ avg(sqrt((cx / divisor - ox) * (cx / divisor - ox) + (cy / divisor - oy) * (cy / divisor - oy))) AS od, avg(sqrt((sx / divisor - ox) * (sx / divisor - ox) + (sy / divisor - oy) * (sy / divisor - oy))) AS cd FROM r GROUP BY 1)
+SELECT CAST(divisor AS BIGINT) AS divisor, rows, in_bounds, zero_high, R6(od) AS oracle_distance, R6(cd) AS control_distance, R6(in_bounds / rows) AS in_bounds_rate, row_number() OVER (ORDER BY in_bounds / rows DESC, od, divisor) AS rank FROM g""")
+def coordinate_divisors(x):
+    """Divisors of the companion coordinates against the oracle, with a control 97 rows on."""
+    rows = _viewed(x).filter("entity = 'view' AND cx IS NOT NULL")
+    return mv.divisor_scores(rows, ["match_id"], ["t", "event_id"], o.time_block("t", DAY_MS), ("cx", "cy"), ("ox", "oy"), DIVISORS, 15000, 97)
+
+
+@query("J42_primary_companion", VIEWED + """ SELECT match_id, count(*) AS decoded, count(*) FILTER (xr = cx AND yr = cy) AS exact, R6(avg(CASE WHEN xr = cx AND yr = cy THEN 1.0 ELSE 0 END)) AS exact_rate,
+ R6(avg(sqrt(((xr - cx) / 64) * ((xr - cx) / 64) + ((yr - cy) / 64) * ((yr - cy) / 64)))) AS distance, R6(max(sqrt(((xr - cx) / 64) * ((xr - cx) / 64) + ((yr - cy) / 64) * ((yr - cy) / 64)))) AS most_distance FROM v WHERE entity = 'view' AND cx IS NOT NULL GROUP BY 1""")
+def primary_companion(x):
+    """Raw pairs of primary and companion that agree, and the distance of their positions."""
+    return mv.pair_agreement(_viewed(x).filter("entity = 'view'"), ["match_id"], ("xr", "yr"), ("cx", "cy"), 64)
+
+
+@query("J42_removal_agreement", VIEWED + """, c AS (SELECT p.match_id, p.event_id AS link, p.t, p.xr, p.yr, p.cx, p.cy, e.xr AS rxr, e.yr AS ryr, e.cx AS rcx, e.cy AS rcy FROM v p JOIN v e ON e.match_id = p.match_id AND e.entity = 'error' AND e.t BETWEEN p.t AND p.t + 86400000 WHERE p.entity = 'view' AND p.cx IS NOT NULL AND e.cx IS NOT NULL),
+l AS (SELECT match_id, link, any_value(t) AS t, any_value(cx) AS cx, any_value(cy) AS cy, count(*) AS n, count(*) FILTER (cx = rcx AND cy = rcy) AS hits FROM c GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY t, link) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS ln FROM l), s AS (SELECT i.match_id, i.link, j.cx AS sx, j.cy AS sy FROM i JOIN i j ON j.match_id = i.match_id AND j.i = (i.i + 1) % i.ln WHERE i.ln > 1),
+k AS (SELECT match_id, count(*) AS control_candidates, count(*) FILTER (sx = rcx AND sy = rcy) AS control_exact FROM c JOIN s USING (match_id, link) GROUP BY 1),
+r AS (SELECT match_id, count(*) AS candidates, count(*) FILTER (cx = rcx AND cy = rcy) AS companion_exact, count(*) FILTER (xr = rxr AND yr = ryr) AS primary_exact, R6(avg(sqrt(((cx - rcx) / 64) * ((cx - rcx) / 64) + ((cy - rcy) / 64) * ((cy - rcy) / 64)))) AS distance FROM c GROUP BY 1)
+SELECT match_id, links, any_exact, all_exact, two_candidates, two_both_exact, candidates, companion_exact, primary_exact, distance, coalesce(control_candidates, 0) AS control_candidates, coalesce(control_exact, 0) AS control_exact
+FROM (SELECT match_id, count(*) AS links, count(*) FILTER (hits > 0) AS any_exact, count(*) FILTER (hits = n) AS all_exact, count(*) FILTER (n = 2) AS two_candidates, count(*) FILTER (n = 2 AND hits = 2) AS two_both_exact FROM l GROUP BY 1) JOIN r USING (match_id) LEFT JOIN k USING (match_id)""")
+def removal_agreement(x):
+    """Records within a day after a placement against the placement, companion and primary, with the next link as control."""
+    v = _viewed(x).filter("cx IS NOT NULL")
+    cols = ["match_id", "event_id", "t", "xr", "yr", "cx", "cy"]
+    pairs = tj.within(v.filter("entity = 'view'").select(*cols), v.filter("entity = 'error'").select(*cols), ["match_id"], "t", DAY_MS).filter("r_t >= t").withColumnRenamed("event_id", "link")
+    views = [{"primary": (f"{p}xr", f"{p}yr"), "companion": (f"{p}cx", f"{p}cy")} for p in ("", "r_")]
+    return mv.removal_agreement(pairs, ["match_id"], "link", ["t", "link"], o.time_block("t", DAY_MS), *views, 64)
