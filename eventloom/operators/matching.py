@@ -271,9 +271,12 @@ def add_before_removal(df, keys, order, block, is_add: Column, is_removal: Colum
 
 
 def association(labels, groups, keys, t, ident, tolerance: int) -> DataFrame:
-    """Labels classed one / none / ambiguous by how many groups lie within the tolerance."""
+    """Labels classed one / none / ambiguous by how many groups lie within the tolerance.
+
+    A label with a null key, time or identifier has no groups.
+    """
     counts = tj.window_counts(labels, groups, keys, t, ident, tolerance, "groups")
-    out = labels.join(counts, [*keys, ident])
+    out = labels.join(counts, [*keys, ident], "left").withColumn("groups", F.coalesce("groups", F.lit(0).cast("long")))
     return out.withColumn(
         "association", F.when(F.col("groups") == 0, "none").when(F.col("groups") == 1, "one").otherwise("ambiguous")
     )

@@ -73,6 +73,18 @@ def ngrams(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
     return spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets"))
 
 
+def identifier_hits(rows: DataFrame, keys, value: str, token: str, match: str, min_support: int = 3, min_rate: float = 0.75) -> DataFrame:
+    """Per key: comparable rows, those whose value is the expected token, in how many matches, and the rate.
+
+    A key needs ``min_support`` hits and a rate of ``min_rate``. Rows without value or token are not comparable.
+    """
+    same = F.col(value) == F.col(token)
+    out = rows.dropna(subset=[value, token]).groupBy(*keys).agg(
+        F.count("*").alias("comparable"), F.count_if(same).alias("hits"), F.count_distinct(F.when(same, F.col(match))).alias("matches"), s.ratio(same).alias("hit_rate")
+    )
+    return out.filter((F.col("hits") >= min_support) & (F.col("hit_rate") >= min_rate))
+
+
 def common_prefix(cells: DataFrame, keys) -> DataFrame:
     """Leading offsets on which all records of a key agree."""
     keys = list(keys)

@@ -38,10 +38,15 @@ def float32_reinterpret(x):
     return out.filter(F.shiftright("raw", 23).bitwiseAND(F.lit(255)) < 255).select(*P, (F.col("f") / 2.0**100).alias("scaled"))
 
 
-@query("H3_lane_decodes", f"""WITH r AS (SELECT match_id, block_index, {hx(4, 4)} AS raw FROM {{pk}}) SELECT match_id, block_index, decode, R6(decoded) AS decoded FROM (SELECT match_id, block_index, {bn.lane_decodes_sql("raw")} FROM r) WHERE abs(decoded) < 1e9 OR decode <> 'f32'""")
+@query("H3_lane_decodes", f"""WITH r AS (SELECT match_id, block_index, {hx(4, 4)} AS raw FROM {{pk}}) SELECT match_id, block_index, decode, R6(CASE WHEN decode <> 'f32' OR abs(decoded) < 1e9 THEN decoded END) AS decoded,
+R6(CASE WHEN decode = 'f32' AND decoded <> 0 AND abs(decoded) < 1e39 THEN log2(abs(decoded)) END) AS magnitude FROM (SELECT match_id, block_index, {bn.lane_decodes_sql("raw")} FROM r)""")
 def lane_decodes(x):
+    """Every reading of a lane; six digits cannot show a float of 1e9 and more, so floats come with their binary logarithm too."""
     d = x.pk.select(*P, F.explode(bn.lane_decodes(bn.read_uint("payload", 4, 4))).alias("d")).select(*P, "d.*")
-    return d.filter((F.abs("decoded") < 1e9) | (F.col("decode") != "f32"))
+    real, size = F.col("decode") == "f32", F.abs("decoded")
+    return d.select(
+        *P, "decode", F.when(~real | (size < 1e9), F.col("decoded")).alias("decoded"), F.when(real & (F.col("decoded") != 0) & (size < 1e39), F.log2(size)).alias("magnitude")
+    )
 
 
 @query("H4_bit_slices", f"""SELECT match_id, block_index, ({hx(0, 2)} >> 3) & 1023 AS little10, ({hx(0, 2, False)} >> 3) & 1023 AS big10, xor({hx(0, 1)}, 90) AS xored, bit_count({hx(0, 1)} & 27) % 2 AS parity,

@@ -116,3 +116,13 @@ def _reached(blocks, r, t, tol) -> bool:
             break
         end = u
     return t <= end and t - tol >= r.lo
+
+
+def test_association_keeps_labels_with_nulls(spark):
+    schema = "k int, t long, id long"
+    labels = spark.createDataFrame([(1, 10, 1), (1, 50, 2), (None, 10, 3), (1, None, 4), (1, 10, None), (2, 10, 5)], schema)
+    groups = spark.createDataFrame([(1, 9, 1), (1, 12, 2), (1, 52, 3), (None, 10, 4), (2, 90, 5)], schema)
+    got = sorted((str(r.k), str(r.t), str(r.id), r.groups, r.association) for r in m.association(labels, groups, ["k"], "t", "id", 3).collect())
+    assert got == sorted([
+        ("1", "10", "1", 2, "ambiguous"), ("1", "50", "2", 1, "one"), ("None", "10", "3", 0, "none"), ("1", "None", "4", 0, "none"), ("1", "10", "None", 0, "none"), ("2", "10", "5", 0, "none")
+    ])
