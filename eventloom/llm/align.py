@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import pieces, texts
+from eventloom.llm.common import kept, pieces, texts
 from eventloom.session import cut_lineage
 
 #: Bytes of text in one step, characters tokenized at once, bytes of text in one chunk, words and links remembered.
@@ -180,8 +180,8 @@ class Alignment:
 class Memory:
     """Alignments of words, and for the time of one step of whole texts: numbers, written groups and pairs of links."""
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
+    def __init__(self, aligner: Aligner, keep: tuple[int, int] = KEEP):
+        self.aligner, self.keep = aligner, keep
         self.separable = aligner.separable()
         self.clear()
 
@@ -212,7 +212,7 @@ class Memory:
 
     def align(self, batch: list[str], width: int) -> tuple[np.ndarray, list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Numbers and written groups of every text, and (text, pair, times) of its distinct pairs, in that order."""
-        if len(self.good) > KEEP[0] or len(self.pairs) > KEEP[1]:
+        if len(self.good) > self.keep[0] or len(self.pairs) > self.keep[1]:
             self.clear()
         words = [t.split(" ") if self.separable and t and not UNEVEN.search(t) else None for t in batch]
         new = list(set().union(*[ws for ws in words if ws]) - self.known.keys())
@@ -313,11 +313,7 @@ def unpacked(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
-#: What a Python worker remembers between tasks.
-_MEMORIES: dict[str, Memory] = {}
-
-
-def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFrame:
+def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool, chunk_bytes: int, keep: tuple[int, int]) -> DataFrame:
     """(chunk, docs, pairs, counts): one row for each chunk."""
     with open(a_path, "rb") as one, open(b_path, "rb") as two:
         files = (one.read(), two.read())
@@ -325,10 +321,7 @@ def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(files)  # two fixed vocabulary files
 
     def run(batches):
-        if name not in _MEMORIES:
-            _MEMORIES.clear()
-            _MEMORIES[name] = Memory(Aligner(*shared.value))
-        memory = _MEMORIES[name]
+        memory = kept(("alignments", name, keep), lambda: Memory(Aligner(*shared.value), keep))
         width = len(memory.aligner.side_a.bytes) * memory.aligner.width
         number, chunk = TaskContext.get().partitionId() << 32, Chunk()
 
@@ -340,9 +333,9 @@ def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFr
             )
 
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", min(PIECE, chunk_bytes)):
                 n_bytes = part.column(1).nbytes
-                if chunk.ids and chunk.n_bytes + n_bytes > CHUNK:
+                if chunk.ids and chunk.n_bytes + n_bytes > chunk_bytes:
                     yield sent(number, chunk)
                     number, chunk = number + 1, Chunk()
                 numbers, groups, distinct = memory.align(part.column(1).to_pylist(), width)
@@ -355,7 +348,8 @@ def chunks_of(docs: DataFrame, a_path: str, b_path: str, digest: bool) -> DataFr
     return docs.mapInArrow(run, "chunk bigint, docs binary, pairs array<bigint>, counts array<bigint>")
 
 
-def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text",
+                     chunk_bytes: int = CHUNK, keep: tuple[int, int] = KEEP) -> DataFrame:
     """Align both tokenizations of every whole text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
     ``groups`` is written ``a1,a2|b1;a3|b2,b3``, or with ``digest`` the SHA-256 of that. A link is a pair of
@@ -366,7 +360,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, digest: bool = F
     """
     with open(a_path, "rb") as one:
         n_a = 1 + max(json.load(one)["model"]["vocab"].values())
-    chunks = cut_lineage(chunks_of(texts(docs, id_col, text_col), a_path, b_path, digest))
+    chunks = cut_lineage(chunks_of(texts(docs, id_col, text_col), a_path, b_path, digest, chunk_bytes, keep))
     pair = F.explode(F.arrays_zip("pairs", "counts")).alias("x")
     counts = cut_lineage(chunks.select(pair).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("n")))
     width = pieces_of(b_path)

@@ -10,7 +10,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from eventloom.llm.common import sha, texts
+from eventloom.llm.common import kept, pieces, sha, texts
+
+#: Bytes of text encoded at once.
+PIECE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -150,29 +153,18 @@ class Codec:
         return ",".join(map(self.digits_of.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec_of(broadcast, pattern: str) -> Codec:
-    """The codec of a vocabulary, one for each Python worker."""
-    key = f"{broadcast.value[0]} {pattern}"
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(broadcast.value[1], pattern)
-    return _CODECS[key]
-
-
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, columns: dict[str, tuple[str, pa.DataType]], found) -> DataFrame:
     ranks = read_ranks(ranks_path)
     name = sha(b"".join(b"%s %d\n" % x for x in ranks.items()))
-    shared = docs.sparkSession.sparkContext.broadcast((name, ranks))  # one fixed vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one fixed vocabulary file
 
     def run(batches):
-        codec = codec_of(shared, pattern)
+        codec = kept(("codec", name, pattern), lambda: Codec(shared.value, pattern))
         for batch in batches:
-            rows = [found(codec, codec.encode(t.as_py())) for t in batch.column(1)]
-            made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(columns.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *columns])
+            for piece in pieces(batch, "text", PIECE):
+                rows = [found(codec, codec.encode(t.as_py())) for t in piece.column(1)]
+                made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *made], names=["doc_id", *columns])
 
     return texts(docs).mapInArrow(run, ", ".join(["doc_id bigint", *[f"{c} {t}" for c, (t, _) in columns.items()]]))
 

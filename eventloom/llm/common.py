@@ -59,5 +59,17 @@ def squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
 
 
+#: What a Python worker remembers: one object at a time, as workers go on from stage to stage.
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """The object of this name in this Python worker; made, in place of any other, when it is not there."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

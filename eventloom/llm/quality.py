@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import fold, pieces, sha, texts
+from eventloom.llm.common import fold, kept, pieces, sha, texts
 from eventloom.session import cut_lineage
 
 #: Bytes of text scored at once, and the multiplier of the subword hashes.
@@ -176,9 +176,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
     return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def posteriors(docs: DataFrame, model: SubwordModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default all but the text) of every row, with n_words and p.
 
@@ -191,10 +188,7 @@ def posteriors(docs: DataFrame, model: SubwordModel, text_col: str = "text", kee
     fields = [f for f in docs.schema.fields if (f.name in keep if keep is not None else f.name != text_col)]
 
     def run(batches):
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value, sizes)
-        scorer = _SCORERS[name]
+        scorer = kept(("scorer", name), lambda: Scorer(shared.value, sizes))
         for batch in batches:
             for piece in pieces(batch, text_col, CHUNK):
                 n_words, p = scorer.score([t.as_py() or "" for t in piece.column(text_col)])

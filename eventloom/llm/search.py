@@ -129,7 +129,7 @@ def corpus_counts(docs: DataFrame, block: Block) -> Corpus:
 class Piece:
     """Sketches and exact impacts of the documents of one piece."""
 
-    def __init__(self, found: list[list[bytes]], vocabulary: dict[bytes, int], corpus: Corpus):
+    def __init__(self, found: list[list[bytes]], vocabulary: dict[bytes, int], corpus: Corpus, width: int):
         counted = [Counter(terms) for terms in found]
         sizes = np.fromiter(map(len, counted), np.int64, len(counted))
         doc = np.repeat(np.arange(len(counted)), sizes)
@@ -137,14 +137,14 @@ class Piece:
         norms = np.fromiter((corpus.norm(len(terms)) for terms in found), np.int64, len(found))
         impact = (1_000_000_000 * tf) // (1000 * tf + 12 * norms[doc])
         flat = list(chain.from_iterable(counted))
-        place = np.fromiter(map(crc32, flat), np.int64, len(flat)) % WIDTH
+        place = np.fromiter(map(crc32, flat), np.int64, len(flat)) % width
         # one row for each coordinate, so that a query reads whole rows
-        self.sketch = np.zeros((WIDTH, len(found)))
+        self.sketch = np.zeros((width, len(found)))
         np.maximum.at(self.sketch.reshape(-1), place * len(found) + doc, impact.astype(np.float64))
         number = np.fromiter(map(vocabulary.get, flat, repeat(-1)), np.int64, len(flat))
         known = number >= 0
-        self.width = len(vocabulary)
-        keys = doc[known] * self.width + number[known]
+        self.n_terms = len(vocabulary)
+        keys = doc[known] * self.n_terms + number[known]
         order = np.argsort(keys)
         self.keys, self.impacts = keys[order], impact[known][order]
 
@@ -154,7 +154,7 @@ class Piece:
     def scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(docs), np.int64)
-        wanted = docs[:, None] * self.width + terms[None, :]
+        wanted = docs[:, None] * self.n_terms + terms[None, :]
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.impacts[at], 0) @ weights
 
@@ -177,13 +177,13 @@ class Best:
         self.score, self.missing, self.doc = score[order], missing[order], doc[order]
 
 
-def best_documents(docs: DataFrame, block: Block, corpus: Corpus, k: int) -> DataFrame:
+def best_documents(docs: DataFrame, block: Block, corpus: Corpus, k: int, width: int = WIDTH, step: int = STEP) -> DataFrame:
     """(item_id, doc_id, score, task): the best ``k`` of every query among the documents of a task."""
     shared = docs.sparkSession.sparkContext.broadcast((block, corpus, corpus.weights()))
 
     def run(batches):
         block, corpus, weights = shared.value
-        place_of = np.array([crc32(t) % WIDTH for t in block.vocabulary], np.int64)
+        place_of = np.array([crc32(t) % width for t in block.vocabulary], np.int64)
         own = [weights[q.terms] * q.times for q in block.queries]
         best = [Best(k) for _ in block.queries]
         for batch in batches:
@@ -191,13 +191,13 @@ def best_documents(docs: DataFrame, block: Block, corpus: Corpus, k: int) -> Dat
                 found = [terms_of(t.as_py()) for t in part.column(1)]
                 ids = part.column(0)
                 missing, doc = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
-                piece = Piece(found, block.vocabulary, corpus)
+                piece = Piece(found, block.vocabulary, corpus, width)
                 for query, w, top in zip(block.queries, own, best):
                     bound = piece.bounds(place_of[query.terms], w.astype(np.float64))
                     order = np.flatnonzero(bound >= top.least())
                     order = order[np.argsort(-bound[order])]
-                    for start in range(0, len(order), STEP):
-                        some = order[start:start + STEP]
+                    for start in range(0, len(order), step):
+                        some = order[start:start + step]
                         some = some[bound[some] >= top.least()]
                         if not len(some):
                             break
@@ -213,13 +213,15 @@ def best_documents(docs: DataFrame, block: Block, corpus: Corpus, k: int) -> Dat
     return numbered.mapInArrow(run, "item_id bigint, doc_id bigint, score bigint, task bigint")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+           width: int = WIDTH, step: int = STEP) -> DataFrame:
     """The ``k`` highest-scoring documents of every item: item_id, rank, doc_id, score.
 
     Terms are maximal runs of ASCII letters, digits and other than ASCII characters, A-Z in lower case. Only
     scores above 0 count; equal scores go by ascending identifier, null identifiers last. Every row of
     ``docs`` is a document: null texts and texts without terms never match, repeated rows each take a rank.
     Repeated rows of ``items`` count once, items without terms get no rows, and no documents give no rows.
+    A sketch has ``width`` coordinates; ``step`` documents are rescored at a time.
     """
     own = texts(docs, id_col, text_col)
     found = None
@@ -227,7 +229,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
         corpus = corpus_counts(own, block)
         if not corpus.n_docs:
             continue
-        some = best_documents(own, block, corpus, k)
+        some = best_documents(own, block, corpus, k, width, step)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return own.sparkSession.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
