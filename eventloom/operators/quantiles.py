@@ -1,8 +1,8 @@
 """Exact order statistics that never hold a group in one task.
 
-Rows first collapse to (key, value, count). The distinct values of a key are cut at boundaries
-taken from their counts, so a heavy tail fills no block more than another; a blocked running
-count gives each value its position, and the quantile is the smallest value whose running
+Rows first collapse to (key, value, count). Where a key has very many distinct values, they are cut
+at boundaries taken from their counts, so a heavy tail fills no block more than another; a blocked
+running count gives each value its position, and the quantile is the smallest value whose running
 count passes the wanted index.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from eventloom.operators import ordered as o
 
 BUCKETS = 128
+#: Distinct values of a key that one block takes.
+ONE_BLOCK = 1 << 16
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -27,9 +29,12 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
         .agg(F.count("*").alias("n"))
     )
     shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    spans = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 4 * BUCKETS).alias("_cuts"), F.sum("n").alias("total"))
+    spans = counts.groupBy(*keys).agg(F.count("*").alias("_distinct"), F.percentile_approx(value, shares, 4 * BUCKETS).alias("_cuts"), F.sum("n").alias("total"))
+    # only a key too wide for one block is cut
+    spans = spans.withColumn("_cuts", F.when(F.col("_distinct") > ONE_BLOCK, F.col("_cuts"))).drop("_distinct")
     counts = counts.join(spans, keys) if keys else counts.crossJoin(F.broadcast(spans))
-    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))).cast("long")).drop("_cuts")
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).cast("long")
+    counts = counts.withColumn("_part", part).drop("_cuts")
     return o.scan(counts, keys, [value], F.col("_part"), {"cum": o.run_sum("n")}).drop("_part")
 
 

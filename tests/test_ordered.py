@@ -49,7 +49,9 @@ def test_gap_islands(rows):
             assert got_island == island
 
 
-def test_quantiles_match_numpy(rows):
+@pytest.mark.parametrize("one_block", [1 << 16, 8])
+def test_quantiles_match_numpy(rows, one_block, monkeypatch):
+    monkeypatch.setattr(q, "ONE_BLOCK", one_block)  # the narrow one cuts every key into blocks
     got = {r.k: r for r in q.quantiles(rows, ["k"], "v", {"a": 0.1, "m": 0.5, "z": 0.93}).collect()}
     flo = {r.k: r for r in q.quantiles(rows, ["k"], "v", {"f": 0.95}, floor_index=True).collect()}
     values = {}
