@@ -357,41 +357,47 @@ def change_patterns(changes: DataFrame, offsets: str, label: str) -> tuple[DataF
 def exact_unions(patterns: DataFrame) -> DataFrame:
     """Unions of one to three clean offsets that cover every labelled change.
 
-    |A ∪ B ∪ C| follows from how often offsets change together, which patterns of a record's
-    few clean offsets emit as weighted subsets; transitions never meet each other.
+    A levelwise search: pairs grow from single offsets, triples from pairs, and a candidate is kept only while
+    its coverages and the best one still to come could add up to all changes. |A ∪ B ∪ C| then follows from how
+    often offsets change together, which patterns of a record's few clean offsets emit as weighted subsets;
+    transitions never meet each other, and all joins are on offsets.
     """
-    total = patterns.agg(F.sum("n").alias("total"))
+    from eventloom.session import cut_lineage
+
+    patterns, whole = cut_lineage(patterns), F.lit(-1)  # -1 stands for all changes
     one = patterns.select("n", "pattern", F.explode("pattern").alias("a"))
     two = one.withColumn("b", F.explode(F.filter("pattern", lambda v: v > F.col("a"))))
     three = two.withColumn("c", F.explode(F.filter("pattern", lambda v: v > F.col("b"))))
-    n1 = one.groupBy("a").agg(F.sum("n").alias("n"))
+    n1 = patterns.select("n", F.explode(F.concat("pattern", F.array(whole))).alias("a")).groupBy("a").agg(F.sum("n").alias("n"))
     n2 = two.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    n3 = three.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    n3 = three.groupBy("a", "b", "c").agg(F.sum("n").alias("n_abc"))
+    # one row: the offsets of one record with their coverage
+    level = n1.agg(F.array_sort(F.collect_list(F.when(F.col("a") != whole, F.struct("a", "n")))).alias("s"), F.max(F.when(F.col("a") == whole, F.col("n"))).alias("total"))
+    level = level.withColumn("most", F.coalesce(F.array_max(F.transform("s", lambda v: v["n"])), F.lit(0)))
+
+    def grown(rows: DataFrame, last: str | None, name: str, left: int) -> DataFrame:
+        """Candidates with one more offset, ``left`` of which may still follow."""
+        more = F.explode(F.col("s") if last is None else F.filter("s", lambda v: v["a"] > F.col(last))).alias("_v")
+        rows = rows.select("*", more).withColumns({name: F.col("_v.a"), f"n_{name}": F.col("_v.n"), "sum": F.col("sum") + F.col("_v.n")}).drop("_v")
+        return rows.filter(F.col("sum") + left * F.col("most") >= F.col("total"))
+
+    def both(x: str, y: str) -> DataFrame:
+        return n2.select(F.col("a").alias(x), F.col("b").alias(y), F.col("n").alias(f"n_{x}{y}"))
 
-    def single(name):
-        return n1.select(F.lit(0).alias("g"), F.col("a").alias(name), F.col("n").alias(f"n_{name}"))
+    def kept(rows: DataFrame, names: Sequence[str], covered: Column) -> DataFrame:
+        return rows.select(F.concat_ws("+", *names).alias("union_of"), F.lit(len(names)).alias("size"), covered.alias("covered"), "total").filter("covered = total").drop("total")
 
-    def both(x, y):
-        return n2.select(F.col("a").alias(x), F.col("b").alias(y), F.col("n").alias(f"n_{x}{y}"))
+    def c(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
 
-    # the dimension of clean offsets is at most one record wide
-    ab = single("a").join(single("b"), "g").filter("a < b").join(both("a", "b"), ["a", "b"], "left")
-    abc = ab.join(single("c"), "g").filter("b < c").join(both("a", "c"), ["a", "c"], "left").join(both("b", "c"), ["b", "c"], "left")
-    abc = abc.join(n3.withColumnRenamed("n", "n_abc"), ["a", "b", "c"], "left")
-    z = F.lit(0)
-
-    def c(name):
-        return F.coalesce(F.col(name), z)
-
-    out = n1.select(F.col("a").cast("string").alias("union_of"), F.lit(1).alias("size"), F.col("n").alias("covered"))
-    out = out.unionByName(ab.select(F.concat_ws("+", "a", "b").alias("union_of"), F.lit(2).alias("size"), (c("n_a") + c("n_b") - c("n_ab")).alias("covered")))
-    out = out.unionByName(
-        abc.select(
-            F.concat_ws("+", "a", "b", "c").alias("union_of"), F.lit(3).alias("size"),
-            (c("n_a") + c("n_b") + c("n_c") - c("n_ab") - c("n_ac") - c("n_bc") + c("n_abc")).alias("covered"),
-        )
-    )
-    return out.crossJoin(F.broadcast(total)).filter("covered = total").drop("total")  # one-row side
+    a = grown(level.withColumn("sum", F.lit(0).cast("long")), None, "a", 2)
+    ab = grown(a, "a", "b", 1)
+    abc = grown(ab, "b", "c", 0)
+    ab = ab.join(both("a", "b"), ["a", "b"], "left")
+    abc = abc.join(both("a", "b"), ["a", "b"], "left").join(both("a", "c"), ["a", "c"], "left").join(both("b", "c"), ["b", "c"], "left").join(n3, ["a", "b", "c"], "left")
+    out = kept(a, ["a"], F.col("n_a"))
+    out = out.unionByName(kept(ab, ["a", "b"], F.col("sum") - c("n_ab")))
+    return out.unionByName(kept(abc, ["a", "b", "c"], F.col("sum") - c("n_ab") - c("n_ac") - c("n_bc") + c("n_abc")))
 
 
 def greedy_cover(patterns: DataFrame) -> DataFrame:

@@ -342,7 +342,11 @@ def offset_coverage(x):
     return sw.change_patterns(_changes(x), "ch", "hit")[0]
 
 
-@query("J21_greedy_cover")
+@query("J21_greedy_cover", "WITH RECURSIVE " + UNION_CTE[len("WITH "):] + """, p AS (SELECT pattern, count(*) AS n FROM (SELECT list(off ORDER BY off) AS pattern FROM h GROUP BY family, rec_id) GROUP BY 1),
+w AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS off, CAST(NULL AS BIGINT) AS gain
+ UNION ALL SELECT step + 1, list_append(taken, -best.off), -best.off, best.gain FROM (SELECT step, taken, max({'gain': gain, 'off': -off}) AS best
+  FROM (SELECT step, taken, off, CAST(sum(n) AS BIGINT) AS gain FROM (SELECT w.step, w.taken, CAST(unnest(p.pattern) AS BIGINT) AS off, p.n FROM w, p WHERE NOT list_has_any(p.pattern, w.taken)) GROUP BY step, taken, off) GROUP BY step, taken))
+SELECT step, off AS "offset", gain FROM w WHERE step > 0""")
 def greedy_cover(x):
     return sw.greedy_cover(sw.change_patterns(_changes(x), "ch", "hit")[1])
 

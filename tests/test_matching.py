@@ -301,3 +301,13 @@ def test_quantile_blocks_survive_an_outlier(spark):
     values = sorted([1e12, *map(float, range(1, 10_000))])
     assert got.p50 == (values[4999] + values[5000]) / 2
     assert abs(got.p99 - (values[9899] + (values[9900] - values[9899]) * 0.01)) < 1e-6
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exact_unions_against_all_subsets(spark, seed):
+    rng = random.Random(seed)
+    rows = [(sorted(rng.sample(range(8), rng.randint(1, 6))), rng.randint(1, 4)) for _ in range(12)]
+    got = {(r.union_of, r["size"], r.covered) for r in sw.exact_unions(spark.createDataFrame(rows, "pattern array<int>, n long")).collect()}
+    total = sum(n for _, n in rows)
+    want = {("+".join(map(str, u)), k, total) for k in (1, 2, 3) for u in itertools.combinations(range(8), k) if all(set(u) & set(p) for p, _ in rows)}
+    assert got == want
