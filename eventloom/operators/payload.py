@@ -1,15 +1,19 @@
 """Profiles of binary payloads and fixed-size records.
 
-Payloads explode to one row per byte or word and aggregate with map-side combine; a hot
-family therefore costs one partial row per (task, group). Records are whole arrays.
+Histograms and n-grams are counted over Arrow batches before anything is shuffled. Other profiles explode
+payloads to one row per byte or word and aggregate with map-side combine; a hot family therefore costs
+one partial row per (task, group). Records are whole arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions import binary as bn
 from eventloom.functions import stats as s
@@ -28,10 +32,65 @@ def explode_words(df: DataFrame, payload: str, width: int, stride: int) -> DataF
     return out.select(*keep, F.col("_w.pos").cast("long").alias("pos"), F.col("_w.word").alias("word"))
 
 
-def entropy(cells: DataFrame, keys, value: str = "b") -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], payload: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a few payloads: the rows, all their bytes laid end to end, and the row of every byte."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            some = batch.slice(start, rows)
+            raw = [v or b"" for v in some.column(payload).to_pylist()]
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            yield some, data, np.repeat(np.arange(len(raw)), [len(v) for v in raw])
+
+
+def _with_keys(some: pa.RecordBatch, keys: Sequence[str], row: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    own = some.select(list(keys)).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*own.columns, *[pa.array(v.astype(np.int64)) for v in columns.values()]], names=[*keys, *columns])
+
+
+def byte_counts(df: DataFrame, keys, payload: str) -> DataFrame:
+    """(keys, b, n): a histogram of every payload, made over Arrow batches; bytes never become rows."""
+    keys = list(keys)
+
+    def run(batches):
+        for some, data, row in _slices(batches, payload):
+            counts = np.bincount(row * 256 + data, minlength=256 * some.num_rows)
+            at = np.flatnonzero(counts)
+            yield _with_keys(some, keys, at // 256, b=at % 256, n=counts[at])
+
+    own = df.select(*keys, payload)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], T.StructField("b", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def gram_counts(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
+    """(keys, gram, pos, n): byte n-grams of up to eight bytes as numbers, counted over a few payloads of a key at a time."""
+    keys = list(keys)
+
+    def run(batches):
+        for some, data, row in _slices(batches, payload):
+            if len(data) < size:
+                continue
+            gram = np.zeros(len(data) - size + 1, np.uint64)
+            for k in range(size):
+                gram = gram << np.uint64(8) | data[k:k + len(gram)]
+            first = np.searchsorted(row, np.arange(some.num_rows))
+            whole = row[:len(gram)] == row[size - 1:]
+            # one number for each different key of the slice
+            names: dict[tuple, int] = {}
+            of_row = np.array([names.setdefault(k, r) for r, k in enumerate(zip(*[some.column(c).to_pylist() for c in keys]))] if keys else np.zeros(some.num_rows, int))
+            gram, owner, pos = gram[whole], of_row[row[:len(whole)][whole]], (np.arange(len(whole)) - first[row[:len(whole)]])[whole]
+            order = np.lexsort((pos, gram, owner))
+            gram, owner, pos = gram[order], owner[order], pos[order]
+            new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1]))) if len(gram) else np.zeros(0, int)
+            yield _with_keys(some, keys, owner[new], gram=gram[new].view(np.int64), pos=pos[new], n=np.diff(np.append(new, len(gram))))
+
+    own = df.select(*keys, payload)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in ("gram", "pos", "n")]]))
+
+
+def entropy(cells: DataFrame, keys, value: str = "b", weight: str | None = None) -> DataFrame:
     """Bits per byte, zero share and entropy normalised by the number of values."""
     keys = list(keys)
-    counts = cells.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = cells.groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     # H = log2(N) - sum(n log2 n)/N needs no second pass for the total
     total = F.sum("n")
     bits = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
@@ -66,11 +125,13 @@ def gram_rows(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
 
 
 def ngrams(df: DataFrame, keys, payload: str, size: int) -> DataFrame:
-    """Byte n-grams of whole payloads with counts and distinct offsets."""
-    rows = gram_rows(df, keys, payload, size)
+    """Byte n-grams (up to eight bytes) of whole payloads with counts and distinct offsets."""
+    if not 1 <= size <= 8:
+        raise ValueError("n-grams of one to eight bytes")
     # collapse to (gram, offset) first: a hot gram then merges from few rows
-    spots = rows.groupBy(*keys, "gram", "pos").agg(F.count("*").alias("n"))
-    return spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets"))
+    spots = gram_counts(df, keys, payload, size).groupBy(*keys, "gram", "pos").agg(F.sum("n").alias("n"))
+    out = spots.groupBy(*keys, "gram").agg(F.sum("n").alias("n"), F.count("*").alias("offsets"))
+    return out.withColumn("gram", F.lpad(F.hex("gram"), 2 * size, "0")).select(*keys, "gram", "n", "offsets")
 
 
 def identifier_hits(rows: DataFrame, keys, value: str, token: str, match: str, min_support: int = 3, min_rate: float = 0.75) -> DataFrame:

@@ -22,7 +22,8 @@ def recblk():
 h AS (SELECT c.match_id, c.block_index, any_value(bytes) AS bytes, any_value(dv) AS dv, -sum(n / bytes * log2(n / bytes)) AS bits, coalesce(sum(n) FILTER (b = 0), 0) / any_value(bytes) AS z FROM c JOIN t USING (match_id, block_index) GROUP BY 1, 2)
 SELECT match_id, block_index, CAST(bytes AS BIGINT) AS bytes, dv AS distinct_values, R6(bits) AS bits, R6(z) AS zero_rate, R6(CASE WHEN dv <= 1 THEN 0 ELSE bits / log2(dv) END) AS normalized FROM h""")
 def payload_entropy(x):
-    return pl.entropy(x.byt, ["match_id", "block_index"])
+    keys = ["match_id", "block_index"]
+    return pl.entropy(pl.byte_counts(x.pk, keys, "payload"), keys, weight="n")
 
 
 @query("D22_payload_differential", """WITH r AS (SELECT family, rec_id, arr, lead(arr) OVER (PARTITION BY family ORDER BY rec_id) AS nx FROM {rec}),
