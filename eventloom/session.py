@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -53,6 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts on what the JVM has collected, which it forces only every half hour. Long jobs of many
+    steps call this after a step whose result is checkpointed, so that disk holds one step and not all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_library(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context."""
     sc = spark.sparkContext
