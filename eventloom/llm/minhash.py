@@ -11,11 +11,12 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from eventloom.llm.common import ROW, squeezed, texts
+from eventloom.llm.common import ROW, kept, squeezed, texts
 from eventloom.llm.components import connected_components
 from eventloom.llm.exact import merge_runs
-from eventloom.session import cut_lineage
+from eventloom.session import cut_lineage, free_shuffles
 
 #: Words in a shingle; minima in a band and bands. At similarity 0.75 a pair shares no band with
 #: probability (1 - 0.75^5)^36 = 6e-5, at 0.8 with 6e-7.
@@ -40,9 +41,6 @@ class WordHash(dict):
         return value
 
 
-_WORDS = WordHash()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input reaches every bit of the output."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -55,7 +53,7 @@ def shingles(text: str) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("word hashes", WordHash).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     out = np.full(n, min(len(h), WORDS), np.uint64)
     for k in range(min(len(h), WORDS)):
@@ -120,10 +118,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def both_sides(pairs: DataFrame, by_node: DataFrame, column: str) -> DataFrame:
-    """Pairs (u, v) with ``column`` of either node as a and b."""
+    """Pairs (u, v, ...) with ``column`` of either node as a and b."""
+    own = pairs.columns
     for side, name in (("u", "a"), ("v", "b")):
         pairs = pairs.join(by_node.select(F.col("node").alias(side), F.col(column).alias(name)), side)
-    return pairs.select("u", "v", "a", "b")
+    return pairs.select(*own, "a", "b")
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -133,13 +132,18 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union: first by signatures, then on full sets."""
+    """Links among the pairs (u, v, must): 100 * intersection >= percent * union, first by signatures, then on full sets.
+
+    Of the other pairs only the likeliest one of each v is looked at; what is left out meets in ``across``.
+    """
     least = percent / 100 - MARGIN
 
     def likely(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in "ab")
-            yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= least)) if batch.num_rows else batch.select(["u", "v"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, len(A)) for c in "ab")
+            same = (a == b).sum(axis=1).astype(np.int32)
+            near = pa.array(same >= least * len(A))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("u", "v", "must")], pa.array(same)], names=["u", "v", "must", "same"]).filter(near)
 
     def sure(batches):
         for batch in batches:
@@ -150,8 +154,10 @@ def linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    maybe = both_sides(pairs, sigs, "sig").mapInArrow(likely, "u bigint, v bigint")
-    return both_sides(maybe, sets, "hashes").mapInArrow(sure, "u bigint, v bigint")
+    maybe = cut_lineage(both_sides(pairs, sigs, "sig").mapInArrow(likely, "u bigint, v bigint, must boolean, same int"))
+    best = maybe.filter("NOT must").groupBy("v").agg(F.max_by("u", F.struct("same", "u")).alias("u")).select("u", "v")
+    chosen = maybe.filter("must").select("u", "v").union(best)
+    return both_sides(chosen, sets, "hashes").mapInArrow(sure, "u bigint, v bigint")
 
 
 def nearby(links: DataFrame) -> DataFrame:
@@ -165,16 +171,37 @@ def nearby(links: DataFrame) -> DataFrame:
     return took.join(took.select(F.col("node").alias("label"), F.col("label").alias("part")), "label").select("node", "part")
 
 
+def families(open_: DataFrame) -> DataFrame:
+    """(key, node, part) with the buckets of one family of near copies merged, where that takes less.
+
+    The members of a large family share most of their buckets, 36 of which would each send all sets along. A
+    bucket takes the smallest label of its members and they that of their buckets, twice; buckets of the same
+    label are compared as one if that sends no more rows and makes at most a few times the comparisons.
+    All pairs of every bucket still meet.
+    """
+    label = open_.select("key", "node", F.min("node").over(Window.partitionBy("key")).alias("label"))
+    for by in ("node", "key") * 2:
+        least = label.groupBy(by).agg(F.min("label").alias("least"))
+        label = cut_lineage(label.join(least, by).select("key", "node", F.col("least").alias("label")))
+    n, blocks = F.count(F.lit(1)), F.ceil(F.count(F.lit(1)) / BLOCK)
+    alone = label.groupBy("key", "label").agg((n * blocks).alias("sent"), (n * n).alias("met")).groupBy("label").agg(F.sum("sent").alias("sent"), F.sum("met").alias("met"))
+    whole = label.select("label", "node").distinct().groupBy("label").agg((n * blocks).alias("sent_whole"), (n * n).alias("met_whole"))
+    merged = alone.join(whole, "label").filter("sent_whole <= sent AND met_whole <= 4 * met").select("label", F.lit(True).alias("merge"))
+    family = label.join(merged, "label", "left").select("key", "node", F.when(F.col("merge"), F.struct(F.lit(1).alias("kind"), F.col("label").alias("of"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("key").alias("of"))).alias("family"))
+    return open_.join(family, ["key", "node"]).select(F.col("family").alias("key"), "node", "part").distinct()
+
+
 def across(open_: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between different components of a bucket, enough of them to join these components.
 
-    Buckets are cut into blocks of about ``BLOCK`` members, and two blocks meet in one task, where pairs
+    Buckets, or families of them, are cut into blocks of about ``BLOCK`` members, and two blocks meet in one task, where pairs
     are compared by signature and then on full sets, as arrays. Components that a found link has joined
     are not compared again, so a task emits fewer links than it has members.
     """
     least = percent / 100 - MARGIN
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    own = open_.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    merged = cut_lineage(families(open_))
+    sizes = merged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    own = merged.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     tiles = own.join(sigs, "node").join(sets, "node").select("key", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "node", "part", "sig", "hashes")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,11 +241,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     without identifier, link with nothing. Two documents link at 100 * intersection >= percent * union.
 
     Equal sets are compared once, by their smallest identifier. The others meet in bands of their
-    minima. Each member of a bucket is tried with the smallest and the largest one; then, in buckets
-    that hold several components, with a member drawn for the bucket, ``DRAWS`` times. Last, all pairs
-    between the components of a bucket are compared in blocks. So a bucket of
-    thousands of near copies costs a few full checks for each member, and no link between components is
-    lost. Rows that share an identifier are one node. An empty table gives no rows.
+    minima. A bucket of two is checked. In others each member is tried with the likeliest of the smallest
+    and largest members of its buckets; then, in buckets that hold several components, of members drawn
+    for the buckets, ``DRAWS`` times. Last, all pairs between the components of a bucket are compared in
+    blocks. So a bucket of thousands of near copies costs a few full checks for each member, and no link
+    between components is lost. Rows that share an identifier are one node. An empty table gives no rows.
     """
     own = texts(docs, id_col, text_col)
     rows = cut_lineage(features(own))
@@ -230,14 +257,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     firsts = members.select(ROW, "node").distinct()
     sigs = cut_lineage(rows.select(ROW, "sig").join(firsts, ROW).select("node", "sig"))
     keys = sigs.select("node", F.explode(band_keys("sig")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), (F.count(F.lit(1)) == 2).alias("must")).filter("lo < hi")
     buckets = cut_lineage(keys.join(shared, "key"))
     sets = cut_lineage(sets_of(own, buckets.select("node").distinct()))
+    free_shuffles(docs.sparkSession)
     tried = cut_lineage(
-        buckets.select(F.col("lo").alias("u"), F.col("node").alias("v")).union(buckets.select(F.col("node").alias("u"), F.col("hi").alias("v"))).filter("u < v").distinct()
+        buckets.select(F.col("lo").alias("u"), F.col("node").alias("v"), "must").union(buckets.select(F.col("node").alias("u"), F.col("hi").alias("v"), "must"))
+        .filter("u < v").groupBy("u", "v").agg(F.bool_or("must").alias("must"))
     )
     links = cut_lineage(linked(tried, sigs, sets, percent))
     for draw in range(DRAWS + 1):
+        free_shuffles(docs.sparkSession)
         # before all pairs are compared the components must be whole
         parts = nearby(links) if draw < DRAWS else connected_components(links).withColumnRenamed("component", "part")
         placed = buckets.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
@@ -250,10 +280,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             break
         if draw < DRAWS:
             x, y = F.col("node"), F.col("drawn.node")
-            more = open_.filter("part <> drawn.part").select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
+            more = open_.filter("part <> drawn.part").select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), F.lit(False).alias("must")).distinct()
             links = links.union(cut_lineage(linked(more.join(tried, ["u", "v"], "left_anti"), sigs, sets, percent)))
         else:
             links = links.union(cut_lineage(across(open_.select("key", "node", "part"), sigs, sets, percent)))
+    free_shuffles(docs.sparkSession)
     whole = connected_components(links)
     found = members.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
