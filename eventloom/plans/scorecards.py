@@ -7,6 +7,7 @@ from eventloom.operators import ordered as o
 from eventloom.operators import quantiles as q
 from eventloom.operators import rollups as r
 from eventloom.plans.registry import query
+from eventloom.session import cut_lineage
 
 WIN = "ORDER BY score DESC, correlation DESC, nrmse, participant_id, o1, o3, o4"
 
@@ -265,7 +266,7 @@ SELECT c.version_group, c.family_key, any_value(support) AS support, any_value(m
  FROM {cm} c JOIN m USING (version_group, family_key) GROUP BY 1, 2""")
 def coordinate_priors(x):
     keys = ["version_group", "family_key"]
-    med = q.medians(x.cm, keys, ["slope", "intercept"])
+    med = cut_lineage(q.medians(x.cm, keys, ["slope", "intercept"]))
     away = x.cm.join(med, keys).select(
         *keys, F.abs(F.col("slope") - F.col("slope_median")).alias("slope"), F.abs(F.col("intercept") - F.col("intercept_median")).alias("intercept")
     )
@@ -339,7 +340,8 @@ def pass_rate_by_risk(x):
 
 @query("D61_assignment_ambiguity", GAP + """ SELECT version_group, count(*) AS rows, count(*) FILTER (unambiguous) AS stable, count(*) FILTER (gap <= 0) AS nonpositive, R6(min(gap)) AS min_gap, R6(median(gap)) AS median_gap, R6(max(gap)) AS max_gap FROM w GROUP BY 1""")
 def assignment_ambiguity(x):
-    w = r.winner_gap(x.cm, GROUP, "participant_id", win(), "score", 0.08)
+    # read once for the counts and several times for the median
+    w = cut_lineage(r.winner_gap(x.cm, GROUP, "participant_id", win(), "score", 0.08).select("version_group", "gap", "unambiguous"))
     base = w.groupBy("version_group").agg(
         F.count("*").alias("rows"), F.count_if("unambiguous").alias("stable"), F.count_if(F.col("gap") <= 0).alias("nonpositive"),
         F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"),

@@ -63,6 +63,26 @@ def test_quantiles_match_numpy(rows, one_block, monkeypatch):
         assert flo[k].f == sorted(v)[min(len(v) - 1, int(0.95 * len(v)))]
 
 
+def test_quantiles_of_a_wide_key_do_not_depend_on_the_evaluation(spark):
+    """Two evaluations of approximate cuts differ; exact answers must not."""
+    values = np.random.default_rng(5).lognormal(3, 2, 200_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(24).withColumn("k", F.lit("a"))
+    probs = {"a": 0.1, "m": 0.5, "z": 0.93}
+    for keys in (["k"], []):
+        got = q.quantiles(df, keys, "v", probs).first()
+        assert [got[n] for n in probs] == pytest.approx([np.quantile(values, p) for p in probs.values()], rel=1e-12)
+    placed = q.value_positions(df, ["k"], "v").filter("cum % 25000 = 0").collect()
+    order = np.sort(values)
+    assert len(placed) == 8 and all(order[r.cum - 1] == r.v for r in placed)
+
+
+@pytest.mark.parametrize("one_block", [1 << 16, 2])
+def test_medians_of_columns_with_nulls(spark, one_block, monkeypatch):
+    monkeypatch.setattr(q, "ONE_BLOCK", one_block)
+    df = spark.createDataFrame([(1, 5.0, None), (1, 2.0, None), (1, 9.0, None), (2, float("nan"), 4.0), (2, 1.0, 7.0)], "k int, a double, b double")
+    assert {tuple(r) for r in q.medians(df, ["k"], ["a", "b"]).collect()} == {(1, 5.0, 0.0), (2, 1.0, 5.5)}
+
+
 def test_mode_breaks_ties_by_text(spark):
     df = spark.createDataFrame([(1, 9), (1, 10), (2, 3), (2, 3), (2, 1)], "k int, v int")
     assert {r.k: r.mode for r in q.mode(df, ["k"], "v").collect()} == {1: 10, 2: 3}
