@@ -14,6 +14,7 @@ from eventloom.operators import timejoin as tj
 from eventloom.plans.registry import query
 from eventloom.plans.scorecards import WIN, win
 from eventloom.plans.standins import DAY_MS
+from eventloom.session import cut_lineage
 
 GROUP = ["match_id", "family_key"]
 EDGE = """WITH e AS (SELECT match_id, family_key, slot_index, participant_id, max(score + correlation / 10) AS score FROM {cm} GROUP BY 1, 2, 3, 4)"""
@@ -176,8 +177,8 @@ def supplement_patterns(x):
         F.count("*").alias("n"), F.count_distinct("participant_id").alias("participants"), F.avg("score").alias("sc"), F.avg("correlation").alias("c")
     )
     conf = F.col("sc") * (0.5 + F.least(F.lit(1.0), F.col("participants") / 4)) * (0.5 + F.col("c"))
-    p = p.withColumn("confidence", F.round(conf, 9)).drop("sc", "c")
-    return o.top_k(p, ["metric"], [F.desc("confidence"), F.asc("family_key"), F.asc("slot_index")], 6)
+    p = p.withColumn("confidence", conf).drop("sc", "c")
+    return o.top_k(p, ["metric"], [F.desc(F.round("confidence", 9)), F.asc("family_key"), F.asc("slot_index")], 6)
 
 
 @query("J52_best_transform", """WITH l AS (SELECT entity, median(tx / greatest(rx, 1)) AS sl FROM {pair} GROUP BY 1), v AS (SELECT match_id, p.entity, tr, t, event_id, CASE tr WHEN 'learned' THEN sl ELSE 1 END * rx AS v, tx FROM {pair} p JOIN l USING (entity), (SELECT unnest(['learned', 'identity']) AS tr)),
@@ -186,7 +187,8 @@ s AS (SELECT *, 0.7 * greatest(0, 1 - abs(lv - lt) / greatest(lt * 0.35, 100)) +
 SELECT match_id, entity, tr AS transform, R6(score) AS score FROM s QUALIFY row_number() OVER (PARTITION BY match_id, entity ORDER BY round(score, 9) DESC, tr) = 1""")
 def best_transform(x):
     """Learned median slope or identity, by .7 final-value fit + .3 plausibility."""
-    p = x.pair.withColumn("ratio", F.col("tx") / F.greatest("rx", F.lit(1.0)))
+    # the slope reads the pairs several times
+    p = cut_lineage(x.pair.withColumn("ratio", F.col("tx") / F.greatest("rx", F.lit(1.0))))
     learned = q.quantiles(p, ["entity"], "ratio", {"sl": 0.5})
     v = p.join(learned, "entity").withColumn("transform", F.explode(F.array(F.lit("learned"), F.lit("identity"))))
     v = v.withColumn("v", F.when(F.col("transform") == "learned", F.col("sl")).otherwise(1.0) * F.col("rx"))
@@ -195,8 +197,9 @@ def best_transform(x):
     spot = F.struct(*order)
     last = v.groupBy(*keys).agg(F.max_by("v", spot).alias("lv"), F.max_by("tx", spot).alias("lt"))
     fit = F.greatest(F.lit(0.0), 1 - F.abs(F.col("lv") - F.col("lt")) / F.greatest(F.col("lt") * 0.35, F.lit(100.0)))
-    out = last.join(pl, keys).withColumn("score", F.round(0.7 * fit + 0.3 * F.col("plausibility"), 9))
-    return o.best(out, ["match_id", "entity"], [F.desc("score"), F.asc("transform")]).select("match_id", "entity", "transform", "score")
+    out = last.join(pl, keys).withColumn("score", 0.7 * fit + 0.3 * F.col("plausibility"))
+    # only the choice is made on nine digits; rounding the score twice would move its sixth digit
+    return o.best(out, ["match_id", "entity"], [F.desc(F.round("score", 9)), F.asc("transform")]).select("match_id", "entity", "transform", "score")
 
 
 @query("J53_candidate_rows", """WITH b AS (SELECT family_key, metric, min(slot_index) AS s0, least(min(slot_index) + 2, max(slot_index)) AS s1 FROM {cm} GROUP BY 1, 2), r AS (SELECT family_key, metric, slot_index FROM {cm} GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY family_key, metric ORDER BY count(*) DESC, slot_index) <= 2),

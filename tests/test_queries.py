@@ -50,3 +50,13 @@ def test_partition_count_does_not_matter(spark, sf_dir):
         assert sorted(map(str, queries()[name](spark, sf_dir).collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_scores_are_rounded_once(spark, sf_dir):
+    """Nine digits first and six afterwards would move some sixth digits (J51, J52)."""
+    from eventloom.plans.assignments import best_transform, supplement_patterns
+    from eventloom.plans.standins import Tables
+
+    for fn, name in ((best_transform, "score"), (supplement_patterns, "confidence")):
+        scores = [r[0] for r in fn(Tables(spark, sf_dir)).select(name).collect()]
+        assert any(v != round(v, 9) for v in scores)
