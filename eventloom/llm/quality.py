@@ -8,6 +8,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,21 +76,27 @@ class SubwordModel:
         self.vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
         self.out = np.zeros((n_classes, dim), np.float32)
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets of a text and their shares."""
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct buckets of a text and how often each occurs, in few bytes: all training texts are held so at once."""
         counted = Counter(words_of(text))
         ids, owner = subwords(list(counted), self.buckets, self.sizes)
         weights = np.fromiter(counted.values(), np.float64, len(counted))[owner]
         ids, place = np.unique(ids, return_inverse=True)
-        share = np.bincount(place, weights=weights)
-        return ids, (share / share.sum()).astype(np.float32)
+        times = np.bincount(place, weights=weights)
+        return ids.astype(np.int32), times.astype(np.min_scalar_type(int(times.max())))
+
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct buckets of a text and their shares."""
+        ids, times = self.counts(text)
+        return ids, shares(times)
 
     def fit(self, rows: list[tuple[str, int]], epochs: int = 5, rate: float = 3.0, seed: int = 11) -> SubwordModel:
-        docs = [(*self.features(text), label) for text, label in rows]
+        docs = [(*self.counts(text), label) for text, label in rows]
         rng, steps, step = np.random.default_rng(seed), max(1, epochs * len(docs)), 0
         for _ in range(epochs):
             for k in rng.permutation(len(docs)):
-                ids, share, label = docs[k]
+                ids, times, label = docs[k]
+                share = shares(times)
                 own = self.vectors[ids]
                 hidden = share @ own
                 p = softmax(self.out @ hidden)
@@ -106,6 +113,10 @@ class SubwordModel:
         return self.vectors.astype(np.float64) @ self.out.T.astype(np.float64)
 
 
+def shares(times: np.ndarray) -> np.ndarray:
+    return (times / times.sum()).astype(np.float32)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -165,14 +176,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
     # the sample has at most classes x per_class identifiers
     rows = (
         docs.join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= most_bytes)
-        .select("doc_id", "text", "cls").toArrow().sort_by([("doc_id", "ascending"), ("cls", "ascending"), ("text", "ascending")])
+        .select("doc_id", "text", "cls").toArrow()
     )
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("cls", "ascending"), ("text", "ascending")])
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, text, cls in zip(rows["doc_id"].to_pylist(), rows["text"], rows["cls"].to_pylist()):
-        if (i, cls) not in seen:
-            seen.add((i, cls))
-            out.append((text.as_py(), cls))
+    ids, cls = rows["doc_id"].to_pylist(), rows["cls"].to_pylist()
+    for at in order.to_pylist():
+        if (ids[at], cls[at]) not in seen:
+            seen.add((ids[at], cls[at]))
+            out.append((rows["text"][at].as_py(), cls[at]))
     return out
 
 

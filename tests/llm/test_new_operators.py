@@ -241,3 +241,19 @@ def test_new_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_training_rows_of_the_classifier_are_small():
+    """All training texts are on the driver at once: at most six bytes for a bucket of a text, with the same shares."""
+    import numpy as np
+
+    from eventloom.llm.quality import SubwordModel, shares, subwords, words_of
+
+    model, text = SubwordModel(2), "one two two " * 120 + "three four"
+    ids, times = model.counts(text)
+    assert ids.nbytes + times.nbytes <= 6 * len(ids)
+    words = words_of(text)
+    at, _ = subwords(words, model.buckets, model.sizes)
+    want = np.bincount(at, minlength=model.buckets)
+    assert list(ids) == list(np.flatnonzero(want)) and list(times) == list(want[ids])
+    assert list(shares(times)) == list((want[ids] / want.sum()).astype(np.float32))
