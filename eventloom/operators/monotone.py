@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,33 +132,89 @@ class Slice:
         return out
 
 
-def _streamed(rows: DataFrame, group: list[str], schema: str, columns: dict[str, str], solve) -> DataFrame:
+def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
+    """Whether a row begins another group than the row before it; the first one does. Nulls are equal, NaNs too."""
+    out = np.ones(rows.num_rows, bool)
+    out[1:] = False
+    for name in group:
+        cells = rows.column(name).combine_chunks()
+        if pa.types.is_nested(cells.type):
+            values = cells.to_pylist()
+            out[1:] |= np.fromiter((a != b for a, b in zip(values, values[1:])), bool, len(out) - 1)
+            continue
+        gone = cells.is_null().to_numpy(False)
+        other = pc.fill_null(pc.not_equal(cells[1:], cells[:-1]), False).to_numpy(False)
+        if pa.types.is_floating(cells.type):
+            nan = pc.fill_null(pc.is_nan(cells), False).to_numpy(False)
+            other &= ~(nan[1:] & nan[:-1])
+        out[1:] |= other | (gone[1:] != gone[:-1])
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the bounds of the groups; the last group waits for the next batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        if held:
+            begins = _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]), group)[1:]
+        else:
+            begins = _starts(rows, group)
+            begins[0] = False
+        cuts = np.flatnonzero(begins)
+        if len(cuts):
+            before = sum(t.num_rows for t in held)
+            yield pa.concat_tables([*held, rows.slice(0, cuts[-1])]), np.concatenate([[0], before + cuts])
+            held, rows = [], rows.slice(cuts[-1])
+        held.append(rows)
+    if held:
+        yield pa.concat_tables(held), np.array([0, sum(t.num_rows for t in held)])
+
+
+def _plain(rows: pa.Table, cuts: np.ndarray, keys: list[str], names: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """The answers of groups without a choice, whole columns at a time, and which groups are left to the program.
+
+    A component inside one slice has no choice if one stream has no row in it, or if each has one: neighbours of
+    a component are within the tolerance.
+    """
+    side = rows.column("side").to_numpy()
+    sizes, n_oracle = np.diff(cuts), np.add.reduceat(side, cuts[:-1])
+    apart = rows.column("first").combine_chunks().is_null().to_numpy(False)[cuts[:-1]]
+    lone, pair = apart & ((n_oracle == 0) | (n_oracle == sizes)), apart & (sizes == 2) & (n_oracle == 1)
+    singles, twos = np.flatnonzero(np.repeat(lone, sizes)), cuts[:-1][pair]
+    decoded = np.concatenate([singles, twos + (side[twos] != 0)])
+    oracle = np.concatenate([singles, twos + (side[twos] == 0)])
+    empty = np.zeros(len(decoded), bool)
+    empty[:len(singles)] = side[singles] != 0
+    at = [pa.array(decoded, mask=empty), pa.array(oracle, mask=np.where(np.arange(len(empty)) < len(singles), ~empty, False))]
+    columns = [*[rows.column(k).take(pa.array(decoded)) for k in keys], *[rows.column(c).take(at[k]) for c in ("id", "t") for k in (0, 1)]]
+    return pa.table(columns, names=names), ~(lone | pair)
+
+
+def _streamed(rows: DataFrame, group: list[str], schema: str, columns: dict[str, str], solve, plain=None) -> DataFrame:
     """Run ``solve(head, rows)`` for every group of sorted rows (own, side, t, id, first, last) inside the tasks.
 
-    ``columns`` names the output columns and, for each, the input column that has its type.
+    ``columns`` names the output columns and, for each, the input column that has its type. ``plain`` answers
+    simple groups of a table at once.
     """
     placed = rows.repartition(*group).sortWithinPartitions(*group, "t", "side", "id")
+    cells = [*group, "own", "side", "t", "id", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held, kinds = None, [], None
-
-        def made(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*out), columns.values())], names=list(columns))
-
-        for batch in batches:
-            kinds = {f.name: f.type for f in batch.schema}
+        for table, cuts in _whole_groups(batches, group):
+            left = np.ones(len(cuts) - 1, bool)
+            if plain:
+                done, left = plain(table, cuts)
+                yield from done.combine_chunks().to_batches()
             out: list[tuple] = []
-            cells = [batch.column(c).to_pylist() for c in (*group, "own", "side", "t", "id", "first", "last")]
-            for row in zip(*cells):
-                if row[:len(group)] != head:
-                    if held:
-                        out.extend(solve(head, held))
-                    head, held = row[:len(group)], []
-                held.append(row[len(group):])
-            yield from made(out)
-        if held:
-            yield from made(list(solve(head, held)))
+            for a, b in zip(cuts[:-1][left], cuts[1:][left]):
+                held = list(zip(*[table.column(c).slice(a, b - a).to_pylist() for c in cells]))
+                out.extend(solve(held[0][:len(group)], [row[len(group):] for row in held]))
+            if out:
+                kinds = [table.schema.field(c).type for c in columns.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=list(columns))
 
     return placed.mapInArrow(run, schema)
 
@@ -209,9 +266,10 @@ def optimal_pairs(parts: DataFrame, keys: Sequence[str], tolerance: int, slices:
     names = [*keys, "decoded_id", "oracle_id", "decoded_t", "oracle_t"]
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"decoded_id {kinds['id']}", f"oracle_id {kinds['id']}", "decoded_t long", "oracle_t long"])
     timed = parts.withColumn("slice", F.floor(F.col("t") / width).cast("long"))
-    # components of several slices; their number ``cid`` makes joins safe for null keys
+    # components of several slices; their number ``cid`` makes joins safe for null keys. Two rows leave no choice, wherever they lie
     spans = cut_lineage(
-        timed.groupBy(*component).agg(F.min("slice").alias("low"), F.max("slice").alias("high")).filter("high > low").withColumn("cid", F.monotonically_increasing_id())
+        timed.groupBy(*component).agg(F.min("slice").alias("low"), F.max("slice").alias("high"), F.count("*").alias("n")).filter("high > low AND n > 2").drop("n")
+        .withColumn("cid", F.monotonically_increasing_id())
     )
     many = spans.limit(1).count() > 0
     if many:
@@ -220,6 +278,7 @@ def optimal_pairs(parts: DataFrame, keys: Sequence[str], tolerance: int, slices:
         placed = timed.join(other, same, "left").drop(*[f"_{c}" for c in component])
     else:
         placed = timed.withColumns({c: F.lit(None).cast("long") for c in ("low", "high", "cid")})
+    placed = placed.withColumn("slice", F.when(F.col("cid").isNull(), F.lit(0).cast("long")).otherwise(F.col("slice")))
     late = (F.col("slice") < F.col("high")) & (F.col("t") >= (F.col("slice") + 1) * width - tolerance)
     copies = F.explode(F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
     rows = placed.select(*component, "side", "id", "t", "slice", "cid", copies).withColumns({"slice": F.col("slice") + F.col("copy"), "own": F.col("copy") == 0})
@@ -262,4 +321,5 @@ def optimal_pairs(parts: DataFrame, keys: Sequence[str], tolerance: int, slices:
         rows = rows.join(states, ["cid", "slice"], "left")
     else:
         rows = rows.withColumns({"first": F.lit(None).cast("long"), "last": F.lit(None).cast("long")})
-    return _streamed(rows, group, schema, {**{k: k for k in keys}, **dict(zip(names[len(keys):], ("id", "id", "t", "t")))}, pairs)
+    columns = {**{k: k for k in keys}, **dict(zip(names[len(keys):], ("id", "id", "t", "t")))}
+    return _streamed(rows, group, schema, columns, pairs, lambda table, cuts: _plain(table, cuts, keys, names))

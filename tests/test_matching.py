@@ -311,3 +311,32 @@ def test_exact_unions_against_all_subsets(spark, seed):
     total = sum(n for _, n in rows)
     want = {("+".join(map(str, u)), k, total) for k in (1, 2, 3) for u in itertools.combinations(range(8), k) if all(set(u) & set(p) for p, _ in rows)}
     assert got == want
+
+
+def test_components_without_a_choice_skip_the_program():
+    """Lone rows, one-sided components and pairs are answered a table at a time; groups may end anywhere in a batch."""
+    import pyarrow as pa
+
+    from eventloom.operators import monotone
+
+    kinds = pa.schema([("k", pa.float64()), ("component", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("first", pa.int32())])
+    groups = [(None, 1, [0]), (None, 2, [0, 1]), (float("nan"), 1, [1, 0]), (1.0, 1, [1, 1, 1]), (1.0, 2, [0, 1, 0]), (2.0, 1, [1])]
+    rows = [(k, c, s, 100 * at + n, n, None) for at, (k, c, sides) in enumerate(groups) for n, s in enumerate(sides)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[a:a + 2]], schema=kinds) for a in range(0, len(rows), 2)]
+    found, left = [], []
+    for table, cuts in monotone._whole_groups(iter(batches), ["k", "component"]):
+        done, rest = monotone._plain(table, cuts, ["k"], ["k", "decoded_id", "oracle_id", "decoded_t", "oracle_t"])
+        found += zip(*[done.column(c).to_pylist() for c in ("decoded_id", "oracle_id", "decoded_t", "oracle_t")])
+        left += [table["id"].slice(a, b - a).to_pylist() for a, b, r in zip(cuts, cuts[1:], rest) if r]
+    want = [(0, None, 0, None), (100, 101, 0, 1), (201, 200, 1, 0), (None, 300, None, 0), (None, 301, None, 1), (None, 302, None, 2), (None, 500, None, 0)]
+    assert sorted(found, key=str) == sorted(want, key=str) and left == [[400, 401, 402]]
+
+
+def test_pair_across_a_slice_bound_needs_no_table(spark, monkeypatch):
+    from eventloom.operators import monotone
+
+    monkeypatch.setattr(monotone, "_chosen", lambda *_: pytest.fail("two rows leave no choice"))
+    d = spark.createDataFrame([(1, 99, 1), (None, 199, 2)], "k int, t long, id long")
+    r = spark.createDataFrame([(1, 101, 7), (None, 202, 8)], "k int, t long, id long")
+    got = m.optimal_match(d, r, ["k"], "t", "id", 10, 50, 10).collect()
+    assert sorted(tuple(x) for x in got if x.k) == [(1, 1, 7, 99, 101)] and [tuple(x) for x in got if not x.k] == [(None, 2, 8, 199, 202)]
