@@ -60,3 +60,15 @@ def test_closing_row_lets_the_tail_out(spark, tmp_path):
         key = (START + dt.timedelta(seconds=(t - START).seconds // 30 * 30), kind)
         want[key] = want.get(key, 0) + 1
     assert {(r.start, r.kind): r.events for r in out.collect()} == want
+
+
+def test_kill_groups_in_few_buckets(spark, tmp_path):
+    """Many matches share a state, a null match is one of them, and a row without a time counts for nothing."""
+    rows = [(m, 10 * (m or 0) + k, 1000 * k, k, k == 3) for m in [None, *range(40)] for k in range(4)]
+    made = [(*r, START + dt.timedelta(milliseconds=r[2])) for r in rows] + [(7, 999, 0, 0, True, None), (50, 1000, 9_000_000, 0, False, START + dt.timedelta(hours=9))]
+    schema = "match long, event_id long, t long, who long, is_marker boolean, ts timestamp"
+    spark.createDataFrame(made, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = jobs.drain(jobs.kill_groups(stream, "match", "ts", "30 seconds", TOLERANCE, buckets=3)).collect()
+    want = [(m, 10 * (m or 0) + 3, 3000, 3, 2, 3, "victim-mismatch") for m in [None, *range(40)]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
