@@ -257,3 +257,33 @@ def test_training_rows_of_the_classifier_are_small():
     want = np.bincount(at, minlength=model.buckets)
     assert list(ids) == list(np.flatnonzero(want)) and list(times) == list(want[ids])
     assert list(shares(times)) == list((want[ids] / want.sum()).astype(np.float32))
+
+
+def test_pre_tokens_merged_together_as_alone():
+    """One queue over many pre-tokens gives what the plain rule gives for each; long ones are not remembered."""
+    import random
+
+    from eventloom.llm.bpe import Codec
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for token in (b"ab", b"bc", b"aa", b"ca", b"abc", b"aab", b"bca", b"aaaa", b"cab", b"abca"):
+        ranks[token] = 400 - len(ranks) if token in (b"abc", b"cab") else len(ranks) + 200
+    codec, rng = Codec(ranks, r"[a-c]+|\s+", keep=50), random.Random(4)
+
+    def plain(word):
+        parts = [word[i:i + 1] for i in range(len(word))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, i = min(found)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 90))) for _ in range(120)]
+    assert [list(x) for x in codec.merge_all([w.encode() for w in words])] == [plain(w.encode()) for w in words]
+    texts = [" ".join(rng.sample(words, 5)) for _ in range(30)] + ["", "é"]
+    for at in range(0, len(texts), 8):
+        for text, tokens in zip(texts[at:at + 8], codec.tokens(texts[at:at + 8])):
+            assert codec.ids(tokens) == [i for t in codec.split(text) for i in plain(t.encode())]
+    codec.learn(set())
+    assert all(len(t) <= 64 for t in codec.known)
