@@ -107,6 +107,8 @@ def _place(mask: int, removed: list[int], policy: str) -> int:
 
 
 ACTIONS = ("hit", "empty", "add", "overflow")
+#: Tracks of so many rows are replayed as one block.
+LONG_TRACK = 1 << 16
 
 
 @lru_cache(maxsize=1 << 16)
@@ -134,6 +136,13 @@ def _outcome(mask: int, removals: tuple[int | None, ...], adds: int, policy: str
     return mask, tuple(codes)
 
 
+@lru_cache(maxsize=1 << 17)
+def _outcomes(masks: tuple[int, ...], removals: tuple[int | None, ...], adds: int, policies: tuple[str, ...]) -> tuple[tuple[int, ...], tuple[tuple[int, ...], ...]]:
+    """The masks of all policies after a group, and for each of its rows the codes of all policies."""
+    seen = [_outcome(m, removals, adds, p) for m, p in zip(masks, policies)]
+    return tuple(after for after, _ in seen), tuple(zip(*[c for _, c in seen]))
+
+
 @lru_cache(maxsize=4096)
 def _group_table(removals: tuple[int | None, ...], adds: int, policies: tuple[str, ...]) -> np.ndarray:
     """The group as a function on states; state 128 p + mask is the mask under policy p."""
@@ -199,13 +208,13 @@ def _start_states(tables: DataFrame, n_policies: int, fan_in: int) -> DataFrame:
     return states
 
 
-def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policies: Sequence[str], fan_in: int = 64) -> DataFrame:
-    """Slot of every add and removal under each 7-slot placement policy, in parallel: keys, order, policy, action, at_slot.
+def _slot_replay(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policies: Sequence[str], fan_in: int, long: int, final: bool) -> DataFrame:
+    """Rows with ``_codes``, their outcome under every policy; with ``final`` (keys, _blk, _masks), the masks after every block.
 
-    Which slots are taken is a 7-bit mask, so a block of a track is a function on 128 masks for each policy.
-    1) every (track, block) tabulates that function, 2) a tree scan over the tables of a track gives each
-    block its start masks, 3) every block replays with them, all policies at once. A long track thus spreads
-    over its blocks; blocks never split a time. Null keys count as equal; a removal without a slot finds nothing.
+    Which slots are taken is a 7-bit mask. A track of at most ``long`` rows is one block that starts empty. A block of a
+    longer one is a function on 128 masks for each policy: 1) every (track, block) tabulates that function, 2) a tree
+    scan over the tables of a track gives each block its start masks, 3) every block replays with them, all policies
+    at once. A long track thus spreads over its blocks; blocks never split a time.
     """
     keys, order, policies = list(keys), list(order), tuple(policies)
     base = df.withColumns({"_blk": block.cast("long"), "_add": is_add, "_slot": F.col(slot).cast("int")})
@@ -215,6 +224,7 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
     sort = [t, "_add", *[c for c in order if c != t]]
     out_cols = list(dict.fromkeys([*keys, *order]))
     rows = base.select(*dict.fromkeys([*group, *sort, *out_cols, "_slot"])).withColumn("_key", F.struct(*keys))
+    many = cut_lineage(df.groupBy(F.struct(*keys).alias("_key")).count().filter(F.col("count") > long).select("_key", F.lit(True).alias("_many")))
 
     def placed(frame: DataFrame) -> DataFrame:
         return frame.repartition(*group).sortWithinPartitions(*group, *sort)
@@ -247,24 +257,48 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
             yield made([(head, now)], types)
 
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in group)
-    tables = placed(rows.drop("_key")).mapInArrow(tabulate, f"{ddl}, _table array<int>")
-    states = _start_states(tables.select(F.struct(*keys).alias("_key"), "_blk", "_table"), len(policies), fan_in)
+    if many.limit(1).count():
+        rows = rows.join(many, "_key", "left").withColumn("_blk", F.when(F.col("_many"), F.col("_blk")).otherwise(F.lit(0).cast("long")))
+        tables = placed(rows.filter("_many").drop("_key", "_many")).mapInArrow(tabulate, f"{ddl}, _table array<int>")
+        states = _start_states(tables.select(F.struct(*keys).alias("_key"), "_blk", "_table"), len(policies), fan_in)
+        rows = rows.drop("_many").join(states, ["_key", "_blk"], "left")
+    else:
+        rows = rows.withColumns({"_blk": F.lit(0).cast("long"), "_states": F.lit(None).cast("array<int>")})
 
     def replay(batches):
-        head, masks = None, []
+        head, masks, types = None, (), None
         for rows_, cuts, heads in _same_time_groups(batches, group, t):
-            starts, codes = rows_.column("_states"), []
+            starts, codes, ended = rows_.column("_states"), [], []
+            types = [rows_.schema.field(c).type for c in group]
             for a, _, removals, adds in parts(rows_, cuts):
                 if heads[a][:-1] != head:
-                    head, masks = heads[a][:-1], [m & FULL for m in starts[a].as_py()]
-                seen = [_outcome(m, removals, adds, p) for m, p in zip(masks, policies)]
-                masks = [after for after, _ in seen]
-                codes += zip(*[c for _, c in seen])
-            done = rows_.select(out_cols).append_column("_codes", pa.array(codes, pa.list_(pa.int32())))
-            yield from done.combine_chunks().to_batches()
-
-    staged = placed(rows.join(states, ["_key", "_blk"]).drop("_key"))
-    replayed = staged.mapInArrow(replay, ", ".join([*[f"`{c}` {kinds[c]}" for c in out_cols], "_codes array<int>"]))
+                    if head is not None:
+                        ended.append((*head, masks))
+                    head, masks = heads[a][:-1], tuple(m & FULL for m in starts[a].as_py() or [0] * len(policies))
+                masks, now = _outcomes(masks, removals, adds, policies)
+                codes += now
+            if not final:
+                done = rows_.select(out_cols).append_column("_codes", pa.array(codes, pa.list_(pa.int32())))
+                yield from done.combine_chunks().to_batches()
+            elif ended:
+                yield at_end(ended, types)
+        if final and head is not None:
+            yield at_end([(*head, masks)], types)
+
+    def at_end(ended, types):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*ended), [*types, pa.list_(pa.int32())])], names=[*group, "_masks"])
+
+    staged = placed(rows.drop("_key"))
+    return staged.mapInArrow(replay, f"{ddl}, _masks array<int>" if final else ", ".join([*[f"`{c}` {kinds[c]}" for c in out_cols], "_codes array<int>"]))
+
+
+def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policies: Sequence[str], fan_in: int = 64, long: int = LONG_TRACK) -> DataFrame:
+    """Slot of every add and removal under each 7-slot placement policy, in parallel: keys, order, policy, action, at_slot.
+
+    Null keys count as equal; a removal without a slot finds nothing.
+    """
+    out_cols = list(dict.fromkeys([*keys, *order]))
+    replayed = _slot_replay(df, keys, t, order, block, is_add, slot, policies, fan_in, long, False)
     code = F.col("_c")
     return replayed.select(*out_cols, F.posexplode("_codes").alias("_p", "_c")).select(
         *out_cols, F.element_at(F.array(*[F.lit(p) for p in policies]), F.col("_p") + 1).alias("policy"),
@@ -272,6 +306,15 @@ def slot_fold(df, keys, t: str, order, block: Column, is_add: Column, slot: str,
     )
 
 
+def final_slots(df, keys, t: str, order, block: Column, is_add: Column, slot: str, policies: Sequence[str], fan_in: int = 64, long: int = LONG_TRACK) -> DataFrame:
+    """(keys, policy, slot, taken): which of the seven slots of a track are taken at its end, under each policy."""
+    ends = _slot_replay(df, keys, t, order, block, is_add, slot, policies, fan_in, long, True)
+    last = ends.groupBy(*keys).agg(F.max_by("_masks", "_blk").alias("_masks"))
+    named = last.select(*keys, F.posexplode("_masks").alias("_p", "_m")).select(*keys, "_m", F.element_at(F.array(*[F.lit(p) for p in policies]), F.col("_p") + 1).alias("policy"))
+    bit = F.expr("shiftright(_m, slot) & 1") == 1
+    return named.select(*keys, "policy", "_m", F.explode(F.array(*[F.lit(k) for k in range(SLOTS)])).alias("slot")).select(*keys, "policy", F.col("slot").cast("long").alias("slot"), bit.alias("taken"))
+
+
 def ledger(events: DataFrame, keys, interval: str, t: str, kind: str, cost: str, gain: str) -> DataFrame:
     """Spend adjustment per interval: same-time purchase cost minus component cost, minus undo gains.
 

@@ -135,9 +135,9 @@ def _fold(x):
 POLICIES = ("removed_first", "removed_last", "removed_lowest", "lowest")
 
 
-def _reduced(x, policies):
+def _reduced(x, policies, fold=fd.slot_fold):
     tx = x.tx.withColumn("slot", F.col("item_id") - 1)
-    return fd.slot_fold(tx, ["match_id", "entity"], "t", TX_ORDER, txblk(), F.col("op") == "ADD", "slot", policies)
+    return fold(tx, ["match_id", "entity"], "t", TX_ORDER, txblk(), F.col("op") == "ADD", "slot", policies)
 
 
 REDUCED = f"""WITH RECURSIVE ps AS (SELECT unnest({list(POLICIES)}) AS policy),
@@ -171,10 +171,9 @@ def policy_sweep(x):
     no slots, an item that is still held takes the slot of its number. A track is exact when all seven slots
     agree, and agrees as a multiset when as many are taken; cells count the slots that agree.
     """
-    r = _reduced(x, POLICIES)
-    # removals of a time come before its adds
-    track, spot = ["policy", "match_id", "entity"], F.struct("t", F.col("action") == "add", *TX_ORDER[1:])
-    last = r.filter("action IN ('add', 'hit')").groupBy(*track, F.col("at_slot").cast("long").alias("slot")).agg((F.max_by("action", spot) == "add").alias("taken"))
+    track = ["policy", "match_id", "entity"]
+    # the last add or hit of a slot says whether it is taken at the end
+    last = _reduced(x, POLICIES, fd.final_slots)
     held = _fold(x).groupBy("match_id", "entity", (F.col("item_id") - 1).alias("slot")).agg((F.max_by("count", F.struct(*TX_ORDER)) > 0).alias("held"))
     held = held.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in POLICIES])))
     cells = last.join(held, [*track, "slot"], "full").fillna(False, ["taken", "held"])

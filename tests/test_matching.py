@@ -340,3 +340,19 @@ def test_pair_across_a_slice_bound_needs_no_table(spark, monkeypatch):
     r = spark.createDataFrame([(1, 101, 7), (None, 202, 8)], "k int, t long, id long")
     got = m.optimal_match(d, r, ["k"], "t", "id", 10, 50, 10).collect()
     assert sorted(tuple(x) for x in got if x.k) == [(1, 1, 7, 99, 101)] and [tuple(x) for x in got if not x.k] == [(None, 2, 8, 199, 202)]
+
+
+@pytest.mark.parametrize("long", [0, 100, 1 << 16])
+def test_final_slots_follow_the_fold(spark, long):
+    """A slot is taken at the end if its last add or hit was an add; short tracks are one block, long ones many."""
+    rng = random.Random(5)
+    rows = [(k, rng.randint(0, 60), i, rng.random() < 0.6, rng.randint(0, 6)) for k, n in ((1, 150), (2, 40), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, t long, i long, add boolean, slot int")
+    args = (df, ["k"], "t", ["t", "i"], o.time_block("t", 7), F.col("add"), "slot", POLICIES, 3, long)
+    want, whole = {}, sorted((tuple(r) for r in fd.slot_fold(*args[:-1], 0).collect()), key=str)
+    assert sorted((tuple(r) for r in fd.slot_fold(*args).collect()), key=str) == whole
+    place = {r[2]: (r[1], r[3], r[2]) for r in rows if r[0] == 1}
+    for r in sorted((r for r in fd.slot_fold(*args).collect() if r.k == 1 and r.action in ("add", "hit")), key=lambda r: place[r.i]):
+        want[r.policy, r.at_slot] = r.action == "add"
+    got = {(r.policy, r.slot): r.taken for r in fd.final_slots(*args).collect() if r.k == 1}
+    assert len(got) == 28 and got == {k: want.get(k, False) for k in got}
