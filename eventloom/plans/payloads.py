@@ -146,15 +146,7 @@ SELECT match_id, block_index, count(*) FILTER (lit IN (SELECT word FROM ids)) AS
 def token_containment(x):
     """Payloads holding one of the known 32-bit ids (the leading word of every payload), read at every byte in both byte orders."""
     ids = x.pk.select(bn.read_uint("payload", 0, 4).alias("word")).distinct()
-    w = pl.explode_words(x.pk.select("match_id", "block_index", "payload"), "payload", 4, 1)
-    word = F.col("word")
-    swapped = (
-        F.shiftleft(word.bitwiseAND(F.lit(255)), 24).bitwiseOR(F.shiftleft(word.bitwiseAND(F.lit(65280)), 8))
-        .bitwiseOR(F.shiftright(word, 8).bitwiseAND(F.lit(65280))).bitwiseOR(F.shiftright(word, 24))
-    )
-    reads = w.select("match_id", "block_index", F.explode(F.array(*[F.struct(F.lit(o_).alias("endian"), v.alias("word")) for o_, v in (("little", word), ("big", swapped))])).alias("r"))
-    hit = reads.select("match_id", "block_index", "r.*").join(ids, "word", "left_semi")
-    return hit.groupBy("match_id", "block_index").agg(F.count_if(F.col("endian") == "little").alias("little"), F.count_if(F.col("endian") == "big").alias("big"))
+    return pl.known_words(x.pk, ["match_id", "block_index"], "payload", ids)
 
 
 NEEDLES = """WITH p AS (SELECT match_id, block_index, packet_type, text, hx, len FROM {pk}),

@@ -122,3 +122,15 @@ def test_statistics_conventions(spark):
 def test_large_means_keep_precision(spark):
     df = spark.range(1000).select((F.col("id") + F.lit(1.7e12)).alias("x"), (F.col("id") * 2.0).alias("y"))
     assert df.agg(s.pearson_zero("x", "y").alias("r")).first().r == pytest.approx(1.0, abs=1e-9)
+
+
+def test_known_words_in_payloads(spark, monkeypatch):
+    """Counts of known words at every byte in both orders; only candidates leave a batch, and collisions are not counted."""
+    from eventloom.operators import payload as pl
+
+    monkeypatch.setattr(pl, "SEGMENT", 5)
+    payloads = {1: b"abcdabcd\xff\xff\xff\xff", 2: b"dcba", 3: b"abc", 4: None, 5: b"", 6: (1_684_234_849 + pl.PLACES).to_bytes(4, "little"), 7: b"zdcbazabcd"}
+    words = [int.from_bytes(b"abcd", "little"), 0xFFFFFFFF, None]
+    df = spark.createDataFrame(list(payloads.items()), "id long, payload binary").coalesce(1)
+    got = {r.id: (r.little, r.big) for r in pl.known_words(df, ["id"], "payload", spark.createDataFrame([(w,) for w in words], "word long")).collect()}
+    assert got == {1: (3, 1), 2: (0, 1), 7: (1, 1)}
