@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import fold, parallelism, pieces, texts
 from eventloom.llm.minhash import WordHash, mix
-from eventloom.session import cut_lineage
+from eventloom.session import cut_lineage, free_shuffles
 
 #: Symbols: bytes, the end of a text, and the mark that fills contexts before its start.
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
 ORDER = 5
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Text for each part of the trie, text that the bounds of the parts are drawn from, and one gram in so many of it.
-PART, DRAWN, THIN = 1 << 23, 1 << 25, 64
+PART, DRAWN, THIN = 1 << 22, 1 << 25, 64
 #: Texts of so many bytes, or with so many distinct grams, send their grams together.
 GATHER, MOST = 1 << 24, 3 << 20
 END_TOKEN = b" end"  # no word holds a space
@@ -412,7 +412,7 @@ def unigram_scores(docs: DataFrame) -> DataFrame:
         task, made, hashes = TaskContext.get().partitionId(), 0, WordHash()
         for batch in batches:
             for start in range(0, max(1, batch.num_rows), 60_000):
-                for piece in pieces(batch.slice(start, 60_000), "text", 2 * CHUNK):
+                for piece in pieces(batch.slice(start, 60_000), "text", 4 * CHUNK):
                     yield from chunk(piece, task << 32 | made, hashes)
                     made += 1
 
@@ -470,12 +470,14 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
 
     Both models learn from the documents whose crc32 fold is not ``held``. Null and empty texts hold the
     end alone. Repeated rows score alike; a null identifier counts as the empty text in its fold. Without
-    training documents the base is log10(1) and the trie gives every symbol the same chance.
+    training documents the base is log10(1) and the trie gives every symbol the same chance. The base is
+    finished, and its chunks are let go, before the trie makes its own: disk holds one model's exchange.
     """
     own = texts(docs, id_col, text_col).withColumns({"mark": F.xxhash64("text"), "held_out": fold(F.col("doc_id"), folds) == held})
     own = own.withColumn("train", ~F.col("held_out"))
+    base = cut_lineage(unigram_scores(own).dropDuplicates(["doc_id", "mark"]))
+    free_shuffles(docs.sparkSession, 2.5)
     scored = ppm_scores(own.select("doc_id", "mark", "held_out", "text", "train"))
-    base = unigram_scores(own).dropDuplicates(["doc_id", "mark"])
     return (
         scored.alias("s").join(base.alias("b"), F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.mark") == F.col("b.mark")))
         .select("s.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

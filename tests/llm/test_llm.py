@@ -196,6 +196,28 @@ def test_ppm_and_unigrams(docs, none):
         assert r.score == pytest.approx(Trie(2).score(dict(DOCS)[i], adaptive=True))
 
 
+def test_ppm_frees_the_chunks_of_the_base_first(spark, docs, monkeypatch):
+    import glob
+    import time
+
+    from eventloom.llm import ppm
+    from eventloom.session import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    seen, make, before = [], ppm.ppm_scores, set(glob.glob(f"{folder}/rdd-*"))
+
+    def looked(some):
+        for _ in range(50):
+            if len(set(glob.glob(f"{folder}/rdd-*")) - before) > 1:
+                time.sleep(0.1)
+        seen.append(len(set(glob.glob(f"{folder}/rdd-*")) - before))
+        return make(some)
+
+    monkeypatch.setattr(ppm, "ppm_scores", looked)
+    assert len(by_id(ppm.score_documents(docs))) == len(DOCS)
+    assert seen == [1]  # the base scores; the trie, which makes chunks of its own, starts after them
+
+
 def test_ppm_keeps_rare_grams_of_a_large_corpus(spark):
     from eventloom.llm.ppm import ORDER, Trie, score_documents
 
