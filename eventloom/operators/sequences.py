@@ -74,7 +74,7 @@ def marker_state(lives: DataFrame, at: int, pulse: int, placed: str, removed: st
 
 def slot_clusters(df, keys, slot: str, max_gap: int, weight: str) -> DataFrame:
     """Islands of slots whose gaps are at most ``max_gap``, with summed weight."""
-    per = df.groupBy(*keys, slot).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    per = df.repartition(o.task_count(df), *keys).groupBy(*keys, slot).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
     runs = o.gap_islands(per, keys, slot, [slot], None, max_gap, "cluster")
     return runs.groupBy(*keys, "cluster").agg(
         F.min(slot).alias("first_slot"), F.max(slot).alias("last_slot"), F.count("*").alias("slots"),

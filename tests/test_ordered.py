@@ -103,3 +103,13 @@ def test_order_agreement_counts_every_pair(spark):
                     c, o_ = want.get((a[0],) if keys else (), (0, 0))
                     want[(a[0],) if keys else ()] = (c + 1, o_ + (a[2] < b[2]))
         assert got == want
+
+
+def test_slot_clusters_have_more_tasks_for_more_rows(spark, monkeypatch):
+    from eventloom.operators import sequences as sq
+
+    monkeypatch.setattr(o, "TASK_ROWS", 50, raising=False)
+    df = spark.range(1000).select((F.col("id") % 250).alias("g"), F.floor(F.col("id") / 250).alias("slot"), F.lit(2).alias("w"))
+    got = sq.slot_clusters(df, ["g"], "slot", 1, "w").withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.g, r.cluster, r.first_slot, r.last_slot, r.slots, r.entries, r.weight) for r in got} == {(g, 1, 0, 3, 4, 4, 8) for g in range(250)}
+    assert len({r.task for r in got}) > 10
