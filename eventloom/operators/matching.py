@@ -360,7 +360,9 @@ def multiset_relation(left, right, keys, value) -> DataFrame:
     """Per key: are the two multisets equal, and is left contained in right?"""
     spot = [*keys, value]
     signed = left.select(*spot, F.lit(1).alias("s")).unionByName(right.select(*spot, F.lit(-1).alias("s")))
-    net = signed.groupBy(*spot).agg(F.sum("s").alias("surplus"))
-    return net.groupBy(*keys).agg(
+    # by value first, so that the values of one key lie in many tasks while they are counted
+    tasks = o.task_count(signed)
+    net = signed.repartition(tasks, *spot).groupBy(*spot).agg(F.sum("s").alias("surplus"))
+    return net.repartition(tasks, *keys).groupBy(*keys).agg(
         F.bool_and(F.col("surplus") == 0).alias("equal"), F.bool_and(F.col("surplus") <= 0).alias("subset")
     )

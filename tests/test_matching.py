@@ -356,3 +356,12 @@ def test_final_slots_follow_the_fold(spark, long):
         want[r.policy, r.at_slot] = r.action == "add"
     got = {(r.policy, r.slot): r.taken for r in fd.final_slots(*args).collect() if r.k == 1}
     assert len(got) == 28 and got == {k: want.get(k, False) for k in got}
+
+
+def test_multiset_relation_has_more_tasks_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(o, "TASK_ROWS", 50, raising=False)
+    left = spark.range(500).select((F.col("id") % 250).alias("k"), (F.col("id") % 3).alias("v"))
+    right = left.filter("k > 0").unionByName(left.filter("k = 1"))
+    got = m.multiset_relation(left, right, ["k"], "v").withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.k, r.equal, r.subset) for r in got} == {(0, False, False), (1, False, True)} | {(k, True, True) for k in range(2, 250)}
+    assert len({r.task for r in got}) > 10
